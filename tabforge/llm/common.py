@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes
         column = batch.column(batch.schema.get_field_index(text))
         if not len(column):
             continue
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+        size = np.asarray(pc.fill_null(pc.binary_length(column), 0))
         group = np.cumsum(size) // max_bytes
         cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
         for a, b in zip(cut, cut[1:]):
