@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabforge.llm import quality, simhash
+from tabforge.llm import quality, simhash, topk
 from tabforge.llm.common import table
 
 
@@ -14,13 +14,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.fiftieth(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_query(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op4_simhash": op4_simhash}
+    return {"op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk": topk.ORACLE}
