@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabforge.llm import quality, simhash, topk
+from tabforge.llm import pieces, private, quality, simhash, topk
 from tabforge.llm.common import table
 
 
@@ -22,8 +22,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_query(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.masked_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash}
+    return {"op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op7_pieces": op7_pieces, "op9_private": op9_private}
 
 
 def oracle_sql() -> dict[str, str]:
