@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabforge.llm import pieces, private, quality, simhash, topk
+import corpus_pipeline
+
+from tabforge.llm import mixing, pieces, private, quality, simhash, topk
 from tabforge.llm.common import table
 
 
@@ -22,6 +24,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_query(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_documents(table(spark, sf_dir, "documents"))
 
@@ -31,8 +37,9 @@ def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op7_pieces": op7_pieces, "op9_private": op9_private}
+    return {"op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op7_pieces": op7_pieces, "op9_private": op9_private, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE}
+    out = {"op2_topk": topk.ORACLE}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
