@@ -54,24 +54,22 @@ def bisect_exponent(tokens: dict, budget: float, target_entropy: float | None =
     total = sum(tokens.values())
     shares = {k: v / total for k, v in tokens.items()} if total else {}
 
-    def bisected(ok) -> float:
-        """ok holds above a threshold and not below, or the reverse; the threshold to 1e-12."""
-        low, high = 0.0, 1.0
-        at_high = ok(high)
-        if ok(low) == at_high:
-            return high if at_high else low
+    def edge(ok, good: float, bad: float) -> float:
+        """The place nearest to bad where ok still holds, which it does at good and not beyond one threshold."""
+        if ok(bad):
+            return bad
         for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (low, mid) if ok(mid) == at_high else (mid, high)
-        return high if at_high else low
+            mid = (good + bad) / 2
+            good, bad = (mid, bad) if ok(mid) else (good, mid)
+        return good
 
     if not shares:
         return 1.0
     target = (1 + entropy(shares)) / 2 if target_entropy is None else target_entropy
-    exponent = bisected(lambda a: entropy(weights(shares, a)) >= target)
+    exponent = edge(lambda a: entropy(weights(shares, a)) >= target, 0.0, 1.0)
     if most_repeats is not None:
         repeats = lambda a: max(budget * w / tokens[k] for k, w in weights(shares, a).items() if tokens[k])
-        exponent = max(exponent, bisected(lambda a: repeats(a) <= most_repeats) if repeats(1.0) <= most_repeats else 1.0)
+        exponent = max(exponent, edge(lambda a: repeats(a) <= most_repeats, 1.0, 0.0) if repeats(1.0) <= most_repeats else 1.0)
     return exponent
 
 
