@@ -84,6 +84,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK = _SPACE | np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -93,12 +94,13 @@ _POWERS = np.cumprod(np.full(4096, _MULT, np.uint64), dtype=np.uint64)
 class Words:
     """Words of several texts as arrays: buf (bytes, each text followed by a space), start, length, hash and, per text, first (the number of its first word)."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, marks: bool = True):
+        """marks: whether ASCII characters other than letters and digits belong to words or part them."""
         buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
         self.buf = _LOWER[buf] if lower else buf
         space = np.empty(len(buf) + 1, bool)
         space[0] = True
-        space[1:] = _SPACE[buf]
+        space[1:] = (_SPACE if marks else _MARK)[buf]
         edge = np.flatnonzero(space[1:] != space[:-1])
         if len(edge) % 2:
             edge = np.append(edge, len(buf))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tabforge.llm import mixing, pieces, private, quality, simhash, topk
+from tabforge.llm import mixing, pieces, private, quality, simhash, topk, toxicity
 from tabforge.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.fiftieth(table(spark, sf_dir, "embeddings"))
 
@@ -37,7 +41,7 @@ def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op7_pieces": op7_pieces, "op9_private": op9_private, "pipeline": corpus_pipeline.run}
+    return {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op7_pieces": op7_pieces, "op9_private": op9_private, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
