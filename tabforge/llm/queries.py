@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tabforge.llm import language_model, mixing, pieces, private, quality, simhash, topk, toxicity
+from tabforge.llm import language_model, mixing, pieces, private, quality, simhash, topk, toxicity, winnowing
 from tabforge.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compared(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_documents(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op7_pieces": op7_pieces, "op8_language_model": op8_language_model, "op9_private": op9_private, "pipeline": corpus_pipeline.run}
+    return {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op6_winnowing": op6_winnowing, "op7_pieces": op7_pieces, "op8_language_model": op8_language_model, "op9_private": op9_private, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
