@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tabforge.llm import language_model, mixing, pieces, private, quality, simhash, topk, toxicity, winnowing
+from tabforge.llm import language_model, mixing, pieces, private, quality, repeats, simhash, topk, toxicity, winnowing
 from tabforge.llm.common import table
 
 
@@ -48,10 +48,14 @@ def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.masked_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digested(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op6_winnowing": op6_winnowing, "op7_pieces": op7_pieces, "op8_language_model": op8_language_model, "op9_private": op9_private, "pipeline": corpus_pipeline.run}
+    return {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op6_winnowing": op6_winnowing, "op7_pieces": op7_pieces, "op8_language_model": op8_language_model, "op9_private": op9_private, "op10_repeats": op10_repeats, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {"op2_topk": topk.ORACLE}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return out | ({"op10_repeats": op10_repeats, "pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
