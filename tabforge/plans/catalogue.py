@@ -22,9 +22,16 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Query modules register themselves when they are imported."""
+    from tabforge.plans import clean_queries, profile_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
