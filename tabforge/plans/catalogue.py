@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Query modules register themselves when they are imported."""
-    from tabforge.plans import clean_queries, evaluate_queries, profile_queries  # noqa: F401
+    from tabforge.plans import clean_queries, evaluate_queries, model_queries, profile_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

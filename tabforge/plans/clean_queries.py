@@ -292,3 +292,19 @@ def power_recommend(spark, d):
 @register("power_vote")
 def power_vote(spark, d):
     return power.vote(power.recommend(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], refine=0))
+
+
+@register("stream_clean", dirty(_ALL_SQL))
+def stream_clean(spark, d):
+    """The frozen plan over customer read as a stream, written and read again."""
+    import uuid
+
+    from tabforge.sources.tables import VIEWS, scratch_dir
+    from tabforge.streaming.apply import prepared_stream, write_stream
+
+    plan = C.fit(_dirty(spark, d), ["c_custkey"], "label")
+    base = spark.read.parquet(f"{d}/customer.parquet")
+    stream = spark.readStream.schema(base.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/customer.parquet*")
+    out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    write_stream(prepared_stream(spark.sql(VIEWS["dirty_customer"], customer=stream), plan), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
