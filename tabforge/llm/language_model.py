@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import Words, checkpoint, fold, text_slices
 
-CLASSES = 64
+CLASSES = 32
 VOCABULARY = CLASSES * CLASSES
-HIDDEN, LANES, STEPS = 16, 512, 16
+HIDDEN, LANES, STEPS = 16, 1024, 16
+UPDATE = LANES * STEPS
+CHUNK_TOKENS = 4_000_000  # texts whose tokens are laid in lanes together
+PIECE = 2048  # in training a longer text goes on with a new state
 COMMON = 1 << 18
 END = b"\n"  # no word holds a line feed
-SLICE = 1 << 23
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -194,39 +196,39 @@ def _steps(lanes: Lanes, window: list[np.ndarray], state: np.ndarray, p: dict, k
     return np.concatenate(out)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of the targets, the exponentials (in x's memory) and their sums."""
     x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+    out = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    return out - np.log(total), x, total
 
 
 def _output(states: np.ndarray, target: np.ndarray, p: dict, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural logarithm of each target's probability; with grad also the gradient of their negative mean, by parameter and by state."""
+    """Natural logarithm of each target's probability; with grad also the gradient of their negative sum, by parameter and by state."""
     n = len(target)
     group, inside = target // CLASSES, target % CLASSES
-    logs = _log_softmax(states @ p["Wc"] + p["bc"])
-    out = logs[np.arange(n), group]
+    out, e, total = _softmax(states @ p["Wc"] + p["bc"], group)
     back = None
     if grad is not None:
-        d = np.exp(logs)
-        d[np.arange(n), group] -= 1
-        d /= n
-        grad["Wc"], grad["bc"] = states.T @ d, d.sum(0)
-        back = d @ p["Wc"].T
+        e /= total[:, None]
+        e[np.arange(n), group] -= 1
+        grad["Wc"], grad["bc"] = states.T @ e, e.sum(0)
+        back = e @ p["Wc"].T
         grad["Ww"], grad["bw"] = np.zeros_like(p["Ww"]), np.zeros_like(p["bw"])
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.int16), kind="stable")
     edge = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for k in np.flatnonzero(np.diff(edge)):
         rows = order[edge[k] : edge[k + 1]]
         s, own = states[rows], inside[rows]
-        logs = _log_softmax(s @ p["Ww"][k] + p["bw"][k])
-        out[rows] += logs[np.arange(len(rows)), own]
+        more, e, total = _softmax(s @ p["Ww"][k] + p["bw"][k], own)
+        out[rows] += more
         if grad is not None:
-            d = np.exp(logs)
-            d[np.arange(len(rows)), own] -= 1
-            d /= n
-            grad["Ww"][k], grad["bw"][k] = s.T @ d, d.sum(0)
-            back[rows] += d @ p["Ww"][k].T
+            e /= total[:, None]
+            e[np.arange(len(rows)), own] -= 1
+            grad["Ww"][k], grad["bw"][k] = s.T @ e, e.sum(0)
+            back[rows] += e @ p["Ww"][k].T
     return out, back
 
 
@@ -253,7 +255,7 @@ def _window_gradient(lanes: Lanes, window: list[np.ndarray], state: np.ndarray,
         g["Uzr"] += before.T @ dzr
         ds = (d * (1 - z) + drs * r + dzr @ p["Uzr"].T) * lanes.goes_on[window[t]][:, None]
         gates.append(np.concatenate([dzr, dac], 1))
-    gates = np.concatenate(gates[::-1])
+    gates = np.concatenate(gates[::-1]).astype(np.float32)
     before = lanes.before[at]
     order = np.argsort(before, kind="stable")
     words, head = np.unique(before[order], return_index=True)
@@ -262,21 +264,38 @@ def _window_gradient(lanes: Lanes, window: list[np.ndarray], state: np.ndarray,
 
 
 class Adam:
+    """Takes gradient sums of windows and moves the parameters once they cover `UPDATE` tokens."""
+
     def __init__(self, p: dict, rate: float = 0.02):
         self.rate, self.step = rate, 0
         self.m, self.v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-
-    def update(self, p: dict, g: dict) -> None:
+        self.sums: dict = {}
+        self.rows: list = []
+        self.n = 0
+
+    def add(self, p: dict, g: dict, n: int) -> None:
+        self.rows.append(g.pop("G"))
+        self.sums = {k: x + self.sums[k] for k, x in g.items()} if self.n else g
+        self.n += n
+        if self.n >= UPDATE:
+            self.update(p)
+
+    def update(self, p: dict) -> None:
+        if not self.n:
+            return
         self.step += 1
         lr = self.rate / math.sqrt(1 + self.step / 60)
-        for k, grad in g.items():
-            at = slice(None)
-            if isinstance(grad, tuple):
-                at, grad = grad  # rows that the window met
+        words = np.concatenate([w for w, _ in self.rows])
+        order = np.argsort(words, kind="stable")
+        met, head = np.unique(words[order], return_index=True)
+        grads = {k: (slice(None), x) for k, x in self.sums.items()} | {"G": (met, np.add.reduceat(np.concatenate([x for _, x in self.rows])[order], head, axis=0))}
+        for k, (at, grad) in grads.items():
+            grad = grad / self.n
             m = self.m[k][at] * 0.9 + 0.1 * grad
             v = self.v[k][at] * 0.99 + 0.01 * grad * grad
             self.m[k][at], self.v[k][at] = m, v
-            p[k][at] -= lr * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-7)
+            p[k][at] -= (lr * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+        self.sums, self.rows, self.n = {}, [], 0
 
 
 def _tokens(texts: list[bytes], lexicon: Lexicon) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -291,6 +310,20 @@ def _tokens(texts: list[bytes], lexicon: Lexicon) -> tuple[Words, np.ndarray, np
     return w, place, tokens, first
 
 
+def _chunks(slices: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Joins (tokens, first) of neighbouring slices until they have `most` tokens."""
+    tokens, firsts, n = [], [np.zeros(1, np.int64)], 0
+    for t, first in slices:
+        tokens.append(t)
+        firsts.append(first[1:] + n)
+        n += len(t)
+        if n >= most:
+            yield np.concatenate(tokens), np.concatenate(firsts)
+            tokens, firsts, n = [], [np.zeros(1, np.int64)], 0
+    if tokens:
+        yield np.concatenate(tokens), np.concatenate(firsts)
+
+
 def train(docs: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.ndarray]:
     """One pass over all texts, a model a task, then the average weighted by tokens; a tree of tasks adds them up."""
     first = first_parameters(lexicon, seed)
@@ -301,12 +334,14 @@ def train(docs: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.ndar
         lex, start = shared.value
         p = {k: v.copy() for k, v in start.items()}
         adam, seen = Adam(p), 0
-        for _, texts in text_slices(batches, max_bytes=SLICE):
-            lanes = Lanes(*_tokens(texts, lex)[2:], lex.end)
+        for tokens, first in _chunks((_tokens(texts, lex)[2:] for _, texts in text_slices(batches)), CHUNK_TOKENS):
+            first = np.unique(np.concatenate([first, *[np.arange(a, b, PIECE) for a, b in zip(first[:-1], first[1:]) if b - a > PIECE]]))
+            lanes = Lanes(tokens, first, lex.end)
             state = np.zeros((len(lanes.load), HIDDEN), np.float32)
             for window in lanes.windows():
-                adam.update(p, _window_gradient(lanes, window, state, p))
-            seen += len(lanes.tokens)
+                adam.add(p, _window_gradient(lanes, window, state, p), sum(map(len, window)))
+            seen += len(tokens)
+        adam.update(p)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(_packed(p).astype(np.float64) * seen).tobytes()], pa.binary())], ["n", "p"])
 
@@ -345,19 +380,34 @@ _PARTS = "uid long, doc_id long, word binary, n long, n_tokens long, known long,
 def _parts(batches, lexicon: Lexicon, p: dict):
     """A row for each text with what common words give, and one for each other word in it."""
     uid = TaskContext.get().partitionId() << 40
-    for part, texts in text_slices(batches, max_bytes=SLICE):
+    logs = np.log10(lexicon.count + 0.5) if len(lexicon.count) else np.zeros(1)
+    end = math.log10(lexicon.end_count + 0.5)
+    kept: list[tuple] = []  # slices whose texts wait for the model
+    waiting = 0
+
+    def modelled():
+        tokens, first = next(_chunks(((t, f) for _, t, f in kept), 1 << 62))
+        model = pa.array(text_scores(tokens, first, lexicon.end, p) / math.log(10))
+        at = 0
+        for columns, _, f in kept:
+            yield pa.RecordBatch.from_arrays([*columns, model.slice(at, len(f) - 1)], _NAMES)
+            at += len(f) - 1
+
+    for part, texts in text_slices(batches):
         w, place, tokens, first = _tokens(texts, lexicon)
         m, text = len(texts), np.repeat(np.arange(len(texts)), np.diff(w.first))
         common = place >= 0
-        logs = np.log10(lexicon.count + 0.5) if len(lexicon.count) else np.zeros(1)
         base = np.where(common, logs[place], 0.0)
         out = common & (lexicon.number[place] == 0) if len(lexicon.number) else np.zeros(len(w), bool)
         total = lambda x, m=m, text=text: np.bincount(text, x, m)
-        end = math.log10(lexicon.end_count + 0.5)
         known = total(common).astype(np.int64) + (lexicon.end_count > 0)
-        sums = [np.diff(first), known, total(base) + end, total(out | ~common).astype(np.int64) + (lexicon.end == 0), total(base * out) + end * (lexicon.end == 0), text_scores(tokens, first, lexicon.end, p) / math.log(10)]
+        sums = [np.diff(first), known, total(base) + end, total(out | ~common).astype(np.int64) + (lexicon.end == 0), total(base * out) + end * (lexicon.end == 0)]
         ids = np.arange(uid, uid + m)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), part.column(0), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), *map(pa.array, sums)], _NAMES)
+        kept.append(([pa.array(ids), part.column(0), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), *map(pa.array, sums)], tokens, first))
+        waiting += len(tokens)
+        if waiting >= CHUNK_TOKENS:
+            yield from modelled()
+            kept, waiting = [], 0
         rare = np.flatnonzero(~common)
         if len(rare):
             mixed = w.hash[rare] ^ (text[rare].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -371,6 +421,8 @@ def _parts(batches, lexicon: Lexicon, p: dict):
             none = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(ids[text[at]]), pa.nulls(k, pa.int64()), words, pa.array(count.astype(np.int64)), *none], _NAMES)
         uid += m
+    if kept:
+        yield from modelled()
 
 
 _NAMES = [x.split()[0] for x in _PARTS.split(", ")]
