@@ -113,10 +113,11 @@ def compared(docs: DataFrame) -> DataFrame:
         rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
         lengths = rows.select("doc_id", F.floor(F.char_length("text") / 3).cast("int").alias("need"))
     chain = successors(lengths.select("doc_id", "need"))
-    printed = fingerprinted(rows, "text", "entries").withColumn("hashes", hashes(F.col("entries"))).repartition("doc_id")
-    sent = printed.withColumnsRenamed({"doc_id": "next_id", "hashes": "next_hashes", "entries": "next_entries"}).join(chain, "next_id")
-    sent = sent.select("doc_id", F.col("text").substr(F.lit(1), F.col("need")).alias("start"), "next_hashes")
-    both = printed.join(sent, "doc_id")
+    # both sides read doc_id, text and entries, so that Spark computes and shuffles them once
+    printed = fingerprinted(rows, "text", "entries").repartition("doc_id")
+    sent = printed.withColumnsRenamed({"doc_id": "next_id"}).join(chain, "next_id")
+    sent = sent.select("doc_id", F.col("text").substr(F.lit(1), F.col("need")).alias("start"), hashes(F.col("entries")).alias("next_hashes"))
+    both = printed.join(sent, "doc_id").withColumn("hashes", hashes(F.col("entries")))
     n = F.char_length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("start"))
     both = both.select("doc_id", n.cast("long").alias("n_chars"), "entries", "hashes", "next_hashes", edited.alias("edited"))
