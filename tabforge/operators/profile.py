@@ -119,9 +119,9 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     out = None
-    for a in range(0, len(pairs), 90):
-        part = pairs[a : a + 90]
-        both = lambda x, y: F.corr(F.when(F.col(y).isNotNull(), F.col(x)).cast("double"), F.when(F.col(x).isNotNull(), F.col(y)).cast("double"))
+    for a in range(0, len(pairs), 30):
+        part = pairs[a : a + 30]
+        both = lambda x, y: F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
         one = df.agg(*[both(x, y).alias(f"r{i}") for i, (x, y) in enumerate(part)])
         rows = one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(f"r{i}").alias("r")) for i, (x, y) in enumerate(part)])).alias("p")).select("p.*")
         out = rows if out is None else out.unionByName(rows)

@@ -49,8 +49,16 @@ def value_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, distinct (nulls are no value) and n (rows)."""
-    return value_histogram(df, columns).groupBy("column").agg(F.count("value").alias("distinct"), F.sum("n").alias("n"))
+    """column, distinct (nulls are no value) and n (rows). Whole numbers, other numbers and the rest are unpivoted apart, so numbers need not become text."""
+    kinds = dict(df.dtypes)
+    whole = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    real = [c for c in columns if kinds[c] in ("float", "double")]
+    out = None
+    for group, kind in ((whole, "bigint"), (real, "double"), ([c for c in columns if c not in whole and c not in real], "string")):
+        if group:
+            part = df.select(*[F.col(c).cast(kind).alias(c) for c in group]).unpivot([], group, "column", "value").groupBy("column", "value").agg(F.count("*").alias("n")).groupBy("column").agg(F.count("value").alias("distinct"), F.sum("n").alias("n"))
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.select(F.lit("").alias("column"), F.lit(0).cast("bigint").alias("distinct"), F.lit(0).cast("bigint").alias("n")).where("false")
 
 
 def order_key(df_columns: Sequence[str], seed: int) -> Column:
