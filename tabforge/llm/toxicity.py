@@ -9,7 +9,8 @@ The network is trained in numpy on a bounded sample of labelled texts (`rows_per
 that scores highest standing for its text after the first pass. Scoring covers every window of every text.
 
 Defined cases: a null or empty text has no window and gets the score of a window without words; a text shorter than a
-window makes one masked window; repeated rows get equal scores; an empty table gives an empty result; without labels of
+window makes one masked window; repeated rows get equal scores up to the rounding of
+32-bit floats; an empty table gives an empty result; without labels of
 both classes the share of label 1 (0.5 if none) is every text's score. Only `doc_id` and `text` are read.
 """
 
