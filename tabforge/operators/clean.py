@@ -48,7 +48,8 @@ def high_null_columns(df: DataFrame, keep: Sequence[str] = (), most: float = HIG
 
 
 def constant_columns(df: DataFrame, keep: Sequence[str] = ()) -> list[str]:
-    return [c for c, r in as_dict(distinct_counts(df, df.columns)).items() if r["distinct"] <= 1 and c not in keep]
+    rows = as_dict(distinct_counts(df, df.columns))
+    return [c for c in df.columns if c not in keep and rows.get(c, {"distinct": 0})["distinct"] <= 1]
 
 
 def near_constant_columns(df: DataFrame, keep: Sequence[str] = (), most: float = NEAR_CONSTANT) -> list[str]:

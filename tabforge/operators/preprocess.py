@@ -30,7 +30,7 @@ def impute_values(df: DataFrame, columns: Sequence[str], method: str) -> dict[st
         how = (lambda c: F.avg(c)) if method == "mean" else (lambda c: F.percentile(c, 0.5))
         out |= {c: r["v"] for c, r in as_dict(per_column(df, plain, {"v": how})).items()}
     for c in (c for c in columns if c not in plain):
-        r = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).limit(1).collect()
+        r = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), c).limit(1).collect()
         out[c] = r[0][0] if r else None
     return out
 

@@ -167,8 +167,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def profile_columns(df: DataFrame) -> DataFrame:
     """The profile table: one row a column with type, nulls, distinct values and, for numbers, moments and quartiles."""
     numbers = numeric_columns(df)
-    base = schema_table(df).join(distinct_counts(df, df.columns), "column")
-    return base.join(F.broadcast(describe(df, numbers).drop("n")), "column", "left").select("column", "position", "kind", "n", "nulls", "distinct", "mean", "std", "min", "q25", "q50", "q75", "max")
+    base = schema_table(df).join(distinct_counts(df, df.columns), "column", "left")  # an empty table has no values
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return base.join(F.broadcast(describe(df, numbers).drop("n")), "column", "left").select("column", "position", "kind", zero("n"), "nulls", zero("distinct"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def feature_lists(df: DataFrame, target: str) -> dict:
