@@ -92,6 +92,8 @@ class Lexicon:
         hashes = _hashes([w for w, _ in common])
         order = np.argsort(hashes)
         self.hash, self.count = hashes[order], np.array([c for _, c in common], np.int64)[order]
+        self.bucket = np.searchsorted(self.hash >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+        self.depth = int(np.diff(self.bucket).max())  # words of one bucket, compared one after another
         inside = common[: VOCABULARY - 1]
         number = np.zeros(len(common), np.int32)
         number[: len(inside)] = np.arange(1, len(inside) + 1)
@@ -108,9 +110,15 @@ class Lexicon:
         """Place of each word among the common ones, -1 for others."""
         if not len(self.hash):
             return np.full(len(hashes), -1)
-        at = np.searchsorted(self.hash, hashes)
-        at[at == len(self.hash)] = 0
-        return np.where(self.hash[at] == hashes, at, -1)
+        at = self.bucket[hashes >> np.uint64(44)]
+        last = len(self.hash) - 1
+        out = np.full(len(hashes), -1)
+        for _ in range(self.depth):
+            np.minimum(at, last, out=at)
+            hit = self.hash[at] == hashes
+            out[hit] = at[hit]
+            at = at + 1
+        return out
 
 
 def first_parameters(lexicon: Lexicon, seed: int = 5) -> dict[str, np.ndarray]:
@@ -197,11 +205,15 @@ def _steps(lanes: Lanes, window: list[np.ndarray], state: np.ndarray, p: dict, k
 
 
 def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probability of the targets, the exponentials (in x's memory) and their sums."""
-    x -= x.max(1, keepdims=True)
+    """Log-probability of the targets, the exponentials (in x's memory) and their sums.
+
+    The largest bias is zero and states lie in [-1, 1], so logits need no shift by their maximum; the bound keeps 32-bit
+    exponentials finite whatever the weights.
+    """
+    np.minimum(x, np.float32(80), out=x)
     out = x[np.arange(len(x)), target]
     np.exp(x, out=x)
-    total = x.sum(1)
+    total = x @ np.ones(x.shape[1], np.float32)
     return out - np.log(total), x, total
 
 
@@ -214,7 +226,7 @@ def _output(states: np.ndarray, target: np.ndarray, p: dict, grad: dict | None =
     if grad is not None:
         e /= total[:, None]
         e[np.arange(n), group] -= 1
-        grad["Wc"], grad["bc"] = states.T @ e, e.sum(0)
+        grad["Wc"], grad["bc"] = states.T @ e, np.ones(n, np.float32) @ e
         back = e @ p["Wc"].T
         grad["Ww"], grad["bw"] = np.zeros_like(p["Ww"]), np.zeros_like(p["bw"])
     order = np.argsort(group.astype(np.int16), kind="stable")
@@ -227,7 +239,7 @@ def _output(states: np.ndarray, target: np.ndarray, p: dict, grad: dict | None =
         if grad is not None:
             e /= total[:, None]
             e[np.arange(len(rows)), own] -= 1
-            grad["Ww"][k], grad["bw"][k] = s.T @ e, e.sum(0)
+            grad["Ww"][k], grad["bw"][k] = s.T @ e, np.ones(len(rows), np.float32) @ e
             back[rows] += e @ p["Ww"][k].T
     return out, back
 
