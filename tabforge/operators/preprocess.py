@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions import power
-from tabforge.operators.stats import as_dict, categorical_columns, numeric_columns, per_column
+from tabforge.operators.stats import as_dict, categorical_columns, numeric_columns, per_column, quantiles
 
 
 def impute_values(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, object]:
@@ -27,8 +27,7 @@ def impute_values(df: DataFrame, columns: Sequence[str], method: str) -> dict[st
     out: dict[str, object] = {}
     plain = [c for c in columns if c in numbers and method != "mode"]
     if plain:
-        how = (lambda c: F.avg(c)) if method == "mean" else (lambda c: F.percentile(c, 0.5))
-        out |= {c: r["v"] for c, r in as_dict(per_column(df, plain, {"v": how})).items()}
+        out |= {c: r["v"] for c, r in as_dict(per_column(df, plain, {"v": lambda c: F.avg(c)})).items()} if method == "mean" else {c: q[0] if q else None for c, q in quantiles(df, plain, [0.5]).items()}
     for c in (c for c in columns if c not in plain):
         r = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), c).limit(1).collect()
         out[c] = r[0][0] if r else None
@@ -46,8 +45,7 @@ def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def caps(df: DataFrame, columns: Sequence[str], method: str = "IQR") -> dict[str, tuple[float, float]]:
     """Limits: quartiles and 1.5 interquartile ranges, or three sample deviations around the mean."""
     if method == "IQR":
-        rows = as_dict(per_column(df, columns, {"q": lambda c: F.percentile(c, [0.25, 0.75])}))
-        return {c: (r["q"][0] - 1.5 * (r["q"][1] - r["q"][0]), r["q"][1] + 1.5 * (r["q"][1] - r["q"][0])) for c, r in rows.items() if r["q"]}
+        return {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c, q in quantiles(df, columns, [0.25, 0.75]).items() if q}
     if method == "Z-Score":
         rows = as_dict(per_column(df, columns, {"m": lambda c: F.avg(c), "s": lambda c: F.stddev_samp(c)}))
         return {c: (r["m"] - 3 * (r["s"] or 0.0), r["m"] + 3 * (r["s"] or 0.0)) for c, r in rows.items() if r["m"] is not None}
@@ -64,8 +62,7 @@ def scale_values(df: DataFrame, columns: Sequence[str], method: str) -> dict[str
         rows = as_dict(per_column(df, columns, {"a": lambda c: F.avg(c), "b": lambda c: F.stddev_pop(c)}))
         pairs = {c: (r["a"], r["b"]) for c, r in rows.items()}
     elif method == "robust":
-        rows = as_dict(per_column(df, columns, {"q": lambda c: F.percentile(c, [0.25, 0.5, 0.75])}))
-        pairs = {c: (r["q"][1], r["q"][2] - r["q"][0]) if r["q"] else (None, None) for c, r in rows.items()}
+        pairs = {c: (q[1], q[2] - q[0]) if q else (None, None) for c, q in quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
     elif method == "minmax":
         rows = as_dict(per_column(df, columns, {"a": lambda c: F.min(c).cast("double"), "b": lambda c: F.max(c).cast("double")}))
         pairs = {c: (r["a"], None if r["a"] is None else r["b"] - r["a"]) for c, r in rows.items()}

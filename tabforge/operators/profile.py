@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators.stats import as_dict, categorical_columns, distinct_counts, numeric_columns, per_column
+from tabforge.operators.stats import as_dict, categorical_columns, distinct_counts, numeric_columns, per_column, quantiles
 
 # Thresholds of the profile.
 SKEW, CORRELATED, ID_RATIO, ID_HINT_RATIO, ID_NULLS, FENCE = 0.5, 0.65, 0.9, 0.5, 5.0, 1.5
@@ -40,10 +40,14 @@ def nulls(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """count, mean, sample deviation, extremes and quartiles of numeric columns; exact=False takes approximate quartiles."""
+    """count, mean, sample deviation, extremes and quartiles of numeric columns; exact=False takes approximate quartiles in the same pass."""
     columns = numeric_columns(df) if columns is None else columns
-    quartiles = (lambda c: F.percentile(c, [0.25, 0.5, 0.75])) if exact else (lambda c: F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10_000))
-    rows = per_column(df, columns, {"n": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c), "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"), "q": quartiles})
+    fields = {"n": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c), "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")}
+    if not exact:
+        rows = per_column(df, columns, fields | {"q": lambda c: F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10_000)})
+    else:
+        found = [(c, [float(x) for x in q] if q else None) for c, q in quantiles(df, columns, [0.25, 0.5, 0.75]).items()]
+        rows = per_column(df, columns, fields).join(F.broadcast(df.sparkSession.createDataFrame(found, "column string, q array<double>")), "column")
     return rows.select("column", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
@@ -99,8 +103,8 @@ def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def fences(df: DataFrame, columns: Sequence[str], multiplier: float = FENCE) -> dict[str, tuple[float, float]]:
     """Lower and upper fence by column (None for a column without values)."""
-    rows = as_dict(per_column(df, columns, {"q": lambda c: F.percentile(c, [0.25, 0.75])}))
-    return {c: (r["q"][0] - multiplier * (r["q"][1] - r["q"][0]), r["q"][1] + multiplier * (r["q"][1] - r["q"][0])) for c, r in rows.items() if r["q"]}
+    found = quantiles(df, columns, [0.25, 0.75])
+    return {c: (q[0] - multiplier * (q[1] - q[0]), q[1] + multiplier * (q[1] - q[0])) for c, q in found.items() if q}
 
 
 def outliers(df: DataFrame, max_ratio: float = ID_RATIO, multiplier: float = FENCE) -> DataFrame:
@@ -150,7 +154,8 @@ def box_plot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers: the outermost values within the fences."""
     limits = fences(df, columns)
     inside = lambda c: F.when((F.col(c) >= limits[c][0]) & (F.col(c) <= limits[c][1]), F.col(c))
-    rows = per_column(df, list(limits), {"q": lambda c: F.percentile(c, [0.25, 0.5, 0.75]), "low": lambda c: F.min(inside(c)).cast("double"), "high": lambda c: F.max(inside(c)).cast("double")})
+    found = df.sparkSession.createDataFrame([(c, [float(x) for x in q]) for c, q in quantiles(df, list(limits), [0.25, 0.5, 0.75]).items()], "column string, q array<double>")
+    rows = per_column(df, list(limits), {"low": lambda c: F.min(inside(c)).cast("double"), "high": lambda c: F.max(inside(c)).cast("double")}).join(F.broadcast(found), "column")
     return rows.select("column", F.col("low").alias("whisker_low"), F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), F.col("high").alias("whisker_high"))
 
 

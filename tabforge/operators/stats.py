@@ -69,3 +69,65 @@ def order_key(df_columns: Sequence[str], seed: int) -> Column:
 def as_dict(rows: DataFrame, key: str = "column") -> dict:
     """A small per-column table on the driver."""
     return {r[key]: r.asDict() for r in rows.collect()}
+
+
+#: Rows up to which one aggregate holds all values of a column.
+PLAIN_ROWS = 1_000_000
+#: Distinct values of a bracket that are brought to the driver.
+BRACKET_VALUES = 50_000
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], plain_rows: int = PLAIN_ROWS) -> dict[str, list[float] | None]:
+    """Exact quantiles (linear interpolation) by column; None for a column without values.
+
+    Up to plain_rows rows `percentile` answers at once. It keeps every distinct value in one task, so beyond that each order
+    statistic is bracketed by approximate quantiles, and only the values inside the bracket are counted; brackets are
+    narrowed until they hold few distinct values. Memory is bounded whatever the table; each round is one pass for all columns.
+    """
+    if not columns:
+        return {}
+    counts = wide_row(df, {c: F.count(c) for c in columns})
+    if max(counts.values()) <= plain_rows:
+        rows = as_dict(per_column(df, columns, {"q": lambda c: F.percentile(c, list(probabilities))}))
+        return {c: rows[c]["q"] for c in columns}
+    out: dict[str, list[float] | None] = {}
+    for c in columns:
+        n = counts[c]
+        if not n:
+            out[c] = None
+            continue
+        x = F.col(c).cast("double")
+        places = sorted({k for p in probabilities for k in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})
+        at = {k: _order_statistic(df.select(x.alias("x")).where("x is not null"), k, n) for k in places}
+        out[c] = []
+        for p in probabilities:
+            k, part = int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))
+            out[c].append(at[k] + part * (at[min(k + 1, n - 1)] - at[k]))
+    return out
+
+
+def _order_statistic(values: DataFrame, k: int, n: int) -> float:
+    """The k-th smallest x (from 0)."""
+    low, high, below = None, None, 0
+    while True:
+        inside = values
+        if low is not None:
+            inside = inside.where((F.col("x") >= low) & (F.col("x") <= high))
+        m, few = inside.agg(F.count("*"), F.approx_count_distinct("x")).first()
+        if few <= BRACKET_VALUES:
+            for r in inside.groupBy("x").count().orderBy("x").collect():
+                below += r["count"]
+                if below > k:
+                    return r["x"]
+            raise ValueError("the values changed between passes")
+        share = (k - below) / max(1, m - 1)
+        a, b = inside.agg(F.percentile_approx("x", [max(0.0, share - 5e-4), min(1.0, share + 5e-4)], 10_000)).first()[0]
+        under, over = values.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
+        if under <= k < over:
+            if a == b:
+                return a
+            low, high, below = a, b, under
+        else:  # the approximation missed: take the side that holds it
+            low, high, below = (low, a, below) if k < under else (b, high, values.agg(F.count_if(F.col("x") < b)).first()[0])
+            extremes = values.agg(F.min("x"), F.max("x")).first()
+            low, high = extremes[0] if low is None else low, extremes[1] if high is None else high

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabforge.functions import power
+from tabforge.operators import stats
 from tabforge.operators import bayes, clean, evaluate, features, knn, models, preprocess, profile, resample, split, tune
 
 
@@ -165,3 +166,15 @@ def test_frozen_plan_serves_other_tables(spark):
     test = frame(spark, [(99, "A", None, 1)], "id long, t string, x double, y int")
     a, b, plan = clean.run(train, test, ["id"], "y")
     assert a.columns == b.columns and b.first()["t"] == "a" and "y" in a.columns and plan.state()["drop"] == {}
+
+
+def test_quantiles_by_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BRACKET_VALUES", 50)
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 5)), None) for _ in range(3000)] + [(None, 9.0, None)]
+    df = frame(spark, rows, "x double, y double, z double").cache()
+    probabilities = [0.0, 0.25, 0.5, 0.77, 1.0]
+    plain, narrow = stats.quantiles(df, ["x", "y", "z"], probabilities), stats.quantiles(df, ["x", "y", "z"], probabilities, plain_rows=10)
+    assert plain["z"] is None and narrow["z"] is None
+    for c in ("x", "y"):
+        assert narrow[c] == pytest.approx(plain[c], abs=1e-12)
