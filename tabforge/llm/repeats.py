@@ -37,6 +37,7 @@ from tabforge.llm.common import shared_dir, text_slices
 
 LENGTH, GRAM, BLOCK = 400, 25, 47
 INDEX_SYMBOLS, MEMBERS = 1 << 20, 20_000
+FEW_KEYS = 1 << 19
 SPAN = LENGTH - GRAM + 1  # starts of strings that hold an anchor
 _BASE = 0x100000001B3
 
@@ -285,22 +286,37 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.select("key", "marks", "text").mapInArrow(run, "key binary, n_removed long, n_spans long, kept binary")
 
 
+def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that what follows does not compute it anew."""
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, text, copies and the columns of wanted (one row a key) of each distinct text in wanted.
+
+    Up to FEW_KEYS keys (16 bytes each) are broadcast first, so that only wanted texts are shuffled; beyond that the join
+    alone selects them.
+    """
+    if wanted.count() <= FEW_KEYS:
+        docs = docs.join(F.broadcast(wanted.select("key")), "key", "left_semi")
+    return docs.groupBy("key").agg(F.min("text").alias("text"), F.count("*").alias("copies")).join(wanted, "key")
+
+
 def marks(docs: DataFrame) -> DataFrame:
     """key, text and marks (starts and mask) of each distinct text with a string that starts elsewhere, too. docs: key and text."""
     folder = f"{shared_dir(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
-    spots = _spots(docs)
+    spots = _kept(_spots(docs), folder, "spots")
     often = spots.groupBy("h").agg(F.sum("n").alias("t")).where("t > 1").select("h")
-    lists = spots.join(often, "h").groupBy("key").agg(F.collect_set("spots").alias("spots"))
-    texts = docs.groupBy("key").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
-    _members(texts.join(lists, "key")).write.option("compression", "zstd").parquet(folder)
-    found = docs.sparkSession.read.parquet(folder)
+    lists = _kept(spots.join(often, "h").groupBy("key").agg(F.collect_set("spots").alias("spots")), folder, "lists")
+    found = _kept(_members(_texts(docs, lists)), folder, "members")
     distinct = found.groupBy("core", "wing").agg(F.min("wings").alias("wings"), F.sum("n").alias("n"))
     groups = found.groupBy("core").agg(F.sum("n").alias("t"), F.approx_count_distinct("wing").alias("members")).where("t > 1")
     rows = distinct.join(groups, "core").select("core", "wing", "wings", "n", (F.col("members") > MEMBERS).alias("hot"))
     small = rows.where("not hot").drop("hot").repartition("core").sortWithinPartitions("core", "wing").mapInArrow(_indexed, "core binary, wing binary, mask long")
     masks = small.unionByName(_counted(rows.where("hot").drop("hot")))
-    by_text = found.select("key", "core", "wing", "starts").join(masks, ["core", "wing"]).groupBy("key").agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
-    return texts.select("key", "text").join(by_text, "key")
+    by_text = _kept(found.select("key", "core", "wing", "starts").join(masks, ["core", "wing"]).groupBy("key").agg(F.collect_list(F.struct("starts", "mask")).alias("marks")), folder, "marks")
+    return _texts(docs, by_text)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
