@@ -26,9 +26,28 @@ def box_cox(x: Column, lam: float) -> Column:
     return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
 
 
-def _likelihood(x: Column, lam: float, method: str) -> Column:
-    psi, jacobian = (yeo_johnson(x, lam), F.signum(x) * F.log1p(F.abs(x))) if method == YEO else (box_cox(x, lam), F.log(x))
-    return -F.count(x) / 2 * F.log(F.var_pop(psi)) + (lam - 1) * F.sum(jacobian)
+def _varied(x: Column, lam: Column, method: str) -> Column:
+    """The transform with an exponent that is a column."""
+    close = lambda v: F.abs(lam - v) < 1e-12
+    if method == BOX:
+        return F.when(close(0), F.log(x)).otherwise(F.try_divide(F.pow(x, lam) - 1, lam))
+    up = F.when(close(0), F.log1p(x)).otherwise(F.try_divide(F.pow(x + 1, lam) - 1, lam))
+    down = F.when(close(2), -F.log1p(-x)).otherwise(-F.try_divide(F.pow(1 - x, 2 - lam) - 1, 2 - lam))
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def _likelihoods(df: DataFrame, columns: dict[str, Column], lams: dict[str, list[float]], method: str) -> dict[str, list[tuple[float, float]]]:
+    """(likelihood, exponent) of every exponent by column: one pass, in which each value meets each of its column's exponents
+    and is summed up at once, so that the code stays short however long the grid is."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), e.alias("x"), F.array(*[F.lit(float(v)) for v in lams[c]]).alias("lams")) for c, e in columns.items()])).alias("r")
+    rows = df.select(each).select("r.c", "r.x", F.explode("r.lams").alias("lam")).where("x is not null")
+    x, lam = F.col("x"), F.col("lam")
+    jacobian = F.signum(x) * F.log1p(F.abs(x)) if method == YEO else F.log(x)
+    sums = rows.groupBy("c", "lam").agg(F.count("x").alias("n"), F.var_pop(_varied(x, lam, method)).alias("v"), F.sum(jacobian).alias("j"))
+    out: dict[str, list[tuple[float, float]]] = {c: [] for c in columns}
+    for r in sums.where("v > 0").select("c", "lam", (-F.col("n") / 2 * F.log("v") + (F.col("lam") - 1) * F.col("j")).alias("l")).collect():
+        out[r["c"]].append((r["l"], r["lam"]))
+    return out
 
 
 def grid(low: float = -2.0, high: float = 2.0, n: int = 41) -> list[float]:
@@ -41,14 +60,14 @@ def best_exponents(df: DataFrame, columns: dict[str, Column], method: str, refin
     best: dict[str, float] = {}
     step = 0.1
     for turn in range(refine + 1):
-        values = wide_row(df, {f"{c}|{i}": _likelihood(columns[c], lam, method) for c in columns for i, lam in enumerate(lams[c])})
-        for c in columns:
-            scored = [(values[f"{c}|{i}"], lam) for i, lam in enumerate(lams[c]) if values[f"{c}|{i}"] is not None]
+        for c, scored in _likelihoods(df, columns, lams, method).items():
             if scored:
                 top = max(v for v, _ in scored)
                 best[c] = min(lam for v, lam in scored if v == top)
         lams = {c: grid(best[c] - step, best[c] + step, 21) for c in columns if c in best}
         columns = {c: e for c, e in columns.items() if c in best}
+        if not columns:
+            break
         step /= 10
     return best
 

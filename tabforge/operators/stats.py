@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-#: Beyond this many expressions generated code is switched off, so wide aggregates are cut.
-WIDE = 96
+#: Beyond about this many expressions generated code gets too long to be compiled, so wide aggregates are cut.
+WIDE = 42
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
