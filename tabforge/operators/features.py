@@ -23,13 +23,13 @@ def pairwise(columns: Sequence[str], target: str | None = None, strict_names: bo
     strict_names drops every feature whose name contains the target's; otherwise only an exact match is dropped. The number
     grows with the square of the columns and is refused beyond `most`.
     """
+    if len(columns) + 5 * len(columns) * (len(columns) - 1) // 2 > most:
+        raise ValueError(f"more than {most} features; choose columns first")
     out: dict[str, Column] = {c: F.col(c).cast("double") for c in columns}
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
             out |= {f"{a} + {b}": x + y, f"{a} * {b}": x * y, f"{a} - {b}": x - y, f"{a} / {b}": F.try_divide(x, y), f"{b} / {a}": F.try_divide(y, x)}
-            if len(out) > most:
-                raise ValueError(f"more than {most} features; choose columns first")
     return {n: e for n, e in out.items() if not target or (target not in n if strict_names else n != target)}
 
 

@@ -147,7 +147,7 @@ def test_generative(spark, kind):
 @pytest.mark.parametrize("name", ["logistic_regression", "ridge", "decision_tree", "random_forest", "extra_trees", "adaboost", "mlp", "sgd"])
 def test_learners_separate_blobs(spark, name):
     df = models.assembled(blobs(spark).select("id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y"), ["a", "b"], "y", ["id"]).cache()
-    small = {"n_estimators": 10} if name in ("random_forest", "extra_trees", "adaboost") else {"max_iter": 60, "hidden": 8} if name == "mlp" else {}
+    small = {"n_estimators": 10} if name in ("random_forest", "extra_trees", "adaboost") else {"max_iter": 60, "hidden": 8} if name == "mlp" else {"max_iter": 8} if name == "sgd" else {}
     out = models.score(models.fit(df, name, small), df, ["id"])
     assert out.count() == 40 and out.where("prediction = label").count() >= (28 if name == "ridge" else 38)  # least squares hides the class between two others
     with pytest.raises(ValueError):
