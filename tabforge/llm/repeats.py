@@ -137,21 +137,27 @@ class RunIndex:
         n = self.n = len(text)
         padded = np.concatenate([text, np.zeros(256, text.dtype)]).astype(np.uint64)
         key = padded[:n] << np.uint64(48) | padded[1 : n + 1] << np.uint64(32) | padded[2 : n + 2] << np.uint64(16) | padded[3 : n + 3]
+        # equal prefixes may stand in any order: their match is as long as any that counts
+        order = np.argsort(key)
+        head = np.empty(n, bool)
+        head[:1] = True
+        head[1:] = key[order[1:]] != key[order[:-1]]
         self.levels: list[tuple[int, np.ndarray]] = []
         width = 4
         while True:
-            order = np.argsort(key, kind="stable")
-            head = np.empty(n, bool)
-            head[:1] = True
-            sorted_ = key[order]
-            head[1:] = sorted_[1:] != sorted_[:-1]
             rank = np.empty(n + 256, np.int32)
             rank[n:] = -1
             rank[order] = np.cumsum(head)
             self.levels.append((width, rank))
-            if width >= 128 or head.all():
+            open_ = np.flatnonzero(~(head & np.append(head[1:], True)))  # places in order whose prefix is not alone
+            if width >= 128 or not len(open_):
                 break
-            key = rank[:n].astype(np.uint64) << np.uint64(32) | (rank[width : n + width].astype(np.int64) + 1).astype(np.uint64)
+            at = order[open_]
+            key = rank[at].astype(np.uint64) << np.uint64(32) | (rank[at + width].astype(np.int64) + 1).astype(np.uint64)
+            by = np.argsort(key)
+            order[open_] = at[by]
+            key = key[by]
+            head[open_[1:]] |= key[1:] != key[:-1]
             width *= 2
         self.text, self.order = padded, order
         before = np.where(order > 0, text[order - 1], -1)
@@ -216,7 +222,7 @@ def marked(members: list[tuple[bytes, bytes, bytes, int]]) -> list[tuple[bytes,
         span = wings[1] + 1
         hit = longest[a : a + len(wings) - 1 - span + 1] >= span
         if hit.any():
-            out.append((core, wing, sum(1 << int(i) for i in np.flatnonzero(hit))))
+            out.append((core, wing, int.from_bytes(np.packbits(hit, bitorder="little").tobytes(), "little")))
     return out
 
 
