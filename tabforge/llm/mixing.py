@@ -76,39 +76,39 @@ def bisect_exponent(tokens: dict, budget: float, target_entropy: float | None =
 def source_plan(rows: DataFrame, budget: int | None, target_entropy: float | None, most_repeats: float | None, block_documents: int, seed: int) -> DataFrame:
     """One row a source: blocks, whole passes, weight, and where its last pass ends: the block at the edge, its place in the order and the room left in it.
 
-    rows: _source, doc_id and _n (tokens).
+    rows: __mix_source, doc_id and __mix_n (tokens).
     """
     spark = rows.sparkSession
-    counted = rows.groupBy("_source").agg(F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
+    counted = rows.groupBy("__mix_source").agg(F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(counted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = spark.createDataFrame([(r["_source"], -(-r["rows"] // block_documents)) for r in counted], "_name string, _blocks long")
-    blocks = checkpoint(with_block(rows, sizes, seed).groupBy("_source", "_block").agg(F.sum("_n").alias("_tokens")))
-    per = {r["_source"]: int(r["n"]) for r in blocks.groupBy("_source").agg(F.sum("_tokens").alias("n")).collect()}
+    sizes = spark.createDataFrame([(r["__mix_source"], -(-r["rows"] // block_documents)) for r in counted], "__mix_name string, __mix_blocks long")
+    blocks = checkpoint(with_block(rows, sizes, seed).groupBy("__mix_source", "__mix_block").agg(F.sum("__mix_n").alias("__mix_tokens")))
+    per = {r["__mix_source"]: int(r["n"]) for r in blocks.groupBy("__mix_source").agg(F.sum("__mix_tokens").alias("n")).collect()}
     total = sum(per.values())
     budget = total if budget is None else budget
     w = weights({k: v / total for k, v in per.items()}, bisect_exponent(per, budget, target_entropy, most_repeats)) if total else {}
-    named = spark.createDataFrame([(k, *(divmod(int(w[k] * budget), n) if n else (1, 0)), float(w.get(k, 0.0))) for k, n in per.items()], "_name string, _full long, _rest long, _weight double")
-    running = Window.partitionBy("_source").orderBy("_order", "_block")
-    ordered = blocks.join(F.broadcast(named), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_order", block_order(seed)).withColumn("_end", F.sum("_tokens").over(running))
-    edge = ordered.where((F.col("_end") > F.col("_rest")) & (F.col("_end") - F.col("_tokens") <= F.col("_rest"))).select("_name", F.col("_order").alias("_edge_order"), F.col("_block").alias("_edge_block"), (F.col("_rest") - F.col("_end") + F.col("_tokens")).alias("_room"))
-    edges = {r["_name"]: r for r in edge.where("_rest > 0 or _room > 0").collect()} if per else {}
-    full = {r["_name"]: r for r in named.collect()}
+    named = spark.createDataFrame([(k, *(divmod(int(w[k] * budget), n) if n else (1, 0)), float(w.get(k, 0.0))) for k, n in per.items()], "__mix_name string, __mix_full long, __mix_rest long, __mix_weight double")
+    running = Window.partitionBy("__mix_source").orderBy("__mix_order", "__mix_block")
+    ordered = blocks.join(F.broadcast(named), F.col("__mix_source").eqNullSafe(F.col("__mix_name"))).withColumn("__mix_order", block_order(seed)).withColumn("__mix_end", F.sum("__mix_tokens").over(running))
+    edge = ordered.where((F.col("__mix_end") > F.col("__mix_rest")) & (F.col("__mix_end") - F.col("__mix_tokens") <= F.col("__mix_rest"))).select("__mix_name", F.col("__mix_order").alias("__mix_edge_order"), F.col("__mix_block").alias("__mix_edge_block"), (F.col("__mix_rest") - F.col("__mix_end") + F.col("__mix_tokens")).alias("__mix_room"))
+    edges = {r["__mix_name"]: r for r in edge.where("__mix_rest > 0 or __mix_room > 0").collect()} if per else {}
+    full = {r["__mix_name"]: r for r in named.collect()}
     lines = []
     for r in sizes.collect():
-        k, e = r["_name"], edges.get(r["_name"])
-        lines.append((k, r["_blocks"], full[k]["_full"], full[k]["_weight"], *((e["_edge_order"], e["_edge_block"], e["_room"]) if e else (None, None, None))))
-    return spark.createDataFrame(lines, "_name string, _blocks long, _full long, _weight double, _edge_order long, _edge_block long, _room long")
+        k, e = r["__mix_name"], edges.get(r["__mix_name"])
+        lines.append((k, r["__mix_blocks"], full[k]["__mix_full"], full[k]["__mix_weight"], *((e["__mix_edge_order"], e["__mix_edge_block"], e["__mix_room"]) if e else (None, None, None))))
+    return spark.createDataFrame(lines, "__mix_name string, __mix_blocks long, __mix_full long, __mix_weight double, __mix_edge_order long, __mix_edge_block long, __mix_room long")
 
 
 def block_order(seed: int):
     """Place of a block in the last pass of its source."""
-    return F.xxhash64(F.lit(seed), F.col("_full"), F.col("_source"), F.col("_block"))
+    return F.xxhash64(F.lit(seed), F.col("__mix_full"), F.col("__mix_source"), F.col("__mix_block"))
 
 
 def with_block(rows: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
-    """rows with the columns of sizes (at most MAX_SOURCES rows, broadcast) and _block."""
-    return rows.join(F.broadcast(sizes), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("_blocks")))
+    """rows with the columns of sizes (at most MAX_SOURCES rows, broadcast) and __mix_block."""
+    return rows.join(F.broadcast(sizes), F.col("__mix_source").eqNullSafe(F.col("__mix_name"))).withColumn("__mix_block", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("__mix_blocks")))
 
 
 def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None = None, most_repeats: float | None = 4.0, block_documents: int = BLOCK_DOCUMENTS, seed: int = 17, text: str = "text", source: str = "source", keep_place: bool = False) -> DataFrame:
@@ -118,16 +118,16 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     follow. Only documents of the blocks at an edge are shuffled.
     """
     words = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long")
-    own = docs.withColumn("_source", F.col(f"`{source}`").cast("string"))
-    plan = source_plan(own.select("_source", "doc_id", words.alias("_n")), budget, target_entropy, most_repeats, block_documents, seed)
-    placed = with_block(own, plan, seed).withColumn("_order", block_order(seed))
-    at_edge = F.coalesce((F.col("_order") == F.col("_edge_order")) & (F.col("_block") == F.col("_edge_block")), F.lit(False))
-    before = F.coalesce((F.col("_order") < F.col("_edge_order")) | ((F.col("_order") == F.col("_edge_order")) & (F.col("_block") < F.col("_edge_block"))), F.lit(False))
-    whole = placed.where(~at_edge).withColumn("_passes", F.col("_full") + before.cast("long"))
-    keyed = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", F.xxhash64(f"`{text}`")).rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where(at_edge).withColumn("_passes", F.col("_full") + (F.sum(words).over(keyed) <= F.col("_room")).cast("long"))
-    out = whole.unionByName(edge).where("_passes > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_passes").cast("int") - 1)))
-    place = [F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_weight").alias("weight")] if keep_place else []
+    own = docs.withColumn("__mix_source", F.col(f"`{source}`").cast("string"))
+    plan = source_plan(own.select("__mix_source", "doc_id", words.alias("__mix_n")), budget, target_entropy, most_repeats, block_documents, seed)
+    placed = with_block(own, plan, seed).withColumn("__mix_order", block_order(seed))
+    at_edge = F.coalesce((F.col("__mix_order") == F.col("__mix_edge_order")) & (F.col("__mix_block") == F.col("__mix_edge_block")), F.lit(False))
+    before = F.coalesce((F.col("__mix_order") < F.col("__mix_edge_order")) | ((F.col("__mix_order") == F.col("__mix_edge_order")) & (F.col("__mix_block") < F.col("__mix_edge_block"))), F.lit(False))
+    whole = placed.where(~at_edge).withColumn("__mix_passes", F.col("__mix_full") + before.cast("long"))
+    keyed = Window.partitionBy("__mix_source").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", F.xxhash64(f"`{text}`")).rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.where(at_edge).withColumn("__mix_passes", F.col("__mix_full") + (F.sum(words).over(keyed) <= F.col("__mix_room")).cast("long"))
+    out = whole.unionByName(edge).where("__mix_passes > 0").withColumn("__mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__mix_passes").cast("int") - 1)))
+    place = [F.col("__mix_epoch").alias("epoch"), F.col("__mix_block").alias("block"), F.col("__mix_weight").alias("weight")] if keep_place else []
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *place)
 
 

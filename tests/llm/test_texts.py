@@ -55,6 +55,7 @@ def test_mixture_meets_the_weights(spark):
 def test_mixing_edges(edge_docs, no_docs):
     out = mixing.mix(edge_docs)
     assert out.columns == edge_docs.columns and out.count() >= edge_docs.count() - 1
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in edge_docs.collect()}  # no other column changes
     assert mixing.mix(no_docs).count() == 0
     assert mixing.mix(edge_docs.where("coalesce(trim(text), '') = ''")).count() == 2 + 1 * (edge_docs.where("doc_id = 7").count() - 1)
 
@@ -169,3 +170,15 @@ def test_pipeline(spark, tmp_path):
     texts = pieces.decode(spark.createDataFrame(out[:20], "doc_id long, lang string, source string, n_chars long, piece_ids array<int>, exact boolean")).collect()
     assert all(f"user{r['doc_id']}@mail.example.com" not in r["text"] and "@" in r["text"] for r in texts)
     assert [n for n, _ in corpus_pipeline.STAGES] and F is not None
+
+
+@needs_model
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_edges(spark, tmp_path, edge_docs, no_docs, empty):
+    """Null and empty texts, a null id, repeated rows, clashing columns, no labels and an empty table."""
+    (no_docs if empty else edge_docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "piece_ids", "exact", "score", "_source"} <= set(out.columns)
+    rows = out.collect()
+    assert rows == [] if empty else len({r["doc_id"] for r in rows}) >= 4 and all(r["exact"] and r["_source"] == "q" for r in rows)
