@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.operators.preprocess import impute_values
+from tabforge.operators.resample import resampled
 from tabforge.operators.stats import numeric_columns, per_column
 
 MOST_FEATURES = 5000
@@ -68,9 +69,12 @@ def project(df: DataFrame, selected: Sequence[str], n: int = 20, keep: Sequence[
     return df.select(*keep, *[F.col(f"`{c}`") for c in there or [c for c in df.columns if c not in keep][:n]])
 
 
-def run(train: DataFrame, test: DataFrame | None, target: str, n: int = 20, keep: Sequence[str] = (), make: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """The stage: generate (or not), rank on train by variance, project both."""
+def run(train: DataFrame, test: DataFrame | None, target: str, n: int = 20, keep: Sequence[str] = (), make: bool = True, resampling: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The stage: resample train (or not; the first of keep is its key), generate (or not), rank on train by variance, project both."""
     columns = [c for c in numeric_columns(train) if c != target and c not in keep]
+    if resampling:
+        keep = list(keep[:1])
+        train = resampled(train, keep[0], columns, target, resampling)
     shape = lambda df: generate(df, columns, [*keep, target], target) if make else df.select(*keep, target, *columns)
     made = shape(train)
     ranking = variance_ranking(made.drop(*keep, target), n)

@@ -88,3 +88,16 @@ def adasyn(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     total = share.groupBy("label").agg(F.sum("share").alias("total"))
     quota = share.join(F.broadcast(total), "label").select("id", F.coalesce(F.floor(F.try_divide(F.col("share"), F.col("total")) * (F.col("most") - F.col("size")) + 0.5), F.lit(0)).alias("n"))
     return rows.select("id", "x", "label").unionByName(_synthetic(rows, quota, k))
+
+
+METHODS = {"smote": smote, "smote_tomek": smote_tomek, "smote_enn": smote_enn, "adasyn": adasyn, "tomek": remove_tomek, "enn": edited}
+
+
+def resampled(df: DataFrame, key: str, columns: list[str], target: str, method: str) -> DataFrame:
+    """key, columns and target of the resampled table; synthetic rows have negative keys. Null features count as 0."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+    kind = dict(df.dtypes)[target]
+    rows = df.select(F.col(key).cast("long").alias("id"), F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]).alias("x"), F.col(target).cast("string").alias("label"))
+    out = METHODS[method](rows)
+    return out.select(F.col("id").alias(key), *[F.col("x")[i].alias(c) for i, c in enumerate(columns)], F.col("label").cast(kind).alias(target))

@@ -85,3 +85,18 @@ def _finish(df: DataFrame, name: str, values: list, up: bool):
     best = (max if up else min)(range(len(values)), key=lambda i: values[i][1])
     rows = [(str(sorted(p.items())), float(v), i == best) for i, (p, v) in enumerate(values)]
     return df.sparkSession.createDataFrame(rows, "params string, value double, best boolean"), models.fit(df, name, values[best][0])
+
+
+def run(df: DataFrame, name: str, test: DataFrame | None = None, method: str = "grid", metric: str = "accuracy", space: dict | None = None, n_trials: int = 10, optimize: bool = True, key: str = "id"):
+    """The stage: trials, the refitted model and, with a test table, its value there; with optimize off the default model is fitted."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    if not optimize:
+        trials, model = df.sparkSession.createDataFrame([], "params string, value double, best boolean"), models.fit(df, name)
+    elif method == "grid":
+        trials, model = grid_search(df, name, space, metric, key=key)
+    elif method == "random":
+        trials, model = random_search(df, name, space or SPACES[name], n_trials, metric, key=key)
+    else:
+        raise ValueError(f"unknown method {method}")
+    return trials, model, None if test is None else _value(model.transform(test), metric)

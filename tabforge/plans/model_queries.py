@@ -219,3 +219,20 @@ def tune_grid(spark, d):
 @register("tune_random")
 def tune_random(spark, d):
     return rounded(H.random_search(_binary(spark, d), "logistic_regression", {"C": (0.001, 100.0), "max_iter": (10, 50)}, 4, "logLoss")[0])
+
+
+@register("tune_stage")
+def tune_stage(spark, d):
+    """Tuned on four fifths, judged on the rest."""
+    df = _binary(spark, d)
+    trials, _, value = H.run(df.where("id % 5 <> 0"), "decision_tree", df.where("id % 5 = 0"), "random", "f1", {"max_depth": (2, 6)}, 3)
+    return rounded(trials.withColumn("test_value", F.lit(float(value))))
+
+
+@register("features_resampled")
+def features_resampled(spark, d):
+    """The feature stage on a rebalanced training table."""
+    from tabforge.operators import features
+
+    df = table(spark, d, "doc_labels").select("doc_id", "n_chars", "n_spaces", "toxic")
+    return features.run(df, None, "toxic", 5, ["doc_id"], resampling="smote")[0].groupBy("toxic").agg(F.count("*").alias("n"))
