@@ -177,17 +177,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_each: int = 4) -> Da
     joined = roots.join(nodes, "fp")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("least"))
     named = joined.join(least, "root").select("fp", "least")
-    whole = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "doc_id").alias("component_id"))
+    # both sides of the last join stand on their own, so that Spark can split the rows of a fingerprint that many documents share
+    whole = checkpoint(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "doc_id").alias("component_id")))
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, words_each: int = 4) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id. Rows without an id stay, as none can be named for them."""
     found = near_duplicates(docs, radius, words_each)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"]).drop("_kept")
+    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
+    named = docs.join(kept, docs["doc_id"] == kept["__kept"]).drop("__kept")
     first = Window.partitionBy("doc_id").orderBy("text")
-    named = named.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+    named = named.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
