@@ -313,7 +313,8 @@ def marks(docs: DataFrame) -> DataFrame:
     """key, text and marks (starts and mask) of each distinct text with a string that starts elsewhere, too. docs: key and text."""
     folder = f"{shared_dir(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
     spots = _kept(_spots(docs), folder, "spots")
-    often = spots.groupBy("h").agg(F.sum("n").alias("t")).where("t > 1").select("h")
+    # on its own, so that Spark can split the rows of an anchor that many texts share
+    often = _kept(spots.groupBy("h").agg(F.sum("n").alias("t")).where("t > 1").select("h"), folder, "often")
     lists = _kept(spots.join(often, "h").groupBy("key").agg(F.collect_set("spots").alias("spots")), folder, "lists")
     found = _kept(_members(_texts(docs, lists)), folder, "members")
     distinct = found.groupBy("core", "wing").agg(F.min("wings").alias("wings"), F.sum("n").alias("n"))
