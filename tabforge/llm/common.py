@@ -44,9 +44,10 @@ def fold(doc_id: str, n: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows_per_class: int, max_bytes: int) -> list[tuple[bytes, int]]:
     """Whole texts and 0/1 labels of at most rows_per_class documents of each class and max_bytes of text in all.
 
-    Rows are taken in the order of a hash of their id, so the sample does not depend on the partitioning. Null labels
-    and labels other than 0 and 1 are left out; an id that has both labels counts as 1. The ids are chosen from the
-    labels alone; the texts are read once, and only the chosen ones reach the driver.
+    Rows are taken in the order of a hash of their id, so the sample does not depend on the partitioning. Each class has
+    half of max_bytes, and what one leaves is the other's; a text that does not fit is skipped alone. Null labels and
+    labels other than 0 and 1 are left out; an id that has both labels counts as 1; of rows that repeat an id the shortest
+    text stands for it. The ids are chosen from the labels alone, and only the chosen texts reach the driver.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).where(learn)
@@ -54,18 +55,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     if not ids:
         return []
     chosen = F.broadcast(spark.createDataFrame([(int(r["doc_id"]), int(r["label"])) for r in ids], "doc_id long, label int"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
-    total = 0
-    fits = []
-    for r in sorted(sizes.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"], r["n"])):
-        total += r["n"]
-        if total <= max_bytes:
-            fits.append(r["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("t")))
+    sizes = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("size").alias("size"), F.first("label").alias("label"))
+    rows = sorted(sizes.select("doc_id", "size", "label", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"]))
+    fits = _within(rows, max_bytes)
     if not fits:
         return []
-    kept = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(fits))], "doc_id long"))
-    got = sizes.join(kept, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "label").collect()
-    return [(r["text"].encode(), r["label"]) for r in sorted(got, key=lambda r: (r["h"], r["doc_id"], r["text"]))]
+    kept = F.broadcast(spark.createDataFrame([(r["doc_id"], tuple(r["size"]), r["label"]) for r in fits], "doc_id long, size struct<n: int, t: long>, label int"))
+    got = texts.join(kept, ["doc_id", "size"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "label").collect()
+    return [(r["text"].encode(), r["label"]) for r in sorted(got, key=lambda r: (r["h"], r["doc_id"]))]
+
+
+def _within(rows: list, max_bytes: int) -> list:
+    """Rows whose sizes fit: in each class those within half of max_bytes, then others while the sum allows."""
+    taken, used = set(), {0: 0, 1: 0}
+    for limit in (lambda y: max_bytes // 2 - used[y], lambda y: max_bytes - sum(used.values())):
+        for i, r in enumerate(rows):
+            if i not in taken and r["size"]["n"] <= limit(r["label"]):
+                taken.add(i)
+                used[r["label"]] += r["size"]["n"]
+    return [r for i, r in enumerate(rows) if i in taken]
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

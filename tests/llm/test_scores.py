@@ -69,6 +69,17 @@ def test_sample_is_bounded(spark):
     assert sum(len(t) for t, _ in labelled_sample(docs, labels, "toxic", F.lit(True), 100, 2000)) <= 2000
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_sample_skips_only_what_does_not_fit(spark, label):
+    """A text over the budget, repeated rows of an id and a class of long texts leave room for the others."""
+    rows = [(i, f"text {i} " + "w" * 50) for i in range(40)] + [(100 + i, "long " * 1000) for i in range(20)] + [(200, "copy " * 10)] * 300
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(100 + i, label) for i in range(20)] + [(200, 1)], "doc_id long, toxic int")
+    got = labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", F.lit(True), 100, 4500)
+    assert len(got) == 41 and sum(y for _, y in got) == 21
+    got = labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", F.lit(True), 100, 12000)
+    assert len(got) > 41 and sum(len(t) for t, _ in got) <= 12000
+
+
 def test_words_match_split():
     texts = [b"", b" a  B\tc\n", b"x", b"\x0b\x0c", "é ü ñ—x".encode()]
     w = Words(texts)
