@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tabforge.llm import repeats, simhash, topk, winnowing
+from tabforge.llm import repeats, similar, simhash, topk, winnowing
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -105,6 +105,50 @@ def test_simhash_split_shards(spark, monkeypatch):
     assert groups(lambda i: top(prints[i])) == groups(lambda i: roots[i])
 
 
+def similar_texts():
+    """Families of near copies at 0.6 to 0.97, exact copies, chains and texts that stand alone."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    out = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        for edits in (0, 0, 1, rng.randint(1, 4), rng.randint(2, 8)):
+            w = list(base)
+            for _ in range(max(1, edits * len(base) // 200) if edits else 0):
+                w[rng.randrange(len(w))] = word()
+            out.append(" ".join(w))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_stage_finds_similar_texts(spark, edge_docs, no_docs, monkeypatch):
+    """The pipeline's stage equals brute force at a similarity of 0.8 over five-word shingles, also where buckets are cut in parts."""
+    import corpus_pipeline
+
+    rows = similar_texts()
+    sets = {i: shingles(t) for i, t in rows}
+    group = {i: i for i in sets}
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in sets for j in range(i)]
+    assert sum(0.8 <= s < 0.95 for *_, s in pairs) > 20 and sum(0.5 < s < 0.8 for *_, s in pairs) > 20
+    linked = [(i, j) for i, j, s in pairs if s >= 0.8]
+    while any(group[i] != group[j] for i, j in linked):
+        for i, j in linked:
+            group[i] = group[j] = min(group[i], group[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for part in (similar.PART, 2):
+        monkeypatch.setattr(similar, "PART", part)
+        kept = corpus_pipeline.near_duplicate_stage(spark, df, "").collect()
+        assert sorted(r["doc_id"] for r in kept) == sorted(set(group.values()))
+    kept = similar.keep_one(edge_docs).collect()
+    assert similar.keep_one(edge_docs).columns == edge_docs.columns and sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 3, 4, 8, 9]
+    assert similar.keep_one(no_docs).count() == 0
+
+
 def test_bk_tree():
     rng = random.Random(2)
     values = [rng.getrandbits(64) for _ in range(50)]
