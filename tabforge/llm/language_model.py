@@ -33,12 +33,11 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import Words, checkpoint, fold, text_slices
 
-CLASSES = 32
+CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
-HIDDEN, LANES, STEPS = 16, 1024, 16
+HIDDEN, LANES, STEPS = 16, 512, 16
 UPDATE = LANES * STEPS
 CHUNK_TOKENS = 4_000_000  # texts whose tokens are laid in lanes together
-PIECE = 2048  # in training a longer text goes on with a new state
 COMMON = 1 << 18
 END = b"\n"  # no word holds a line feed
 
@@ -347,7 +346,6 @@ def train(docs: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.ndar
         p = {k: v.copy() for k, v in start.items()}
         adam, seen = Adam(p), 0
         for tokens, first in _chunks((_tokens(texts, lex)[2:] for _, texts in text_slices(batches)), CHUNK_TOKENS):
-            first = np.unique(np.concatenate([first, *[np.arange(a, b, PIECE) for a, b in zip(first[:-1], first[1:]) if b - a > PIECE]]))
             lanes = Lanes(tokens, first, lex.end)
             state = np.zeros((len(lanes.load), HIDDEN), np.float32)
             for window in lanes.windows():

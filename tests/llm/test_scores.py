@@ -180,3 +180,40 @@ def test_state_is_carried_over_windows():
     alone = L.text_scores(one, np.array([0, 200]), lex.end, p)[0]
     both = L.text_scores(np.concatenate([more, one]), np.array([0, 20, 90, 290]), lex.end, p)[2]
     assert abs(alone - both) < 1e-2
+
+
+def test_language_model_trains_whole_texts_with_a_large_vocabulary(spark, monkeypatch):
+    """Training lays a long text in one lane, without a restart, and has 4096 entries or more."""
+    assert L.VOCABULARY >= 4096
+    seen = []
+
+    class Lanes(L.Lanes):
+        def __init__(self, tokens, first, *a, **b):
+            super().__init__(tokens, first, *a, **b)
+            seen.append((np.diff(self.first).tolist(), int((self.goes_on == 0).sum())))
+
+    class Rows:
+        """Runs the training task here, so that its lanes can be seen."""
+
+        def __init__(self, texts):
+            self.sparkSession, self.texts, self.rdd = spark, texts, spark.sparkContext.parallelize([0], 1)
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _schema):
+            if self.texts:
+                list(run(iter([L.pa.RecordBatch.from_arrays([L.pa.array(self.texts)], ["text"])])))
+                self.texts = None
+            return self
+
+        def repartition(self, _n):
+            return self
+
+        def collect(self):
+            return []
+
+    monkeypatch.setattr(L, "Lanes", Lanes)
+    monkeypatch.setattr(L, "CHUNK_TOKENS", 1000)
+    L.train(Rows(["on and on " * 2000, "short"]), L.Lexicon([(b"on", 4000), (b"and", 2000), (L.END, 2)], 6002, 3))
+    assert [sorted(n) for n, _ in seen if n] == [[2, 6001]] and sum(r for _, r in seen) == 2
