@@ -5,10 +5,14 @@ others lie in `CLASSES` classes; the output is the softmax over classes times th
 the vocabulary has that entry's probability times its smoothed share of the counts outside, so the model is a probability
 of the text itself. Output biases start at the smoothed counts: untrained, the model is the unigram base.
 
-Counts are exact and cover all training texts. Training reads every training text once: each task runs truncated
-backpropagation in numpy over its texts, laid in lanes with the state carried from window to window and reset where a
-text begins; the tasks' parameters are averaged by tokens in a tree of tasks. Scoring carries the state over the whole
-document, too, whatever its length.
+Counts are exact and cover all training texts. Every text is turned into token numbers once, and those are written to the
+shared folder. Training reads every training text once, in `ROUNDS` rounds. The texts are dealt to shards by a hash of id
+and text, some `SHARD_TOKENS` tokens each, so the number of shards follows from the corpus and not from its partitions. Each
+round takes the next part of the shards: every shard starts from the parameters of the round before and runs truncated
+backpropagation in numpy over its texts, in the order of their hashes, laid in lanes with the state carried from window to
+window and reset where a text begins; then the shards' parameters are averaged, weighted by tokens. The sums are taken in
+whole numbers, so they do not depend on any order. Scoring carries the state over the whole document, too, whatever its
+length. So a score depends on the texts alone, up to the rounding of 32-bit matrix products.
 
 The counts of common words are broadcast as two arrays of at most `COMMON` numbers. All other words of a text go, once a
 text, through a join with the count table; none of these is frequent, so that join has no hot key.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,13 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import Words, checkpoint, fold, text_slices
+from tabforge.llm.common import Words, checkpoint, fold, shared_dir, text_slices
 
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
 HIDDEN, LANES, STEPS = 16, 512, 16
 UPDATE = LANES * STEPS
-CHUNK_TOKENS = 4_000_000  # texts whose tokens are laid in lanes together
+SHARD_TOKENS, ROUNDS = 2_000_000, 8
+CHUNK_TOKENS = 4_000_000  # texts whose tokens are laid in lanes together when they are scored
 COMMON = 1 << 18
 END = b"\n"  # no word holds a line feed
 
@@ -134,6 +140,12 @@ def _packed(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
+def _shares(p: dict, n: int) -> tuple[int, np.ndarray]:
+    """Weight of n tokens and parameters times it, as whole numbers, whose sums are exact over 2**20 shards and more."""
+    weight = max(1, round(n / SHARD_TOKENS * 256))
+    return weight, np.rint(np.clip(_packed(p).astype(np.float64), -64, 64) * 2**24).astype(np.int64) * weight
+
+
 def _unpacked(flat: np.ndarray, like: dict) -> dict:
     out, a = {}, 0
     for k in sorted(like):
@@ -277,8 +289,9 @@ def _window_gradient(lanes: Lanes, window: list[np.ndarray], state: np.ndarray,
 class Adam:
     """Takes gradient sums of windows and moves the parameters once they cover `UPDATE` tokens."""
 
-    def __init__(self, p: dict, rate: float = 0.02):
-        self.rate, self.step = rate, 0
+    def __init__(self, p: dict, rate: float = 0.02, done: int = 0):
+        """done: updates of earlier rounds, which the rate takes into account."""
+        self.rate, self.step, self.done = rate, 0, done
         self.m, self.v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
         self.sums: dict = {}
         self.rows: list = []
@@ -295,7 +308,7 @@ class Adam:
         if not self.n:
             return
         self.step += 1
-        lr = self.rate / math.sqrt(1 + self.step / 60)
+        lr = self.rate / math.sqrt(1 + (self.done + self.step) / 60)
         words = np.concatenate([w for w, _ in self.rows])
         order = np.argsort(words, kind="stable")
         met, head = np.unique(words[order], return_index=True)
@@ -321,54 +334,68 @@ def _tokens(texts: list[bytes], lexicon: Lexicon) -> tuple[Words, np.ndarray, np
     return w, place, tokens, first
 
 
-def _chunks(slices: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Joins (tokens, first) of neighbouring slices until they have `most` tokens."""
-    tokens, firsts, n = [], [np.zeros(1, np.int64)], 0
-    for t, first in slices:
-        tokens.append(t)
-        firsts.append(first[1:] + n)
-        n += len(t)
-        if n >= most:
-            yield np.concatenate(tokens), np.concatenate(firsts)
-            tokens, firsts, n = [], [np.zeros(1, np.int64)], 0
-    if tokens:
-        yield np.concatenate(tokens), np.concatenate(firsts)
-
-
-def train(docs: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.ndarray]:
-    """One pass over all texts, a model a task, then the average weighted by tokens; a tree of tasks adds them up."""
-    first = first_parameters(lexicon, seed)
-    rows = docs.select("text")
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, first))
-
-    def run(batches):
-        lex, start = shared.value
-        p = {k: v.copy() for k, v in start.items()}
-        adam, seen = Adam(p), 0
-        for tokens, first in _chunks((_tokens(texts, lex)[2:] for _, texts in text_slices(batches)), CHUNK_TOKENS):
-            lanes = Lanes(tokens, first, lex.end)
-            state = np.zeros((len(lanes.load), HIDDEN), np.float32)
-            for window in lanes.windows():
-                adam.add(p, _window_gradient(lanes, window, state, p), sum(map(len, window)))
-            seen += len(tokens)
-        adam.update(p)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(_packed(p).astype(np.float64) * seen).tobytes()], pa.binary())], ["n", "p"])
-
-    def add(batches):
-        total, n = None, 0
-        for batch in batches:
-            for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(x)
-                total, n = x.copy() if total is None else total + x, n + c
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "p"])
-
-    schema = "n long, p binary"
-    parts = rows.mapInArrow(run, schema)
-    width = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-    got = parts.repartition(width).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).collect()
-    return _unpacked(np.frombuffer(got[0]["p"]) / got[0]["n"], first) if got else first
+def fitted(texts: list[np.ndarray], start: dict, end: int, done: int = 0) -> tuple[dict, int]:
+    """Parameters after one pass over a shard's texts (token numbers) from start on, and the tokens read."""
+    p = {k: v.copy() for k, v in start.items()}
+    adam = Adam(p, done=done)
+    lanes = Lanes(np.concatenate(texts).astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in texts])]), end)
+    state = np.zeros((len(lanes.load), HIDDEN), np.float32)
+    for window in lanes.windows():
+        adam.add(p, _window_gradient(lanes, window, state, p), sum(map(len, window)))
+    adam.update(p)
+    return p, len(lanes.tokens)
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Token numbers of the texts of each shard in rows sorted by shard (shard, tokens)."""
+    shard, held = None, []
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if k != shard and held:
+                yield held
+                held = []
+            shard = k
+            held.append(np.frombuffer(x.as_buffer(), np.uint16))
+    if held:
+        yield held
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, weight = None, 0
+    for batch in batches:
+        for w, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = np.frombuffer(x.as_buffer(), np.int64)
+            total, weight = x.copy() if total is None else total + x, weight + w
+    if weight:
+        yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["w", "p"])
+
+
+def train(texts: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.ndarray]:
+    """Parameters learnt from texts: round, h (hash of the text) and tokens. A tree of tasks adds up the shards of a round."""
+    p = first_parameters(lexicon, seed)
+    context, schema, done = texts.sparkSession.sparkContext, "w long, p binary", 0
+    rounds = texts.groupBy("round").agg(F.sum(F.octet_length("tokens") / 2).alias("n"), F.max("shards").alias("shards")).orderBy("round").collect()
+    for r in rounds:
+        shared = context.broadcast((p, lexicon.end, done))
+
+        def run(batches, shared=shared):
+            start, end, done = shared.value
+            for own in _by_shard(batches):
+                weight, share = _shares(*fitted(own, start, end, done))
+                yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([share.tobytes()], pa.binary())], ["w", "p"])
+
+        width = int(r["shards"])
+        own = texts.where(F.col("round") == r["round"]).select("shard", "tokens", "h")
+        parts = own.repartitionById(width, (F.floor(F.col("shard") / len(rounds)) % width).cast("int")).sortWithinPartitions("shard", "h", "tokens").select("shard", "tokens").mapInArrow(run, schema)
+        while width > 16:
+            width = -(-width // 16)
+            parts = parts.repartition(width).mapInArrow(_summed, schema)
+        got = list(_summed(iter([pa.RecordBatch.from_arrays([pa.array([x["w"]], pa.int64()), pa.array([bytes(x["p"])], pa.binary())], ["w", "p"]) for x in parts.collect()])))
+        shared.destroy()
+        if got:
+            p = _unpacked(np.frombuffer(got[0].column(1)[0].as_buffer(), np.int64) / (got[0].column(0)[0].as_py() * 2.0**24), p)
+            done += int(r["n"] / r["shards"] / UPDATE)
+    return p
 
 
 def text_scores(tokens: np.ndarray, first: np.ndarray, end: int, p: dict) -> np.ndarray:
@@ -384,25 +411,15 @@ def text_scores(tokens: np.ndarray, first: np.ndarray, end: int, p: dict) -> np.
     return out
 
 
-_PARTS = "uid long, doc_id long, word binary, n long, n_tokens long, known long, base double, outside long, outside_base double, model double"
+_TEXT = "uid long, doc_id long, h long, learn boolean, tokens binary, word binary, n long, known long, base double, outside long, outside_base double"
+_NAMES = [x.split()[0] for x in _TEXT.split(", ")]
 
 
-def _parts(batches, lexicon: Lexicon, p: dict):
-    """A row for each text with what common words give, and one for each other word in it."""
+def _encoded(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    """A row for each text with its token numbers and what common words give, and one for each other word in it."""
     uid = TaskContext.get().partitionId() << 40
     logs = np.log10(lexicon.count + 0.5) if len(lexicon.count) else np.zeros(1)
     end = math.log10(lexicon.end_count + 0.5)
-    kept: list[tuple] = []  # slices whose texts wait for the model
-    waiting = 0
-
-    def modelled():
-        tokens, first = next(_chunks(((t, f) for _, t, f in kept), 1 << 62))
-        model = pa.array(text_scores(tokens, first, lexicon.end, p) / math.log(10))
-        at = 0
-        for columns, _, f in kept:
-            yield pa.RecordBatch.from_arrays([*columns, model.slice(at, len(f) - 1)], _NAMES)
-            at += len(f) - 1
-
     for part, texts in text_slices(batches):
         w, place, tokens, first = _tokens(texts, lexicon)
         m, text = len(texts), np.repeat(np.arange(len(texts)), np.diff(w.first))
@@ -411,13 +428,10 @@ def _parts(batches, lexicon: Lexicon, p: dict):
         out = common & (lexicon.number[place] == 0) if len(lexicon.number) else np.zeros(len(w), bool)
         total = lambda x, m=m, text=text: np.bincount(text, x, m)
         known = total(common).astype(np.int64) + (lexicon.end_count > 0)
-        sums = [np.diff(first), known, total(base) + end, total(out | ~common).astype(np.int64) + (lexicon.end == 0), total(base * out) + end * (lexicon.end == 0)]
+        sums = [known, total(base) + end, total(out | ~common).astype(np.int64) + (lexicon.end == 0), total(base * out) + end * (lexicon.end == 0)]
         ids = np.arange(uid, uid + m)
-        kept.append(([pa.array(ids), part.column(0), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), *map(pa.array, sums)], tokens, first))
-        waiting += len(tokens)
-        if waiting >= CHUNK_TOKENS:
-            yield from modelled()
-            kept, waiting = [], 0
+        numbers = pa.BinaryArray.from_buffers(pa.binary(), m, [None, pa.py_buffer((first * 2).astype(np.int32)), pa.py_buffer(tokens.astype(np.uint16).tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), part.column(0), part.column(1), part.column(2), numbers, pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), *map(pa.array, sums)], _NAMES)
         rare = np.flatnonzero(~common)
         if len(rare):
             mixed = w.hash[rare] ^ (text[rare].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -428,36 +442,61 @@ def _parts(batches, lexicon: Lexicon, p: dict):
             data = w.buf[np.arange(edge[-1]) - np.repeat(edge[:-1], size) + np.repeat(w.start[at], size)]
             words = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edge), pa.py_buffer(data.tobytes())])
             k = len(at)
-            none = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text[at]]), pa.nulls(k, pa.int64()), words, pa.array(count.astype(np.int64)), *none], _NAMES)
+            none = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.binary())]
+            more = [pa.nulls(k, t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text[at]]), *none, words, pa.array(count.astype(np.int64)), *more], _NAMES)
         uid += m
-    if kept:
-        yield from modelled()
 
 
-_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
+def _modelled(batches: Iterator[pa.RecordBatch], end: int, p: dict) -> Iterator[pa.RecordBatch]:
+    """uid and model (logarithm to base 10) of rows of uid and tokens."""
+    ids, held, waiting = [], [], 0
+
+    def scored():
+        flat, first = np.concatenate(held).astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(text_scores(flat, first, end, p) / math.log(10))], ["uid", "model"])
+
+    for batch in batches:
+        for uid, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(uid)
+            held.append(np.frombuffer(x.as_buffer(), np.uint16))
+            waiting += len(held[-1])
+            if waiting >= CHUNK_TOKENS:
+                yield scored()
+                ids, held, waiting = [], [], 0
+    if held:
+        yield scored()
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (logarithms to base 10) of every row, learnt from the rows where learn holds."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = rows.where(learn)
-    counts = checkpoint(token_counts(known))
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), learn.alias("learn"), "text")
+    counts = checkpoint(token_counts(rows.where("learn")))
     total, distinct = counts.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     lexicon = Lexicon(common_words(counts), total, distinct)
-    p = train(known, lexicon)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, p))
-    parts = rows.mapInArrow(lambda b: _parts(b, *shared.value), _PARTS).withColumn("key", F.when(F.col("word").isNull(), F.xxhash64("uid")).otherwise(F.xxhash64("word")))
-    named = counts.select(F.xxhash64("word").alias("_key"), F.col("word").alias("_word"), "c")
-    met = parts.join(named, (F.col("key") == F.col("_key")) & (F.col("word") == F.col("_word")), "left")
-    rare = F.coalesce(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5), F.lit(0.0))
-    sums = met.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.sum(rare)).alias("base"),
-        F.max("outside").alias("outside"),
-        (F.max("outside_base") + F.sum(rare) + F.max("model")).alias("score"),
+    shared = spark.sparkContext.broadcast(lexicon)
+    # written once: the uid of a text, made in its task, is what was written, whatever is lost and run again later
+    shards = max(1, -(-total // SHARD_TOKENS))
+    rounds = min(ROUNDS, shards)
+    hashed = F.xxhash64("h", F.lit(1))
+    shard = F.when(F.col("learn"), F.pmod(hashed, F.lit(shards)))
+    kind = F.when(F.col("word").isNotNull(), F.lit("word")).otherwise(F.lit("text"))
+    folder = f"{shared_dir(spark)}/language-{uuid.uuid4().hex}"
+    encoded = rows.mapInArrow(lambda b: _encoded(b, shared.value), _TEXT).withColumns({"shard": shard, "round": F.pmod(shard, F.lit(rounds)).cast("int"), "kind": kind})
+    encoded.write.option("compression", "zstd").partitionBy("kind", "round").parquet(folder)
+    schema = f"{_TEXT}, shard long, kind string, round int"
+    encoded = spark.read.schema(schema).parquet(folder)
+    texts = encoded.where("kind = 'text'")
+    p = train(texts.where("round is not null").withColumn("shards", F.ceil((F.lit(shards) - F.col("round")) / rounds)), lexicon)
+    fit = spark.sparkContext.broadcast((lexicon.end, p))
+    model = texts.select("uid", "tokens").mapInArrow(lambda b: _modelled(b, *fit.value), "uid long, model double")
+    named = counts.select("word", "c")
+    met = encoded.where("kind = 'word'").select("uid", "word", "n").join(named, "word", "left").select("uid", F.when(F.col("c") > 0, F.col("n")).alias("known"), (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare"))
+    one = texts.select("uid", "doc_id", (F.octet_length("tokens") / 2).cast("long").alias("n_tokens"), "known", "base", "outside", "outside_base", F.lit(None).cast("double").alias("rare"), F.lit(None).cast("double").alias("model"))
+    sums = one.unionByName(met, allowMissingColumns=True).unionByName(model, allowMissingColumns=True).groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.max("outside").alias("outside"),
+        (F.max("base") + F.coalesce(F.sum("rare"), F.lit(0.0))).alias("base"), (F.max("outside_base") + F.coalesce(F.sum("rare"), F.lit(0.0)) + F.max("model")).alias("score"),
     )
     return sums.select(
         "doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),

@@ -182,7 +182,7 @@ def test_state_is_carried_over_windows():
     assert abs(alone - both) < 1e-2
 
 
-def test_language_model_trains_whole_texts_with_a_large_vocabulary(spark, monkeypatch):
+def test_language_model_trains_whole_texts_with_a_large_vocabulary(monkeypatch):
     """Training lays a long text in one lane, without a restart, and has 4096 entries or more."""
     assert L.VOCABULARY >= 4096
     seen = []
@@ -192,28 +192,52 @@ def test_language_model_trains_whole_texts_with_a_large_vocabulary(spark, monkey
             super().__init__(tokens, first, *a, **b)
             seen.append((np.diff(self.first).tolist(), int((self.goes_on == 0).sum())))
 
-    class Rows:
-        """Runs the training task here, so that its lanes can be seen."""
-
-        def __init__(self, texts):
-            self.sparkSession, self.texts, self.rdd = spark, texts, spark.sparkContext.parallelize([0], 1)
-
-        def select(self, *_):
-            return self
-
-        def mapInArrow(self, run, _schema):
-            if self.texts:
-                list(run(iter([L.pa.RecordBatch.from_arrays([L.pa.array(self.texts)], ["text"])])))
-                self.texts = None
-            return self
-
-        def repartition(self, _n):
-            return self
-
-        def collect(self):
-            return []
-
     monkeypatch.setattr(L, "Lanes", Lanes)
-    monkeypatch.setattr(L, "CHUNK_TOKENS", 1000)
-    L.train(Rows(["on and on " * 2000, "short"]), L.Lexicon([(b"on", 4000), (b"and", 2000), (L.END, 2)], 6002, 3))
-    assert [sorted(n) for n, _ in seen if n] == [[2, 6001]] and sum(r for _, r in seen) == 2
+    lex = L.Lexicon([(b"on", 4000), (b"and", 2000), (L.END, 2)], 6002, 3)
+    p, n = L.fitted([np.array([1, 2] * 3000 + [3], np.uint16), np.array([0, 3], np.uint16)], L.first_parameters(lex), lex.end)
+    assert n == 6003 and [sorted(x) for x, _ in seen] == [[2, 6001]] and seen[0][1] == 2
+
+
+def naive_score(numbers, end, p):
+    """Natural logarithm of a text's probability, token by token."""
+    h, k = L.HIDDEN, L.CLASSES
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    q = {name: x.astype(float) for name, x in p.items()}
+    state, before, out = np.zeros(h), end, 0.0
+    for i, x in enumerate(numbers):
+        state = state if i else np.zeros(h)
+        zr = q["G"][before, : 2 * h] + state @ q["Uzr"]
+        z, r = sigmoid(zr[:h]), sigmoid(zr[h:])
+        state = state + z * (np.tanh(q["G"][before, 2 * h :] + (r * state) @ q["Uc"]) - state)
+        for logits, at in ((state @ q["Wc"] + q["bc"], x // k), (state @ q["Ww"][x // k] + q["bw"][x // k], x % k)):
+            out += logits[at] - np.log(np.exp(logits).sum())
+        before = x
+    return out
+
+
+def test_language_model_score_is_that_of_a_naive_loop_and_of_no_partitioning(spark, monkeypatch):
+    """Some rounds of shards; the scores agree for 1, 4 and 16 partitions, and with a token-by-token loop over whole texts."""
+    monkeypatch.setattr(L, "SHARD_TOKENS", 1000)
+    docs, _ = labelled(spark, 120)
+    rows = docs.select("doc_id", "text")
+    kept = []
+    monkeypatch.setattr(L, "train", lambda *a, f=L.train, **b: kept.append((a[1], f(*a, **b))) or kept[-1][1])
+    got = [{r["doc_id"]: r["score"] for r in L.scored_documents(rows.repartition(n)).collect()} for n in (1, 4, 16)]
+    assert len(got[0]) == 120 and all(abs(x[i] - got[0][i]) < 1e-4 * abs(got[0][i]) for x in got[1:] for i in got[0])
+    assert all((kept[0][1][k] == x[1][k]).all() for x in kept[1:] for k in x[1]) and not np.allclose(kept[0][1]["Ww"], 0)
+    lex, p = kept[0]
+    number = {int(x): int(n) for x, n in zip(lex.hash, lex.number)}
+    c = collections.Counter(t for i, t in ((r["doc_id"], t) for r in rows.collect() for t in [*r["text"].encode().lower().split(), L.END]) if zlib.crc32(str(i).encode()) % 5 != 1)
+    for r in rows.orderBy("doc_id").limit(12).collect():
+        words = [*r["text"].encode().lower().split(), L.END]
+        numbers = [number.get(int(x), 0) for x in L._hashes(words)]
+        share = sum(math.log10(c[w] + 0.5) - math.log10(lex.outside) for w, x in zip(words, numbers) if not x)
+        assert abs(naive_score(numbers, lex.end, p) / math.log(10) + share - got[0][r["doc_id"]]) < 1e-3 * len(words)
+
+
+def test_language_model_sums_do_not_depend_on_order():
+    p = {"a": np.random.default_rng(1).normal(size=500).astype(np.float32)}
+    parts = [L._shares({"a": p["a"] * k}, n) for k, n in ((1, 5), (3, 2_000_000), (-2, 77_000))]
+    batch = lambda w, x: L.pa.RecordBatch.from_arrays([L.pa.array([w]), L.pa.array([x.tobytes()])], ["w", "p"])
+    one, two = (next(L._summed(batch(*x) for x in order)) for order in (parts, parts[::-1]))
+    assert one.equals(two) and next(L._summed(iter(())), None) is None
