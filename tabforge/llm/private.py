@@ -5,9 +5,16 @@ radix of their classes (lower, upper, digit, hexadecimal, vowels and consonants
 HMAC moves the number, and what falls outside the domain walks on until it is inside. So equal entities get equal
 surrogates anywhere in the corpus without a table (coreference), and distinct ones of one shape get distinct ones. Parts
 that make the type stay: the country code of a phone, issuer and check digit rule of a card, octets of an address,
-top-level domain of an address, title and grammatical ending of a name. A given name in the list of its gender and script
-moves within that list. `collisions` verifies it over all entities of the corpus, grouped by surrogate; if any two
-originals met, the key is changed and the check runs again before a text is written.
+top-level domain of an address, title and grammatical ending of a name. A name is moved word by word: a given name in the
+list of its gender and script moves within that list, any other word keeps its last letter and stays outside the lists.
+`collisions` verifies it over all entities of the corpus, grouped by surrogate; if any two originals met, the key is
+changed and the check runs again before a text is written.
+
+Persons are found by a title, or by a listed given name before another name; every further mention in the same text of a
+word of such a name goes, too, and gets the word's surrogate.
+
+The key is never part of the program. It is an argument, or the session's setting `spark.tabforge.surrogates.key`; where
+that is unset a call draws a random one, with which nobody can undo the surrogates and which no other call repeats.
 
 Defined cases: a null text stays null and an empty one empty; a text without entities is unchanged; repeated rows are
 changed alike; overlapping finds give way to the earlier, then longer one; an empty table gives an empty result; all other
@@ -18,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -26,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import text_slices
 
-KEY = b"surrogates-1"
+KEY_SETTING = "spark.tabforge.surrogates.key"
 
 # Titles by gender, and common given names by script and gender.
 TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Signora Госпожа Κυρία".split(), "m": "Mr Herr Monsieur Señor Sr Signor Господин Κύριος".split(), "n": "Dr Prof Mx".split()}
@@ -45,6 +53,7 @@ CLASS_OF = {c: k for k, x in enumerate(CLASSES) for c in x}
 # Accented letters count as their base letter's class.
 CLASS_OF |= {c: CLASS_OF[b] for b, more in {"a": "áàâäãå", "e": "éèêë", "i": "íìîï", "o": "óòôöõø", "u": "úùûü", "n": "ñ", "c": "ç", "s": "ß", "α": "ά", "ε": "έ", "ι": "ίϊ", "ο": "ό", "υ": "ύ", "и": "й"}.items() for c in more}
 
+LISTS = {w: names for names in GIVEN.values() for w in names}
 _TITLE = "|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True))
 _NAME = r"[A-ZÀ-ÞΑ-ΩΆΈΊΌΎΏА-ЯЁ][^\W\d_]+(?:-[A-ZÀ-ÞΑ-ΩА-ЯЁ][^\W\d_]+)?"
 #: What must be in a text for a pattern to be tried (a key of HINTS), the type, the pattern.
@@ -58,6 +67,7 @@ PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("sign", "secret", re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?(?P<at>[A-Za-z0-9+/_~.\-]{8,})""")),
     ("digit", "secret", re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}))(?![A-Za-z0-9_-])")),
     ("title", "person", re.compile(rf"\b(?P<title>{_TITLE})\.? (?P<at>{_NAME}(?: {_NAME}){{0,2}})")),
+    ("given", "person", re.compile(rf"(?<!\w)(?P<at>(?:{'|'.join(LISTS)})(?: {_NAME}){{1,2}})")),
 ]
 _TITLES = re.compile("|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True)).encode()).search
 HINTS: dict[str, Callable[[bytes], object]] = {
@@ -65,21 +75,25 @@ HINTS: dict[str, Callable[[bytes], object]] = {
     "digit": lambda b: len(b.translate(None, b"0123456789")) < len(b),
     "sign": lambda b: b"=" in b or b":" in b,
     "title": lambda b: _TITLES(b),
+    "given": lambda b: not _GIVEN.isdisjoint(b.split()),
 }
+_GIVEN = {w.encode() for w in LISTS}
+_PARTS = re.compile("[ -]")
 
 
-def find(text: str, raw: bytes | None = None) -> list[tuple[int, int, str, str]]:
-    """start, end, type and gender ('' but for persons) of the entities, in order, without overlaps."""
+def find(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
+    """start, end and type of the entities, in order, without overlaps."""
     raw = text.encode() if raw is None else raw
     got, hint = [], {k: may(raw) for k, may in HINTS.items()}
     for need, kind, pattern in PATTERNS:
         if hint[need]:
             for m in pattern.finditer(text):
                 a, b = m.span("at" if "at" in pattern.groupindex else 0)
-                if kind == "card" and not 13 <= sum(c.isdigit() for c in text[a:b]) <= 19:
-                    continue
-                gender = next((g for g, t in TITLES.items() if m["title"] in t), "") if kind == "person" else ""
-                got.append((a, b, kind, gender))
+                if kind != "card" or 13 <= sum(c.isdigit() for c in text[a:b]) <= 19:
+                    got.append((a, b, kind))
+    if names := {w for a, b, kind in got if kind == "person" for w in _PARTS.split(text[a:b])}:
+        mention = "|".join(map(re.escape, sorted(names, key=lambda w: (-len(w), w))))
+        got += [(*m.span(), "person") for m in re.finditer(rf"(?<!\w)(?:{mention})(?!\w)", text)]
     got.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for x in got:
@@ -89,24 +103,32 @@ def find(text: str, raw: bytes | None = None) -> list[tuple[int, int, str, str]]
     return out
 
 
-def _moved(value: int, size: int, key: bytes, tweak: str) -> int:
-    """Keyed permutation of range(size): an eight-round Feistel network with cycle walking."""
-    if size < 2:
-        return value
+def _network(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """Keyed permutation of range(size), or its inverse: an eight-round Feistel network with cycle walking."""
     half = max(1, (size.bit_length() + 1) // 2)
     mask = (1 << half) - 1
+
+    def mixed(r: int, x: int) -> int:
+        d = hashlib.blake2b(f"{tweak}|{size}|{r}|{x}".encode(), key=key[:64], digest_size=max(8, (half + 7) // 8) if half <= 512 else 64).digest()
+        return int.from_bytes(hashlib.shake_256(key + d).digest((half + 7) // 8) if half > 512 else d, "big") & mask
+
     while True:
         left, right = value >> half, value & mask
-        for r in range(8):
-            d = hashlib.blake2b(f"{tweak}|{size}|{r}|{right}".encode(), key=key[:64], digest_size=max(8, (half + 7) // 8) if half <= 512 else 64).digest()
-            if half > 512:
-                d = hashlib.shake_256(key + d).digest((half + 7) // 8)
-            left, right = right, left ^ (int.from_bytes(d, "big") & mask)
+        for r in reversed(range(8)) if back else range(8):
+            left, right = (right ^ mixed(r, left), left) if back else (right, left ^ mixed(r, right))
         value = (left << half) | right
         if value < size:
             return value
 
 
+def _moved(value: int, size: int, key: bytes, tweak: str) -> int:
+    """Keyed permutation of range(size). A small range moves along one cycle through all of it, so that nothing stays where it is."""
+    if size < 2:
+        return value
+    at = _network(value, size, key, tweak)
+    return _network((at + 1) % size, size, key, tweak, back=True) if size <= 1 << 20 else at
+
+
 def _spelt(text: str, key: bytes, tweak: str, hexa: bool = False, keep: frozenset[int] = frozenset()) -> str:
     """text with its letters and digits moved within their classes; case stays, as do the positions in keep and all other characters."""
     low = text.lower()
@@ -141,30 +163,22 @@ def _laid(digits: str, form: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in form)
 
 
-def _script(word: str) -> str:
-    return "cyrillic" if re.search("[А-Яа-яЁё]", word) else "greek" if re.search("[Α-Ωα-ωΆ-ώ]", word) else "latin"
-
-
-def _person(name: str, gender: str, key: bytes) -> str:
+def _person(name: str, key: bytes) -> str:
+    """name with each of its words moved, as it is moved wherever it stands."""
     words = re.split("([ -])", name)
     for i in range(0, len(words), 2):
         w = words[i]
-        if i == 0 and len(words) > 1:  # a given name and more
-            lists = [(k, v) for k, v in GIVEN.items() if k[0] == _script(w) and (gender in ("n", "") or k[1] == gender) and w in v]
-            if lists:
-                k, v = lists[0]
-                words[i] = v[_moved(v.index(w), len(v), key, f"given|{k}")]
-                continue
+        if w in LISTS:
+            words[i] = LISTS[w][_moved(LISTS[w].index(w), len(LISTS[w]), key, f"given|{LISTS[w][0]}")]
+            continue
         ending = frozenset(range(max(1, len(w) - 1), len(w)))
-        known = {x for v in GIVEN.values() for x in v}
-        new = _spelt(w, key, "name", keep=ending)
-        while i == 0 and new in known and w not in known:
-            new = _spelt(new, key, "name", keep=ending)
-        words[i] = new
+        words[i] = _spelt(w, key, "name", keep=ending)
+        while words[i] in LISTS:
+            words[i] = _spelt(words[i], key, "name", keep=ending)
     return "".join(words)
 
 
-def surrogate(kind: str, text: str, gender: str = "", key: bytes = KEY) -> str:
+def surrogate(kind: str, text: str, key: bytes) -> str:
     """The replacement of one entity, in the form in which it is written."""
     if kind == "email":
         local, _, domain = text.rpartition("@")
@@ -180,7 +194,7 @@ def surrogate(kind: str, text: str, gender: str = "", key: bytes = KEY) -> str:
         number = _moved(int.from_bytes(map(int, text.split(".")), "big"), 1 << 32, key, "ip")
         return ".".join(map(str, number.to_bytes(4, "big")))
     if kind == "person":
-        return _person(text, gender, key)
+        return _person(text, key)
     if kind == "iban":
         plain = text.replace(" ", "")
         body = _spelt(plain[4:], key, "iban" + plain[:2])
@@ -199,15 +213,21 @@ def canonical(kind: str, text: str) -> str:
     return text.lower() if kind == "email" else text.replace(" ", "") if kind == "iban" else text
 
 
-def masked(text: str, found: list[tuple[int, int, str, str]], key: bytes = KEY) -> str:
+def masked(text: str, found: list[tuple[int, int, str]], key: bytes) -> str:
     out, end = [], 0
-    for a, b, kind, gender in found:
-        out += [text[end:a], surrogate(kind, text[a:b], gender, key)]
+    for a, b, kind in found:
+        out += [text[end:a], surrogate(kind, text[a:b], key)]
         end = b
     return "".join([*out, text[end:]])
 
 
-def entities(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
+def session_key(docs: DataFrame) -> bytes:
+    """The key that the session is set to, hashed; a random one where it is unset."""
+    own = docs.sparkSession.conf.get(KEY_SETTING, None)
+    return hashlib.blake2b(own.encode(), digest_size=32).digest() if own else secrets.token_bytes(32)
+
+
+def entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """Each distinct kind, original (canonical) and surrogate (canonical) of the corpus."""
 
     def run(batches):
@@ -215,7 +235,7 @@ def entities(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame
             rows = set()
             for raw in texts:
                 t = raw.decode()
-                rows |= {(k, canonical(k, t[a:b]), canonical(k, surrogate(k, t[a:b], g, key))) for a, b, k, g in find(t, raw)}
+                rows |= {(k, canonical(k, t[a:b]), canonical(k, surrogate(k, t[a:b], key))) for a, b, k in find(t, raw)}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(rows))], ["kind", "original", "surrogate"])
 
@@ -229,7 +249,7 @@ def collisions(found: DataFrame) -> DataFrame:
     return met.unionByName(split)
 
 
-def safe_key(docs: DataFrame, key: bytes = KEY, text: str = "text", tries: int = 5) -> bytes:
+def safe_key(docs: DataFrame, key: bytes, text: str = "text", tries: int = 5) -> bytes:
     """key, or one made from it with which no two entities of the corpus collide."""
     for _ in range(tries):
         if not collisions(entities(docs, key, text)).take(1):
@@ -238,9 +258,9 @@ def safe_key(docs: DataFrame, key: bytes = KEY, text: str = "text", tries: int =
     raise ValueError("no key without collisions was found")
 
 
-def mask(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
-    """docs with surrogates in the text column; the schema stays."""
-    key = safe_key(docs, key, text)
+def mask(docs: DataFrame, key: bytes | None = None, text: str = "text") -> DataFrame:
+    """docs with surrogates in the text column; the schema stays. key: by default session_key."""
+    key = safe_key(docs, session_key(docs) if key is None else key, text)
 
     def run(batches):
         for part, texts in text_slices(batches, text):
@@ -255,10 +275,10 @@ def mask(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def masked_documents(docs: DataFrame) -> DataFrame:
+def masked_documents(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, the text with surrogates, how many entities it held and their kinds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    key = safe_key(rows)
+    key = safe_key(rows, session_key(docs) if key is None else key)
 
     def run(batches):
         for part, texts in text_slices(batches):
