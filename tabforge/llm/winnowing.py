@@ -7,13 +7,20 @@ where. Hash and position travel in one long, the position inverted in the low bi
 right; the minimum of a window is built by doubling (2, 4, 8, 16 hashes) with zip_with, which costs four passes over an
 array whatever the window.
 
+The hash of a gram is the value that rolling gives (turn the last value, take out the word that leaves, put in the one that
+comes), written as its GRAM terms: a function over an array cannot carry a value from element to element without copying
+the array at each step.
+
 Every intermediate array is a column of its own that is read more than once, so the optimizer does not inline it into the
 function that is applied to each element.
 
+Order of the rows: descending doc_id, then rows without one; rows of equal ids by the hash of their text; equal rows stand
+one after another, so all but the last of them are followed by their own text. The last row is followed by the first.
+
 Defined cases: a null text counts as empty; a text without words has an empty fingerprint, and two empty fingerprints are
-alike (1.0); a text of fewer words than a gram has one entry for all of them; rows with a null doc_id have no place in the
-order and are left out; of rows that repeat a doc_id the least text stands; one document is its own successor; an empty
-table gives an empty result; texts of 2**27 words and more raise an error. Only `doc_id` and `text` are read.
+alike (1.0); a text of fewer words than a gram has one entry for all of them; every row has a row in the result, also
+without an id or with a repeated one; one document is its own successor; an empty table gives an empty result; texts of
+2**27 words and more raise an error. Only `doc_id` and `text` are read.
 """
 
 from __future__ import annotations
@@ -21,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.llm.common import checkpoint
+
 GRAM, WINDOW = 5, 16
 POSITION_BITS = 27
 _LAST = (1 << POSITION_BITS) - 1
@@ -76,54 +85,57 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def successors(ids: DataFrame, at_once: int = 50_000) -> DataFrame:
-    """ids with next_id: the next smaller doc_id, for the smallest the largest.
+KEY = ["none", "down", "h"]
+
+
+def successors(keys: DataFrame, at_once: int = 200_000) -> DataFrame:
+    """keys with next (none, down, h): the key that follows in their order; the first follows the last.
 
-    The ids are cut into ranges at quantiles, ordered within each range, and the ranges' ends are joined on the driver
-    (at most 257 of them).
+    The keys are dealt to ranges of about at_once and ordered within each; the ranges' first keys (one row a range) meet on
+    the driver, where each range learns what follows its end.
     """
-    n, least, most = ids.select(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return ids.withColumn("next_id", F.col("doc_id"))
-    parts = min(256, -(-n // at_once) + 1)
-    cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    cuts = sorted(set(cuts))
-    ranges = F.lit(0)
-    for c in cuts:
-        ranges = ranges + (F.col("doc_id") > F.lit(c)).cast("int")
-    ranged = ids.withColumn("_range", ranges)
-    tops = {r["_range"]: r["m"] for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("m")).collect()}
-    below, after = most, {}
-    for k in sorted(tops):
-        after[k], below = below, tops[k]
-    ends = F.create_map(*[F.lit(x) for k, v in after.items() for x in (k, v)])
-    order = Window.partitionBy("_range").orderBy(F.desc("doc_id"))
-    return ranged.withColumn("next_id", F.coalesce(F.lead("doc_id").over(order), ends[F.col("_range")])).drop("_range")
-
-
-def compared(docs: DataFrame) -> DataFrame:
+    whole = F.struct(*KEY)
+    parts = max(1, -(-keys.count() // at_once))
+    ranged = checkpoint(keys.repartitionByRange(parts, *KEY).withColumn("_range", F.spark_partition_id()))
+    heads = ranged.groupBy("_range").agg(F.min(whole).alias("head")).orderBy("_range").collect()
+    if not heads:
+        return keys.withColumn("next", whole)
+    after = [(r["_range"], *n["head"]) for r, n in zip(heads, [*heads[1:], heads[0]])]
+    ends = keys.sparkSession.createDataFrame(after, "_range int, none boolean, down long, h long").select("_range", whole.alias("_after"))
+    follows = F.lead(whole).over(Window.partitionBy("_range").orderBy(*KEY))
+    return ranged.withColumn("next", follows).join(F.broadcast(ends), "_range").withColumn("next", F.coalesce("next", "_after")).drop("_range", "_after")
+
+
+def compared(docs: DataFrame, copies_at_once: int = 1000, at_once: int = 200_000) -> DataFrame:
     """Fingerprint of each text and of its edited text, and their likeness; the end of a text gives way to the start of the next document.
 
-    The documents are shuffled once, by id, for both sides of the join; what is sent on from a document to its
-    predecessor is the start that is needed and the hash set.
+    The documents are shuffled once, by their key, for both sides of the join; what is sent on from a document to its
+    predecessor is the start that is needed and the hash set. Equal rows are worked on once and written out as often as
+    they occur.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    lengths = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.floor(F.char_length("text") / 3).cast("int")).alias("need"))
-    if lengths.where("n > 1").take(1):
-        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-        lengths = rows.select("doc_id", F.floor(F.char_length("text") / 3).cast("int").alias("need"))
-    chain = successors(lengths.select("doc_id", "need"))
-    # both sides read doc_id, text and entries, so that Spark computes and shuffles them once
-    printed = fingerprinted(rows, "text", "entries").repartition("doc_id")
-    sent = printed.withColumnsRenamed({"doc_id": "next_id"}).join(chain, "next_id")
-    sent = sent.select("doc_id", F.col("text").substr(F.lit(1), F.col("need")).alias("start"), hashes(F.col("entries")).alias("next_hashes"))
-    both = printed.join(sent, "doc_id").withColumn("hashes", hashes(F.col("entries")))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).alias("down"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keys = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.floor(F.char_length("text") / 3).cast("int")).alias("need"))
+    chain = successors(keys, at_once)
+    often = chain.where("n > 1")
+    chain = chain.select(*KEY, "next", "need", F.lit(1).cast("long").alias("times"))
+    if often.take(1):
+        rows = rows.groupBy(*KEY).agg(F.min("text").alias("text"))
+        more = often.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 2, F.lit(copies_at_once).cast("long"))))
+        chain = chain.unionByName(more.select(*KEY, F.struct(*KEY).alias("next"), "need", F.least(F.lit(copies_at_once).cast("long"), F.col("n") - 1 - F.col("_from")).alias("times")))
+    # both sides read the key, text and entries, so that Spark computes and shuffles them once
+    printed = fingerprinted(rows, "text", "entries").repartition(*KEY)
+    asked = chain.select(F.struct(*KEY).alias("asks"), "need", "times", *[F.col(f"next.{c}").alias(c) for c in KEY])
+    sent = printed.join(asked, KEY).select("asks.*", "times", F.col("text").substr(F.lit(1), F.col("need")).alias("start"), hashes(F.col("entries")).alias("next_hashes"))
+    both = printed.join(sent, KEY).withColumn("hashes", hashes(F.col("entries")))
     n = F.char_length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("start"))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "entries", "hashes", "next_hashes", edited.alias("edited"))
+    doc_id = F.when(~F.col("none"), F.bitwise_not("down"))
+    both = both.select(doc_id.alias("doc_id"), n.cast("long").alias("n_chars"), "entries", "hashes", "next_hashes", edited.alias("edited"), "times")
     both = fingerprinted(both, "edited", "edited_entries").withColumn("edited_hashes", hashes(F.col("edited_entries")))
-    return both.select(
+    out = both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         written(F.col("entries")).alias("fingerprint"), written(F.col("edited_entries")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"), "times",
     )
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
