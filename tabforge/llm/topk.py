@@ -7,18 +7,20 @@ known; a last pass keeps what reaches it, and equal scores are ranked by id.
 
 A task hands on only the highest bins that hold k of its own candidates between them: lower bins cannot hold the
 k-th score of all. So a task sends at most k rows a query and round, whatever it read. Queries are taken in chunks of
-`CHUNK_BYTES` at most, each broadcast; the number of chunks follows from their count.
+`CHUNK_BYTES` at most, each broadcast; the number of chunks follows from their count, and each chunk's result is written.
 
 Components become floor(256 * x); scores are inner products, in doubles where all partial sums stay below 2**53 (one
 aggregate proves it) and in Python integers otherwise.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a shorter vector counts as padded
-with zeros; rows with a null id are left out; of rows that repeat an id the least vector stands, so an id is one candidate
-and one query; fewer than k candidates give that many rows; an empty table gives an empty result.
+with zeros; every row is a candidate of its own, and a query of its own where it is one, also if its id repeats or is null
+(null ids come after all others among equal scores); fewer than k candidates give that many rows; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +28,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import checkpoint
+from tabforge.llm.common import checkpoint, shared_dir
 
 BINS = 1024
 CHUNK_BYTES = 8_000_000
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and q (longs) of the rows that take part."""
+    """vec_id, q (longs) and uid (a number for each row) of the rows that take part."""
     x = F.col("embedding")
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
-        F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     )
-    return usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", F.transform("embedding", lambda v: F.floor(v * 256)).alias("q"))
+    # checkpointed, so that a row keeps its number
+    return checkpoint(usable.select("vec_id", F.transform("embedding", lambda v: F.floor(v * 256)).alias("q"), F.monotonically_increasing_id().alias("uid")))
 
 
 def _matrix(column: pa.Array, width: int, exact: type) -> np.ndarray:
@@ -55,11 +58,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], q_id: np.ndarray, q: np.ndarray,
     for batch in batches:
         for a in range(0, len(batch), rows):
             part = batch.slice(a, rows)
-            ids = np.asarray(part.column(0))
+            ids = np.asarray(part.column(2))
             right = _matrix(part.column(1), q.shape[1], q.dtype.type).T
             for b in range(0, len(q), rows):
                 score = q[b : b + rows] @ right
-                yield b, ids, score, q_id[b : b + rows, None] != ids[None, :]
+                yield b, part, score, q_id[b : b + rows, None] != ids[None, :]
 
 
 def _counted(batches, q_id, q, low, width, k):
@@ -78,19 +81,20 @@ def _counted(batches, q_id, q, low, width, k):
 
 def _reached(batches, q_id, q, least, k):
     """Candidates at or above the k-th score; of one block no more than k a query are handed on, the best by score and id."""
-    for b, ids, score, counts_too in _blocks(batches, q_id, q):
+    for b, part, score, counts_too in _blocks(batches, q_id, q):
         row, col = np.nonzero(counts_too & (score >= least[b : b + len(score), None]))
         if len(row):
+            ids, none = np.asarray(part.column(0).fill_null(0)), np.asarray(part.column(0).is_null())
             value = score[row, col].astype(np.int64)
-            order = np.lexsort((ids[col], -value, row))
+            order = np.lexsort((ids[col], none[col], -value, row))
             row, col, value = row[order], col[order], value[order]
             first = np.searchsorted(row, row)
             top = np.arange(len(row)) - first < k
-            yield pa.RecordBatch.from_arrays([pa.array(q_id[b + row[top]]), pa.array(ids[col[top]].astype(np.int64)), pa.array(value[top])], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q_id[b + row[top]]), part.column(0).take(pa.array(col[top])), pa.array(value[top])], ["uid", "vec_id", "score"])
 
 
-def _chunk(candidates: DataFrame, q_id: np.ndarray, q: np.ndarray, bound: int, k: int) -> DataFrame:
-    """Top k of one chunk of queries."""
+def _chunk(candidates: DataFrame, q_id: np.ndarray, names: pa.Array, q: np.ndarray, bound: int, k: int) -> DataFrame:
+    """Top k of one chunk of queries: numbers, ids and vectors of them."""
     spark = candidates.sparkSession
     send = spark.sparkContext.broadcast((q_id, q))
     exact = q.dtype.type
@@ -118,27 +122,33 @@ def _chunk(candidates: DataFrame, q_id: np.ndarray, q: np.ndarray, bound: int, k
     def reach(batches, least=low):
         yield from _reached(batches, *send.value, least, k)
 
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return candidates.mapInArrow(reach, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    best = candidates.mapInArrow(reach, "uid long, vec_id long, score long").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    named = spark.createDataFrame(pa.table({"uid": q_id, "query_id": names}))  # of this chunk alone
+    return best.join(F.broadcast(named), "uid").select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """The k highest scores of every query: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id."""
     spark = vectors.sparkSession
-    rows = checkpoint(quantised(vectors))
+    rows = quantised(vectors)
     n, width, peak = rows.select(F.count_if(is_query), F.max(F.size("q")), F.max(F.aggregate("q", F.lit(0).cast("double"), lambda s, v: s + v.cast("double") * v))).first()
     width, bound = width or 0, int(peak or 0) + 1  # Cauchy-Schwarz: no score beyond the largest squared length
     exact = np.float64 if bound * max(1, width) < 2**52 else object
     chunks = max(1, -(-n * max(1, width) * 8 // (CHUNK_BYTES // 2)))
-    out = None
+    folder = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}"
     for c in range(chunks if n else 0):
-        own = rows.where(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c)).toArrow()
+        own = rows.where(is_query & (F.pmod(F.xxhash64("uid"), F.lit(chunks)) == c)).toArrow().combine_chunks()
         if not len(own):
             continue
-        q_id = np.asarray(own.column(0).combine_chunks()).astype(np.int64)
-        part = _chunk(rows, q_id, _matrix(own.column(1).combine_chunks(), width, exact), bound, k)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        names, q, q_id = (own.column(i).combine_chunks() for i in range(3))
+        part = _chunk(rows, np.asarray(q_id).astype(np.int64), names, _matrix(q, width, exact), bound, k)
+        if chunks == 1:
+            return part
+        # one plan a chunk: their number grows with the queries
+        part.write.parquet(f"{folder}/chunk={c}")
+    schema = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(schema).parquet(folder).select("query_id", "rank", "vec_id", "score") if n else spark.createDataFrame([], schema)
 
 
 def fiftieth(vectors: DataFrame) -> DataFrame:
