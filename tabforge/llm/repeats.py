@@ -19,7 +19,7 @@ each instead, which is exact up to collisions and splits the group over the clus
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH keep all bytes; repeated rows remove each other
 whole (if long enough) and are indexed once; an empty table gives an empty result; a null doc_id is kept. Only `doc_id`
-and `text` are read; positions are bytes of the UTF-8 text.
+and `text` are read; positions are bytes of the UTF-8 text; a text may have 2**31 - 1 bytes, as many as Spark holds.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from tabforge.llm.common import shared_dir, text_slices
 LENGTH, GRAM, BLOCK = 400, 25, 47
 INDEX_SYMBOLS, MEMBERS = 1 << 20, 20_000
 FEW_KEYS = 1 << 19
+SEGMENT = 1 << 22  # starts of strings in a long text that are worked on at once
 SPAN = LENGTH - GRAM + 1  # starts of strings that hold an anchor
 _BASE = 0x100000001B3
 
@@ -47,11 +48,19 @@ def _power(e: int) -> np.uint64:
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and place of each anchor, and the first and last start of the strings that it stands for."""
-    n = len(text)
-    if n < LENGTH:
+    """Hash and place of each anchor, and the first and last start of the strings that it stands for; `SEGMENT` starts at a time."""
+    starts = len(text) - LENGTH + 1
+    if starts < 1:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
+    found = [[x + a * (i > 0) for i, x in enumerate(_anchors(text[a : a + SEGMENT + LENGTH - 1]))] for a in range(0, starts, SEGMENT)]
+    h, place, first, last = (np.concatenate(x) for x in zip(*found))
+    new = np.append(True, place[1:] != place[:-1])  # an anchor on both sides of a segment's edge is one
+    return h[new], place[new], first[new], last[np.append(np.flatnonzero(new)[1:], len(new)) - 1]
+
+
+def _anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(text)
     one = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     # polynomial hash of GRAM = 25 = 16 + 8 + 1 bytes from those of powers of two
     h = {1: one}
@@ -62,7 +71,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     hashed ^= hashed >> np.uint64(29)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
     hashed ^= hashed >> np.uint64(32)
-    low = np.uint64(28)  # places of texts of up to 256 MB; of equal hashes the leftmost is chosen
+    low = np.uint64(28)  # places in a segment; of equal hashes the leftmost is chosen
     least = (hashed >> low << low) | np.arange(size, dtype=np.uint64)
     step = 1
     while step * 2 <= SPAN:
