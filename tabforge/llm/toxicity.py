@@ -1,8 +1,8 @@
 """Operator 1, toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 Words are runs of letters and digits. A word's input is the vector of the word (or that of unknown words) plus the mean vector of its hashed runs of four bytes. The network reads
-windows of `WINDOW` words that begin every `STRIDE` words, so that they overlap and cover the whole text; the last one
-ends with the text. Both directions run as one recurrence with block-diagonal weights. Attention pools the states of a
+windows of `WINDOW` words that begin every `STRIDE` words, half a window, so a passage of up to `STRIDE + 1` words lies whole in
+one wherever it stands; the last window ends with the text. Both directions run as one recurrence with block-diagonal weights. Attention pools the states of a
 window into its logit; a text's logit is the largest of its windows, put on a probability scale by logistic calibration.
 
 The network is trained in numpy on a bounded sample of labelled texts (`rows_per_class`, `max_bytes`), with the window
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import Words, fold, labelled_sample, text_slices
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, ATTEND = 12, 8, 8
 GRAM_BITS = 15
 
