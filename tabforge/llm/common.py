@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset, as in local tests, a new temporary folder."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new temporary folder if Spark runs in this process alone, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -100,6 +103,11 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, _MULT, np.uint64), dtype=np.uint64)
 
 
+def _powers(longest: int) -> np.ndarray:
+    """Powers of the hash's base, as many as the longest word has bytes."""
+    return _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _MULT, np.uint64), dtype=np.uint64)
+
+
 class Words:
     """Words of several texts as arrays: buf (bytes, each text followed by a space), start, length, hash and, per text, first (the number of its first word)."""
 
@@ -123,7 +131,7 @@ class Words:
             inner = np.arange(n) - np.repeat(np.cumsum(self.length) - self.length, self.length)
             at = inner + np.repeat(self.start, self.length)
             with np.errstate(over="ignore"):
-                self.hash = np.add.reduceat((self.buf[at].astype(np.uint64) + np.uint64(1)) * _POWERS[inner & 4095], np.cumsum(self.length) - self.length)
+                self.hash = np.add.reduceat((self.buf[at].astype(np.uint64) + np.uint64(1)) * _powers(int(self.length.max()))[inner], np.cumsum(self.length) - self.length)
                 self.hash ^= self.hash >> np.uint64(31)
                 self.hash *= np.uint64(0xBF58476D1CE4E5B9)
         else:

@@ -2,33 +2,43 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tabforge.llm import repeats, similar, simhash, topk, winnowing
+from tabforge.llm import common, repeats, similar, simhash, topk, winnowing
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(4)], "x") for i in range(130)]
-    rows += [(200, None, "x"), (250, [0.1, None, 0.2, 0.3], "x"), (300, [float("nan"), 0.0, 0.0, 0.0], "x"), (350, [float("inf"), 0.0, 0.0, 0.0], "x"), (None, [1.0] * 4, "x"), (400, [1.0], "x"), (450, [], "x"), (rows[3][0], rows[3][1], "x")]
+    rows += [(200, None, "x"), (250, [0.1, None, 0.2, 0.3], "x"), (300, [float("nan"), 0.0, 0.0, 0.0], "x"), (350, [float("inf"), 0.0, 0.0, 0.0], "x"), (None, [1.0] * 4, "x"), (None, [1.0] * 4, "x"), (400, [1.0], "x"), (450, [], "x"), (rows[3][0], rows[3][1], "x"), (100, [1.0, 0.5, 0.25, 0.25], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(3)
-    ok = {i: np.array([math.floor(256 * np.float32(x).astype(float)) for x in v] + [0] * (4 - len(v))) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in ok if i % 50 == 0):
-        best = sorted(((-int(ok[q] @ ok[i]), i) for i in ok if i != q))[:5]
-        want |= {(q, k, i, -s) for k, (s, i) in enumerate(best, 1)}
-    assert {tuple(r) for r in topk.fiftieth(df).collect()} == want
+    ok = [(i, np.array([math.floor(256 * np.float32(x).astype(float)) for x in v] + [0] * (4 - len(v)))) for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+
+    def brute(ok, k=5, is_query=lambda i: i is not None and i % 50 == 0):
+        want = Counter()
+        for n, (q, v) in enumerate(ok):
+            if is_query(q):
+                best = sorted((-int(v @ x), i is None, i or 0) for m, (i, x) in enumerate(ok) if m != n)[:k]
+                want.update((q, r, None if none else i, -s) for r, (s, none, i) in enumerate(best, 1))
+        return want
+
+    counted = lambda df: Counter(map(tuple, df.collect()))
+    want = brute(ok)
+    assert counted(topk.fiftieth(df)) == want
     assert topk.fiftieth(df.where("false")).count() == 0
-    assert {tuple(r) for r in topk.fiftieth(df.where("vec_id in (0, 1, 2)")).collect()} == {t for t in want if False} | {(0, k, i, -s) for k, (s, i) in enumerate(sorted((-int(ok[0] @ ok[i]), i) for i in (1, 2)), 1)}
-    assert topk.top_k(df, F.lit(True), 2).groupBy("query_id").count().where("count <> 2").count() == 0
+    assert counted(topk.fiftieth(df.where("vec_id in (0, 1, 2)"))) == brute([x for x in ok if x[0] in (0, 1, 2)])
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 64 * 8)  # many chunks
+    assert counted(topk.top_k(df, F.lit(True), 2)) == brute(ok, 2, lambda i: True)
 
 
 def brute_print(t):
@@ -194,13 +204,27 @@ def test_winnowing(spark, edge_docs, no_docs):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == " ".join(f"{h:x}:{-p}" for h, p in brute_fingerprint(t))
         assert abs(r["near_edited"] - like(sets[0], sets[1])) < 1e-9 and abs(r["near_next"] - like(sets[0], sets[2])) < 1e-9
-    edges = winnowing.compared(edge_docs).collect()
-    assert sorted(r["doc_id"] for r in edges) == [1, 2, 3, 4, 5, 7, 8, 9]
-    by = {r["doc_id"]: r for r in edges}
-    assert by[1]["fingerprint"] == "" and by[4]["fingerprint"] == by[5]["fingerprint"] and by[4]["near_next"] < 1.0 + 1e-9 and by[3]["fingerprint"]
     assert winnowing.compared(no_docs).count() == 0
 
 
+def test_winnowing_keeps_every_row(spark, edge_docs):
+    """Rows without an id, repeated ids and equal rows each have a row, in the stated order; also with many ranges and chunks of copies."""
+    rows = [(r["doc_id"], (r["text"] or "").strip() and f"{r['text'][:3000]} " * 5) for r in edge_docs.collect()] + [(7, "another text of seven words or so"), (7, ""), (6, "")] + [(None, "equal rows " * 9)] * 7 + [(-5, "below zero " * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = Counter()
+    for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]]):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + nxt[:cut]
+        a, b, c = ({h for h, _ in brute_fingerprint(x)} for x in (t, edited, nxt))
+        like = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), " ".join(f"{h:x}:{-p}" for h, p in brute_fingerprint(t)), round(like(a, b), 9), round(like(a, c), 9)] += 1
+    for at_once, copies in ((200_000, 1000), (2, 3)):
+        got = winnowing.compared(df, copies, at_once).collect()
+        assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+
+
 def brute_removed(texts):
     c = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
     out = []
@@ -245,6 +269,50 @@ def test_repeats(spark, edge_docs, no_docs, monkeypatch):
     assert repeats.digested(no_docs).count() == 0
 
 
+def test_repeats_in_long_texts(spark, monkeypatch):
+    """Anchors of a text worked on in segments are those of the whole, so results are equal."""
+    rows = passages(9)
+    long = "".join(t for _, t in rows[:40])
+    whole = [x.tolist() for x in repeats.anchors(long.encode())]
+    for size in (37, 400, 5000):
+        monkeypatch.setattr(repeats, "SEGMENT", size)
+        assert [x.tolist() for x in repeats.anchors(long.encode())] == whole
+    df = spark.createDataFrame([*rows, (500, long)], "doc_id long, text string")
+    want = dict(zip([i for i, _ in rows] + [500], brute_removed([t.encode() for _, t in rows] + [long.encode()])))
+    assert {r[0]: tuple(r)[1:] for r in repeats.digested(df).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_repeats_on_a_whole_table(spark):
+    """Every document of a test table against brute force by a sorted list of string hashes, which are compared byte by byte where equal."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
+    want = dict(zip((i for i, _ in rows), brute_removed([t for _, t in rows])))
+    assert {r[0]: tuple(r)[1:] for r in repeats.digested(df).collect()} == want and sum(v[1] for v in want.values()) > 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    assert common.shared_dir(spark)
+
+
+def test_long_words_differ_by_all_their_bytes():
+    a = b"x" * 5000
+    b, c = a[:10] + b"y" + a[11:], a[:4106] + b"y" + a[4107:]  # 4096 bytes apart
+    w = common.Words([b" ".join([a, b, c, b"short"])])
+    assert len(set(w.hash.tolist())) == 4 and w.hash[3] == common.Words([b"short"]).hash[0]
+
+
 def test_run_index():
     rng = np.random.default_rng(3)
     parts = [rng.integers(1, 4, rng.integers(3, 30)) for _ in range(40)]

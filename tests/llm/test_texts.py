@@ -52,6 +52,46 @@ def test_mixture_meets_the_weights(spark):
     assert sum(n[r["doc_id"]] for r in half.collect()) <= total // 2
 
 
+def test_mixture_by_brute_force(spark):
+    """Which copies come out and in which order, by plain passes over lists; the places are Spark's hashes."""
+    rng = random.Random(8)
+    rows = [(i if i % 50 else None, rng.choice(["a", "a", "a", "b", "c", None]), " ".join(["w"] * rng.randint(0, 40)) if i % 31 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    n = lambda t: len((t or "").split())
+    own = collections.Counter()
+    for _, s, t in rows:
+        own[s] += n(t)
+    for budget, entropy, repeats in ((None, None, 4.0), (sum(own.values()) * 3, 1.0, 5.0), (sum(own.values()) // 3, 0.9, None)):
+        out = mixing.mix(df.repartition(5), budget, entropy, repeats, block_documents=16, keep_place=True).collect()
+        total = budget or sum(own.values())
+        a = mixing.bisect_exponent(dict(own), total, entropy, repeats)
+        w = mixing.weights({k: v / sum(own.values()) for k, v in own.items()}, a)
+        for s in own:
+            full, rest = divmod(int(w[s] * total), own[s])
+            mine = [r for r in df.withColumn("__mix_source", F.col("source")).withColumn("__mix_h", F.xxhash64(F.lit(17), "doc_id", "text")).collect() if r["source"] == s]
+            blocks = -(-len(mine) // 16)
+            hashed = spark.createDataFrame([(e, r["doc_id"], s, r["text"], r["__mix_h"], r["__mix_h"] % blocks) for r in mine for e in range(full + 1)], "e int, doc_id long, __mix_source string, text string, __mix_h long, __mix_block long")
+            place = hashed.withColumn("p", mixing.block_order(17, F.col("e"))).withColumn("q", mixing._place(17, F.col("e"))).collect()
+            want = collections.Counter((r["e"], r["doc_id"], r["text"], r["__mix_block"], r["p"], r["q"]) for r in place if r["e"] < full)
+            used, taken = 0, {}
+            last = sorted((r for r in place if r["e"] == full), key=lambda r: (r["p"], r["__mix_block"], r["q"], (r["doc_id"] is not None, r["doc_id"] or 0), r["__mix_h"]))
+            for _, block in itertools.groupby(last, key=lambda r: (r["p"], r["__mix_block"])):
+                block = list(block)
+                if used + sum(n(r["text"]) for r in block) <= rest:
+                    used += sum(n(r["text"]) for r in block)
+                    taken.update({id(r): r for r in block})
+                    continue
+                for r in block if rest else []:
+                    used += n(r["text"])
+                    if used <= rest:
+                        taken[id(r)] = r
+                break
+            want.update((r["e"], r["doc_id"], r["text"], r["__mix_block"], r["p"], r["q"]) for r in taken.values() if rest)
+            got = collections.Counter((r["epoch"], r["doc_id"], r["text"], r["block"], r["block_place"], r["place"]) for r in out if r["source"] == s)
+            assert got == want
+            assert all(r["weight"] == pytest.approx(w[s]) for r in out if r["source"] == s)
+
+
 def test_mixing_edges(edge_docs, no_docs):
     out = mixing.mix(edge_docs)
     assert out.columns == edge_docs.columns and out.count() >= edge_docs.count() - 1
@@ -103,15 +143,66 @@ def test_best_path_by_brute_force():
     assert codec.best_path("c") == [99]
 
 
+KEY = b"only for tests"
+
+
+def test_every_mention_of_a_found_name_goes():
+    text = "Mrs. Maria Lopez met Maria and Lopez, not Lopezia. Anna Smith called; then Smith, and anna, left. Dr. Lopez-Smith, Mr Pavel."
+    found = private.find(text)
+    old = [text[a:b] for a, b, _ in found]
+    assert old == ["Maria Lopez", "Maria", "Lopez", "Anna Smith", "Smith", "Lopez-Smith", "Pavel"]
+    out = private.masked(text, found, KEY)
+    new = dict(zip(old, (out[a:b] for a, b, _ in private.find(out))))
+    assert new["Maria Lopez"] == f"{new['Maria']} {new['Lopez']}" and new["Anna Smith"].endswith(" " + new["Smith"]) and new["Lopez-Smith"] == f"{new['Lopez']}-{new['Smith']}"
+    assert not {"Maria", "Lopez", "Smith", "Anna"} & set(out.replace(",", " ").replace(".", " ").replace("-", " ").split())
+    assert new["Maria"] in private.GIVEN["latin", "f"] and new["Anna Smith"].split()[0] in private.GIVEN["latin", "f"]
+    assert private.find("The Anna river. Mark, Smith and others; Annabel Smith") == []
+
+
+def test_the_key_comes_from_outside(spark):
+    df = spark.createDataFrame([(1, "call 367-555-9476 now")], "doc_id long, text string")
+    one, two = (private.mask(df).first()["text"] for _ in range(2))
+    assert one != two  # a random key each
+    spark.conf.set(private.KEY_SETTING, "a secret")
+    try:
+        three, four = (private.mask(df).first()["text"] for _ in range(2))
+    finally:
+        spark.conf.unset(private.KEY_SETTING)
+    assert three == four and three not in (one, two) and private.mask(df, KEY).first()["text"] == private.masked_documents(df, KEY).first()["text"] != three
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_distinctness_by_brute_force(spark):
+    """Over a whole table: one surrogate an original, one original a surrogate, none unchanged but by chance of tiny domains, and nothing else changes."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = {r["doc_id"]: r for r in private.masked_documents(rows, KEY).collect()}
+    there, back, n = {}, {}, 0
+    for r in rows.collect():
+        text = r["text"] or ""
+        found = private.find(text)
+        end, at, new = 0, 0, out[r["doc_id"]]["text"] or ""
+        assert out[r["doc_id"]]["n_entities"] == len(found)
+        for a, b, kind in found:  # surrogates have the length of what they stand for, but given names and addresses
+            at += a - end
+            assert new[at - (a - end) : at] == text[end:a]
+            s = private.surrogate(kind, text[a:b], KEY)
+            assert new[at : at + len(s)] == s
+            end, at, n = b, at + len(s), n + 1
+            old, s = private.canonical(kind, text[a:b]), private.canonical(kind, s)
+            assert there.setdefault((kind, old), s) == s and back.setdefault((kind, s), old) == old
+        assert new[at:] == text[end:]
+    assert n > 50
+
+
 def test_surrogates_keep_type_and_format():
     text = 'Mrs. Maria Lopez wrote to bob.smith7@mail.example.com, +1 (367) 555-9476 or 367-555-9476, from 10.20.30.40, card 4539 1488 0343 6467, token = "9765fab7324201a5ddfac0becd9064abbef40be8". Mr Иван Петров; IBAN DE89 3704 0044 0532 0130 00; 123-45-6789. Again bob.smith7@mail.example.com.'
     found = private.find(text)
-    assert [k for _, _, k, _ in found] == ["person", "email", "phone", "phone", "ip", "card", "secret", "person", "iban", "ssn", "email"]
-    out = private.masked(text, found)
+    assert [k for _, _, k in found] == ["person", "email", "phone", "phone", "ip", "card", "secret", "person", "iban", "ssn", "email"]
+    out = private.masked(text, found, KEY)
     again = private.find(out)
-    assert [k for _, _, k, _ in again] == [k for _, _, k, _ in found]
-    new = [out[a:b] for a, b, _, _ in again]
-    old = [text[a:b] for a, b, _, _ in found]
+    assert [k for _, _, k in again] == [k for _, _, k in found]
+    new = [out[a:b] for a, b, _ in again]
+    old = [text[a:b] for a, b, _ in found]
     assert all(a != b for a, b in zip(old, new)) and new[1] == new[-1] and [c for c in new[2] if c.isdigit()][-10:] == [c for c in new[3] if c.isdigit()]
     assert new[0].split()[0] in private.GIVEN["latin", "f"] and new[7].split()[0] in private.GIVEN["cyrillic", "m"]
     card = "".join(c for c in new[5] if c.isdigit())
@@ -122,14 +213,14 @@ def test_surrogates_keep_type_and_format():
 
 @pytest.mark.parametrize("kind, texts", [("phone", [f"+1 (200) 555-{i:04d}" for i in range(2000)]), ("email", [f"a{i:02d}@b.com" for i in range(100)]), ("ip", [f"1.2.{i}.{j}" for i in range(20) for j in range(50)]), ("card", [f"4111 1111 {i:04d} {j:04d}" for i in range(30) for j in range(30)])])
 def test_surrogates_stay_distinct(kind, texts):
-    new = {private.surrogate(kind, t) for t in texts}
+    new = {private.surrogate(kind, t, KEY) for t in texts}
     assert len(new) == len(texts)
 
 
 def test_names_stay_distinct_and_cased():
     names = [f"{a} {b}" for a in ("Maria", "Anna", "Zelda") for b in ("Smith", "Smyth", "Jones", "O")]
-    assert len({private.surrogate("person", n, "f") for n in names}) == len(names)
-    assert private.surrogate("email", "Bob@X.com").lower() == private.surrogate("email", "bob@x.com")
+    assert len({private.surrogate("person", n, KEY) for n in names}) == len(names)
+    assert private.surrogate("email", "Bob@X.com", KEY).lower() == private.surrogate("email", "bob@x.com", KEY)
     assert private._moved(3, 10, b"k", "t") in range(10) and sorted(private._moved(i, 37, b"k", "t") for i in range(37)) == list(range(37))
 
 
@@ -141,7 +232,7 @@ def test_mask_edges(spark, edge_docs, no_docs):
     rows = {r["doc_id"]: r for r in private.masked_documents(df).collect()}
     digits = lambda t: "".join(c for c in t if c.isdigit())[-10:]
     assert digits(rows[1]["text"]) == digits(rows[2]["text"]) != "3675559476" and rows[3]["text"] is None and rows[1]["n_entities"] == 1
-    assert private.collisions(private.entities(df)).count() == 0
+    assert private.collisions(private.entities(df, KEY)).count() == 0
 
 
 def test_collisions_are_seen(spark):
