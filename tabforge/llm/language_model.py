@@ -42,8 +42,8 @@ CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
 HIDDEN, LANES, STEPS = 16, 512, 16
 UPDATE = LANES * STEPS
-SHARD_TOKENS, ROUNDS = 2_000_000, 8
-CHUNK_TOKENS = 4_000_000  # texts whose tokens are laid in lanes together when they are scored
+SHARD_TOKENS, ROUNDS = 4_000_000, 6
+CHUNK_TOKENS = 8_000_000  # texts whose tokens are laid in lanes together when they are scored
 COMMON = 1 << 18
 END = b"\n"  # no word holds a line feed
 
@@ -490,7 +490,9 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     texts = encoded.where("kind = 'text'")
     p = train(texts.where("round is not null").withColumn("shards", F.ceil((F.lit(shards) - F.col("round")) / rounds)), lexicon)
     fit = spark.sparkContext.broadcast((lexicon.end, p))
-    model = texts.select("uid", "tokens").mapInArrow(lambda b: _modelled(b, *fit.value), "uid long, model double")
+    # few long texts keep their lanes busy alone at a chunk's end, so chunks are whole: files are read together, nothing is shuffled
+    chunks = max(1, -(-texts.select(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // (2 * CHUNK_TOKENS)))
+    model = texts.select("uid", "tokens").coalesce(chunks).mapInArrow(lambda b: _modelled(b, *fit.value), "uid long, model double")
     named = counts.select("word", "c")
     met = encoded.where("kind = 'word'").select("uid", "word", "n").join(named, "word", "left").select("uid", F.when(F.col("c") > 0, F.col("n")).alias("known"), (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare"))
     one = texts.select("uid", "doc_id", (F.octet_length("tokens") / 2).cast("long").alias("n_tokens"), "known", "base", "outside", "outside_base", F.lit(None).cast("double").alias("rare"), F.lit(None).cast("double").alias("model"))
