@@ -198,13 +198,15 @@ def _gradients(p: dict, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, y: np.
         dg = np.concatenate([dzr, dac], 1).reshape(n, 3, 2, h)
         np.add.at(dxf, ids[:, t], dg[:, :, 0].reshape(n, -1))
         np.add.at(dxb, ids[:, steps - 1 - t], dg[:, :, 1].reshape(n, -1))
-    g["Uzr"] *= _BLOCK[:, :, None, :].repeat(2, 2).reshape(2 * h, 4 * h)
+    g["Uzr"] *= _BLOCKS
     g["Uc"] *= _BLOCK.reshape(2 * h, 2 * h)
     g["Wf"], g["bf"], g["Wb"], g["bb"] = x.T @ dxf, dxf.sum(0), x.T @ dxb, dxb.sum(0)
     return g, dxf @ p["Wf"].T + dxb @ p["Wb"].T
 
 
 _BLOCK = np.kron(np.eye(2), np.ones((HIDDEN, HIDDEN))).astype(np.float32).reshape(2 * HIDDEN, 2, HIDDEN)
+#: A direction's states meet its own columns alone, in the update gates of both directions and then in the reset gates.
+_BLOCKS = np.concatenate([_BLOCK.reshape(2 * HIDDEN, 2 * HIDDEN)] * 2, 1)
 
 
 def fit(sample: list[tuple[bytes, int]], odds: float | None = None, passes: int = 8, rate: float = 0.01, batch: int = 64, seed: int = 11) -> ToxicModel:
@@ -220,7 +222,7 @@ def fit(sample: list[tuple[bytes, int]], odds: float | None = None, passes: int
     vocabulary = words[count >= 5]
     u = lambda *s: rng.uniform(-0.35, 0.35, s).astype(np.float32)
     p = {"E": 0.3 * u(len(vocabulary) + 1, DIM), "C": 0.3 * u(1 << GRAM_BITS, DIM), "Wf": u(DIM, 3 * h), "Wb": u(DIM, 3 * h), "bf": np.zeros(3 * h, np.float32), "bb": np.zeros(3 * h, np.float32)}
-    p |= {"Uzr": u(2 * h, 4 * h) * _BLOCK[:, :, None, :].transpose(0, 2, 1, 3).repeat(2, 1).reshape(2 * h, 4 * h), "Uc": u(2 * h, 2 * h) * _BLOCK.reshape(2 * h, 2 * h), "A": u(2 * h, ATTEND), "v": u(ATTEND), "w": u(2 * h), "b": np.float32(0)}
+    p |= {"Uzr": u(2 * h, 4 * h) * _BLOCKS, "Uc": u(2 * h, 2 * h) * _BLOCK.reshape(2 * h, 2 * h), "A": u(2 * h, ATTEND), "v": u(ATTEND), "w": u(2 * h), "b": np.float32(0)}
     model = ToxicModel(vocabulary, p)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     if not 0 < y.sum() < len(y) or not len(w):
