@@ -80,7 +80,7 @@ def _within(rows: list, max_bytes: int) -> list:
     return [r for i, r in enumerate(rows) if i in taken]
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows whose texts have about max_bytes, with the texts as bytes; a null text is empty, a longer one stands alone."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))

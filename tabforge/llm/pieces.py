@@ -9,13 +9,15 @@ A text is cut first where no piece can cross: before a run of spaces, and around
 two or more characters. Short parts are remembered in a bounded table of each worker, since words repeat.
 
 Defined cases: a null or empty text has no pieces and is exact; a literal U+2581 decodes to a space, as in the library,
-so such a text is exact up to that; repeated rows are encoded alike; an empty table gives an empty result. The model's
+so such a text is exact up to that; a part without a cut may be as long as a text (16 bytes a character are kept while it is
+worked on); repeated rows are encoded alike; an empty table gives an empty result. The model's
 file is read on the driver only.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ def load_pieces(model_file: str = MODEL) -> dict:
 class Codec(dict):
     """Encodes and decodes; as a dict it maps short parts of texts to their ids as int32 bytes."""
 
-    REMEMBERED, SHORT = 300_000, 48
+    REMEMBERED, SHORT, LONG = 300_000, 48, 4096
 
     def __init__(self, pieces: dict):
         self.byte, self.unknown = pieces["bytes"], pieces["unknown"]
@@ -120,7 +122,9 @@ class Codec(dict):
 
     def best_path(self, part: str) -> list[int]:
         n = len(part)
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
+        best, back, last = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        if n > self.LONG:  # 16 bytes a character instead of some 100
+            best, back, last = array("d", best), array("i", back), array("i", last)
         edge, ends, rare, state = self.edge, self.ends, self.rare, 0
         for i, c in enumerate(part, 1):
             state = edge.get((state, c)) or self._step(state, c)
@@ -131,13 +135,13 @@ class Codec(dict):
             for d, s, k in found:
                 s += best[i - d]
                 if top is None or s > top:
-                    top, how = s, (i - d, k)
+                    top, at, how = s, i - d, k
             if (not found or found[-1][0] > 1) and (top is None or best[i - 1] + rare > top):
-                top, how = best[i - 1] + rare, (i - 1, -1)
-            best[i], back[i] = top, how
+                top, at, how = best[i - 1] + rare, i - 1, -1
+            best[i], back[i], last[i] = top, at, how
         ids = []
         while n:
-            a, i = back[n]
+            a, i = back[n], last[n]
             ids.extend([i] if i >= 0 else [self.byte[b] for b in reversed(part[a:n].encode())] if self.byte else [self.unknown])
             n = a
         return ids[::-1]

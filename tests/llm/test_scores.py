@@ -109,6 +109,71 @@ def test_toxicity_gradient():
         assert abs((loss(a) - loss(b)) / 2e-2 - dx[at]) < 2e-4
 
 
+def naive_toxicity(model, text):
+    """Largest window logit of one text, step by step, direction by direction."""
+    p, h = {k: np.asarray(v, float) for k, v in model.p.items()}, toxicity.HIDDEN
+    w, sigmoid = Words([text], marks=False), lambda v: 1 / (1 + np.exp(-v))
+    vectors = []
+    for k in range(len(w)):
+        raw = b"\x01" + w.word(k) + b"\x02"
+        runs = [int.from_bytes(raw[i : i + 4], "little") * 0x9E3779B1 % (1 << 32) >> (32 - toxicity.GRAM_BITS) for i in range(len(raw) - 3)]
+        known = np.flatnonzero(model.vocabulary == w.hash[k])
+        vectors.append(p["E"][known[0] if len(known) else -1] + (p["C"][runs].mean(0) if runs else 0))
+    best = -np.inf
+    starts = [*range(0, max(1, len(vectors) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(vectors) - toxicity.WINDOW)]
+    for a in starts if vectors else []:
+        own, states = vectors[a : a + toxicity.WINDOW], {}
+        for d, (wx, bx) in enumerate((("Wf", "bf"), ("Wb", "bb"))):
+            s, at = np.zeros(h), range(len(own)) if d == 0 else range(len(own) - 1, -1, -1)
+            cols = slice(d * h, (d + 1) * h)
+            uz, ur, uc = p["Uzr"][cols, : 2 * h][:, cols], p["Uzr"][cols, 2 * h :][:, cols], p["Uc"][cols, cols]
+            for t in at:
+                x = own[t] @ p[wx] + p[bx]
+                z, r = sigmoid(x[:h] + s @ uz), sigmoid(x[h : 2 * h] + s @ ur)
+                s = s + z * (np.tanh(x[2 * h :] + (r * s) @ uc) - s)
+                states.setdefault(t, [None, None])[d] = s
+        both = np.array([np.concatenate(states[t]) for t in range(len(own))])
+        e = np.exp(np.tanh(both @ p["A"]) @ p["v"])
+        best = max(best, float((e / e.sum()) @ both @ p["w"] + p["b"]))
+    return best if vectors else float(p["b"])
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    docs, labels = labelled(spark, 120)
+    model = toxicity.train_toxicity(docs, labels)
+    texts = [r["text"].encode() for r in docs.orderBy("doc_id").limit(25).collect()] + [b"", b"one", b"a b", "ünï wörds ".encode() * 40, b"scumbag " * 33]
+    want = [1 / (1 + math.exp(-(model.scale * naive_toxicity(model, t) + model.shift))) for t in texts]
+    assert toxicity.score_texts(model, texts) == pytest.approx(want, abs=1e-4)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert [got[i] for i in range(25)] == pytest.approx(want[:25], abs=1e-4)
+
+
+@pytest.mark.parametrize("at", range(0, 70, 3))
+def test_a_passage_lies_whole_in_a_window(at):
+    """Wherever a passage of STRIDE + 1 words stands, some window holds all of it."""
+    for n in (87, 100):
+        start, size, _ = toxicity._window_starts(np.array([0, n]))
+        assert any(s <= at and at + toxicity.STRIDE + 1 <= s + k for s, k in zip(start, size))
+
+
+def test_quality_scores_by_brute_force(spark):
+    """Features listed one by one: words, pairs (a word said twice is one feature), runs of three bytes with the space that ends the text."""
+    docs, labels = labelled(spark, 120)
+    model = quality.train_quality(docs, labels)
+    down, full = 64 - quality.BITS, (1 << 64) - 1
+
+    def naive(text):
+        w = [int(x) for x in Words([text], lower=False).hash]
+        buckets = [x * 0xD6E8FEB86659FD93 % (1 << 64) >> down for x in w]
+        buckets += [0 if a == b else (a * 0xA0761D6478BD642F & full ^ b) * 0xE7037ED1A0B428DB % (1 << 64) >> down for a, b in zip(w, w[1:])]
+        raw = text + b" "
+        buckets += [int.from_bytes(raw[i : i + 3], "little") * 0x9E3779B1 % (1 << 32) >> (32 - quality.BITS) for i in range(len(raw) - 2)]
+        return 1 / (1 + math.exp(-(sum(model.share[b] for b in buckets) / max(1, len(buckets)) + model.bias)))
+
+    texts = [r["text"].encode() for r in docs.orderBy("doc_id").limit(25).collect()] + [b"", b"x", b"same same same", "ünï".encode()]
+    assert quality.score_texts(model, texts) == pytest.approx([naive(t) for t in texts], abs=1e-9)
+
+
 def test_every_window_is_scored():
     start, size, text = toxicity._window_starts(np.array([0, 100, 100, 103]))
     seen = np.zeros(103, bool)

@@ -52,44 +52,48 @@ def test_mixture_meets_the_weights(spark):
     assert sum(n[r["doc_id"]] for r in half.collect()) <= total // 2
 
 
-def test_mixture_by_brute_force(spark):
-    """Which copies come out and in which order, by plain passes over lists; the places are Spark's hashes."""
-    rng = random.Random(8)
-    rows = [(i if i % 50 else None, rng.choice(["a", "a", "a", "b", "c", None]), " ".join(["w"] * rng.randint(0, 40)) if i % 31 else None) for i in range(900)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+def brute_mixture(spark, rows, budget=None, entropy=None, repeats=4.0, block_documents=mixing.BLOCK_DOCUMENTS):
+    """(epoch, doc_id, source, text, block, block_place, place) of each copy, by plain passes over lists, and the weights; the places are Spark's hashes."""
     n = lambda t: len((t or "").split())
-    own = collections.Counter()
+    own, want = collections.Counter(), collections.Counter()
     for _, s, t in rows:
         own[s] += n(t)
-    for budget, entropy, repeats in ((None, None, 4.0), (sum(own.values()) * 3, 1.0, 5.0), (sum(own.values()) // 3, 0.9, None)):
-        out = mixing.mix(df.repartition(5), budget, entropy, repeats, block_documents=16, keep_place=True).collect()
-        total = budget or sum(own.values())
-        a = mixing.bisect_exponent(dict(own), total, entropy, repeats)
-        w = mixing.weights({k: v / sum(own.values()) for k, v in own.items()}, a)
-        for s in own:
-            full, rest = divmod(int(w[s] * total), own[s])
-            mine = [r for r in df.withColumn("__mix_source", F.col("source")).withColumn("__mix_h", F.xxhash64(F.lit(17), "doc_id", "text")).collect() if r["source"] == s]
-            blocks = -(-len(mine) // 16)
-            hashed = spark.createDataFrame([(e, r["doc_id"], s, r["text"], r["__mix_h"], r["__mix_h"] % blocks) for r in mine for e in range(full + 1)], "e int, doc_id long, __mix_source string, text string, __mix_h long, __mix_block long")
-            place = hashed.withColumn("p", mixing.block_order(17, F.col("e"))).withColumn("q", mixing._place(17, F.col("e"))).collect()
-            want = collections.Counter((r["e"], r["doc_id"], r["text"], r["__mix_block"], r["p"], r["q"]) for r in place if r["e"] < full)
-            used, taken = 0, {}
-            last = sorted((r for r in place if r["e"] == full), key=lambda r: (r["p"], r["__mix_block"], r["q"], (r["doc_id"] is not None, r["doc_id"] or 0), r["__mix_h"]))
-            for _, block in itertools.groupby(last, key=lambda r: (r["p"], r["__mix_block"])):
-                block = list(block)
-                if used + sum(n(r["text"]) for r in block) <= rest:
-                    used += sum(n(r["text"]) for r in block)
-                    taken.update({id(r): r for r in block})
-                    continue
-                for r in block if rest else []:
+    total = budget or sum(own.values())
+    a = mixing.bisect_exponent(dict(own), total, entropy, repeats)
+    w = mixing.weights({k: v / sum(own.values()) for k, v in own.items()}, a)
+    for s in own:
+        full, rest = divmod(int(w[s] * total), own[s])
+        mine = spark.createDataFrame([r for r in rows if r[1] == s], "doc_id long, __mix_source string, text string").withColumn("__mix_h", F.xxhash64(F.lit(17), "doc_id", "text"))
+        blocks = -(-mine.count() // block_documents)
+        hashed = mine.withColumn("__mix_block", F.pmod("__mix_h", F.lit(blocks))).withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(full))))
+        place = hashed.withColumn("p", mixing.block_order(17, F.col("e"))).withColumn("q", mixing._place(17, F.col("e"))).collect()
+        key = lambda r, s=s: (r["e"], r["doc_id"], s, r["text"], r["__mix_block"], r["p"], r["q"])
+        want.update(key(r) for r in place if r["e"] < full)
+        used, last = 0, sorted((r for r in place if r["e"] == full), key=lambda r: (r["p"], r["__mix_block"], r["q"], (r["doc_id"] is not None, r["doc_id"] or 0), r["__mix_h"]))
+        for _, block in itertools.groupby(last if rest else [], key=lambda r: (r["p"], r["__mix_block"])):
+            block = list(block)
+            size = sum(n(r["text"]) for r in block)
+            if used + size > rest:
+                for r in block:
                     used += n(r["text"])
                     if used <= rest:
-                        taken[id(r)] = r
+                        want[key(r)] += 1
                 break
-            want.update((r["e"], r["doc_id"], r["text"], r["__mix_block"], r["p"], r["q"]) for r in taken.values() if rest)
-            got = collections.Counter((r["epoch"], r["doc_id"], r["text"], r["block"], r["block_place"], r["place"]) for r in out if r["source"] == s)
-            assert got == want
-            assert all(r["weight"] == pytest.approx(w[s]) for r in out if r["source"] == s)
+            used += size
+            want.update(map(key, block))
+    return want, w
+
+
+def test_mixture_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i if i % 50 else None, rng.choice(["a", "a", "a", "b", "c", None]), " ".join(["w"] * rng.randint(0, 40)) if i % 31 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    total = sum(len((t or "").split()) for *_, t in rows)
+    for budget, entropy, repeats in ((None, None, 4.0), (total * 3, 1.0, 5.0), (total // 3, 0.9, None)):
+        out = mixing.mix(df.repartition(5), budget, entropy, repeats, block_documents=16, keep_place=True).collect()
+        want, w = brute_mixture(spark, rows, budget, entropy, repeats, 16)
+        assert collections.Counter((r["epoch"], r["doc_id"], r["source"], r["text"], r["block"], r["block_place"], r["place"]) for r in out) == want
+        assert all(r["weight"] == pytest.approx(w[r["source"]]) for r in out)
 
 
 def test_mixing_edges(edge_docs, no_docs):
@@ -146,6 +150,18 @@ def test_best_path_by_brute_force():
 KEY = b"only for tests"
 
 
+def test_long_parts_take_the_same_path(monkeypatch):
+    """A part without a cut, worked on in arrays, is cut as in lists; also one of a million characters."""
+    table = [("▁", -1.0, 0), ("a", -1.5, 1), ("b", -1.7, 2), ("ab", -2.0, 3), ("▁a", -1.9, 4), ("ba", -2.5, 5), ("aba", -3.1, 6)]
+    codec = pieces.Codec({"normal": table, "bytes": {}, "unknown": 99})
+    rng = random.Random(1)
+    texts = ["▁" + "".join(rng.choice("abc") for _ in range(n)) for n in (5, 50, 500)]
+    want = [codec.best_path(t) for t in texts]
+    monkeypatch.setattr(pieces.Codec, "LONG", 3)
+    assert [codec.best_path(t) for t in texts] == want
+    assert codec.decode(codec.best_path("▁" + "ab" * 500_000)) == "ab" * 500_000
+
+
 def test_every_mention_of_a_found_name_goes():
     text = "Mrs. Maria Lopez met Maria and Lopez, not Lopezia. Anna Smith called; then Smith, and anna, left. Dr. Lopez-Smith, Mr Pavel."
     found = private.find(text)
@@ -263,6 +279,52 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] and F is not None
 
 
+@needs_model
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All five stages over a small corpus, done by loops: scores of the same model, all pairs of shingle sets, surrogates text by text, passes over lists, best paths."""
+    from tabforge.llm import quality
+    from tabforge.llm.common import fold
+
+    rng = random.Random(12)
+    words = [a + b for a in "ka lo mi tu re so".split() for b in "na ve po di".split()]
+    docs, labels = [], []
+    for i in range(120):
+        t = " ".join(rng.choice(words) for _ in range(rng.randint(40, 90)))
+        t = " ".join(w.upper() + "!!" for w in t.split()) if i % 4 == 0 else t + f" mail user{i}@mail.example.com and Mrs. Maria Lopez, then Lopez"
+        docs.append((i, t, f"s{i % 3 if i % 7 else 0}"))
+        labels.append((i, int(i % 4 > 0), 0))
+    for i in range(0, 120, 5):  # near copies at several similarities
+        w = docs[i][1].split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "zz"
+        docs.append((1000 + i, " ".join(w), "s1"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set(private.KEY_SETTING, "pipeline")
+    try:
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        key = private.session_key(table)
+    finally:
+        spark.conf.unset(private.KEY_SETTING)
+    model = quality.train_quality(table, spark.read.parquet(f"{tmp_path}/labels.parquet"), fold("doc_id", 3) != 1)
+    good = [r for r, s in zip(docs, quality.score_texts(model, [t.encode() for _, t, _ in docs])) if s >= 0.5]
+    assert 60 < len(good) < len(docs)
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)} for i, t, _ in good}
+    group = {i: i for i in sets}
+    linked = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert linked
+    while any(group[i] != group[j] for i, j in linked):
+        for i, j in linked:
+            group[i] = group[j] = min(group[i], group[j])
+    left = [(i, s, private.masked(t, private.find(t), key)) for i, t, s in good if group[i] == i]
+    codec = pieces.Codec(pieces.load_pieces())
+    want = collections.Counter()
+    for (_, i, s, t, *_), n in brute_mixture(spark, left)[0].items():
+        want[i, s, tuple(np.frombuffer(codec.encode(t), np.int32).tolist())] += n
+    assert collections.Counter((r["doc_id"], r["source"], tuple(r["piece_ids"])) for r in out) == want
+
+
 @needs_model
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_edges(spark, tmp_path, edge_docs, no_docs, empty):
