@@ -491,7 +491,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     p = train(texts.where("round is not null").withColumn("shards", F.ceil((F.lit(shards) - F.col("round")) / rounds)), lexicon)
     fit = spark.sparkContext.broadcast((lexicon.end, p))
     # few long texts keep their lanes busy alone at a chunk's end, so chunks are whole: files are read together, nothing is shuffled
-    chunks = max(1, -(-texts.select(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // (2 * CHUNK_TOKENS)))
+    n = texts.select(F.coalesce(F.sum(F.octet_length("tokens") / 2), F.lit(0))).first()[0]
+    chunks = max(1, math.ceil(n / CHUNK_TOKENS), min(spark.sparkContext.defaultParallelism, int(n / 1_000_000)))
     model = texts.select("uid", "tokens").coalesce(chunks).mapInArrow(lambda b: _modelled(b, *fit.value), "uid long, model double")
     named = counts.select("word", "c")
     met = encoded.where("kind = 'word'").select("uid", "word", "n").join(named, "word", "left").select("uid", F.when(F.col("c") > 0, F.col("n")).alias("known"), (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare"))
