@@ -192,8 +192,8 @@ def fit(df: DataFrame, ids: Sequence[str] = (), target: str | None = None, touch
     return plan
 
 
-def apply(df: DataFrame, plan: CleanPlan) -> DataFrame:
-    """One projection for all rules, then the row filter."""
+def apply(df: DataFrame, plan: CleanPlan, drop_rows: bool = True) -> DataFrame:
+    """One projection for all rules, then the row filter, if rows are to go."""
     out = df.drop(*plan.drop)
     for step in (
         {c: cleaned_string(F.col(c), plan.lowercase) for c in plan.strings},
@@ -203,7 +203,7 @@ def apply(df: DataFrame, plan: CleanPlan) -> DataFrame:
     ):
         step = {c: e for c, e in step.items() if c in out.columns}
         out = out.withColumns(step) if step else out
-    return full_rows(out, plan.row_share)
+    return full_rows(out, plan.row_share) if drop_rows else out
 
 
 def report(df: DataFrame, plan: CleanPlan) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-15
+MAX_CLASSES = 2000
 
 
 def cells(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
@@ -19,9 +20,11 @@ def cells(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
 
 
 def confusion(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
-    """Dense matrix over the sorted classes that occur in either column (their squares are few: a class table joined with itself, broadcast)."""
+    """Dense matrix over the sorted classes that occur in either column; more than MAX_CLASSES are refused, as the matrix has their square."""
     found = cells(df, y, y_pred)
     classes = found.select(F.col("y").alias("c")).unionByName(found.select(F.col("y_pred").alias("c"))).distinct()
+    if classes.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     square = classes.select(F.col("c").alias("y")).crossJoin(F.broadcast(classes.select(F.col("c").alias("y_pred"))))
     return square.join(found, ["y", "y_pred"], "left").select("y", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.operators import models
 from tabforge.operators.preprocess import impute_values
 from tabforge.operators.resample import resampled
 from tabforge.operators.stats import numeric_columns, per_column
+from tabforge.sources.tables import checkpointed
 
-MOST_FEATURES = 5000
+MOST_FEATURES, MOST_CLASSES = 5000, 100
 
 
 def identity(df: DataFrame) -> DataFrame:
@@ -63,20 +65,40 @@ def variance_ranking(df: DataFrame, n: int, columns: Sequence[str] | None = None
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(F.col("column").alias("feature"), "importance", "rank")
 
 
+def importance_ranking(df: DataFrame, target: str, n: int, columns: Sequence[str]) -> DataFrame:
+    """feature, importance and rank by a forest that predicts the target; where it finds nothing by a linear model, else by variance.
+
+    The variance ranks, too, where there is nothing to classify: one class, or more than MOST_CLASSES.
+    """
+    classes = sorted(r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect())
+    if 1 < len(classes) <= MOST_CLASSES and columns:
+        code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target)) - 1
+        rows = df.where(F.col(target).isNotNull()).select(*[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(columns)], code.alias("_label"))
+        table = checkpointed(models.assembled(rows, [f"_{i}" for i in range(len(columns))], "_label"))
+        for rank in (lambda: models.forest_importance(table, columns, n), lambda: models.linear_importance(table, columns).where(F.col("rank") <= n)):
+            found = rank()
+            if found.where("importance > 0").take(1):
+                return found
+    return variance_ranking(df, n, columns)
+
+
 def project(df: DataFrame, selected: Sequence[str], n: int = 20, keep: Sequence[str] = ()) -> DataFrame:
     """The selected columns that exist; if none does, the first n."""
     there = [c for c in selected if c in df.columns]
     return df.select(*keep, *[F.col(f"`{c}`") for c in there or [c for c in df.columns if c not in keep][:n]])
 
 
-def run(train: DataFrame, test: DataFrame | None, target: str, n: int = 20, keep: Sequence[str] = (), make: bool = True, resampling: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """The stage: resample train (or not; the first of keep is its key), generate (or not), rank on train by variance, project both."""
+def run(train: DataFrame, test: DataFrame | None, target: str, n: int = 20, keep: Sequence[str] = (), make: bool = True, resampling: str | None = None, ranking: str = "importance") -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The stage: resample train (or not; the first of keep is its key), generate (or not), rank on train by importance or variance, project both."""
+    if ranking not in ("importance", "variance"):
+        raise ValueError(f"unknown ranking {ranking}")
     columns = [c for c in numeric_columns(train) if c != target and c not in keep]
     if resampling:
         keep = list(keep[:1])
         train = resampled(train, keep[0], columns, target, resampling)
     shape = lambda df: generate(df, columns, [*keep, target], target) if make else df.select(*keep, target, *columns)
     made = shape(train)
-    ranking = variance_ranking(made.drop(*keep, target), n)
-    names = [r["feature"] for r in ranking.orderBy("rank").collect()]
-    return project(made, names, n, [*keep, target]), None if test is None else project(shape(test), names, n, [*keep, target]), ranking
+    names = [c for c in made.columns if c != target and c not in keep]
+    ranked = importance_ranking(made, target, n, names) if ranking == "importance" else variance_ranking(made, n, names)
+    names = [r["feature"] for r in ranked.orderBy("rank").collect()]
+    return project(made, names, n, [*keep, target]), None if test is None else project(shape(test), names, n, [*keep, target]), ranked

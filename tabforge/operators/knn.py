@@ -1,10 +1,12 @@
 """Exact nearest neighbours, in blocks.
 
-The reference rows are packed into blocks of a bounded number of rows, and so are the queries; each pair of blocks is one
-row of a grid (an equality join on the block's number), scored by a matrix product in a task. A task hands on the k best of
-its block pair for each query, and the pairs' results meet in one window per query. The work is the number of queries times
-the number of rows, as an exact search must be; memory is that of two blocks. Beyond a million rows
-`BucketedRandomProjectionLSH` is the approximate way (`approximate`).
+The reference rows are packed into blocks of a bounded number of rows, each of which goes to one task and stays there; the
+queries are packed, too, and a copy of each of their blocks goes to each block of rows (an equality join on the block's
+number, the only shuffle of them). A pair of blocks is scored in numpy on the flat Arrow arrays and hands on the k best of
+its rows for each query; they meet in one window per query, which is cut to k before it is shuffled. The work is the number
+of queries times the number of rows, as an exact search must be, what is moved is the queries times the number of blocks,
+and memory is that of two blocks. Beyond a million rows `BucketedRandomProjectionLSH` is the approximate way
+(`approximate`).
 """
 
 from __future__ import annotations
@@ -12,22 +14,52 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+BLOCK, LEAST_BLOCK = 8192, 512
 DIGITS = 9
 
 
-def _blocks(df: DataFrame, name: str, within: bool) -> tuple[DataFrame, int]:
-    """name_b (block), g (group or 0) and packed rows (struct of id and x); the number of blocks."""
-    n = max(1, -(-df.count() // BLOCK))
+def _blocks(df: DataFrame, name: str, within: bool, spread: int) -> tuple[DataFrame, int]:
+    """name_b (block), g (group or 0) and packed rows (struct of id and x); the number of blocks: at least `spread`, if blocks keep LEAST_BLOCK rows."""
+    n = df.count()
+    n = max(1, -(-n // BLOCK), min(spread, n // LEAST_BLOCK))
     group = F.col("g") if within else F.lit(0)
     rows = df.select("id", "x", group.cast("string").alias("g"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int").alias(f"{name}_b"))
     return rows.groupBy(f"{name}_b", "g").agg(F.collect_list(F.struct("id", "x")).alias(name)), n
 
 
+def _unpacked(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """ids, ascending, and the matrix of their points."""
+    ids, x = rows.values.field("id").to_numpy(), rows.values.field("x").flatten().to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x.reshape(len(ids), -1)[order]
+
+
+def _distances(q: np.ndarray, r: np.ndarray, p: int) -> np.ndarray:
+    if p == 1 or q.shape[1] <= 16:
+        gap = q[:, None, :] - r[None, :, :]
+        return np.abs(gap).sum(2) if p == 1 else np.sqrt((gap * gap).sum(2))
+    return np.stack([np.sqrt(((r - one) ** 2).sum(1)) for one in q])
+
+
+def _nearest(qi: np.ndarray, qx: np.ndarray, ri: np.ndarray, rx: np.ndarray, k: int, exclude_self: bool, p: int) -> Iterator[tuple]:
+    """Query, neighbour and distance of the k best of one block of rows, some queries at a time."""
+    some = max(1, min(256, (1 << 22) // max(1, rx.size)))
+    for a in range(0, len(qi), some):
+        d = np.round(_distances(qx[a : a + some], rx, p), DIGITS)
+        if exclude_self:
+            d[qi[a : a + some, None] == ri[None, :]] = np.inf
+        kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1, None]
+        row, col = np.nonzero((d <= kth) & np.isfinite(d))
+        order = np.lexsort((col, d[row, col], row))  # columns stand in the order of their ids
+        row, col = row[order], col[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield qi[a + row[top]], ri[col[top]], d[row[top], col[top]]
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclude_self: bool = True, p: int = 2) -> DataFrame:
     """id, neighbour, distance and rank (from 1) of the k nearest rows of each query.
 
@@ -35,47 +67,18 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclu
     (distances equal to nine digits) go to the smaller id. Rows with a null id or x take no part. p: 2 Euclidean, 1 Manhattan.
     """
     clean = lambda df: df.where("id is not null and x is not null")
-    left, _ = _blocks(clean(queries), "q", within)
-    right, n = _blocks(clean(rows), "r", within)
-    grid = left.withColumn("r_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, ["r_b", "g"])
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q, r in zip(pdf["q"], pdf["r"]):
-                qi, ri = np.array([v["id"] for v in q], np.int64), np.array([v["id"] for v in r], np.int64)
-                qx, rx = np.array([v["x"] for v in q], float), np.array([v["x"] for v in r], float)
-                for a in range(0, len(qi), 256):
-                    gap = qx[a : a + 256, None, :] - rx[None, :, :] if p == 1 or qx.shape[1] <= 16 else None
-                    if p == 1:
-                        d = np.abs(gap).sum(2)
-                    elif gap is not None:
-                        d = np.sqrt((gap * gap).sum(2))
-                    else:
-                        d = np.stack([np.sqrt(((rx - one) ** 2).sum(1)) for one in qx[a : a + 256]])
-                    d = np.round(d, DIGITS)
-                    if exclude_self:
-                        d[qi[a : a + 256, None] == ri[None, :]] = np.inf
-                    for i, row in enumerate(d):
-                        kth = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-                        near = np.flatnonzero((row <= kth) & np.isfinite(row))
-                        near = near[np.lexsort((ri[near], row[near]))][:k]
-                        if len(near):
-                            yield pd.DataFrame({"id": qi[a + i], "neighbour": ri[near], "distance": row[near]})
-
-    def packed(batches):
-        """Small frames joined, so that few batches go back."""
-        kept, n_kept = [], 0
-        for f in best(batches):
-            kept.append(f)
-            n_kept += len(f)
-            if n_kept > 20_000:
-                yield pd.concat(kept)
-                kept, n_kept = [], 0
-        if kept:
-            yield pd.concat(kept)
-
-    scored = grid.select("q", "r").repartition(max(1, min(n * n, 2 * grid.sparkSession.sparkContext.defaultParallelism * n))).mapInPandas(packed, "id long, neighbour long, distance double")
+    left, _ = _blocks(clean(queries), "q", within, 1)
+    right, n = _blocks(clean(rows), "r", within, queries.sparkSession.sparkContext.defaultParallelism)
+    grid = left.withColumn("r_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, ["r_b", "g"]).select("q", "r")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, r in zip(batch.column(0), batch.column(1)):
+                for found in _nearest(*_unpacked(q), *_unpacked(r), k, exclude_self, p):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "neighbour", "distance"])
+
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
+    scored = grid.mapInArrow(best, "id long, neighbour long, distance double")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -86,11 +89,20 @@ def vote(neighbours: DataFrame, labels: DataFrame, weights: str = "uniform") ->
     return counted.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label"))["label"].alias("prediction"))
 
 
-def approximate(queries: DataFrame, rows: DataFrame, radius: float, bucket: float, tables: int = 4) -> DataFrame:
-    """Pairs within a radius by locality-sensitive hashing: id, neighbour and distance; some pairs may be missed."""
+def approximate(queries: DataFrame, rows: DataFrame, radius: float, bucket: float | None = None, tables: int = 6) -> DataFrame:
+    """Pairs within a radius by locality-sensitive hashing: id, neighbour and distance; some pairs may be missed.
+
+    bucket: width of the buckets on random unit vectors, by default twice the radius: a pair at the radius parts in a table
+    with probability 0.4 or less (two normal points in a projection), in all six with less than 0.005. Equal points are
+    searched once, so a point that many rows share does not emit its pairs against itself in the join.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    v = lambda df: df.select("id", array_to_vector("x").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=42).fit(v(rows))
-    return model.approxSimilarityJoin(v(queries), v(rows), radius, "distance").select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbour"), "distance").where("id <> neighbour")
+    point = F.xxhash64("x")
+    members = lambda df: df.where("id is not null and x is not null").select("id", point.alias("point"))
+    points = lambda df: df.where("id is not null and x is not null").groupBy(point.alias("point")).agg(F.min("x").alias("x")).select("point", array_to_vector("x").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket or 2 * radius, numHashTables=tables, seed=42).fit(points(rows))
+    near = model.approxSimilarityJoin(points(queries), points(rows), radius, "distance").select(F.col("datasetA.point").alias("point"), F.col("datasetB.point").alias("other"), "distance")
+    named = near.join(members(queries), "point").join(members(rows).select(F.col("id").alias("neighbour"), F.col("point").alias("other")), "other")
+    return named.select("id", "neighbour", "distance").where("id <> neighbour")

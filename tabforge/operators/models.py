@@ -1,7 +1,9 @@
 """Classifiers behind one entry: fit(df, name, params) on a table with features (vector) and label (double from 0).
 
-Learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial
-kernel from landmark features. Binary learners are wrapped in one-vs-rest where there are more classes.
+Learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial kernel
+from landmark features with calibrated margins, naive Bayes and discriminants from one aggregate, nearest neighbours from
+the block search. Binary learners are wrapped in one-vs-rest where there are more classes. Every fitted model can be saved
+and loaded.
 """
 
 from __future__ import annotations
@@ -12,13 +14,16 @@ from collections.abc import Sequence
 from pyspark.ml import Model, Transformer
 from pyspark.ml import classification as M
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabforge.operators import bayes, knn
+from tabforge.sources.tables import checkpointed, read_json, write_json
+
 SEED = 42
-# Default parameters by model.
+# Default parameters by model.
 DEFAULTS: dict[str, dict] = {
     "logistic_regression": {"C": 1.0, "max_iter": 1000},
     "ridge": {"alpha": 1.0},
@@ -33,7 +38,14 @@ DEFAULTS: dict[str, dict] = {
     "xgboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.8},
     "lightgbm": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
     "catboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
+    "knn": {"k": 5, "weights": "uniform", "p": 2},
+    "gaussian_nb": {"smoothing": 1e-9},
+    "multinomial_nb": {"alpha": 1.0},
+    "bernoulli_nb": {"alpha": 1.0, "threshold": 0.0},
+    "lda": {},
+    "qda": {"reg_param": 0.0},
 }
+GENERATIVE = {"gaussian_nb": "gaussian", "multinomial_nb": "multinomial", "bernoulli_nb": "bernoulli", "lda": "lda", "qda": "qda"}
 
 
 def assembled(df: DataFrame, columns: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -42,45 +54,59 @@ def assembled(df: DataFrame, columns: Sequence[str], label: str, keep: Sequence[
 
 
 class Rule(Transformer):
-    """A fitted model that is a function of a table."""
+    """A fitted composed model: its kind, plain values, fitted Spark models and tables."""
 
-    def __init__(self, apply, state: dict):
+    def __init__(self, kind: str, state: dict, models: Sequence[Model] = (), tables: dict[str, DataFrame] | None = None):
         super().__init__()
-        self.apply, self.state = apply, state
+        self.kind, self.state, self.models, self.tables = kind, state, list(models), tables or {}
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return self.apply(df, self.state)
+        return _APPLY[self.kind](df, self)
 
 
-def _dot(weights) -> F.Column:
+def _dot(weights) -> Column:
     x = vector_to_array("features")
     return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
 def _argmax(df: DataFrame, scores: Sequence) -> DataFrame:
-    """rawPrediction (array of scores) and prediction (the first largest)."""
+    """rawScores (array) and prediction (the first largest)."""
     df = df.withColumn("rawScores", F.array(*scores))
     return df.withColumn("prediction", (F.array_position("rawScores", F.array_max("rawScores")) - 1).cast("double"))
 
 
+def _shared(parts: Column) -> Column:
+    """A probability vector from an array of weights."""
+    total = F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
+    return array_to_vector(F.transform(parts, lambda v: F.when(total > 0, v / total).otherwise(F.lit(1.0) / F.size(parts))))
+
+
+def _softmax(scores: str) -> Column:
+    """Probabilities from log scores."""
+    return _shared(F.transform(scores, lambda v: F.exp(v - F.array_max(scores))))
+
+
 def _ridge(df: DataFrame, classes: int, p: dict) -> Rule:
-    n = df.count()
+    sizes = {int(r["label"]): r["count"] for r in df.groupBy("label").count().collect()}
+    n = sum(sizes.values())
     fits = []
-    for c in range(classes if classes > 2 else 1):
-        y = df.withColumn("y", F.when(F.col("label") == (c if classes > 2 else 1), 1.0).otherwise(-1.0))
-        m = LinearRegression(labelCol="y", solver="normal", regParam=p["alpha"] / n, standardization=False).fit(y)
+    for c in range(classes) if classes > 2 else [1]:
+        y = df.withColumn("y", F.when(F.col("label") == c, 1.0).otherwise(-1.0))
+        share = sizes.get(c, 0) / n
+        spread = 2 * math.sqrt(share * (1 - share)) or 1.0  # Spark's penalty is in units of the target's deviation
+        m = LinearRegression(labelCol="y", solver="normal", regParam=p["alpha"] / n * spread, standardization=False).fit(y)
         fits.append((m.coefficients.toArray().tolist(), m.intercept))
 
-    def apply(rows, state):
-        scores = [_dot(w) + F.lit(float(b)) for w, b in state["fits"]]
-        return _argmax(rows, scores if classes > 2 else [-scores[0], scores[0]])
+    return Rule("ridge", {"fits": fits})
 
-    return Rule(apply, {"fits": fits})
+
+def _apply_ridge(df: DataFrame, rule: Rule) -> DataFrame:
+    scores = [_dot(w) + F.lit(float(b)) for w, b in rule.state["fits"]]
+    return _argmax(df, scores if len(scores) > 1 else [-scores[0], scores[0]])
 
 
 def _adaboost(df: DataFrame, classes: int, p: dict) -> Rule:
     """SAMME: each stump is fitted on weights that the last one's errors raised; the weights are checkpointed every ten rounds."""
-    spark = df.sparkSession
     now, stumps = df.withColumn("w", F.lit(1.0)), []
     for i in range(p["n_estimators"]):
         stump = M.DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=SEED).fit(now)
@@ -95,42 +121,94 @@ def _adaboost(df: DataFrame, classes: int, p: dict) -> Rule:
             break
         now = scored.withColumn("w", F.col("w") * F.when(F.col("prediction") != F.col("label"), F.lit(math.exp(min(alpha, 50)))).otherwise(1.0)).drop("prediction")
         if i % 10 == 9:
-            if spark.sparkContext.getCheckpointDir() is None:
-                from tabforge.sources.tables import scratch_dir
+            now = checkpointed(now)
 
-                spark.sparkContext.setCheckpointDir(scratch_dir(spark))
-            now = now.checkpoint()
+    return Rule("adaboost", {"weights": [a for a, _ in stumps], "classes": classes}, [m for _, m in stumps])
 
-    def apply(rows, state):
-        votes = []
-        for i, (a, s) in enumerate(state["stumps"]):
-            kept = [c for c in rows.columns]
-            rows = s.transform(rows).select(*kept, F.col("prediction").alias(f"_s{i}"))
-            votes.append((a, f"_s{i}"))
-        scores = [sum((F.when(F.col(k) == c, F.lit(a)).otherwise(0.0) for a, k in votes), F.lit(0.0)) for c in range(classes)]
-        return _argmax(rows, scores).drop(*[k for _, k in votes])
 
-    return Rule(apply, {"stumps": stumps})
+def _apply_adaboost(df: DataFrame, rule: Rule) -> DataFrame:
+    kept, votes = df.columns, []
+    for i, stump in enumerate(rule.models):
+        df = stump.transform(df).select(*kept, *votes, F.col("prediction").alias(f"_s{i}"))
+        votes.append(f"_s{i}")
+    scores = [sum((F.when(F.col(k) == c, F.lit(float(a))).otherwise(0.0) for a, k in zip(rule.state["weights"], votes)), F.lit(0.0)) for c in range(rule.state["classes"])]
+    return _argmax(df, scores).drop(*votes)
 
 
 def _svc(df: DataFrame, classes: int, p: dict) -> Rule:
-    """Radial kernel on landmarks (Nystroem): rows nearest by hash are the landmarks, kernel values the features of a linear machine."""
+    """Radial kernel on landmarks (Nystroem): rows nearest by hash are the landmarks, kernel values the features of a linear machine; its margins are calibrated by logistic regression (Platt)."""
     d = len(df.first()["features"])
     x = vector_to_array("features")
     var = df.select(F.posexplode(x)).groupBy("pos").agg(F.avg("col").alias("m"), F.avg(F.col("col") ** 2).alias("q")).agg(F.avg(F.col("q") - F.col("m") ** 2)).first()[0]
-    gamma = p.get("gamma") or 1 / (d * max(var, 1e-12))
-    marks = [r[0] for r in df.select(x.alias("x")).orderBy(F.xxhash64("x")).limit(p["landmarks"]).collect()]
+    gamma = {"scale": 1 / (d * max(var, 1e-12)), "auto": 1 / d}.get(p.get("gamma", "scale")) or p["gamma"]
+    marks = [list(r[0]) for r in df.select(x.alias("x")).distinct().orderBy(F.xxhash64("x")).limit(p["landmarks"]).collect()] if p.get("kernel", "rbf") == "rbf" else []
+    linear = M.LinearSVC(featuresCol="kernel", regParam=1 / (p["C"] * max(1, df.count())), maxIter=50)
+    learner = linear if classes == 2 else M.OneVsRest(classifier=linear, featuresCol="kernel")
+    rule = Rule("svc", {"gamma": gamma, "marks": marks, "calibration": []})
+    mapped = _kernel(df, rule.state)
+    rule.models = [learner.fit(mapped)]
+    margins = rule.models[0].transform(mapped).select("label", vector_to_array("rawPrediction").alias("margin"))
+    for c in range(classes if classes > 2 else 1):
+        k = c if classes > 2 else 1
+        one = margins.select(array_to_vector(F.array(F.get("margin", F.lit(k)))).alias("features"), (F.col("label") == k).cast("double").alias("label"))
+        fitted = M.LogisticRegression(regParam=1e-6, maxIter=50).fit(one)
+        rule.state["calibration"].append((float(fitted.coefficients[0]), float(fitted.intercept)))
+    return rule
 
-    def kernel(rows):
-        parts = [F.exp(-gamma * F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in m]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) for m in marks]
-        from pyspark.ml.functions import array_to_vector
 
-        return rows.withColumn("kernel", array_to_vector(F.array(*parts)))
+def _kernel(df: DataFrame, state: dict) -> DataFrame:
+    if not state["marks"]:
+        return df.withColumn("kernel", F.col("features"))
+    x, gamma = vector_to_array("features"), float(state["gamma"])
+    gap = lambda m: F.aggregate(F.zip_with(x, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    marks = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in state["marks"]])
+    return df.withColumn("kernel", array_to_vector(F.transform(marks, lambda m: F.exp(-gamma * gap(m)))))
 
-    linear = M.LinearSVC(featuresCol="kernel", regParam=1 / (p["C"] * max(1, df.count())), maxIter=50)
-    learner = linear if classes == 2 else M.OneVsRest(classifier=linear, featuresCol="kernel")
-    machine = learner.fit(kernel(df).cache())
-    return Rule(lambda rows, state: state["machine"].transform(kernel(rows)).drop("kernel"), {"machine": machine})
+
+def _apply_svc(df: DataFrame, rule: Rule) -> DataFrame:
+    out, margin = rule.models[0].transform(_kernel(df, rule.state)), vector_to_array("rawPrediction")
+    logistic = lambda k, ab: 1 / (1 + F.exp(-(ab[0] * F.get(margin, F.lit(k)) + ab[1])))
+    pairs = rule.state["calibration"]
+    parts = [logistic(k, ab) for k, ab in enumerate(pairs)] if len(pairs) > 1 else [1 - logistic(1, pairs[0]), logistic(1, pairs[0])]
+    return out.withColumn("probability", _shared(F.array(*parts))).drop("kernel")
+
+
+def _columns(df: DataFrame, d: int) -> tuple[DataFrame, list[str]]:
+    """df with its features as d columns of their own."""
+    names = [f"_f{i}" for i in range(d)]
+    return df.withColumn("_x", vector_to_array("features")).select(*df.columns, *[F.get("_x", F.lit(i)).alias(n) for i, n in enumerate(names)]), names
+
+
+def _generative(df: DataFrame, kind: str, p: dict) -> Rule:
+    d = len(df.first()["features"])
+    wide, names = _columns(df.select("features", "label"), d)
+    fitted = bayes.FITS[kind][0](wide, names, "label", **p)
+    return Rule("generative", {"kind": kind, "d": d, "classes": [[float(c), v] for c, v in sorted(fitted.items())]})
+
+
+def _apply_generative(df: DataFrame, rule: Rule) -> DataFrame:
+    """Classes that training did not meet have no probability."""
+    wide, names = _columns(df, rule.state["d"])
+    scores = bayes.FITS[rule.state["kind"]][1](dict(map(tuple, rule.state["classes"])), names)
+    top = int(max(scores))
+    out = _argmax(wide, [scores.get(float(c), F.lit(-1e300)) for c in range(top + 1)])
+    return out.withColumn("probability", _softmax("rawScores")).drop(*names)
+
+
+def _apply_knn(df: DataFrame, rule: Rule) -> DataFrame:
+    """Every row gets a number, which its neighbours are found by; the numbers are written, so they stay."""
+    s = rule.state
+    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    queries = rows.select(F.col("_row").alias("id"), vector_to_array("features").alias("x"))
+    train = rule.tables["train"]
+    near = knn.knn(queries, train.select("id", "x"), s["k"], exclude_self=False, p=s["p"])
+    weight = F.lit(1.0) if s["weights"] == "uniform" else 1 / F.greatest(F.col("distance"), F.lit(1e-12))
+    votes = near.join(train.select(F.col("id").alias("neighbour"), "label"), "neighbour").groupBy("id").agg(*[F.sum(F.when(F.col("label") == c, weight).otherwise(0.0)).alias(f"_v{c}") for c in range(s["classes"])])
+    scored = _argmax(votes, [F.col(f"_v{c}") for c in range(s["classes"])]).select(F.col("id").alias("_row"), "rawScores", "prediction")
+    return rows.join(scored, "_row", "left").withColumn("probability", _shared(F.col("rawScores"))).drop("_row")
+
+
+_APPLY = {"ridge": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn}
 
 
 def estimator(name: str, classes: int, n: int, p: dict):
@@ -147,7 +225,7 @@ def estimator(name: str, classes: int, n: int, p: dict):
     elif name == "extra_trees":
         return trees(bootstrap=False)
     elif name in ("gradient_boosting", "xgboost", "lightgbm", "catboost"):
-        one = M.GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], subsamplingRate=p.get("subsample", 1.0), seed=SEED)
+        one = M.GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], subsamplingRate=p.get("subsample", 1.0), minInstancesPerNode=p.get("min_samples_leaf", 1), seed=SEED)
     else:
         raise ValueError(f"unknown model {name}")
     return one if classes == 2 else M.OneVsRest(classifier=one)
@@ -166,8 +244,13 @@ def fit(df: DataFrame, name: str, params: dict | None = None) -> Model | Rule:
     if name == "svc":
         return _svc(df, classes, p)
     if name == "mlp":
-        d = len(df.first()["features"])
-        return M.MultilayerPerceptronClassifier(layers=[d, p["hidden"], classes], maxIter=p["max_iter"], seed=SEED).fit(df)
+        hidden = p["hidden"] if isinstance(p["hidden"], (list, tuple)) else [p["hidden"]]
+        return M.MultilayerPerceptronClassifier(layers=[len(df.first()["features"]), *hidden, classes], maxIter=p["max_iter"], seed=SEED).fit(df)
+    if name in GENERATIVE:
+        return _generative(df, GENERATIVE[name], p)
+    if name == "knn":
+        train = checkpointed(df.select(F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label")))
+        return Rule("knn", p | {"classes": classes}, tables={"train": train})
     return estimator(name, classes, df.count(), p).fit(df)
 
 
@@ -178,6 +261,29 @@ def score(model, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return out.select(*keep, "label", "prediction", *more)
 
 
+def save(model: Model | Rule, spark: SparkSession, path: str) -> str:
+    """Writes a fitted model of any learner: one row of JSON, and its Spark models and tables beside it."""
+    if isinstance(model, Rule):
+        for i, m in enumerate(model.models):
+            m.write().overwrite().save(f"{path}/model-{i}")
+        for name, table in model.tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/table-{name}")
+        state = {"kind": model.kind, "state": model.state, "models": [type(m).__name__ for m in model.models], "tables": sorted(model.tables)}
+    else:
+        model.write().overwrite().save(f"{path}/model-0")
+        state = {"kind": None, "models": [type(model).__name__]}
+    write_json(state, spark, f"{path}/state")
+    return path
+
+
+def load(spark: SparkSession, path: str) -> Model | Rule:
+    state = read_json(spark, f"{path}/state")
+    loaded = [getattr(M, name).load(f"{path}/model-{i}") for i, name in enumerate(state["models"])]
+    if state["kind"] is None:
+        return loaded[0]
+    return Rule(state["kind"], state["state"], loaded, {name: spark.read.parquet(f"{path}/table-{name}") for name in state["tables"]})
+
+
 def forest_importance(df: DataFrame, columns: Sequence[str], n: int = 20) -> DataFrame:
     """feature, importance and rank from a forest of 100 trees."""
     model = fit(df, "random_forest")
@@ -187,14 +293,11 @@ def forest_importance(df: DataFrame, columns: Sequence[str], n: int = 20) -> Dat
 
 def permutation_importance(df: DataFrame, columns: Sequence[str], model, key: str) -> DataFrame:
     """Loss of accuracy when a feature takes the value of another row: its partner by the order of a hash, found per range of the hash."""
-    from pyspark.sql import Window
-
     x = vector_to_array("features")
     base = model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     order = Window.partitionBy(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(64))).orderBy(F.xxhash64(key, F.lit(2)), key)
-    shifted = df.withColumn("_x", x).withColumn("_y", F.coalesce(F.lead("_x").over(order), F.first("_x").over(order))).cache()
+    shifted = checkpointed(df.withColumn("_x", x).withColumn("_y", F.coalesce(F.lead("_x").over(order), F.first("_x").over(order))))
     rows = []
-    from pyspark.ml.functions import array_to_vector
 
     def swapped(i: int):
         return lambda v, k: F.when(k == i, F.get("_y", k)).otherwise(v)
@@ -213,6 +316,4 @@ def linear_importance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     means = df.select(F.posexplode(x)).groupBy("pos").agg(F.avg("col").alias("m"))
     gap = df.select(F.posexplode(x)).join(F.broadcast(means), "pos").groupBy("pos").agg(F.avg(F.abs(F.col("col") - F.col("m"))).alias("gap"))
     names = df.sparkSession.createDataFrame([(i, c, float(abs(w[:, i]).mean())) for i, c in enumerate(columns)], "pos int, feature string, w double")
-    from pyspark.sql import Window
-
     return gap.join(F.broadcast(names), "pos").select("feature", (F.col("gap") * F.col("w")).alias("importance")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))

@@ -169,12 +169,16 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates")).withColumn("has_duplicates", F.col("duplicates") > 0)
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """The profile table: one row a column with type, nulls, distinct values and, for numbers, moments and quartiles."""
+def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
+    """The profile table: one row a column with type, nulls, distinct values and, for numbers, moments and quartiles.
+
+    exact=False takes approximate distinct counts and quartiles, which need no shuffle of the values.
+    """
     numbers = numeric_columns(df)
-    base = schema_table(df).join(distinct_counts(df, df.columns), "column", "left")  # an empty table has no values
+    counts = distinct_counts(df, df.columns) if exact else per_column(df, df.columns, {"distinct": lambda c: F.approx_count_distinct(c, 0.01), "n": lambda c: F.count("*")})
+    base = schema_table(df).join(counts, "column", "left")  # an empty table has no values
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return base.join(F.broadcast(describe(df, numbers).drop("n")), "column", "left").select("column", "position", "kind", zero("n"), "nulls", zero("distinct"), "mean", "std", "min", "q25", "q50", "q75", "max")
+    return base.join(F.broadcast(describe(df, numbers, exact).drop("n")), "column", "left").select("column", "position", "kind", zero("n"), "nulls", zero("distinct"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def feature_lists(df: DataFrame, target: str) -> dict:

@@ -1,7 +1,8 @@
 """Resampling of imbalanced classes: SMOTE, Tomek links, edited nearest neighbours and ADASYN.
 
-Rows are id (long), x (array of double) and label (text). Synthetic rows get negative ids; the neighbour and the step
-between two rows come from MD5, so a run can be repeated on any cluster.
+Rows are id (long), x (array of double) and label (text); classes are few. Synthetic rows are numbered downwards from below
+zero and the smallest id, in the order of their seeds' MD5; the neighbour and the step between two rows come from MD5, too,
+so a run can be repeated on any cluster.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.operators.knn import knn
+from tabforge.operators.stats import running_before
+from tabforge.sources.tables import checkpointed
 
 NEIGHBOURS = 5
 
@@ -21,15 +24,17 @@ def _digits(*parts: Column) -> Column:
 
 def _synthetic(rows: DataFrame, quota: DataFrame, k: int, within: bool = True) -> DataFrame:
     """quota: id and n, how many rows to make from it; the neighbours are of its own class."""
-    seeds = rows.join(quota.where("n > 0"), "id")
+    least = rows.agg(F.least(F.min("id"), F.lit(0))).first()[0] or 0
+    numbered = running_before(quota.where("n > 0").withColumn("_key", F.md5(F.col("id").cast("string"))).withColumn("_all", F.lit(0)), F.col("n"), "_key", "_all", "before")
+    seeds = rows.join(numbered.select("id", "n", "before"), "id")
     near = knn(seeds.select("id", "x", F.col("label").alias("g")), rows.select("id", "x", F.col("label").alias("g")), k, within=True)
     lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))
     made = seeds.join(lists, "id").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     pick = F.pmod(_digits(F.col("id"), F.col("j"), F.lit("n")), F.size("near"))
-    made = made.select("id", "j", "x", "label", F.get("near", pick.cast("int"))["neighbour"].alias("neighbour"), (_digits(F.col("id"), F.col("j"), F.lit("u")) / F.lit(4294967296.0)).alias("u"))
+    made = made.select("before", "j", "x", "label", F.get("near", pick.cast("int"))["neighbour"].alias("neighbour"), (_digits(F.col("id"), F.col("j"), F.lit("u")) / F.lit(4294967296.0)).alias("u"))
     other = rows.select(F.col("id").alias("neighbour"), F.col("x").alias("y"))
     mixed = made.join(other, "neighbour")
-    return mixed.select((-(F.col("id") * 100_000 + F.col("j")) - 1).alias("id"), "x", "y", "u", "label").select("id", F.transform(F.arrays_zip("x", "y"), lambda p: p["x"] + F.col("u") * (p["y"] - p["x"])).alias("x"), "label")
+    return mixed.select((F.lit(least).cast("long") - F.col("before").cast("long") - F.col("j")).alias("id"), "x", "y", "u", "label").select("id", F.transform(F.arrays_zip("x", "y"), lambda p: p["x"] + F.col("u") * (p["y"] - p["x"])).alias("x"), "label")
 
 
 def _class_sizes(rows: DataFrame) -> DataFrame:
@@ -44,10 +49,9 @@ def smote(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     Each row of a class makes the whole share of what is missing; the rest falls to the rows of the least MD5.
     """
     ranked = rows.join(F.broadcast(_class_sizes(rows)), "label").where("size < most")
-    ranked = ranked.withColumn("_key", F.md5(F.col("id").cast("string")))
-    edges = ranked.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("_key")))
+    edges = running_before(ranked.withColumn("_key", F.md5(F.col("id").cast("string"))), F.lit(1), "_key", "label", "r")
     gap = F.col("most") - F.col("size")
-    quota = edges.select("id", (F.floor(gap / F.col("size")) + (F.col("r") <= gap % F.col("size")).cast("int")).alias("n"))
+    quota = edges.select("id", (F.floor(gap / F.col("size")) + (F.col("r") < gap % F.col("size")).cast("int")).alias("n"))
     return rows.select("id", "x", "label").unionByName(_synthetic(rows, quota, k))
 
 
@@ -72,11 +76,11 @@ def edited(rows: DataFrame, k: int = 3) -> DataFrame:
 
 
 def smote_tomek(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    return remove_tomek(smote(rows, k).cache())
+    return remove_tomek(checkpointed(smote(rows, k)))
 
 
 def smote_enn(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    return edited(smote(rows, k).cache())
+    return edited(checkpointed(smote(rows, k)))
 
 
 def adasyn(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

@@ -11,28 +11,37 @@ from pyspark.sql import functions as F
 from tabforge.operators.stats import order_key
 
 SEED, TEST_SHARE = 42, 0.2
+FEW_KEYS = 1000
 
 
 def split_random(df: DataFrame, key: Sequence[str], test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """df with split (train or test): the ceil(share * n) rows of the least keys are the test rows.
+    """df with split (train or test): the ceil(share * n) rows of the least keys are the test rows; rows of one key stay together.
 
-    No global order: the edge is found from at most 65,536 prefix counts, and only the rows of one prefix are ranked.
+    No global order: the edge is found digit by digit, from 4096 prefix counts a pass, until its prefix has few keys. Of
+    rows that share the key at the edge none is taken if not all fit.
     """
     keyed = df.withColumn("_key", order_key(key, seed))
     n = math.ceil(test_share * keyed.count())
-    counts = keyed.groupBy(F.substring("_key", 1, 4).alias("p")).count().orderBy("p").collect()
-    before, edge = 0, None
-    for r in counts:
-        if before + r["count"] > n:
-            edge = r["p"]
+    before, edge = 0, ""
+    while len(edge) < 30:
+        prefix = F.substring("_key", 1, len(edge) + 3)
+        counts = keyed.where(F.col("_key").startswith(edge)).groupBy(prefix.alias("p")).count().orderBy("p").collect()
+        for r in counts:
+            if before + r["count"] > n:
+                edge, left = r["p"], r["count"]
+                break
+            before += r["count"]
+        else:
+            return keyed.withColumn("split", F.lit("test" if n else "train")).drop("_key")
+        if left <= FEW_KEYS:
             break
+    last = edge
+    for r in keyed.where(F.col("_key").startswith(edge)).groupBy("_key").count().orderBy("_key").limit(FEW_KEYS).collect():
         before += r["count"]
-    if edge is None:
-        return keyed.withColumn("split", F.lit("test" if n else "train")).drop("_key")
-    prefix = F.substring("_key", 1, 4)
-    at_edge = [r["_key"] for r in keyed.where(prefix == edge).select("_key").orderBy("_key").limit(n - before).collect()]
-    last = at_edge[-1] if at_edge else ""
-    return keyed.withColumn("split", F.when((prefix < edge) | ((prefix == edge) & (F.col("_key") <= last)), "test").otherwise("train")).drop("_key")
+        if before > n:
+            break
+        last = r["_key"]
+    return keyed.withColumn("split", F.when(F.col("_key") <= last, "test").otherwise("train")).drop("_key")
 
 
 def split_stratified(df: DataFrame, target: str, key: Sequence[str], test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -66,68 +66,119 @@ def order_key(df_columns: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in df_columns], F.lit(str(seed))))
 
 
+def running_before(df: DataFrame, value: Column, key: str, group: str, out: str) -> DataFrame:
+    """df with out: the sum of value over the rows of its group that come before in the order of key (text of hexadecimal digits, like an MD5).
+
+    A group is cut into 4096 parts by the key's first digits; the parts' sums (4096 a group at most, broadcast, so groups
+    must be few) give each part what lies before it, so no task orders a whole group.
+    """
+    cut = df.withColumn("_v", value).withColumn("_p", F.substring(key, 1, 3))
+    sums = cut.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.sum("_v").alias("_n"))
+    sums = sums.select("_g", "_q", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_v").over(Window.partitionBy(group, "_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = cut.withColumn("_inside", inside).join(F.broadcast(sums), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))
+
+
 def as_dict(rows: DataFrame, key: str = "column") -> dict:
     """A small per-column table on the driver."""
     return {r[key]: r.asDict() for r in rows.collect()}
 
 
-#: Rows up to which one aggregate holds all values of a column.
-PLAIN_ROWS = 1_000_000
+#: Steps into which a pass cuts the values of each bracket, and the accuracy of the sketch that finds them.
+STEPS, ACCURACY = 1024, 10_000
 #: Distinct values of a bracket that are brought to the driver.
-BRACKET_VALUES = 50_000
+BRACKET_VALUES = 10_000
+
+
+class _Bracket:
+    """Values from low to high (None: no bound) of column number c, among which the order statistics `places` lie."""
+
+    def __init__(self, c: int, places: list[int], low: float | None = None, high: float | None = None):
+        self.c, self.places, self.low, self.high = c, places, low, high
 
+    def inside(self, x: Column) -> Column:
+        least = F.lit(True) if self.low is None else x >= self.low
+        return least & (F.lit(True) if self.high is None else x <= self.high)
 
-def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], plain_rows: int = PLAIN_ROWS) -> dict[str, list[float] | None]:
+    def cut(self, below: int, n: int, grid: list[float]) -> list[_Bracket]:
+        """Brackets of the places by the grid of a pass, a step wider on either side than the sketch's error asks for."""
+        out: list[_Bracket] = []
+        for k in self.places:
+            i, j = (k - below) * STEPS // n - 1, -(-(k - below + 1) * STEPS // n) + 1
+            one = _Bracket(self.c, [k], self.low if i <= 0 else grid[i], self.high if j >= STEPS else grid[j])
+            if out and (one.low is None or out[-1].high is None or one.low <= out[-1].high):
+                out[-1] = _Bracket(self.c, [*out[-1].places, k], out[-1].low, one.high)
+            else:
+                out.append(one)
+        return out
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], most: int = BRACKET_VALUES) -> dict[str, list[float] | None]:
     """Exact quantiles (linear interpolation) by column; None for a column without values.
 
-    Up to plain_rows rows `percentile` answers at once. It keeps every distinct value in one task, so beyond that each order
-    statistic is bracketed by approximate quantiles, and only the values inside the bracket are counted; brackets are
-    narrowed until they hold few distinct values. Memory is bounded whatever the table; each round is one pass for all columns.
+    A pass counts the values below and inside each bracket of every column and sketches those inside; the sketch narrows
+    each bracket to a few of STEPS parts. Once brackets hold at most `most` values (as a rule after one pass, after two
+    beyond 1,700,000 rows, after three beyond 300,000,000), one more pass counts those values, which are ordered on the
+    driver. Memory is bounded whatever the table, and the number of passes does not depend on the number of columns.
     """
-    if not columns:
-        return {}
-    counts = wide_row(df, {c: F.count(c) for c in columns})
-    if max(counts.values()) <= plain_rows:
-        rows = as_dict(per_column(df, columns, {"q": lambda c: F.percentile(c, list(probabilities))}))
-        return {c: rows[c]["q"] for c in columns}
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
+    open_, closed, size = [_Bracket(i, []) for i in range(len(columns))], [], {}
+    while open_:
+        fields = []
+        for b in open_:
+            inside = b.inside(x[b.c])
+            fields += [F.count_if(x[b.c] < (float("-inf") if b.low is None else b.low)), F.count_if(inside & x[b.c].isNotNull()), F.percentile_approx(F.when(inside, x[b.c]), [i / STEPS for i in range(STEPS + 1)], ACCURACY)]
+        row = df.agg(*[f.alias(f"_{i}") for i, f in enumerate(fields)]).first()
+        cut = []
+        for i, b in enumerate(open_):
+            below, n, grid = row[3 * i : 3 * i + 3]
+            if b.c not in size:
+                size[b.c] = n
+                b.places = sorted({k for p in probabilities for k in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))}) if n else []
+            if n:
+                parts = [b] if n <= most else b.cut(below, n, grid)
+                for q in parts:
+                    # done if few values are left, or one, or if both ends are values of so many rows that no part is narrower
+                    done = n <= most or (len(q.places) + 4) * n // STEPS <= most or (q.low is not None and (q.low == q.high or (q.low, q.high) == (b.low, b.high)))
+                    (closed if done else cut).append(q)
+        open_ = cut
+    values = _bracket_values(df, x, closed)
     out: dict[str, list[float] | None] = {}
-    for c in columns:
-        n = counts[c]
-        if not n:
-            out[c] = None
-            continue
-        x = F.col(c).cast("double")
-        places = sorted({k for p in probabilities for k in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})
-        at = {k: _order_statistic(df.select(x.alias("x")).where("x is not null"), k, n) for k in places}
-        out[c] = []
-        for p in probabilities:
+    for i, c in enumerate(columns):
+        n, out[c] = size[i], [] if size[i] else None
+        for p in probabilities if n else []:
             k, part = int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))
-            out[c].append(at[k] + part * (at[min(k + 1, n - 1)] - at[k]))
+            low, high = values[i, k], values[i, min(k + 1, n - 1)]
+            out[c].append(low + part * (high - low) if high != low else low)
     return out
 
 
-def _order_statistic(values: DataFrame, k: int, n: int) -> float:
-    """The k-th smallest x (from 0)."""
-    low, high, below = None, None, 0
-    while True:
-        inside = values
-        if low is not None:
-            inside = inside.where((F.col("x") >= low) & (F.col("x") <= high))
-        m, few = inside.agg(F.count("*"), F.approx_count_distinct("x")).first()
-        if few <= BRACKET_VALUES:
-            for r in inside.groupBy("x").count().orderBy("x").collect():
-                below += r["count"]
-                if below > k:
-                    return r["x"]
-            raise ValueError("the values changed between passes")
-        share = (k - below) / max(1, m - 1)
-        a, b = inside.agg(F.percentile_approx("x", [max(0.0, share - 5e-4), min(1.0, share + 5e-4)], 10_000)).first()[0]
-        under, over = values.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
-        if under <= k < over:
-            if a == b:
-                return a
-            low, high, below = a, b, under
-        else:  # the approximation missed: take the side that holds it
-            low, high, below = (low, a, below) if k < under else (b, high, values.agg(F.count_if(F.col("x") < b)).first()[0])
-            extremes = values.agg(F.min("x"), F.max("x")).first()
-            low, high = extremes[0] if low is None else low, extremes[1] if high is None else high
+def _bracket_values(df: DataFrame, x: Sequence[Column], brackets: Sequence[_Bracket]) -> dict[tuple[int, int], float]:
+    """The order statistics of the brackets, by column number and place; one histogram of the values inside and of the gaps between."""
+    by: dict[int, list[_Bracket]] = {}
+    for b in sorted(brackets, key=lambda b: (b.low is not None, b.low)):
+        by.setdefault(b.c, []).append(b)
+    if not by:
+        return {}
+    cells = []
+    for c, own in by.items():
+        gap, value = F.when(x[c].isNull(), F.lit(None).cast("int")), F.lit(None).cast("double")
+        for i, b in enumerate(own):
+            if b.low is not None:
+                gap = gap.when(x[c] < b.low, 2 * i)
+            gap = gap.when(b.inside(x[c]), 2 * i + 1)
+        for b in own:
+            value = F.when(b.inside(x[c]), x[c]).otherwise(value)
+        cells.append(F.struct(F.lit(c).alias("c"), gap.alias("g"), value.alias("v")))
+    found = df.select(F.explode(F.filter(F.array(*cells), lambda s: s["g"].isNotNull())).alias("s")).groupBy("s.c", "s.g", "s.v").count().collect()
+    out: dict[tuple[int, int], float] = {}
+    for c, own in by.items():
+        wanted, seen = sorted(k for b in own for k in b.places), 0
+        for r in sorted((r for r in found if r["c"] == c), key=lambda r: (r["g"], r["v"] != r["v"], r["v"] or 0.0)):
+            while wanted and seen + r["count"] > wanted[0]:
+                if r["v"] is None:
+                    raise ValueError("the values changed between passes")
+                out[c, wanted.pop(0)] = r["v"]
+            seen += r["count"]
+    return out

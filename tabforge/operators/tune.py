@@ -8,26 +8,40 @@ import math
 import random
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.operators import models
+from tabforge.operators import evaluate, models
+from tabforge.sources.tables import checkpointed
 
-# Search spaces of the parameters that Spark has.
+_FOREST = {"n_estimators": [50, 100, 200], "max_depth": [10, 20, 30], "min_samples_leaf": [1, 2, 4], "max_features": ["sqrt", "log2"], "criterion": ["gini", "entropy"]}
+_BOOSTING = {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7], "subsample": [0.8, 0.9, 1.0]}
+# Search spaces: the values of the parameters that Spark has. No bound of a tree's depth is 30, Spark's largest.
 SPACES: dict[str, dict[str, list]] = {
-    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "l1": [0.0, 1.0]},
-    "ridge": {"alpha": [0.1, 1.0, 10.0]},
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "l1": [0.0, 0.5, 1.0], "max_iter": [100, 200, 500]},
+    "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
     "sgd": {"alpha": [0.0001, 0.001, 0.01]},
-    "decision_tree": {"max_depth": [3, 5, 10], "min_samples_leaf": [1, 2, 4], "criterion": ["gini", "entropy"]},
-    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, 20], "min_samples_leaf": [1, 2, 4]},
-    "extra_trees": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, 20]},
-    "gradient_boosting": {"n_estimators": [50, 100], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5], "subsample": [0.8, 1.0]},
-    "adaboost": {"n_estimators": [25, 50, 100], "learning_rate": [0.1, 0.5, 1.0]},
-    "mlp": {"hidden": [50, 100]},
-    "svc": {"C": [0.1, 1.0, 10.0]},
+    "decision_tree": {"max_depth": [10, 20, 30], "min_samples_leaf": [1, 2, 4], "criterion": ["gini", "entropy"]},
+    "random_forest": _FOREST,
+    "extra_trees": _FOREST,
+    "gradient_boosting": _BOOSTING | {"min_samples_leaf": [1, 2, 4]},
+    "adaboost": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 1.0]},
+    "knn": {"k": [3, 5, 7, 9], "weights": ["uniform", "distance"], "p": [1, 2]},
+    "svc": {"kernel": ["linear", "rbf"], "C": [0.1, 1, 10], "gamma": ["scale", "auto"]},
+    "mlp": {"hidden": [[50], [100], [50, 50], [100, 50]]},
+    "gaussian_nb": {"smoothing": [1e-9, 1e-8, 1e-7, 1e-6]},
+    "multinomial_nb": {"alpha": [0.1, 0.5, 1.0, 2.0]},
+    "bernoulli_nb": {"alpha": [0.1, 0.5, 1.0, 2.0], "threshold": [0.0, 0.1, 0.5]},
+    "lda": {},
+    "qda": {"reg_param": [0.0, 0.01, 0.1]},
+    "xgboost": _BOOSTING,
+    "lightgbm": _BOOSTING,
+    "catboost": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [4, 6, 8]},
 }
-METRICS = {"accuracy": True, "f1": True, "weightedPrecision": True, "weightedRecall": True, "logLoss": False}
+#: Metrics, and whether more is better. roc_auc: binary, or each class against the rest by support.
+METRICS = {"accuracy": True, "f1": True, "weightedPrecision": True, "weightedRecall": True, "roc_auc": True, "logLoss": False}
 
 
 def folds(df: DataFrame, n: int = 5, key: str = "id") -> DataFrame:
@@ -35,17 +49,30 @@ def folds(df: DataFrame, n: int = 5, key: str = "id") -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64("label", key), F.lit(n)).cast("int"))
 
 
-def _value(df: DataFrame, metric: str) -> float:
-    return MulticlassClassificationEvaluator(metricName=metric).evaluate(df)
+def value(scored: DataFrame, metric: str) -> float:
+    """The metric of a model's output. Log loss asks for probabilities; ROC-AUC takes what the model ranks by."""
+    if metric == "logLoss" and "probability" not in scored.columns:
+        raise ValueError("log loss asks for a model with probabilities")
+    if metric != "roc_auc":
+        return MulticlassClassificationEvaluator(metricName=metric).evaluate(scored)
+    column = next((c for c in ("probability", "rawPrediction", "rawScores") if c in scored.columns), None)
+    if column is None:
+        raise ValueError("ROC-AUC asks for a model with scores")
+    points = scored.select("label", (F.col(column) if column == "rawScores" else vector_to_array(column)).alias("s"))
+    n = points.agg(F.max(F.size("s"))).first()[0] or 0
+    rows = points.select("label", *[F.get("s", F.lit(c)).alias(f"s{c}") for c in range(n)])
+    if n == 2:
+        return evaluate.roc_auc(rows, "label", "s1").first()["value"]
+    return next(r["value"] for r in evaluate.auc_ovr(rows, "label", {float(c): f"s{c}" for c in range(n)}).collect() if r["metric"] == "roc_auc_ovr_weighted")
 
 
 def grid_search(df: DataFrame, name: str, space: dict[str, list] | None = None, metric: str = "accuracy", cv: int = 5, key: str = "id", parallelism: int = 4):
     """trials (parameters, value, best) and the model refitted with the best ones. Learners of Spark go through CrossValidator, composed ones fold by fold."""
     space = SPACES[name] if space is None else space
     points = [dict(zip(space, v)) for v in itertools.product(*space.values())]
-    train = folds(df, cv, key).cache()
+    train = checkpointed(folds(df, cv, key))
     up = METRICS[metric]
-    if name == "decision_tree":
+    if name == "decision_tree" and metric != "roc_auc":
         e = models.estimator(name, 2, 1, models.DEFAULTS[name])
         names = {"max_depth": e.maxDepth, "min_samples_leaf": e.minInstancesPerNode, "criterion": e.impurity}
         grid = ParamGridBuilder()
@@ -56,8 +83,11 @@ def grid_search(df: DataFrame, name: str, space: dict[str, list] | None = None,
     else:
         values = []
         for p in points:
-            parts = [_value(models.fit(train.where(F.col("fold") != f), name, p).transform(train.where(F.col("fold") == f)), metric) for f in range(cv)]
-            values.append((p, sum(parts) / cv))
+            parts = [value(models.fit(train.where(F.col("fold") != f), name, p).transform(train.where(F.col("fold") == f)), metric) for f in range(cv)]
+            parts = [v for v in parts if v is not None]  # ROC-AUC has no value in a fold of one class
+            if not parts:
+                raise ValueError(f"{metric} has no value in any fold")
+            values.append((p, sum(parts) / len(parts)))
     return _finish(df, name, values, up)
 
 
@@ -73,11 +103,11 @@ def random_search(df: DataFrame, name: str, ranges: dict[str, tuple], n_trials:
             return draw.randint(low, high)
         return math.exp(draw.uniform(math.log(low), math.log(high))) if low > 0 and high / low > 100 else draw.uniform(low, high)
 
-    train = folds(df, 5, key).cache()
+    train = checkpointed(folds(df, 5, key))
     values = []
     for _ in range(n_trials):
         p = {k: one(v) for k, v in ranges.items()}
-        values.append((p, _value(models.fit(train.where("fold <> 0"), name, p).transform(train.where("fold = 0")), metric)))
+        values.append((p, value(models.fit(train.where("fold <> 0"), name, p).transform(train.where("fold = 0")), metric)))
     return _finish(df, name, values, METRICS[metric])
 
 
@@ -99,4 +129,4 @@ def run(df: DataFrame, name: str, test: DataFrame | None = None, method: str = "
         trials, model = random_search(df, name, space or SPACES[name], n_trials, metric, key=key)
     else:
         raise ValueError(f"unknown method {method}")
-    return trials, model, None if test is None else _value(model.transform(test), metric)
+    return trials, model, None if test is None else value(model.transform(test), metric)

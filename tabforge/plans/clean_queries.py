@@ -284,14 +284,31 @@ def power_refined(spark, d):
     return spark.createDataFrame(both, "column string, method string, exponent double, shift double")
 
 
-@register("power_recommend")
+def _fits_sql(columns: list[str]) -> str:
+    """Both transforms of each column with its likeliest exponent of the grid, their skewness, and the recommendation."""
+    parts = []
+    for c in columns:
+        for m, psi, jacobian, low in (("yj", _YJ, "sign(x) * ln(1 + abs(x))", "0"), ("bc", _BC, "ln(x)", f"(SELECT CASE WHEN min({c}) <= 0 THEN abs(min({c})) + 1 ELSE 0 END FROM lineitem)")):
+            n = f"{m}_{c}"
+            parts.append(f"""x_{n} AS (SELECT CAST({c} AS DOUBLE) + {low} AS x FROM lineitem WHERE {c} IS NOT NULL),
+b_{n} AS (SELECT lam FROM (SELECT lam, -count(*) / 2.0 * ln(var_pop({psi})) + (lam - 1) * sum({jacobian}) AS ll FROM x_{n}, g GROUP BY lam) ORDER BY ll DESC, lam LIMIT 1),
+t_{n} AS (SELECT {psi} AS v FROM x_{n}, b_{n}),
+s_{n} AS (SELECT avg(pow(v - (SELECT avg(v) FROM t_{n}), 3)) / pow((SELECT stddev_pop(v) FROM t_{n}), 3) AS s FROM t_{n})""")
+    one = lambda c: f"SELECT '{c}' AS \"column\", (SELECT s FROM s_bc_{c}) AS a, (SELECT s FROM s_yj_{c}) AS b, (SELECT min({c}) > 0 FROM lineitem) AS positive"
+    return "WITH g AS (" + _GRID + "), " + ",\n".join(parts) + f", r AS (SELECT \"column\", round(a, 4) AS skew_box_cox, round(b, 4) AS skew_yeo_johnson, CASE WHEN positive AND abs(a) <= abs(b) THEN 'box-cox' ELSE 'yeo-johnson' END AS recommendation FROM ({union([one(c) for c in columns])}))"
+
+
+_RECOMMENDED = ["l_quantity", "l_tax"]
+
+
+@register("power_recommend", _fits_sql(_RECOMMENDED) + " SELECT * FROM r")
 def power_recommend(spark, d):
-    return rounded(power.recommend(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], refine=0), 4)
+    return rounded(power.recommend(table(spark, d, "lineitem"), _RECOMMENDED, refine=0), 4)
 
 
-@register("power_vote")
+@register("power_vote", _fits_sql(_RECOMMENDED) + ", v AS (SELECT count(*) FILTER (WHERE recommendation = 'box-cox') AS box_cox, count(*) FILTER (WHERE recommendation = 'yeo-johnson') AS yeo_johnson FROM r) SELECT *, CASE WHEN box_cox > yeo_johnson THEN 'box-cox' ELSE 'yeo-johnson' END AS choice FROM v")
 def power_vote(spark, d):
-    return power.vote(power.recommend(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], refine=0))
+    return power.vote(power.recommend(table(spark, d, "lineitem"), _RECOMMENDED, refine=0))
 
 
 @register("stream_clean", dirty(_ALL_SQL))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabforge.operators import bayes as B
+from tabforge.operators import chain
 from tabforge.operators import knn as K
 from tabforge.operators import models as M
 from tabforge.operators import resample as R
@@ -50,7 +53,7 @@ def knn_classify_distance(spark, d):
 @register("knn_approximate")
 def knn_approximate(spark, d):
     rows = _vectors(spark, d)
-    return rounded(K.approximate(rows, rows, 1.2, 1.0))
+    return rounded(K.approximate(rows, rows, 1.2))
 
 
 _R = "r AS (SELECT doc_id AS id, CAST(n_chars AS DOUBLE) AS a, CAST(n_spaces AS DOUBLE) AS b, CAST(toxic AS VARCHAR) AS label FROM doc_labels)"
@@ -60,9 +63,10 @@ _SIZES = "s AS (SELECT label, count(*) AS size, max(count(*)) OVER () AS most FR
 _MAKE = f"""d AS (SELECT p.id, o.id AS nb, {_DIST} AS dist FROM q p JOIN r o ON p.label = o.label AND p.id <> o.id WHERE p.n > 0),
 k AS (SELECT id, nb, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS rk FROM d QUALIFY rk <= 5),
 c AS (SELECT id, count(*) AS c FROM k GROUP BY id),
-j AS (SELECT id, label, a, b, unnest(range(1, CAST(n AS BIGINT) + 1)) AS j FROM q WHERE n > 0),
+b AS (SELECT *, CAST(sum(n) OVER (ORDER BY md5(CAST(id AS VARCHAR))) - n AS BIGINT) AS before FROM q WHERE n > 0),
+j AS (SELECT id, label, a, b, before, unnest(range(1, CAST(n AS BIGINT) + 1)) AS j FROM b),
 m AS (SELECT j.*, {_HEX.format(w='n').replace('(id', '(j.id').replace('CAST(id', 'CAST(j.id')} % c.c + 1 AS pick, {_HEX.format(w='u').replace('CAST(id', 'CAST(j.id')} / 4294967296.0 AS u FROM j JOIN c ON j.id = c.id),
-y AS (SELECT -(m.id * 100000 + m.j) - 1 AS id, m.label, m.a + m.u * (o.a - m.a) AS a, m.b + m.u * (o.b - m.b) AS b FROM m JOIN k ON k.id = m.id AND k.rk = m.pick JOIN r o ON o.id = k.nb),
+y AS (SELECT least((SELECT min(id) FROM r), 0) - m.before - m.j AS id, m.label, m.a + m.u * (o.a - m.a) AS a, m.b + m.u * (o.b - m.b) AS b FROM m JOIN k ON k.id = m.id AND k.rk = m.pick JOIN r o ON o.id = k.nb),
 w AS (SELECT id, label, a, b FROM r UNION ALL SELECT id, label, a, b FROM y)"""
 _SMOTE = f"WITH {_R}, {_SIZES}, e AS (SELECT r.*, size, most, row_number() OVER (PARTITION BY r.label ORDER BY md5(CAST(id AS VARCHAR))) AS rn FROM r JOIN s ON r.label = s.label WHERE size < most), q AS (SELECT id, label, a, b, (most - size) // size + CASE WHEN rn <= (most - size) % size THEN 1 ELSE 0 END AS n FROM e), {_MAKE}"
 _OUT = " SELECT id, label, round(a, 4) AS x0, round(b, 4) AS x1 FROM "
@@ -158,13 +162,13 @@ def qda_2d(spark, d):
 
 
 def _binary(spark, d):
-    return M.assembled(table(spark, d, "doc_labels").withColumn("id", F.col("doc_id")), ["n_chars", "n_spaces", "quality"], "toxic", ["id"]).repartition(4, "id").cache()
+    return M.assembled(table(spark, d, "doc_labels").withColumn("id", F.col("doc_id")), ["n_chars", "n_spaces", "quality"], "toxic", ["id"])
 
 
 def _many(spark, d):
     from pyspark.ml.functions import array_to_vector
 
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label")).repartition(4, "id").cache()
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
 
 
 def _model(name, source, params=None):
@@ -184,15 +188,32 @@ for _name, _source, _params in [
     _model(_name, _source, _params)
 
 
+for _name, _source, _params in [("knn", _many, None), ("gaussian_nb", _many, None), ("lda", _many, None), ("qda", _binary, {"reg_param": 0.1}), ("multinomial_nb", _binary, None), ("bernoulli_nb", _binary, {"threshold": 0.5})]:
+    _model(_name, _source, _params)
+
+
+def _scratch(spark, name):
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @register("model_saved")
 def model_saved(spark, d):
-    """A model written and read again scores as before; rows are kept."""
-    from pyspark.ml.classification import LogisticRegressionModel
+    """Models of several kinds, written and read again, score as before; rows are kept."""
+    df, out = _binary(spark, d), None
+    for name, params in (("logistic_regression", {"max_iter": 20}), ("ridge", None), ("svc", {"landmarks": 20}), ("knn", None)):
+        model = M.load(spark, M.save(M.fit(df, name, params), spark, _scratch(spark, name)))
+        one = M.score(model, df, ["id"]).select(F.lit(name).alias("model"), "id", "prediction")
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
-    df = _many(spark, d)
-    path = f"{scratch_dir(spark)}/model-{id(df)}"
-    M.fit(df, "logistic_regression", {"max_iter": 20}).write().overwrite().save(path)
-    return M.score(LogisticRegressionModel.load(path), df, ["id"]).select("id", "prediction", F.round(F.array_max("probability"), 4).alias("top"))
+@register("chain_saved")
+def chain_saved(spark, d):
+    """The whole chain over the raw customers, saved and loaded: class and probability of every row."""
+    df = table(spark, d, "dirty_customer")
+    fitted = chain.fit(df, "label", ["c_custkey"], "logistic_regression", {"max_iter": 50}, 10)
+    scored = chain.load(spark, fitted.save(spark, _scratch(spark, "chain"))).score(df, ["c_custkey"])
+    return scored.select("c_custkey", "prediction", F.round(F.array_max("probability"), 4).alias("top"))
 
 
 @register("importance_rf")
@@ -221,6 +242,11 @@ def tune_random(spark, d):
     return rounded(H.random_search(_binary(spark, d), "logistic_regression", {"C": (0.001, 100.0), "max_iter": (10, 50)}, 4, "logLoss")[0])
 
 
+@register("tune_roc_auc")
+def tune_roc_auc(spark, d):
+    return rounded(H.grid_search(_binary(spark, d), "gaussian_nb", metric="roc_auc", cv=3)[0])
+
+
 @register("tune_stage")
 def tune_stage(spark, d):
     """Tuned on four fifths, judged on the rest."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,11 +66,21 @@ def view_sql(name: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or where none is set (local tests) a new temporary one."""
+    """The folder in spark.checkpoint.dir, which the cluster shares. Where that is unset, a new temporary one if Spark runs in this process alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that the driver and all executors share")
     return folder or "file://" + tempfile.mkdtemp(prefix="tabforge-")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there on; nothing stays in the executors' memory."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
+    return df.checkpoint()
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """A CSV table with a header; without a schema the types are inferred, which reads the file once more. Only .csv paths are taken."""
     if not path.rstrip("/").endswith(".csv"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabforge.functions import power
 from tabforge.operators import stats
-from tabforge.operators import bayes, clean, evaluate, features, knn, models, preprocess, profile, resample, split, tune
+from tabforge.operators import bayes, chain, clean, evaluate, features, knn, models, preprocess, profile, resample, split, tune
 
 
 def frame(spark, rows, schema):
@@ -144,16 +144,161 @@ def test_generative(spark, kind):
     assert bayes.predict(df, state, kind, ["a", "b"]).where("prediction <> label").count() == 0
 
 
-@pytest.mark.parametrize("name", ["logistic_regression", "ridge", "decision_tree", "random_forest", "extra_trees", "adaboost", "mlp", "sgd"])
-def test_learners_separate_blobs(spark, name):
-    df = models.assembled(blobs(spark).select("id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y"), ["a", "b"], "y", ["id"]).cache()
-    small = {"n_estimators": 10} if name in ("random_forest", "extra_trees", "adaboost") else {"max_iter": 60, "hidden": 8} if name == "mlp" else {"max_iter": 8} if name == "sgd" else {}
-    out = models.score(models.fit(df, name, small), df, ["id"])
-    assert out.count() == 40 and out.where("prediction = label").count() >= (28 if name == "ridge" else 38)  # least squares hides the class between two others
+SMALL = {"random_forest": {"n_estimators": 10}, "extra_trees": {"n_estimators": 10}, "adaboost": {"n_estimators": 10}, "mlp": {"max_iter": 60, "hidden": [8, 4]}, "sgd": {"max_iter": 8}, "svc": {"landmarks": 10}}
+
+
+def two_blobs(spark):
+    """Points of three classes, every coordinate above zero."""
+    df = blobs(spark).select("id", (F.col("x")[0] + 5).alias("a"), (F.col("x")[1] + 5).alias("b"), "y")
+    return models.assembled(df, ["a", "b"], "y", ["id"]).cache()
+
+
+@pytest.mark.parametrize("name", sorted(set(models.DEFAULTS) - {"gradient_boosting", "xgboost", "lightgbm", "catboost"}))
+def test_learners_separate_blobs_and_can_be_saved(spark, name, tmp_path):
+    df = two_blobs(spark)
+    model = models.fit(df, name, SMALL.get(name))
+    out = models.score(model, df, ["id"])
+    weak = {"ridge": 28, "bernoulli_nb": 20, "multinomial_nb": 10}  # squares hide the class between two others; shares of two coordinates tell little
+    assert out.count() == 40 and out.where("prediction = label").count() >= weak.get(name, 38)
+    if "probability" in out.columns:
+        for r in out.collect():
+            assert sum(r["probability"]) == pytest.approx(1) and (name in ("mlp", "svc") or r["probability"][int(r["prediction"])] == pytest.approx(max(r["probability"])))
+    again = models.score(models.load(spark, models.save(model, spark, f"{tmp_path}/m")), df, ["id"])
+    assert sorted(map(tuple, again.select("id", "prediction").collect())) == sorted(map(tuple, out.select("id", "prediction").collect()))
     with pytest.raises(ValueError):
         models.fit(df, "oracle")
 
 
+@pytest.mark.parametrize("name", ["gradient_boosting", "xgboost", "lightgbm", "catboost"])
+def test_boosting_by_hand(spark, name):
+    """Two rounds on a step: each leaf's score is what logistic boosting by hand gives, and the presets differ in their trees."""
+    df = frame(spark, [(float(i), float(i >= 6)) for i in range(10)], "a double, y double")
+    table = models.assembled(df, ["a"], "y").cache()
+    model = models.fit(table, name, {"n_estimators": 2, "subsample": 1.0})
+    rate = models.DEFAULTS[name]["learning_rate"]
+    assert model.treeWeights == [1.0, rate] and model.getOrDefault("maxDepth") == models.DEFAULTS[name]["max_depth"]
+    # the first tree fits labels of -1 and 1, the second the gradient 4y / (1 + exp(2yF)) at F of -1 and 1
+    margin = 1 + rate * 4 / (1 + math.exp(2))
+    for r in models.score(model, table).collect():
+        p = 1 / (1 + math.exp(-2 * margin))
+        assert r["prediction"] == r["label"] and max(r["probability"]) == pytest.approx(p, abs=1e-6)
+
+
+def test_logistic_regression_and_ridge_by_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 2))
+    y = (x @ [1.0, -2.0] + rng.normal(size=80) > 0).astype(float)
+    df = frame(spark, [(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
+    table = models.assembled(df, ["a", "b"], "y").cache()
+    one = np.column_stack([x, np.ones(80)])
+    w = np.zeros(3)
+    for _ in range(50):  # Newton's method; penalty 1 / (C n) on both weights, none on the intercept
+        p = 1 / (1 + np.exp(-one @ w))
+        penalty = np.diag([1 / 80, 1 / 80, 0])
+        w -= np.linalg.solve(one.T @ (one * (p * (1 - p))[:, None]) / 80 + penalty, one.T @ (p - y) / 80 + penalty @ w)
+    m = models.fit(table, "logistic_regression")
+    assert np.r_[m.coefficients.toArray(), m.intercept] == pytest.approx(w, abs=1e-3)
+    c, s = x - x.mean(0), 2 * y - 1
+    beta = np.linalg.solve(c.T @ c + np.eye(2), c.T @ (s - s.mean()))
+    got, intercept = models.fit(table, "ridge").state["fits"][0]
+    assert got == pytest.approx(beta, abs=1e-6) and intercept == pytest.approx(s.mean() - x.mean(0) @ beta, abs=1e-6)
+
+
+def test_adaboost_by_hand(spark):
+    """The first stump errs on one of eight rows: its weight is log(7); the second weighs that row seven times."""
+    df = frame(spark, [(float(i), float(i >= 4) if i != 7 else 0.0) for i in range(8)], "a double, y double")
+    model = models.fit(models.assembled(df, ["a"], "y").cache(), "adaboost", {"n_estimators": 2})
+    assert model.state["weights"][0] == pytest.approx(math.log(7))
+    assert model.state["weights"][1] == pytest.approx(math.log((14 - 3) / 3))  # of the weights 1 x 7 and 7, the best stump errs on three
+
+
+def test_kernel_machine_parts_rings(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(r * math.cos(t)), float(r * math.sin(t)), y) for y, r in ((0.0, 1.0), (1.0, 3.0)) for t in rng.uniform(0, 2 * math.pi, 60)]
+    df = models.assembled(frame(spark, rows, "a double, b double, y double"), ["a", "b"], "y").cache()
+    right = lambda **p: models.score(models.fit(df, "svc", p), df).where("prediction = label").count()
+    assert right(landmarks=40) == 120 > right(kernel="linear")
+    mean = {r["label"]: r["p"] for r in models.score(models.fit(df, "svc", {"landmarks": 40}), df).groupBy("label").agg(F.avg(F.get("probability", F.lit(1))).alias("p")).collect()}
+    assert mean[0.0] < 0.2 and mean[1.0] > 0.8  # calibrated margins
+
+
+def test_the_saved_chain_scores_raw_rows(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, f" {rng.choice('AB')}$", None if i % 9 == 0 else rng.gauss(3 if i % 2 else -3, 1), "yes" if i % 2 else "no", "same") for i in range(200)]
+    df = frame(spark, rows, "id long, t string, x double, y string, k string")
+    one = chain.fit(df, "y", ["id"], "logistic_regression", {"max_iter": 50}, 5)
+    two = chain.load(spark, one.save(spark, f"{tmp_path}/c"))
+    raw = df.unionByName(df.where("id < 3")).unionByName(frame(spark, [(900, None, None, None, None)], "id long, t string, x double, y string, k string"))
+    got = [sorted(map(tuple, c.score(raw, ["id"]).collect())) for c in (one, two)]
+    assert got[0] == got[1] and len(got[0]) == 204  # repeated and empty rows stay
+    truth = {r[0]: r[3] for r in rows}
+    assert sum(truth[i] == p for i, p, _ in got[0] if i in truth and i % 9) >= 0.98 * 178
+
+
+def test_features_are_ranked_by_importance(spark):
+    rng = random.Random(5)
+    rows = [(rng.gauss(0, 1) + (i % 2), rng.gauss(0, 1000), 1.0, i % 2) for i in range(300)]
+    df = frame(spark, rows, "a double, wide double, one double, y int")
+    names = lambda **k: [r["feature"] for r in features.run(df, None, "y", 2, make=False, **k)[2].orderBy("rank").collect()]
+    assert names()[0] == "a" and names(ranking="variance")[0] == "wide"
+    assert features.importance_ranking(df.withColumn("y", F.lit(1)), "y", 1, ["a", "wide"]).first()["feature"] == "wide"  # one class: variance
+
+
+def test_roc_auc_and_log_loss_as_tuning_metrics(spark):
+    df = two_blobs(spark)
+    two = df.where("label < 2").cache()
+    for name in ("sgd", "gaussian_nb", "ridge", "knn"):
+        assert tune.value(models.fit(two, name, SMALL.get(name)).transform(two), "roc_auc") == pytest.approx(1.0)
+    assert tune.value(models.fit(df, "lda").transform(df), "roc_auc") == pytest.approx(1.0)
+    with pytest.raises(ValueError, match="probabilities"):
+        tune.value(models.fit(two, "sgd", {"max_iter": 3}).transform(two), "logLoss")
+    trials = tune.run(two, "knn", method="grid", metric="roc_auc", space={"k": [1, 3], "weights": ["distance"], "p": [1]})[0]
+    assert trials.count() == 2 and set(models.DEFAULTS) == set(tune.SPACES)
+
+
+def test_ids_of_synthetic_rows(spark):
+    """Dense, below zero and below the smallest id, whatever the ids."""
+    rows = [(10**15 + i, [float(i), 1.0], "a" if i < 12 else "b") for i in range(15)] + [(-(10**15), [3.0, 2.0], "a")]
+    out = resample.smote(frame(spark, rows, "id long, x array<double>, label string"))
+    new = sorted(r["id"] for r in out.collect() if r["id"] not in {i for i, *_ in rows})
+    assert new == list(range(-(10**15) - len(new), -(10**15))) and out.count() == 26
+
+
+def test_running_sums_in_parts(spark):
+    df = spark.range(500).select("id", F.md5(F.col("id").cast("string")).alias("k"), (F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("v"))
+    got = {r["id"]: r["b"] for r in stats.running_before(df, F.col("v"), "k", "g", "b").collect()}
+    seen = {}
+    for r in sorted(df.collect(), key=lambda r: r["k"]):
+        assert got[r["id"]] == seen.get(r["g"], 0)
+        seen[r["g"]] = seen.get(r["g"], 0) + r["v"]
+
+
+def test_split_narrows_to_few_keys(spark, monkeypatch):
+    df = spark.range(3000).withColumn("k", F.lit(1))
+    whole = sorted(r["id"] for r in split.split_random(df, ["id"]).where("split = 'test'").collect())
+    monkeypatch.setattr(split, "FEW_KEYS", 1)
+    assert sorted(r["id"] for r in split.split_random(df, ["id"]).where("split = 'test'").collect()) == whole and len(whole) == 600
+    assert split.split_random(df, ["k"]).where("split = 'test'").count() == 0  # rows of one key stay together
+
+
+def test_too_many_classes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MAX_CLASSES", 3)
+    with pytest.raises(ValueError, match="classes"):
+        evaluate.confusion(spark.range(4).select(F.col("id").alias("y"), F.col("id").alias("y_pred")))
+
+
+def test_approximate_neighbours_recall(spark):
+    """At least 0.9 of the pairs within the radius, by brute force; equal points find each other, too."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 8))
+    rows = [(i, [float(v) for v in centres[i % 30] + 0.1 * rng.normal(size=8)]) for i in range(600)] + [(1000 + i, [0.5] * 8) for i in range(20)]
+    df = frame(spark, rows, "id long, x array<double>").cache()
+    near = knn.knn(df, df, 619).where("distance <= 0.4").select("id", "neighbour")
+    found = knn.approximate(df, df, 0.4).select("id", "neighbour")
+    want = near.count()
+    assert want > 1000 and near.join(found, ["id", "neighbour"]).count() >= 0.9 * want and found.where("id >= 1000 and neighbour >= 1000").count() == 380
+
+
 def test_tuning_honours_the_direction(spark):
     df = models.assembled(blobs(spark).select("id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y"), ["a", "b"], "y", ["id"]).cache()
     trials = tune.random_search(df, "logistic_regression", {"C": [1e-6, 100.0]}, 4, "logLoss", seed=3)[0].collect()
@@ -168,13 +313,33 @@ def test_frozen_plan_serves_other_tables(spark):
     assert a.columns == b.columns and b.first()["t"] == "a" and "y" in a.columns and plan.state()["drop"] == {}
 
 
-def test_quantiles_by_narrowing(spark, monkeypatch):
-    monkeypatch.setattr(stats, "BRACKET_VALUES", 50)
+def plain_quantile(values, p):
+    """Linear interpolation in the sorted values."""
+    v = sorted(x for x in values if x is not None)
+    k = int(p * (len(v) - 1))
+    return v[k] + (p * (len(v) - 1) - k) * (v[min(k + 1, len(v) - 1)] - v[k])
+
+
+@pytest.mark.parametrize("most", [10_000, 40, 3])
+def test_quantiles_by_narrowing(spark, most):
+    """Exact whatever the number of values of a bracket; heavy values, nulls and a column without values."""
     rng = random.Random(8)
-    rows = [(rng.gauss(0, 1), float(rng.randint(0, 5)), None) for _ in range(3000)] + [(None, 9.0, None)]
-    df = frame(spark, rows, "x double, y double, z double").cache()
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 5)), None, rng.choice([1.0, 2.0, rng.random()]), i) for i in range(3000)] + [(None, 9.0, None, None, 7)]
+    df = frame(spark, rows, "x double, y double, z double, w double, i int").cache()
     probabilities = [0.0, 0.25, 0.5, 0.77, 1.0]
-    plain, narrow = stats.quantiles(df, ["x", "y", "z"], probabilities), stats.quantiles(df, ["x", "y", "z"], probabilities, plain_rows=10)
-    assert plain["z"] is None and narrow["z"] is None
-    for c in ("x", "y"):
-        assert narrow[c] == pytest.approx(plain[c], abs=1e-12)
+    got = stats.quantiles(df, ["x", "y", "z", "w", "i"], probabilities, most)
+    assert got["z"] is None
+    for j, c in ((0, "x"), (1, "y"), (3, "w"), (4, "i")):
+        assert got[c] == pytest.approx([plain_quantile([r[j] for r in rows], p) for p in probabilities], abs=1e-12)
+    assert stats.quantiles(df.where("false"), ["x"], [0.5]) == {"x": None} and stats.quantiles(df, [], [0.5]) == {}
+
+
+def test_quantile_jobs_do_not_grow_with_columns(spark):
+    df = spark.range(5000).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(30)])
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n in (2, 30):
+        spark.sparkContext.setJobGroup(f"quantiles {n}", "")
+        assert stats.quantiles(df, df.columns[:n], [0.25, 0.5, 0.75], 100)["c0"] == [1249.75, 2499.5, 3749.25]
+        jobs.append(len(tracker.getJobIdsForGroup(f"quantiles {n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] <= 8
