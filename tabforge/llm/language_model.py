@@ -7,8 +7,8 @@ of the text itself. Output biases start at the smoothed counts: untrained, the m
 
 Counts are exact and cover all training texts. Every text is turned into token numbers once, and those are written to the
 shared folder. Training reads every training text once, in `ROUNDS` rounds. The texts are dealt to shards by a hash of id
-and text, some `SHARD_TOKENS` tokens each, so the number of shards follows from the corpus and not from its partitions. Each
-round takes the next part of the shards: every shard starts from the parameters of the round before and runs truncated
+and text, some `SHARD_TOKENS` tokens each (long texts apart), so the number of shards follows from the corpus and not from its partitions. Each
+round takes the next part of the texts: every shard starts from the parameters of the round before and runs truncated
 backpropagation in numpy over its texts, in the order of their hashes, laid in lanes with the state carried from window to
 window and reset where a text begins; then the shards' parameters are averaged, weighted by tokens. The sums are taken in
 whole numbers, so they do not depend on any order. Scoring carries the state over the whole document, too, whatever its
@@ -41,7 +41,7 @@ from tabforge.llm.common import Words, checkpoint, fold, shared_dir, text_slices
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
 HIDDEN, LANES, STEPS = 16, 512, 16
-UPDATE = LANES * STEPS
+UPDATE, MOST_STEPS = LANES * STEPS, 256
 SHARD_TOKENS, ROUNDS = 4_000_000, 6
 CHUNK_TOKENS = 8_000_000  # texts whose tokens are laid in lanes together when they are scored
 COMMON = 1 << 18
@@ -183,11 +183,14 @@ class Lanes:
         self.goes_on[self.first[:-1]] = 0
 
     def windows(self, steps: int = STEPS) -> Iterator[list[np.ndarray]]:
-        """Places in tokens of the active lanes at each of the window's steps."""
+        """Places in tokens of the active lanes at each of the window's steps; where few lanes are active a window has more steps."""
         longest = int(self.load[0]) if len(self.load) else 0
         active = np.searchsorted(-self.load, -np.arange(longest), side="left")  # lanes with more than t tokens
-        for a in range(0, longest, steps):
-            yield [self.start[: active[t]] + t for t in range(a, min(a + steps, longest))]
+        a = 0
+        while a < longest:
+            b = min(longest, a + max(steps, min(MOST_STEPS, UPDATE // 8 // int(active[a]))))
+            yield [self.start[: active[t]] + t for t in range(a, b)]
+            a = b
 
 
 def _steps(lanes: Lanes, window: list[np.ndarray], state: np.ndarray, p: dict, kept: list | None = None) -> np.ndarray:
@@ -371,11 +374,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(texts: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.ndarray]:
-    """Parameters learnt from texts: round, h (hash of the text) and tokens. A tree of tasks adds up the shards of a round."""
+    """Parameters learnt from texts: round, h (hash of id and text) and tokens. A tree of tasks adds up the shards of a round.
+
+    Texts longer than a lane's share of a shard have shards of their own, or each shard would end with one of them alone.
+    """
     p = first_parameters(lexicon, seed)
     context, schema, done = texts.sparkSession.sparkContext, "w long, p binary", 0
-    rounds = texts.groupBy("round").agg(F.sum(F.octet_length("tokens") / 2).alias("n"), F.max("shards").alias("shards")).orderBy("round").collect()
-    for r in rounds:
+    n = F.octet_length("tokens") / 2
+    sums = texts.groupBy("round").agg(F.sum(F.when(n <= SHARD_TOKENS // LANES, n)).alias("short"), F.sum(F.when(n > SHARD_TOKENS // LANES, n)).alias("long")).orderBy("round").collect()
+    for r in sums:
         shared = context.broadcast((p, lexicon.end, done))
 
         def run(batches, shared=shared):
@@ -384,9 +391,11 @@ def train(texts: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.nda
                 weight, share = _shares(*fitted(own, start, end, done))
                 yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([share.tobytes()], pa.binary())], ["w", "p"])
 
-        width = int(r["shards"])
-        own = texts.where(F.col("round") == r["round"]).select("shard", "tokens", "h")
-        parts = own.repartitionById(width, (F.floor(F.col("shard") / len(rounds)) % width).cast("int")).sortWithinPartitions("shard", "h", "tokens").select("shard", "tokens").mapInArrow(run, schema)
+        short, long = (math.ceil((r[k] or 0) / SHARD_TOKENS) for k in ("short", "long"))
+        width, hashed = short + long, F.xxhash64("h", F.lit(2))
+        shard = F.when(n <= SHARD_TOKENS // LANES, F.pmod(hashed, F.lit(max(1, short)))).otherwise(short + F.pmod(hashed, F.lit(max(1, long)))).cast("int")
+        own = texts.where(F.col("round") == r["round"]).select(shard.alias("shard"), "tokens", "h")
+        parts = own.repartitionById(width, "shard").sortWithinPartitions("shard", "h", "tokens").select("shard", "tokens").mapInArrow(run, schema)
         while width > 16:
             width = -(-width // 16)
             parts = parts.repartition(width).mapInArrow(_summed, schema)
@@ -394,7 +403,7 @@ def train(texts: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.nda
         shared.destroy()
         if got:
             p = _unpacked(np.frombuffer(got[0].column(1)[0].as_buffer(), np.int64) / (got[0].column(0)[0].as_py() * 2.0**24), p)
-            done += int(r["n"] / r["shards"] / UPDATE)
+            done += int(((r["short"] or 0) + (r["long"] or 0)) / (short + long) / UPDATE)
     return p
 
 
@@ -477,18 +486,16 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     lexicon = Lexicon(common_words(counts), total, distinct)
     shared = spark.sparkContext.broadcast(lexicon)
     # written once: the uid of a text, made in its task, is what was written, whatever is lost and run again later
-    shards = max(1, -(-total // SHARD_TOKENS))
-    rounds = min(ROUNDS, shards)
-    hashed = F.xxhash64("h", F.lit(1))
-    shard = F.when(F.col("learn"), F.pmod(hashed, F.lit(shards)))
+    rounds = min(ROUNDS, max(1, -(-total // SHARD_TOKENS)))
+    turn = F.when(F.col("learn"), F.pmod(F.xxhash64("h", F.lit(1)), F.lit(rounds))).cast("int")
     kind = F.when(F.col("word").isNotNull(), F.lit("word")).otherwise(F.lit("text"))
     folder = f"{shared_dir(spark)}/language-{uuid.uuid4().hex}"
-    encoded = rows.mapInArrow(lambda b: _encoded(b, shared.value), _TEXT).withColumns({"shard": shard, "round": F.pmod(shard, F.lit(rounds)).cast("int"), "kind": kind})
+    encoded = rows.mapInArrow(lambda b: _encoded(b, shared.value), _TEXT).withColumns({"round": turn, "kind": kind})
     encoded.write.option("compression", "zstd").partitionBy("kind", "round").parquet(folder)
-    schema = f"{_TEXT}, shard long, kind string, round int"
+    schema = f"{_TEXT}, kind string, round int"
     encoded = spark.read.schema(schema).parquet(folder)
     texts = encoded.where("kind = 'text'")
-    p = train(texts.where("round is not null").withColumn("shards", F.ceil((F.lit(shards) - F.col("round")) / rounds)), lexicon)
+    p = train(texts.where("round is not null"), lexicon)
     fit = spark.sparkContext.broadcast((lexicon.end, p))
     # few long texts keep their lanes busy alone at a chunk's end, so chunks are whole: files are read together, nothing is shuffled
     n = texts.select(F.coalesce(F.sum(F.octet_length("tokens") / 2), F.lit(0))).first()[0]
