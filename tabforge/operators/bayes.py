@@ -9,6 +9,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +68,32 @@ def bernoulli_scores(state: dict, columns: Sequence[str]) -> dict:
     return {c: F.lit(math.log(s["prior"])) + _sum([F.when(F.col(k) > s["threshold"], F.lit(math.log(p))).otherwise(F.lit(math.log(1 - p))) for k, p in zip(columns, s["p"])]) for c, s in state.items()}
 
 
+#: Columns up to which every covariance is an aggregate of its own.
+FEW_COLUMNS = 8
+
+
+def _wide_moments(df: DataFrame, columns: Sequence[str], label: str) -> dict:
+    """As _moments in two passes of one vector summary each, however many columns: means, then means of products of what is left. Rows with a null are left out."""
+    d = len(columns)
+    rows = df.select(F.col(label).alias("c"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).where(F.col("c").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    first = rows.groupBy("c").agg(Summarizer.metrics("count", "mean").summary(array_to_vector("x")).alias("s")).select("c", "s.count", vector_to_array("s.mean").alias("mean"))
+    found = {r["c"]: (r["count"], np.array(r["mean"])) for r in first.collect()}
+    means = df.sparkSession.createDataFrame([(c, m.tolist()) for c, (_, m) in found.items()], f"c {dict(rows.dtypes)['c']}, mean array<double>")
+    gaps = rows.join(F.broadcast(means), "c").select("c", F.zip_with("x", "mean", lambda a, b: a - b).alias("x"))
+    products = F.flatten(F.transform("x", lambda v, i: F.transform(F.slice("x", i + 1, F.lit(d)), lambda u: u * v)))
+    second = gaps.groupBy("c").agg(Summarizer.mean(array_to_vector(products)).alias("p")).select("c", vector_to_array("p").alias("p")).collect()
+    out = {}
+    for r in second:
+        cov = np.zeros((d, d))
+        cov[np.triu_indices(d)] = r["p"]
+        out[r["c"]] = (*found[r["c"]], cov + np.triu(cov, 1).T)
+    return out
+
+
 def _moments(df: DataFrame, columns: Sequence[str], label: str) -> dict:
-    """Count, mean vector and population covariance by class, in one pass."""
+    """Count, mean vector and population covariance by class; few columns in one pass."""
+    if len(columns) > FEW_COLUMNS:
+        return _wide_moments(df, columns, label)
     x, d = [F.col(c).cast("double") for c in columns], len(columns)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     out = {}

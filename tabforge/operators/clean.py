@@ -43,6 +43,15 @@ def _shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: r["nulls"] / r["n"] if r["n"] else 0.0 for c, r in rows.items()}
 
 
+def _facts(df: DataFrame) -> dict[str, dict]:
+    """By column, from one histogram of values: n rows, full values, distinct ones, top (rows of the commonest) and the share of nulls."""
+    has = F.col("value").isNotNull()
+    fields = {"n": F.sum("n"), "full": F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)), "distinct": F.count("value"), "top": F.coalesce(F.max(F.when(has, F.col("n"))), F.lit(0))}
+    rows = as_dict(value_histogram(df, df.columns).groupBy("column").agg(*[e.alias(k) for k, e in fields.items()]))
+    none = {"n": 0, "full": 0, "distinct": 0, "top": 0}
+    return {c: (r := rows.get(c, none)) | {"nulls": 1 - r["full"] / r["n"] if r["n"] else 0.0} for c in df.columns}
+
+
 def high_null_columns(df: DataFrame, keep: Sequence[str] = (), most: float = HIGH_NULL) -> list[str]:
     return [c for c, s in _shares(df, df.columns).items() if s > most and c not in keep]
 
@@ -115,9 +124,9 @@ def as_date(c: Column, i: int) -> Column:
     return F.try_to_timestamp(F.when(c.rlike(SHAPES[i]), c), F.lit(PATTERNS[i]))
 
 
-def text_types(df: DataFrame, keep: Sequence[str] = ()) -> dict[str, str]:
+def text_types(df: DataFrame, keep: Sequence[str] = (), columns: Sequence[str] | None = None) -> dict[str, str]:
     """integer, double, date or boolean for the text columns that are to be converted."""
-    columns = text_columns(df, keep)
+    columns = text_columns(df, keep) if columns is None else columns
     rows = as_dict(per_column(df, columns, {
         "n": lambda c: F.count("*"),
         "long": lambda c: F.max(F.length(c)),
@@ -174,19 +183,21 @@ def fit(df: DataFrame, ids: Sequence[str] = (), target: str | None = None, touch
     """Decides every rule on df. ids and the target keep their columns and values."""
     keep = [*ids] + ([target] if target and not touch_target else [])
     plan = CleanPlan(lowercase=lowercase)
-    now = df
-    for reason, found in (("high_null", high_null_columns), ("constant", constant_columns), ("near_constant", near_constant_columns)):
-        gone = found(now, keep)
-        plan.drop |= {c: reason for c in gone}
-        now = now.drop(*gone)
+    facts = _facts(df)  # rules 1 to 3 and the shares of nulls, which no later rule changes
+    rules = {"high_null": lambda r: r["nulls"] > HIGH_NULL, "constant": lambda r: r["distinct"] <= 1, "near_constant": lambda r: r["full"] and r["full"] >= HALF * r["n"] and r["top"] > NEAR_CONSTANT * r["full"]}
+    for c in (c for c in df.columns if c not in keep):
+        reason = next((k for k, holds in rules.items() if holds(facts[c])), None)
+        if reason:
+            plan.drop[c] = reason
+    now = df.drop(*plan.drop)
     gone = duplicate_columns(now, keep)
     plan.drop |= {c: f"duplicate of {of}" for c, of in gone.items()}
     now = now.drop(*gone)
-    plan.strings = text_columns(now, keep)
+    plan.strings = [c for c, t in now.dtypes if t == "string" and c not in keep and facts[c]["nulls"] <= HALF]
     now = now.withColumns({c: cleaned_string(F.col(c), lowercase) for c in plan.strings}) if plan.strings else now
-    plan.cases = case_maps(now, text_columns(now, keep))
+    plan.cases = case_maps(now, plan.strings)
     now = now.withColumns({c: with_case(c, m) for c, m in plan.cases.items()}) if plan.cases else now
-    plan.types = text_types(now, keep)
+    plan.types = text_types(now, keep, plan.strings)
     now = now.withColumns({c: converted(F.col(c), k) for c, k in plan.types.items()}) if plan.types else now
     plan.dates = date_patterns(now, keep)
     return plan

@@ -144,6 +144,16 @@ def test_generative(spark, kind):
     assert bayes.predict(df, state, kind, ["a", "b"]).where("prediction <> label").count() == 0
 
 
+def test_moments_of_many_columns(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(200, 12)) @ rng.normal(size=(12, 12)), rng.integers(0, 3, 200)
+    names = [f"c{i}" for i in range(12)]
+    df = frame(spark, [(*map(float, r), f"k{c}") for r, c in zip(x, y)], ", ".join(f"{n} double" for n in names) + ", y string")
+    for k, (n, mean, cov) in bayes._moments(df, names, "y").items():
+        own = x[y == int(k[1])]
+        assert n == len(own) and mean == pytest.approx(own.mean(0)) and cov == pytest.approx(np.cov(own.T, bias=True))
+
+
 SMALL = {"random_forest": {"n_estimators": 10}, "extra_trees": {"n_estimators": 10}, "adaboost": {"n_estimators": 10}, "mlp": {"max_iter": 60, "hidden": [8, 4]}, "sgd": {"max_iter": 8}, "svc": {"landmarks": 10}}
 
 
