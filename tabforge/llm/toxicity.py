@@ -28,6 +28,7 @@ from tabforge.llm.common import Words, fold, labelled_sample, text_slices
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, ATTEND = 12, 8, 8
 GRAM_BITS = 15
+LEAST_STEPS, MOST_PASSES = 400, 48
 
 
 @dataclass
@@ -210,7 +211,7 @@ _BLOCKS = np.concatenate([_BLOCK.reshape(2 * HIDDEN, 2 * HIDDEN)] * 2, 1)
 
 
 def fit(sample: list[tuple[bytes, int]], odds: float | None = None, passes: int = 8, rate: float = 0.01, batch: int = 64, seed: int = 11) -> ToxicModel:
-    """Adam on windows. odds: label 1 to label 0 among all labelled rows, if the sample's differ."""
+    """Adam on windows, `passes` times over the texts, more often if that gives fewer than LEAST_STEPS steps. odds: label 1 to label 0 among all labelled rows, if the sample's differ."""
     rng = np.random.default_rng(seed)
     h = HIDDEN
     aside = sample[::5]  # judged after training, for the calibration
@@ -231,6 +232,7 @@ def fit(sample: list[tuple[bytes, int]], odds: float | None = None, passes: int
     start, size, text = _window_starts(w.first)
     head = np.flatnonzero(np.diff(text, prepend=-1))
     tail = np.append(head[1:], len(text))
+    passes = max(passes, min(MOST_PASSES, -(-LEAST_STEPS * batch // (2 * len(head)))))
     moments: dict = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for turn in range(passes):
