@@ -13,7 +13,7 @@ from tabforge.operators.resample import resampled
 from tabforge.operators.stats import numeric_columns, per_column
 from tabforge.sources.tables import checkpointed
 
-MOST_FEATURES, MOST_CLASSES = 5000, 100
+MOST_FEATURES, MOST_CLASSES, IMPORTANCE_ROWS = 5000, 100, 2000
 
 
 def identity(df: DataFrame) -> DataFrame:
@@ -65,16 +65,17 @@ def variance_ranking(df: DataFrame, n: int, columns: Sequence[str] | None = None
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(F.col("column").alias("feature"), "importance", "rank")
 
 
-def importance_ranking(df: DataFrame, target: str, n: int, columns: Sequence[str]) -> DataFrame:
+def importance_ranking(df: DataFrame, target: str, n: int, columns: Sequence[str], rows: int = IMPORTANCE_ROWS) -> DataFrame:
     """feature, importance and rank by a forest that predicts the target; where it finds nothing by a linear model, else by variance.
 
-    The variance ranks, too, where there is nothing to classify: one class, or more than MOST_CLASSES.
+    The models are fitted on at most `rows` rows, those of the least hash over all columns. The variance ranks, too, where there is nothing to classify: one class, or more than MOST_CLASSES.
     """
     classes = sorted(r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect())
     if 1 < len(classes) <= MOST_CLASSES and columns:
         code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target)) - 1
-        rows = df.where(F.col(target).isNotNull()).select(*[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(columns)], code.alias("_label"))
-        table = checkpointed(models.assembled(rows, [f"_{i}" for i in range(len(columns))], "_label"))
+        known = df.where(F.col(target).isNotNull()).select(*[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(columns)], code.alias("_label"))
+        chosen = known.orderBy(F.xxhash64(*known.columns), *known.columns[:1]).limit(rows)
+        table = checkpointed(models.assembled(chosen, [f"_{i}" for i in range(len(columns))], "_label"))
         for rank in (lambda: models.forest_importance(table, columns, n), lambda: models.linear_importance(table, columns).where(F.col("rank") <= n)):
             found = rank()
             if found.where("importance > 0").take(1):
