@@ -140,7 +140,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
                 parts = [b] if n <= most else b.cut(below, n, grid)
                 for q in parts:
                     # done if few values are left, or one, or if both ends are values of so many rows that no part is narrower
-                    done = n <= most or (len(q.places) + 4) * n // STEPS <= most or (q.low is not None and (q.low == q.high or (q.low, q.high) == (b.low, b.high)))
+                    done = n <= most or (len(q.places) + 4) * n // STEPS <= most or (q.low, q.high) == (b.low, b.high) or (q.low is not None and q.low == q.high)
                     (closed if done else cut).append(q)
         open_ = cut
     values = _bracket_values(df, x, closed)
