@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tabforge.llm import codes, divergence, language_model, mixing, pieces, private, quality, repeats, simhash, topk, toxicity, winnowing
+from tabforge.llm import codes, divergence, language_model, mixing, ngram_join, pieces, private, quality, repeats, simhash, topk, toxicity, winnowing
 from tabforge.llm.common import table
 
 
@@ -56,13 +56,17 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op6_winnowing": op6_winnowing, "op7_pieces": op7_pieces, "op8_language_model": op8_language_model, "op9_private": op9_private, "op10_repeats": op10_repeats, "op11_codes": op11_codes, "op13_divergence": op13_divergence, "pipeline": corpus_pipeline.run}
+    return {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing, "op6_winnowing": op6_winnowing, "op7_pieces": op7_pieces, "op8_language_model": op8_language_model, "op9_private": op9_private, "op10_repeats": op10_repeats, "op11_codes": op11_codes, "op12_ngram_join": op12_ngram_join, "op13_divergence": op13_divergence, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE, "op11_codes": codes.ORACLE, "op13_divergence": divergence.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_topk": topk.ORACLE, "op11_codes": codes.ORACLE, "op12_ngram_join": ngram_join.ORACLE, "op13_divergence": divergence.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
