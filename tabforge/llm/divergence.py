@@ -101,7 +101,7 @@ def document_vectors(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, min_df: int = 10) -> DataFrame:
-    """lang, source, term and n of every kept term that a group holds."""
+    """lang, source, term, n and of_lang (the count in the whole lang) of every kept term that a group holds."""
 
     def run(batches):
         for part, texts in text_slices(batches, max_bytes=SLICE_BYTES):
@@ -114,13 +114,14 @@ def term_counts(docs: DataFrame, min_df: int = 10) -> DataFrame:
 
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], "text")
     sums = rows.mapInArrow(run, "lang string, source string, term string, n long, df long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    kept = sums.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= min_df).select("lang", "term")
-    return checkpoint(sums.join(kept, ["lang", "term"]).select("lang", "source", "term", "n"))
+    kept = sums.groupBy("lang", "term").agg(F.sum("df").alias("in_lang"), F.sum("n").alias("of_lang")).where(F.col("in_lang") >= min_df)
+    # both sides read the same columns of sums, so that Spark makes and shuffles them once
+    return checkpoint(sums.where("df > 0").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "of_lang"))
 
 
-def _p(n: Column) -> Column:
+def _p(n: Column, total: str = "total", kept: str = "kept") -> Column:
     """p of a count among total, with kept terms in the lang; the product may pass 64 bits."""
-    return F.lit(1).cast("long") + F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n.cast("decimal(20,0)") + 2), (F.col("total") + 2 * F.col("kept")).cast("decimal(20,0)"))
+    return F.lit(1).cast("long") + F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n.cast("decimal(20,0)") + 2), (F.col(total) + 2 * F.col(kept)).cast("decimal(20,0)"))
 
 
 def _f(p, q) -> Column:
@@ -134,38 +135,56 @@ def _change(p: np.ndarray, q: np.ndarray, p0: np.ndarray, q0: np.ndarray) -> np.
     return f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A number for each value of a column of strings."""
+    return np.asarray(column.dictionary_encode().indices)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Changes of each pair i < j over the terms in rows sorted by lang, x, y and term: lang, x, y, term, i, p, p0."""
-    block, sums, held, term = None, None, [], None
+    key, sums, held = None, None, None
 
-    def add() -> None:
-        i, p, p0 = np.array(held, np.int64).T
-        left, right = i // BLOCK == block[1], i // BLOCK == block[2]
-        sums[np.ix_(i[left] % BLOCK, i[right] % BLOCK)] += _change(p[left], p[right], p0[left], p0[right])
+    def add(i: np.ndarray, p: np.ndarray, p0: np.ndarray) -> None:
+        left, right = i // block == key[1], i // block == key[2]
+        sums[np.ix_(i[left] % block, i[right] % block)] += _change(p[left], p[right], p0[left], p0[right])
 
     def ended() -> pa.RecordBatch:
         i, j = np.nonzero(sums)
-        value, i, j = sums[i, j], i + block[1] * BLOCK, j + block[2] * BLOCK
+        value, i, j = sums[i, j], i + key[1] * block, j + key[2] * block
         use = i < j
-        return pa.RecordBatch.from_arrays([pa.array([block[0]] * int(use.sum()), pa.string()), pa.array(i[use]), pa.array(j[use]), pa.array(value[use])], ["lang", "i", "j", "value"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * int(use.sum()), pa.string()), pa.array(i[use]), pa.array(j[use]), pa.array(value[use])], ["lang", "i", "j", "value"])
+
+    def runs(rows: pa.RecordBatch, whole: bool) -> tuple[list, int]:
+        """Where terms begin and end, without the last one unless it is whole; and where that begins."""
+        names = np.stack([_numbers(rows.column(0)), np.asarray(rows.column(1)), np.asarray(rows.column(2)), _numbers(rows.column(3))])
+        cut = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), len(rows)]
+        spans = list(zip(cut, cut[1:]))
+        return (spans, len(rows)) if whole else (spans[:-1], cut[-2])
+
+    def added(rows: pa.RecordBatch, spans: list) -> Iterator[pa.RecordBatch]:
+        nonlocal key, sums
+        langs, x, y = rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist()
+        numbers = [np.asarray(rows.column(c)) for c in (4, 5, 6)]
+        for a, b in spans:
+            if (now := (langs[a], x[a], y[a])) != key:
+                if key is not None:
+                    yield ended()
+                key, sums = now, np.zeros((block, block), np.int64)
+            add(*(n[a:b] for n in numbers))
 
     for batch in batches:
-        for lang, x, y, t, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (lang, x, y) != block or t != term:
-                if held:
-                    add()
-                held, term = [], t
-                if (lang, x, y) != block:
-                    if block is not None:
-                        yield ended()
-                    block, sums = (lang, x, y), np.zeros((BLOCK, BLOCK), np.int64)
-            held.append(row)
-    if held:
-        add()
+        rows = batch if held is None or not len(held) else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if len(rows):
+            spans, last = runs(rows, False)
+            yield from added(rows, spans)
+            held = rows.slice(last)
+    if held is not None and len(held):
+        yield from added(held, runs(held, True)[0])
+    if key is not None:
         yield ended()
 
 
-def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(counts: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     """lang, source, item and value of all ordered pairs of a lang's sources. groups: lang, source, i, total, kept, p0."""
     own = counts.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("n")))
     left = groups.select("lang", F.col("i").alias("a"), "kept", "p0")
@@ -174,11 +193,11 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     base = left.join(right, "lang").where("a <> b").select(*pair, F.when(F.col("kept") > 0, F.col("kept") * _f("p0", "q0")).otherwise(0).alias("value"))
     single = own.groupBy("lang", F.col("i").alias("a"), "p", "p0").agg(F.count("*").alias("m")).join(right, "lang").where("a <> b")
     single = single.groupBy(*pair).agg(F.sum(F.col("m") * (_f("p", "q0") - _f("p0", "q0"))).alias("value"))
-    block = lambda c: F.floor(F.col(c) / BLOCK)
+    block = lambda c: F.floor(F.col(c) / size)
     blocks = groups.select("lang", block("i").alias("o")).distinct()
     rows = own.select("lang", "term", "i", "p", "p0", block("i").alias("h")).join(blocks, "lang")
     rows = rows.select("lang", F.least("h", "o").alias("x"), F.greatest("h", "o").alias("y"), "term", "i", "p", "p0")
-    both = rows.repartition("lang", "x", "y", "term").sortWithinPartitions("lang", "x", "y", "term").mapInArrow(_shared, "lang string, i long, j long, value long")
+    both = rows.repartition("lang", "x", "y", "term").sortWithinPartitions("lang", "x", "y", "term").mapInArrow(lambda b: _shared(b, size), "lang string, i long, j long, value long")
     both = both.groupBy("lang", F.col("i").alias("a"), F.col("j").alias("b")).agg(F.sum("value").alias("value"))
     turned = lambda df: df.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")
     total = base.unionByName(single).unionByName(turned(single)).unionByName(both).unionByName(turned(both)).groupBy(*pair).agg(F.sum("value").alias("value"))
@@ -186,18 +205,17 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return total.join(name("a", "source"), ["lang", "a"]).join(name("b", "item"), ["lang", "b"]).select("lang", "source", "item", "value")
 
 
-def audit(docs: DataFrame, min_df: int = 10, top: int = 10) -> DataFrame:
+def audit(docs: DataFrame, min_df: int = 10, top: int = 10, block: int = BLOCK) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value and rank: each source against the others of its lang, and the `top` terms it uses more than its lang does."""
     counts = term_counts(docs, min_df)
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    totals = counts.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"))
-    langs = totals.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("of_lang").alias("total"))
+    langs = counts.groupBy("lang", "term").agg(F.first("of_lang").alias("of_lang")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("of_lang").alias("total"))
     groups = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     groups = groups.join(sizes, ["lang", "source"], "left").join(langs.select("lang", "kept"), "lang", "left").fillna(0, ["total", "kept"])
     groups = checkpoint(groups.withColumn("p0", F.when(F.col("kept") > 0, _p(F.lit(0)))).withColumn("i", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")))
-    pairs = _pairs(counts, groups).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
-    of_lang = totals.join(langs, "lang").select("lang", "term", _p(F.col("of_lang")).alias("q"))
-    own = counts.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("n"))).join(of_lang, ["lang", "term"]).where("p > q")
+    pairs = _pairs(counts, groups, block).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
+    whole = langs.select("lang", F.col("total").alias("lang_total"), F.col("kept").alias("lang_kept"))
+    own = counts.join(groups, ["lang", "source"]).join(whole, "lang").withColumn("p", _p(F.col("n"))).withColumn("q", _p(F.col("of_lang"), "lang_total", "lang_kept")).where("p > q")
     ranked = own.select("lang", "source", F.col("term").alias("item"), _f("p", "q").alias("value")).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
     return columns(pairs, "pair").unionByName(columns(ranked, "term"))

@@ -182,7 +182,7 @@ def lengths(df: np.ndarray, first: np.ndarray, percent: int = PERCENT, longest:
     return best, np.minimum(n - t + best, n)
 
 
-def prefixes(docs: DataFrame, table, words_each: int = WORDS_EACH, percent: int = PERCENT) -> DataFrame:
+def prefixes(docs: DataFrame, table, words_each: int = WORDS_EACH, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """h, sid, n, l and often (whether the shingle is in the table) for each shingle of each prefix. table: a broadcast Frequent."""
 
     def run(batches):
@@ -194,7 +194,7 @@ def prefixes(docs: DataFrame, table, words_each: int = WORDS_EACH, percent: int
                 continue
             sets, sid, first = np.concatenate([sets[a:b] for _, a, b in new]), np.array([x for x, _, _ in new]), np.cumsum([0, *(b - a for _, a, b in new)])
             sets, df = ordered(sets, first, table.value)
-            l, size = lengths(df, first, percent)
+            l, size = lengths(df, first, percent, longest)
             at = np.arange(size.sum()) + np.repeat(first[:-1] - np.cumsum(size) + size, size)
             of = np.repeat(np.arange(len(size)), size)
             yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), pa.array(sid[of]), pa.array(np.diff(first)[of]), pa.array(l[of]), pa.array(df[at] > 0)], ["h", "sid", "n", "l", "often"])
@@ -236,9 +236,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def buckets(docs: DataFrame, table, words_each: int = WORDS_EACH, percent: int = PERCENT) -> DataFrame:
+def buckets(docs: DataFrame, table, words_each: int = WORDS_EACH, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """key, sid, n and l of the members of each bucket of two or more, with the bucket's least member and its n and l."""
-    rows = prefixes(docs, table, words_each, percent).withColumn("salt", F.when(F.col("often"), F.pmod("sid", F.lit(256))).otherwise(0))
+    rows = prefixes(docs, table, words_each, percent, longest).withColumn("salt", F.when(F.col("often"), F.pmod("sid", F.lit(256))).otherwise(0))
     rows = rows.repartition("h", "salt").sortWithinPartitions("h", "sid").select("h", "sid", "n", "l", "often")
     met = checkpoint(rows.mapInArrow(_met, _MET))
     own = ["key", "sid", "n", "l"]
@@ -309,11 +309,11 @@ def _named(rows: DataFrame, percent: int) -> DataFrame:
 _BLOCK = ["key", "i", "j", "part", "sid", "group"]
 
 
-def _block_links(part: np.ndarray, i: int, j: int, sid: np.ndarray, group: np.ndarray, sets: list[np.ndarray], table: Frequent, percent: int) -> Iterator[tuple[int, int]]:
+def _block_links(part: np.ndarray, i: int, j: int, sid: np.ndarray, group: np.ndarray, sets: list[np.ndarray], table: Frequent, percent: int, longest: int) -> Iterator[tuple[int, int]]:
     """Links that join groups, between part i and part j of a bucket: pairs that share enough prefix shingles are compared."""
     first = np.cumsum([0, *map(len, sets)])
     values, df = ordered(np.concatenate(sets), first, table)
-    l, size = lengths(df, first, percent)
+    l, size = lengths(df, first, percent, longest)
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
     prefix = lambda a: values[first[a] : first[a] + size[a]]
     index, owner = np.concatenate([prefix(b) for b in right]), np.repeat(right, size[right])
@@ -332,7 +332,7 @@ def _block_links(part: np.ndarray, i: int, j: int, sid: np.ndarray, group: np.nd
                 yield int(sid[a]), int(sid[b])
 
 
-def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int) -> DataFrame:
+def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int, longest: int) -> DataFrame:
     """Links that join the groups of large buckets: stragglers (members outside the largest group), in parts, against each other and against the others' parts."""
     stray, hashed = F.col("group") != F.col("top"), F.xxhash64("sid")
     parts = lambda c: F.ceil(F.count_if(c) / PART).cast("long")
@@ -346,8 +346,9 @@ def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int) -> DataFrame
 
         def ended():
             part, sid, group = (np.array([h[x] for h in held], np.int64) for x in range(3))
-            if (group != group[0]).any():
-                found = list(_block_links(part, key[1], key[2], sid, group, [h[3] for h in held], table.value, percent))
+            # both parts of the pair must have landed: a part may be empty
+            if (group != group[0]).any() and set(key[1:]) <= set(part.tolist()):
+                found = list(_block_links(part, key[1], key[2], sid, group, [h[3] for h in held], table.value, percent, longest))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], ["u", "v"])
 
@@ -364,24 +365,24 @@ def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int) -> DataFrame
     return checkpoint(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid").mapInArrow(run, "u long, v long"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH, longest: int = LONGEST, most: int = FREQUENT) -> DataFrame:
     """Confirmed links u, v between different sets that join all that are linked."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent(docs, words_each))
-    met = checkpoint(buckets(docs, table, words_each, percent))
+    table = docs.sparkSession.sparkContext.broadcast(frequent(docs, words_each, most))
+    met = checkpoint(buckets(docs, table, words_each, percent, longest))
     sets = _sets(docs, nodes, met.select("sid").distinct(), words_each)
     star = met.where((F.col("sid") != F.col("least")) & _fits("n", "least_n", percent))
     found = _confirmed(_counted(star.select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v"), F.least("l", "least_l").alias("need"))), sets, percent)
     rows = _open(met, found)
     more = _confirmed(_named(rows.where(F.col("members") <= SMALL), percent), sets, percent)
     large = rows.where(F.col("members") > SMALL)
-    return found.unionByName(more).unionByName(_crowded(large, sets, table, percent)) if large.take(1) else found.unionByName(more)
+    return found.unionByName(more).unionByName(_crowded(large, sets, table, percent, longest)) if large.take(1) else found.unionByName(more)
 
 
-def joined(docs: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH) -> DataFrame:
+def joined(docs: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH, longest: int = LONGEST, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
     rows = checkpoint(prints(docs, words_each))
     nodes = checkpoint(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("t").alias("t")))
-    roots = checkpoint(components(links(docs, nodes, percent, words_each)).withColumnRenamed("node", "sid"))
+    roots = checkpoint(components(links(docs, nodes, percent, words_each, longest, most)).withColumnRenamed("node", "sid"))
     named = roots.join(nodes.select("sid", "doc_id"), "sid")
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     # stands on its own, so that Spark can split the rows of a set that many documents share

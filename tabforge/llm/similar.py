@@ -13,7 +13,8 @@ stragglers against each other and against the rest of their bucket, is compared
 that join groups.
 
 Defined cases: A-Z count as a-z; a null or empty text has the empty set, and such texts are equal; fewer words than a
-shingle make one shingle; rows without an id link like others and stay.
+shingle make one shingle; rows without an id link like others and stay; rows that repeat an id with another text are documents
+of their own; equal rows are near-duplicates; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -260,13 +261,20 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8, words_each
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id. Rows without an id stay, as none can be named for them."""
+    """docs with one row of each group: that of the smallest doc_id, and of the rows with this id that of the least text hash. Rows without an id stay, as none can be named for them.
+
+    What goes and stays is decided for rows, by id and text: rows of one id with other texts are documents of their own. Of
+    rows that are equal in both, one stays (any one, should they differ in other columns).
+    """
     found = checkpoint(prints(docs, words_each))
-    nodes = checkpoint(found.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("row")
+    nodes = checkpoint(found.groupBy("sid").agg(row, F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
     roots = checkpoint(components(links(docs, nodes, similarity, words_each)).withColumnRenamed("node", "sid"))
-    least = nodes.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("doc_id").alias("__kept"))
-    kept = least.where(F.col("__kept").isNotNull()).select("__kept")
-    named = docs.join(kept, docs["doc_id"] == kept["__kept"]).drop("__kept")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = named.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    least = nodes.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("row").alias("row")).where("row is not null").select("row.*")
+    equal = found.groupBy("doc_id", "t").agg((F.count("*") > 1).alias("repeated"))
+    kept = least.join(equal, ["doc_id", "t"]).select(*(F.col(c).alias(f"__kept_{c}") for c in ("doc_id", "t", "repeated")))
+    named = docs.join(kept, (docs["doc_id"] == kept["__kept_doc_id"]) & (F.xxhash64(docs["text"]) == kept["__kept_t"]))
+    once = named.where("not __kept_repeated").select(*docs.columns)
+    # few keys: only ids that stand with an equal text on several rows, and copies meet before the shuffle
+    among = named.where("__kept_repeated").groupBy("__kept_doc_id", "__kept_t").agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(among).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -88,9 +88,6 @@ def test_simhash_components(spark, edge_docs, no_docs):
     edges = simhash.components_query(edge_docs).collect()
     assert len(edges) == edge_docs.count() and {r["component_id"] for r in edges if r["doc_id"] in (1, 2, 7)} == {1}
     assert simhash.components_query(no_docs).count() == 0
-    kept = simhash.keep_one(df).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(roots.values()))
-    assert simhash.keep_one(edge_docs).columns == edge_docs.columns and simhash.keep_one(edge_docs).where("doc_id = 5").count() == 0
 
 
 def test_simhash_split_shards(spark, monkeypatch):
@@ -159,6 +156,26 @@ def test_pipeline_stage_finds_similar_texts(spark, edge_docs, no_docs, monkeypat
     assert similar.keep_one(no_docs).count() == 0
 
 
+def test_rows_of_one_id_with_other_texts_are_documents(spark):
+    """By row against all pairs: ids repeat with near, equal and other texts."""
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(12)]
+    texts = base + [" ".join([*t.split()[:-2], "x", "y"]) for t in base[:8]]
+    rows = [(3, "A b c d e f g"), (5, "a B c d e f g"), (5, "z y x w v u"), (7, "k l m n o p")] + [(rng.randrange(6), t) for t in texts for _ in range(2)]
+    rows += rows[:6]
+    sets = [{tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)} for _, t in rows]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if near(i, j):
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = [(r["doc_id"], r["text"]) for r in similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    assert len(kept) == len(set(group)) == len({group[rows.index(k)] for k in kept})
+    assert all(k[0] == min(r[0] for r, g in zip(rows, group) if g == group[rows.index(k)]) for k in kept)
+    assert (5, "z y x w v u") in kept and (3, "A b c d e f g") in kept and (5, "a B c d e f g") not in kept
+
+
 def test_bk_tree():
     rng = random.Random(2)
     values = [rng.getrandbits(64) for _ in range(50)]
