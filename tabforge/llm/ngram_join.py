@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import checkpoint, text_slices
+from tabforge.llm.common import checkpoint, stored, text_slices
 from tabforge.llm.graph import components
 from tabforge.llm.similar import _sid, shingle_sets
 
@@ -45,6 +45,8 @@ ROW, MET, COMPARED, RARE = 1.0, 1.0, 1 / 16, 0.1
 #: Hashes that a task packs at once; bytes of text for each block of hashes that is counted together.
 PACKED, COUNTED = 1 << 21, 1 << 19
 _BITS = 32
+#: Bits of the bitmap of wanted texts, as a power of two.
+_PLACES = 24
 
 
 def overlap(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -148,7 +150,7 @@ def frequent(docs: DataFrame, words_each: int = WORDS_EACH, most: int = FREQUENT
             yield _packed(np.concatenate(held), bits)
 
     packed = docs.select("text").mapInArrow(run, "block long, low binary, count binary")
-    totals = checkpoint(packed.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _totals(b, bits), "h long, df long").where("df >= 4"))
+    totals = stored(packed.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _totals(b, bits), "h long, df long").where("df >= 4"))
     level = F.floor(F.log2("df")).cast("int")
     sizes, total, least = {r["level"]: r["n"] for r in totals.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}, 0, 64
     for k in sorted(sizes, reverse=True):
@@ -183,7 +185,7 @@ def lengths(df: np.ndarray, first: np.ndarray, percent: int = PERCENT, longest:
 
 
 def prefixes(docs: DataFrame, table, words_each: int = WORDS_EACH, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
-    """h, sid, n, l and often (whether the shingle is in the table) for each shingle of each prefix. table: a broadcast Frequent."""
+    """h, sid and more (size of the set, l and whether the shingle is in the table, packed as below) for each shingle of each prefix. table: a broadcast Frequent."""
 
     def run(batches):
         seen = set()
@@ -197,16 +199,18 @@ def prefixes(docs: DataFrame, table, words_each: int = WORDS_EACH, percent: int
             l, size = lengths(df, first, percent, longest)
             at = np.arange(size.sum()) + np.repeat(first[:-1] - np.cumsum(size) + size, size)
             of = np.repeat(np.arange(len(size)), size)
-            yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), pa.array(sid[of]), pa.array(np.diff(first)[of]), pa.array(l[of]), pa.array(df[at] > 0)], ["h", "sid", "n", "l", "often"])
+            more = (np.diff(first) << 9 | l << 1)[of] | (df[at] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), pa.array(sid[of]), pa.array(more)], ["h", "sid", "more"])
 
-    return docs.select("text").mapInArrow(run, "h long, sid long, n long, l long, often boolean")
+    return docs.select("text").mapInArrow(run, "h long, sid long, more long")
 
 
+#: A size, an l (at most 255) and a flag in one number: size << 9 | l << 1 | often.
 _MET = "key long, sid long, n long, l long, often boolean, least long, least_n long, least_l long"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of buckets with two or more, with the least member, from rows sorted by h and sid: h, sid, n, l, often.
+    """Members of buckets with two or more, with the least member, from rows sorted by h and sid: h, sid and more.
 
     Buckets of frequent shingles may be spread over tasks, so all their rows pass, with a least member of this task alone.
     """
@@ -217,18 +221,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows[:, new]
         start = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] ^ 1))
         size = np.diff(np.append(start, rows.shape[1]))
-        keep = (np.repeat(size, size) > 1) | (rows[4] > 0)
+        keep = (np.repeat(size, size) > 1) | (rows[2] & 1 > 0)
         least = rows[:, np.repeat(start, size)]
-        columns = [*rows[:4], rows[4] > 0, *least[1:4]]
+        columns = [rows[0], rows[1], rows[2] >> 9, rows[2] >> 1 & 255, rows[2] & 1 > 0, least[1], least[2] >> 9, least[2] >> 1 & 255]
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["key", "sid", "n", "l", "often", "least", "least_n", "least_l"])
 
-    held = np.zeros((5, 0), np.int64)
+    held = np.zeros((3, 0), np.int64)
     for batch in batches:
-        now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        now = np.stack([np.asarray(c) for c in batch.columns])
         rows = np.concatenate([held, now], axis=1)
         if rows.shape[1]:
             # the last bucket waits for its other members, unless it is a frequent shingle's
-            last = rows.shape[1] if rows[4, -1] else int(np.searchsorted(rows[0], rows[0, -1]))
+            last = rows.shape[1] if rows[2, -1] & 1 else int(np.searchsorted(rows[0], rows[0, -1]))
             if last:
                 yield done(rows[:, :last])
             held = rows[:, last:]
@@ -238,9 +242,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def buckets(docs: DataFrame, table, words_each: int = WORDS_EACH, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """key, sid, n and l of the members of each bucket of two or more, with the bucket's least member and its n and l."""
-    rows = prefixes(docs, table, words_each, percent, longest).withColumn("salt", F.when(F.col("often"), F.pmod("sid", F.lit(256))).otherwise(0))
-    rows = rows.repartition("h", "salt").sortWithinPartitions("h", "sid").select("h", "sid", "n", "l", "often")
-    met = checkpoint(rows.mapInArrow(_met, _MET))
+    rows = prefixes(docs, table, words_each, percent, longest)
+    salt = F.when(F.col("more").bitwiseAND(1) == 1, F.pmod("sid", F.lit(256))).otherwise(0)
+    met = stored(rows.repartition("h", salt).sortWithinPartitions("h", "sid").mapInArrow(_met, _MET))
     own = ["key", "sid", "n", "l"]
     often = met.where("often").select(*own)
     first = often.groupBy("key").agg(F.min(F.struct("sid", "n", "l")).alias("x"), F.max("sid").alias("y")).where("x.sid <> y")
@@ -258,16 +262,34 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
-    """sid and set (sorted hashes) of the nodes in wanted."""
-    texts = docs.select("text", F.xxhash64("text").alias("t")).join(nodes.join(wanted, "sid").select("sid", "t"), "t").groupBy("sid").agg(F.min("text").alias("text"))
+def _sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
+    """sid and set (sorted hashes) of the nodes (sid, t) in wanted.
+
+    Texts are not shuffled: a bitmap of the wanted texts' hashes (2 MB, whatever their number) goes to every task, which makes
+    the sets of the texts that it lets pass; a join drops those that passed by chance.
+    """
+    place = F.pmod("t", F.lit(1 << _PLACES)) + 1
+    rows = wanted.select(place.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    bits = np.zeros(1 << _PLACES, bool)
+    for r in rows:
+        bits[(r["k"] - 1) << 15 : r["k"] << 15] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")[: 1 << 15]
+    passes = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches):
-        for part, texts in text_slices(batches):
-            values, first = shingle_sets(texts, words_each)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["sid", "set"])
+        seen, lets = set(), np.unpackbits(passes.value).view(bool)
+        for batch in batches:
+            t = np.asarray(batch.column(1))
+            new = []
+            for i in np.flatnonzero(lets[t & ((1 << _PLACES) - 1)]).tolist():
+                if t[i] not in seen:
+                    seen.add(t[i])
+                    new.append(i)
+            for part, texts in text_slices([batch.take(pa.array(new, pa.int64()))]):
+                values, first = shingle_sets(texts, words_each)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([values[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["t", "set"])
 
-    return checkpoint(texts.mapInArrow(run, "sid long, set binary"))
+    made = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(run, "t long, set binary")
+    return stored(made.join(wanted.select("sid", "t"), "t").groupBy("sid").agg(F.min("set").alias("set")))
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -296,7 +318,7 @@ def _open(met: DataFrame, links: DataFrame) -> DataFrame:
     grouped = met.select("key", "sid", "n", "l").join(roots, "sid", "left").select("key", "sid", "n", "l", F.coalesce("root", "sid").alias("group"))
     sizes = grouped.groupBy("key", "group").count().groupBy("key")
     tops = sizes.agg(F.max(F.struct("count", "group"))["group"].alias("top"), F.sum("count").alias("members"), F.count("*").alias("groups")).where("groups > 1")
-    return checkpoint(grouped.join(tops.drop("groups"), "key"))
+    return stored(grouped.join(tops.drop("groups"), "key"))
 
 
 def _named(rows: DataFrame, percent: int) -> DataFrame:
@@ -368,14 +390,17 @@ def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int, longest: int
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH, longest: int = LONGEST, most: int = FREQUENT) -> DataFrame:
     """Confirmed links u, v between different sets that join all that are linked."""
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, words_each, most))
-    met = checkpoint(buckets(docs, table, words_each, percent, longest))
-    sets = _sets(docs, nodes, met.select("sid").distinct(), words_each)
+    met = buckets(docs, table, words_each, percent, longest)
+    ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("sid"))
+    sets = lambda wanted: _sets(docs, nodes.join(wanted.distinct(), "sid"), words_each)
     star = met.where((F.col("sid") != F.col("least")) & _fits("n", "least_n", percent))
-    found = _confirmed(_counted(star.select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v"), F.least("l", "least_l").alias("need"))), sets, percent)
+    asked = stored(_counted(star.select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v"), F.least("l", "least_l").alias("need"))))
+    found = _confirmed(asked, sets(ends(asked)), percent)
     rows = _open(met, found)
-    more = _confirmed(_named(rows.where(F.col("members") <= SMALL), percent), sets, percent)
-    large = rows.where(F.col("members") > SMALL)
-    return found.unionByName(more).unionByName(_crowded(large, sets, table, percent, longest)) if large.take(1) else found.unionByName(more)
+    named, large = stored(_named(rows.where(F.col("members") <= SMALL), percent)), rows.where(F.col("members") > SMALL)
+    more = sets(ends(named).unionByName(large.select("sid")))
+    out = found.unionByName(_confirmed(named.join(asked, ["u", "v"], "left_anti"), more, percent))
+    return out.unionByName(_crowded(large, more, table, percent, longest)) if large.take(1) else out
 
 
 def joined(docs: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH, longest: int = LONGEST, most: int = FREQUENT) -> DataFrame:
