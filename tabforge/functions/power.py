@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.operators.stats import as_dict, per_column, wide_row
+from tabforge.operators.stats import as_dict, col, per_column, wide_row
 
 YEO, BOX = "yeo-johnson", "box-cox"
 
@@ -78,7 +78,7 @@ def fit(df: DataFrame, columns: Sequence[str], method: str, refine: int = 2) ->
         raise ValueError(f"unknown method {method}")
     lows = {c: r["v"] for c, r in as_dict(per_column(df, columns, {"v": lambda c: F.min(c).cast("double")})).items() if r["v"] is not None}
     shift = {c: (abs(v) + 1 if method == BOX and v <= 0 else 0.0) for c, v in lows.items()}
-    source = {c: F.col(c).cast("double") + F.lit(shift[c]) for c in lows}
+    source = {c: col(c).cast("double") + F.lit(shift[c]) for c in lows}
     lams = best_exponents(df, source, method, refine)
     psi = {c: (yeo_johnson if method == YEO else box_cox)(source[c], lams[c]) for c in lams}
     moments = wide_row(df, {f"{c}|{k}": f(psi[c]) for c in psi for k, f in (("m", F.avg), ("s", F.stddev_pop))})
@@ -95,7 +95,7 @@ def recommend(df: DataFrame, columns: Sequence[str], refine: int = 2) -> DataFra
     lows = as_dict(per_column(df, columns, {"v": lambda c: F.min(c).cast("double")}))
     both = {m: fit(df, columns, m, refine) for m in (BOX, YEO)}
     names = [c for c in columns if c in both[BOX] and c in both[YEO]]
-    rows = per_column(df, names, {m: lambda c, m=m: F.skewness(transformed(F.col(c), both[m][c])) for m in (BOX, YEO)})
+    rows = per_column(df, names, {m: lambda c, m=m: F.skewness(transformed(col(c), both[m][c])) for m in (BOX, YEO)})
     positive = [c for c in names if lows[c]["v"] > 0]
     choice = F.when(F.col("column").isin(positive) & (F.abs(F.col(BOX)) <= F.abs(F.col(YEO))), F.lit(BOX)).otherwise(F.lit(YEO))
     return rows.select("column", F.col(BOX).alias("skew_box_cox"), F.col(YEO).alias("skew_yeo_johnson"), choice.alias("recommendation"))

@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators.stats import as_dict, distinct_counts, numeric_columns, per_column, value_histogram
+from tabforge.operators.stats import as_dict, col, distinct_counts, numeric_columns, per_column, quoted, value_histogram
 
 # Thresholds, words for yes and no, and date patterns (Spark's letters) in order of trial.
 HIGH_NULL, NEAR_CONSTANT, HALF, PARSED, CASE_VALUES, LONG_TEXT = 0.6, 0.98, 0.5, 0.8, (2, 100), 100
@@ -39,7 +39,7 @@ class CleanPlan:
 
 
 def _shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    rows = as_dict(per_column(df, columns, {"nulls": lambda c: F.count_if(F.col(c).isNull()), "n": lambda c: F.count("*")}))
+    rows = as_dict(per_column(df, columns, {"nulls": lambda c: F.count_if(col(c).isNull()), "n": lambda c: F.count("*")}))
     return {c: r["nulls"] / r["n"] if r["n"] else 0.0 for c, r in rows.items()}
 
 
@@ -71,12 +71,12 @@ def duplicate_columns(df: DataFrame, keep: Sequence[str] = ()) -> dict[str, str]
     """Each column that equals an earlier one of its type at every row, with that one. Pairs are pruned by nulls, extremes and a hash sum, then compared exactly in one pass."""
     columns = [c for c in df.columns if c not in keep]
     kinds = dict(df.dtypes)
-    text = lambda c: F.col(c).cast("string")
-    rows = as_dict(per_column(df, columns, {"nulls": lambda c: F.count_if(F.col(c).isNull()), "low": lambda c: F.min(text(c)), "high": lambda c: F.max(text(c)), "sum": lambda c: F.sum(F.xxhash64(c).cast("decimal(38,0)"))}))
+    text = lambda c: col(c).cast("string")
+    rows = as_dict(per_column(df, columns, {"nulls": lambda c: F.count_if(col(c).isNull()), "low": lambda c: F.min(text(c)), "high": lambda c: F.max(text(c)), "sum": lambda c: F.sum(F.xxhash64(c).cast("decimal(38,0)"))}))
     alike = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if kinds[a] == kinds[b] and all(rows[a][k] == rows[b][k] for k in ("nulls", "low", "high", "sum"))]
     if not alike:
         return {}
-    same = df.agg(*[F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(alike)]).first()
+    same = df.agg(*[F.bool_and(col(a).eqNullSafe(col(b))).alias(f"p{i}") for i, (a, b) in enumerate(alike)]).first()
     out: dict[str, str] = {}
     for i, (a, b) in enumerate(alike):
         if same[f"p{i}"] and a not in out:
@@ -112,7 +112,7 @@ def case_maps(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, str]
 
 def with_case(c: str, mapping: dict[str, str]) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
-    return F.coalesce(pairs[F.lower(c)], F.col(c))
+    return F.coalesce(pairs[F.lower(col(c))], col(c))
 
 
 def as_number(c: Column) -> Column:
@@ -130,9 +130,9 @@ def text_types(df: DataFrame, keep: Sequence[str] = (), columns: Sequence[str] |
     rows = as_dict(per_column(df, columns, {
         "n": lambda c: F.count("*"),
         "long": lambda c: F.max(F.length(c)),
-        "numbers": lambda c: F.count(as_number(F.col(c))),
-        "whole": lambda c: F.count_if(as_number(F.col(c)) == F.floor(as_number(F.col(c)))),
-        "dates": lambda c: F.count(F.coalesce(*[as_date(F.col(c), i) for i in range(len(PATTERNS))])),
+        "numbers": lambda c: F.count(as_number(col(c))),
+        "whole": lambda c: F.count_if(as_number(col(c)) == F.floor(as_number(col(c)))),
+        "dates": lambda c: F.count(F.coalesce(*[as_date(col(c), i) for i in range(len(PATTERNS))])),
         "flags": lambda c: F.count_if(F.lower(c).isin(TRUE + FALSE)),
     }))
     out = {}
@@ -160,7 +160,7 @@ def date_patterns(df: DataFrame, keep: Sequence[str] = ()) -> dict[str, str]:
     """First pattern that more than 80 % of a text column's values have, all rows tested; 'timestamp' for date and time columns."""
     out = {c: "timestamp" for c, t in df.dtypes if t in ("timestamp", "date", "timestamp_ntz") and c not in keep}
     texts = [c for c, t in df.dtypes if t == "string" and c not in keep]
-    fields = {"n": lambda c: F.count(c)} | {f"p{i}": lambda c, i=i: F.count(as_date(F.col(c), i)) for i in range(len(PATTERNS))}
+    fields = {"n": lambda c: F.count(c)} | {f"p{i}": lambda c, i=i: F.count(as_date(col(c), i)) for i in range(len(PATTERNS))}
     for c, r in (as_dict(per_column(df, texts, fields)) if texts else {}).items():
         hit = next((i for i in range(len(PATTERNS)) if r["n"] and r[f"p{i}"] > PARSED * r["n"]), None)
         if hit is not None:
@@ -175,7 +175,7 @@ def standard_date(c: Column, pattern: str) -> Column:
 
 def full_rows(df: DataFrame, most: float = HALF) -> DataFrame:
     """Rows whose share of nulls is not above most."""
-    empty = sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
+    empty = sum((col(c).isNull().cast("int") for c in df.columns), F.lit(0))
     return df.where(empty <= most * len(df.columns))
 
 
@@ -194,11 +194,11 @@ def fit(df: DataFrame, ids: Sequence[str] = (), target: str | None = None, touch
     plan.drop |= {c: f"duplicate of {of}" for c, of in gone.items()}
     now = now.drop(*gone)
     plan.strings = [c for c, t in now.dtypes if t == "string" and c not in keep and facts[c]["nulls"] <= HALF]
-    now = now.withColumns({c: cleaned_string(F.col(c), lowercase) for c in plan.strings}) if plan.strings else now
+    now = now.withColumns({c: cleaned_string(col(c), lowercase) for c in plan.strings}) if plan.strings else now
     plan.cases = case_maps(now, plan.strings)
     now = now.withColumns({c: with_case(c, m) for c, m in plan.cases.items()}) if plan.cases else now
     plan.types = text_types(now, keep, plan.strings)
-    now = now.withColumns({c: converted(F.col(c), k) for c, k in plan.types.items()}) if plan.types else now
+    now = now.withColumns({c: converted(col(c), k) for c, k in plan.types.items()}) if plan.types else now
     plan.dates = date_patterns(now, keep)
     return plan
 
@@ -207,10 +207,10 @@ def apply(df: DataFrame, plan: CleanPlan, drop_rows: bool = True) -> DataFrame:
     """One projection for all rules, then the row filter, if rows are to go."""
     out = df.drop(*plan.drop)
     for step in (
-        {c: cleaned_string(F.col(c), plan.lowercase) for c in plan.strings},
+        {c: cleaned_string(col(c), plan.lowercase) for c in plan.strings},
         {c: with_case(c, m) for c, m in plan.cases.items()},
-        {c: converted(F.col(c), k) for c, k in plan.types.items()},
-        {c: standard_date(F.col(c), p) for c, p in plan.dates.items()},
+        {c: converted(col(c), k) for c, k in plan.types.items()},
+        {c: standard_date(col(c), p) for c, p in plan.dates.items()},
     ):
         step = {c: e for c, e in step.items() if c in out.columns}
         out = out.withColumns(step) if step else out

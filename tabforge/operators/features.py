@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabforge.operators import models
 from tabforge.operators.preprocess import impute_values
 from tabforge.operators.resample import resampled
-from tabforge.operators.stats import numeric_columns, per_column
+from tabforge.operators.stats import col, numeric_columns, per_column, quoted
 from tabforge.sources.tables import checkpointed
 
 MOST_FEATURES, MOST_CLASSES, IMPORTANCE_ROWS = 5000, 100, 2000
@@ -28,10 +28,10 @@ def pairwise(columns: Sequence[str], target: str | None = None, strict_names: bo
     """
     if len(columns) + 5 * len(columns) * (len(columns) - 1) // 2 > most:
         raise ValueError(f"more than {most} features; choose columns first")
-    out: dict[str, Column] = {c: F.col(c).cast("double") for c in columns}
+    out: dict[str, Column] = {c: col(c).cast("double") for c in columns}
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            x, y = col(a).cast("double"), col(b).cast("double")
             out |= {f"{a} + {b}": x + y, f"{a} * {b}": x * y, f"{a} - {b}": x - y, f"{a} / {b}": F.try_divide(x, y), f"{b} / {a}": F.try_divide(y, x)}
     return {n: e for n, e in out.items() if not target or (target not in n if strict_names else n != target)}
 
@@ -43,17 +43,17 @@ def filled(e: Column) -> Column:
 
 def generate(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), target: str | None = None, strict_names: bool = False) -> DataFrame:
     """keep and all features, in one projection."""
-    return df.select(*keep, *[filled(e).alias(n) for n, e in pairwise(columns, target, strict_names).items()])
+    return df.select(*map(quoted, keep), *[filled(e).alias(n) for n, e in pairwise(columns, target, strict_names).items()])
 
 
 def prepared(df: DataFrame) -> DataFrame:
     """For selection: infinite numbers count as null, null numbers become the median, null texts the mode or 'unknown'."""
     numbers = numeric_columns(df)
-    finite = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c)) for c in numbers}
+    finite = {c: F.when(~F.isnan(col(c).cast("double")) & (F.abs(col(c).cast("double")) != float("inf")), col(c)) for c in numbers}
     df = df.withColumns(finite) if finite else df
     others = [c for c in df.columns if c not in numbers]
     fill = impute_values(df, numbers, "median") | {c: v if v is not None else "unknown" for c, v in impute_values(df, others, "mode").items()}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double") if c in numbers else F.col(c), F.lit(v)) for c, v in fill.items() if v is not None})
+    return df.withColumns({c: F.coalesce(col(c).cast("double") if c in numbers else col(c), F.lit(v)) for c, v in fill.items() if v is not None})
 
 
 def variance_ranking(df: DataFrame, n: int, columns: Sequence[str] | None = None) -> DataFrame:
@@ -70,10 +70,10 @@ def importance_ranking(df: DataFrame, target: str, n: int, columns: Sequence[str
 
     The models are fitted on at most `rows` rows, those of the least hash over all columns. The variance ranks, too, where there is nothing to classify: one class, or more than MOST_CLASSES.
     """
-    classes = sorted(r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect())
+    classes = sorted(r[0] for r in df.select(quoted(target)).where(col(target).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect())
     if 1 < len(classes) <= MOST_CLASSES and columns:
-        code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target)) - 1
-        known = df.where(F.col(target).isNotNull()).select(*[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(columns)], code.alias("_label"))
+        code = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target)) - 1
+        known = df.where(col(target).isNotNull()).select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)], code.alias("_label"))
         chosen = known.orderBy(F.xxhash64(*known.columns), *known.columns[:1]).limit(rows)
         table = checkpointed(models.assembled(chosen, [f"_{i}" for i in range(len(columns))], "_label"))
         for rank in (lambda: models.forest_importance(table, columns, n), lambda: models.linear_importance(table, columns).where(F.col("rank") <= n)):
@@ -86,7 +86,7 @@ def importance_ranking(df: DataFrame, target: str, n: int, columns: Sequence[str
 def project(df: DataFrame, selected: Sequence[str], n: int = 20, keep: Sequence[str] = ()) -> DataFrame:
     """The selected columns that exist; if none does, the first n."""
     there = [c for c in selected if c in df.columns]
-    return df.select(*keep, *[F.col(f"`{c}`") for c in there or [c for c in df.columns if c not in keep][:n]])
+    return df.select(*map(quoted, keep), *[col(c) for c in there or [c for c in df.columns if c not in keep][:n]])
 
 
 def run(train: DataFrame, test: DataFrame | None, target: str, n: int = 20, keep: Sequence[str] = (), make: bool = True, resampling: str | None = None, ranking: str = "importance") -> tuple[DataFrame, DataFrame | None, DataFrame]:
@@ -97,7 +97,7 @@ def run(train: DataFrame, test: DataFrame | None, target: str, n: int = 20, keep
     if resampling:
         keep = list(keep[:1])
         train = resampled(train, keep[0], columns, target, resampling)
-    shape = lambda df: generate(df, columns, [*keep, target], target) if make else df.select(*keep, target, *columns)
+    shape = lambda df: generate(df, columns, [*keep, target], target) if make else df.select(*map(quoted, [*keep, target, *columns]))
     made = shape(train)
     names = [c for c in made.columns if c != target and c not in keep]
     ranked = importance_ranking(made, target, n, names) if ranking == "importance" else variance_ranking(made, n, names)

@@ -1,6 +1,6 @@
 """Classifiers behind one entry: fit(df, name, params) on a table with features (vector) and label (double from 0).
 
-Learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial kernel
+Boosted trees of three kinds are grown in `boost`. Other learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial kernel
 from landmark features with calibrated margins, naive Bayes and discriminants from one aggregate, nearest neighbours from
 the block search. Binary learners are wrapped in one-vs-rest where there are more classes. Every fitted model can be saved
 and loaded.
@@ -19,7 +19,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators import bayes, knn
+from tabforge.operators import bayes, boost, knn
 from tabforge.sources.tables import checkpointed, read_json, write_json
 
 SEED = 42
@@ -35,9 +35,9 @@ DEFAULTS: dict[str, dict] = {
     "extra_trees": {"n_estimators": 100, "max_depth": 10},
     "svc": {"C": 1.0, "landmarks": 100},
     "mlp": {"hidden": 100, "max_iter": 100},
-    "xgboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.8},
-    "lightgbm": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
-    "catboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
+    "xgboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8},
+    "lightgbm": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 0, "num_leaves": 31, "colsample_bytree": 0.8},
+    "catboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "l2_leaf_reg": 3.0},
     "knn": {"k": 5, "weights": "uniform", "p": 2},
     "gaussian_nb": {"smoothing": 1e-9},
     "multinomial_nb": {"alpha": 1.0},
@@ -173,6 +173,34 @@ def _apply_svc(df: DataFrame, rule: Rule) -> DataFrame:
     return out.withColumn("probability", _shared(F.array(*parts))).drop("kernel")
 
 
+def _growth(name: str, p: dict) -> boost.Growth:
+    """Second-order trees by depth, leaf-wise trees or symmetric ones; max_depth 0 sets no limit to leaf-wise trees."""
+    more = {"least_rows": p["min_samples_leaf"]} if "min_samples_leaf" in p else {}
+    if name == "xgboost":
+        return boost.Growth("depth", p["max_depth"], penalty=p.get("reg_lambda", 1.0), least_gain=p.get("gamma", 0.0), least_hessian=p.get("min_child_weight", 1.0), subsample=p["subsample"], columns=p["colsample_bytree"], **more)
+    if name == "lightgbm":
+        more = {"least_rows": 20} | more
+        return boost.Growth("leaf", p["max_depth"], p["num_leaves"], penalty=p.get("reg_lambda", 0.0), least_hessian=p.get("min_child_weight", 1e-3), columns=p["colsample_bytree"], top_rate=p.get("top_rate", 1.0), other_rate=p.get("other_rate", 0.1), **more)
+    return boost.Growth("symmetric", p["max_depth"], penalty=p["l2_leaf_reg"], least_hessian=0.0, subsample=p.get("subsample", 1.0), **({"least_rows": 0} | more))
+
+
+def _boosted(df: DataFrame, name: str, classes: int, p: dict) -> Rule:
+    places, tables, shares = list(p.get("categorical", [])), {}, []
+    if places:
+        df, table, shares = boost.ordered_statistics(df, places, classes)
+        tables["statistics"], df = checkpointed(table), checkpointed(df)
+    state = boost.grow_all(df, classes, _growth(name, p), p["n_estimators"], p["learning_rate"], SEED, name != "catboost")
+    return Rule("boosted", state | {"categorical": places, "shares": shares}, tables=tables)
+
+
+def _apply_boosted(df: DataFrame, rule: Rule) -> DataFrame:
+    own = df.withColumn("_own", F.col("features"))
+    if rule.tables:
+        own = boost.with_statistics(own, rule.tables["statistics"], rule.state["categorical"], rule.state["shares"])
+    out = boost.scored(own, {k: rule.state[k] for k in ("edges", "start", "trees")}).withColumn("features", F.col("_own")).drop("_own")
+    return out.withColumn("prediction", (F.array_position("rawScores", F.array_max("rawScores")) - 1).cast("double"))
+
+
 def _columns(df: DataFrame, d: int) -> tuple[DataFrame, list[str]]:
     """df with its features as d columns of their own."""
     names = [f"_f{i}" for i in range(d)]
@@ -208,7 +236,7 @@ def _apply_knn(df: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(scored, "_row", "left").withColumn("probability", _shared(F.col("rawScores"))).drop("_row")
 
 
-_APPLY = {"ridge": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn}
+_APPLY = {"ridge": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn, "boosted": _apply_boosted}
 
 
 def estimator(name: str, classes: int, n: int, p: dict):
@@ -224,7 +252,7 @@ def estimator(name: str, classes: int, n: int, p: dict):
         return trees()
     elif name == "extra_trees":
         return trees(bootstrap=False)
-    elif name in ("gradient_boosting", "xgboost", "lightgbm", "catboost"):
+    elif name == "gradient_boosting":
         one = M.GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], subsamplingRate=p.get("subsample", 1.0), minInstancesPerNode=p.get("min_samples_leaf", 1), seed=SEED)
     else:
         raise ValueError(f"unknown model {name}")
@@ -243,6 +271,8 @@ def fit(df: DataFrame, name: str, params: dict | None = None) -> Model | Rule:
         return _adaboost(df, classes, p)
     if name == "svc":
         return _svc(df, classes, p)
+    if name in ("xgboost", "lightgbm", "catboost"):
+        return _boosted(df, name, classes, p)
     if name == "mlp":
         hidden = p["hidden"] if isinstance(p["hidden"], (list, tuple)) else [p["hidden"]]
         return M.MultilayerPerceptronClassifier(layers=[len(df.first()["features"]), *hidden, classes], maxIter=p["max_iter"], seed=SEED).fit(df)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions import power
-from tabforge.operators.stats import as_dict, categorical_columns, numeric_columns, per_column, quantiles
+from tabforge.operators.stats import as_dict, categorical_columns, col, numeric_columns, per_column, quantiles, quoted
 
 
 def impute_values(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, object]:
@@ -29,17 +29,17 @@ def impute_values(df: DataFrame, columns: Sequence[str], method: str) -> dict[st
     if plain:
         out |= {c: r["v"] for c, r in as_dict(per_column(df, plain, {"v": lambda c: F.avg(c)})).items()} if method == "mean" else {c: q[0] if q else None for c, q in quantiles(df, plain, [0.5]).items()}
     for c in (c for c in columns if c not in plain):
-        r = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), c).limit(1).collect()
+        r = df.where(col(c).isNotNull()).groupBy(quoted(c)).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), quoted(c)).limit(1).collect()
         out[c] = r[0][0] if r else None
     return out
 
 
 def imputed(c: str, value, numeric_mean: bool = False) -> Column:
-    return F.coalesce(F.col(c).cast("double") if numeric_mean else F.col(c), F.lit(value))
+    return F.coalesce(col(c).cast("double") if numeric_mean else col(c), F.lit(value))
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.dropna(subset=list(columns) if columns else None)
+    return df.dropna(subset=[quoted(c) for c in columns] if columns else None)
 
 
 def caps(df: DataFrame, columns: Sequence[str], method: str = "IQR") -> dict[str, tuple[float, float]]:
@@ -80,33 +80,33 @@ MAX_VOCABULARY = 1000
 
 def vocabulary(df: DataFrame, c: str, most: int = MAX_VOCABULARY) -> list:
     """Sorted values with null last, if there is one. More than `most` values are refused: such a column needs a sparse encoding (StringIndexer and OneHotEncoder)."""
-    values = [r[0] for r in df.select(c).distinct().limit(most + 1).collect()]
+    values = [r[0] for r in df.select(quoted(c)).distinct().limit(most + 1).collect()]
     if len(values) > most:
         raise ValueError(f"{c} has more than {most} values")
     return sorted(v for v in values if v is not None) + ([None] if None in values else [])
 
 
 def one_hot(c: str, values: Sequence, kind: str = "double", drop_first: bool = False) -> list[Column]:
-    return [F.when(F.col(c).eqNullSafe(F.lit(v)), 1).otherwise(0).cast(kind).alias(f"{c}_{'nan' if v is None else v}") for v in values[1 if drop_first else 0 :]]
+    return [F.when(col(c).eqNullSafe(F.lit(v)), 1).otherwise(0).cast(kind).alias(f"{c}_{'nan' if v is None else v}") for v in values[1 if drop_first else 0 :]]
 
 
 def label_code(c: str, values: Sequence) -> Column:
     """Place in sorted order; an unseen value raises an error."""
     codes = F.create_map(*[x for i, v in enumerate(v for v in values if v is not None) for x in (F.lit(v), F.lit(i))])
-    return F.coalesce(codes[F.col(c)], F.raise_error(F.concat(F.lit(f"unseen value in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("int"))
+    return F.coalesce(codes[col(c)], F.raise_error(F.concat(F.lit(f"unseen value in {c}: "), F.coalesce(col(c).cast("string"), F.lit("null")))).cast("int"))
 
 
 def number_target(c: str) -> Column:
     """The target as a number; nulls, before or after, raise an error."""
-    return F.coalesce(F.col(c).try_cast("double"), F.raise_error(F.lit(f"null or text in the target {c}")).cast("double"))
+    return F.coalesce(col(c).try_cast("double"), F.raise_error(F.lit(f"null or text in the target {c}")).cast("double"))
 
 
 def target_last(df: DataFrame, target: str) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != target], target)
+    return df.select(*[quoted(c) for c in df.columns if c != target], quoted(target))
 
 
 def features_and_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
-    return df.drop(target), df.select(target)
+    return df.drop(target), df.select(quoted(target))
 
 
 @dataclass
@@ -157,16 +157,16 @@ class Preprocessing:
             out = drop_null_rows(out, [c for c in self.missing_columns if c in out.columns])
         numbers = numeric_columns(out)
         steps: list[dict[str, Column]] = [{c: imputed(c, v, c in numbers and self.missing in ("mean", "median")) for c, v in s.get("fill", {}).items() if v is not None}]
-        steps.append({c: capped(F.col(c), v) for c, v in s.get("caps", {}).items()})
-        steps.append({c: power.transformed(F.col(c), v) for c, v in s.get("power", {}).items()})
-        steps.append({c: scaled(F.col(c), v) for c, v in s.get("scale", {}).items()})
+        steps.append({c: capped(col(c), v) for c, v in s.get("caps", {}).items()})
+        steps.append({c: power.transformed(col(c), v) for c, v in s.get("power", {}).items()})
+        steps.append({c: scaled(col(c), v) for c, v in s.get("scale", {}).items()})
         for step in steps:
             out = out.withColumns(step) if step else out
         if self.encoding == "label":
             out = out.withColumns({c: label_code(c, v) for c, v in s["values"].items()})
         elif self.encoding:
             more = [e for c, v in s["values"].items() for e in one_hot(c, v, "int" if self.encoding == "dummies" else "double", self.drop_first)]
-            out = out.select(*[c for c in out.columns if c not in s["values"]], *more)
+            out = out.select(*[quoted(c) for c in out.columns if c not in s["values"]], *more)
         if self.target in out.columns:
             out = out.withColumn(self.target, label_code(self.target, s["classes"]) if s["target_text"] else number_target(self.target))
             out = target_last(out, self.target)

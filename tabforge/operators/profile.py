@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators.stats import as_dict, categorical_columns, distinct_counts, numeric_columns, per_column, quantiles
+from tabforge.operators.stats import as_dict, categorical_columns, col, distinct_counts, numeric_columns, per_column, quantiles, quoted
 
 # Thresholds of the profile.
 SKEW, CORRELATED, ID_RATIO, ID_HINT_RATIO, ID_NULLS, FENCE = 0.5, 0.65, 0.9, 0.5, 5.0, 1.5
@@ -51,8 +52,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     return rows.select("column", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
-def distinct_ratio(df: DataFrame) -> DataFrame:
-    return distinct_counts(df, df.columns).select("column", "distinct", (F.col("distinct") / F.col("n")).alias("ratio"))
+def distinct_ratio(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    return distinct_counts(df, df.columns if columns is None else columns).select("column", "distinct", (F.col("distinct") / F.col("n")).alias("ratio"))
 
 
 def identifiers(df: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def skew(df: DataFrame, threshold: float = SKEW, max_ratio: float | None = ID_RA
     """column, skewness and skewed of numeric columns whose distinct ratio is not above max_ratio; an undefined skewness is not skewed."""
     rows = per_column(df, numeric_columns(df), {"skewness": bias_corrected_skewness})
     if max_ratio is not None:
-        rows = rows.join(distinct_ratio(df.select(*numeric_columns(df))).where(F.col("ratio") <= max_ratio).select("column"), "column")
+        rows = rows.join(distinct_ratio(df, numeric_columns(df)).where(F.col("ratio") <= max_ratio).select("column"), "column")
     return rows.select("column", "skewness", F.coalesce(F.abs("skewness") > threshold, F.lit(False)).alias("skewed"))
 
 
@@ -109,27 +110,121 @@ def fences(df: DataFrame, columns: Sequence[str], multiplier: float = FENCE) ->
 
 def outliers(df: DataFrame, max_ratio: float = ID_RATIO, multiplier: float = FENCE) -> DataFrame:
     """column, low, high and outliers of numeric columns whose distinct ratio is not above max_ratio."""
-    columns = [r["column"] for r in distinct_ratio(df.select(*numeric_columns(df))).where(F.col("ratio") <= max_ratio).collect()]
+    columns = [r["column"] for r in distinct_ratio(df, numeric_columns(df)).where(F.col("ratio") <= max_ratio).collect()]
     limits = fences(df, columns, multiplier)
-    counted = per_column(df, list(limits), {"outliers": lambda c: F.count_if((F.col(c) < limits[c][0]) | (F.col(c) > limits[c][1]))})
+    by = {quoted(c): v for c, v in limits.items()}
+    counted = per_column(df, list(limits), {"outliers": lambda c: F.count_if((F.col(c) < by[c][0]) | (F.col(c) > by[c][1])) if c in by else F.count(c)})
     known = df.sparkSession.createDataFrame([(c, float(a), float(b)) for c, (a, b) in limits.items()], "column string, low double, high double")
     return counted.join(F.broadcast(known), "column").select("column", "low", "high", "outliers")
 
 
+#: Columns of one block of the matrix: a task keeps seven numbers for each pair in two blocks.
+CORRELATED_COLUMNS = 512
+
+
+class _Moments:
+    """For each pair (a of the left columns, b of the right ones) over the rows where both have values: n, the two means, the two sums of squares and the sum of products about them."""
+
+    def __init__(self, left: int, right: int):
+        self.n = np.zeros((left, right))
+        self.parts = [np.zeros((left, right)) for _ in range(5)]
+
+    @staticmethod
+    def of(x: np.ndarray, y: np.ndarray) -> _Moments:
+        """From values with NaN for null; they are shifted to their means, so that sums of squares keep their digits."""
+        out = _Moments(x.shape[1], y.shape[1])
+        (x, m, at), (y, k, to) = _shifted(x), _shifted(y)
+        out.n = m.T @ k
+        n = np.maximum(out.n, 1)
+        a, b = x.T @ k / n, m.T @ y / n
+        # what is left beside rounding errors of the sums counts as no deviation
+        rest = lambda whole, part: np.where(whole - part <= 1e-13 * whole, 0.0, whole - part)
+        aa, bb = (x * x).T @ k, m.T @ (y * y)
+        out.parts = [at[:, None] + a, to[None, :] + b, rest(aa, n * a * a), rest(bb, n * b * b), x.T @ y - n * a * b]
+        return out
+
+    def add(self, other: _Moments) -> None:
+        """Moments of both sets of rows, pair by pair (Chan et al. 1979)."""
+        n = self.n + other.n
+        share = np.divide(other.n, n, out=np.zeros_like(n), where=n > 0)
+        a, b = other.parts[0] - self.parts[0], other.parts[1] - self.parts[1]
+        weight = self.n * share
+        self.parts = [
+            np.where(self.n > 0, self.parts[0], 0) + np.where(self.n > 0, a * share, other.parts[0] * (other.n > 0)), np.where(self.n > 0, self.parts[1], 0) + np.where(self.n > 0, b * share, other.parts[1] * (other.n > 0)),
+            self.parts[2] + other.parts[2] + weight * a * a, self.parts[3] + other.parts[3] + weight * b * b, self.parts[4] + other.parts[4] + weight * a * b,
+        ]
+        self.n = n
+
+
+def _shifted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values less a number near each column's mean (0 for null), whether there is a value, and the number. A constant column becomes exactly 0."""
+    has = ~np.isnan(x)
+    first = np.where(has.any(0), x[has.argmax(0), np.arange(x.shape[1])], 0.0) if len(x) else np.zeros(x.shape[1])
+    x = np.where(has, x - first, 0.0)
+    mean = x.sum(0) / np.maximum(has.sum(0), 1)
+    return np.where(has, x - mean, 0.0), has.astype(float), first + mean
+
+
+def _pairs(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """a, b (places in left and right) and r for all pairs with a < b, if both are the same columns, or for all pairs."""
+    columns = left if left == right else [*left, *right]
+    values = df.select(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))).alias(f"_{i}") for i, c in enumerate(columns)], *[(col(c).isNotNull() & F.isnan(col(c).cast("double"))).alias(f"_n{i}") for i, c in enumerate(columns)])
+    d, k = len(columns), len(left)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, bad = _Moments(k, len(right)), np.zeros(d, bool)
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:d]], axis=1)
+            bad |= np.array([c.true_count > 0 for c in batch.columns[d:]]) | np.isinf(x).any(0)
+            x = np.where(np.isinf(x), np.nan, x)
+            total.add(_Moments.of(x[:, :k], x[:, -len(right) :]))
+        undefined = bad[:k, None] | bad[None, -len(right) :]
+        for a in range(k):
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([np.stack([total.n[a], *(p[a] for p in total.parts), undefined[a].astype(float)]).tobytes()])], ["a", "m"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[_Moments, np.ndarray]] = {}
+        for batch in batches:
+            for a, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                m = np.frombuffer(m).reshape(7, 1, -1)
+                one = _Moments(1, m.shape[2])
+                one.n, one.parts = m[0], list(m[1:6])
+                if a in held:
+                    held[a][0].add(one)
+                    held[a] = held[a][0], held[a][1] + m[6, 0]
+                else:
+                    held[a] = one, m[6, 0]
+        for a, (m, bad) in held.items():
+            b = np.arange(a + 1 if left == right else 0, len(right))
+            xx, yy, xy = (p[0][b] for p in m.parts[2:])
+            whole = (m.n[0][b] > 0) & (xx > 0) & (yy > 0)
+            r = np.divide(xy, np.sqrt(xx) * np.sqrt(yy), out=np.zeros(len(b)), where=whole).clip(-1, 1)
+            r[bad[b] > 0] = np.nan
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a, np.int32)), pa.array(b.astype(np.int32)), pa.array(r, mask=~(whole | (bad[b] > 0)))], ["a", "b", "r"])
+
+    return values.mapInArrow(sums, "a int, m binary").repartition("a").mapInArrow(joined, "a int, b int, r double")
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """col_a, col_b and r of each pair of numeric columns, in column order; pairs with a null are left out pairwise."""
-    columns = [c for c in numeric_columns(df)] if columns is None else columns
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    out = None
-    for a in range(0, len(pairs), 30):
-        part = pairs[a : a + 30]
-        both = lambda x, y: F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
-        one = df.agg(*[both(x, y).alias(f"r{i}") for i, (x, y) in enumerate(part)])
-        rows = one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(f"r{i}").alias("r")) for i, (x, y) in enumerate(part)])).alias("p")).select("p.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """col_a, col_b and r of each pair of numeric columns, in column order; pairs with a null are left out pairwise.
+
+    One pass over the table for up to CORRELATED_COLUMNS columns, and one more for each further pair of blocks of as many:
+    tasks make matrices of products, of the values and of where there are values, and hand on a row of them a column. A
+    column that is constant where the other has values has r null, as has a pair without common rows; NaN and infinite
+    values make r NaN.
+    """
+    columns = list(numeric_columns(df) if columns is None else columns)
+    out = df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    if len(columns) < 2:
+        return out
+    blocks = [columns[a : a + CORRELATED_COLUMNS] for a in range(0, len(columns), CORRELATED_COLUMNS)]
+    found = None
+    for i, left in enumerate(blocks):
+        for right in blocks[i:]:
+            names = lambda own: F.array(*map(F.lit, own))
+            rows = _pairs(df, left, right).select(F.get(names(left), F.col("a")).alias("col_a"), F.get(names(right), F.col("b")).alias("col_b"), "r")
+            found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def correlation_map(df: DataFrame, threshold: float = CORRELATED) -> DataFrame:
@@ -146,14 +241,17 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
     """column, bin (from 1) and n over equal widths between each column's extremes; the last bin takes the largest value."""
     limits = as_dict(per_column(df, columns, {"a": lambda c: F.min(c).cast("double"), "b": lambda c: F.max(c).cast("double")}))
     limits = {c: (r["a"], r["b"]) for c, r in limits.items() if r["a"] is not None}
-    place = [F.when(F.lit(b == a), F.when(F.col(c).isNotNull(), 1)).otherwise(F.least(F.floor((F.col(c).cast("double") - a) / ((b - a) or 1.0) * bins) + 1, F.lit(bins))).cast("int").alias(c) for c, (a, b) in limits.items()]
-    return df.select(*place).unpivot([], list(limits), "column", "bin").where("bin is not null").groupBy("column", "bin").agg(F.count("*").alias("n"))
+    place = [F.when(F.lit(b == a), F.when(col(c).isNotNull(), 1)).otherwise(F.least(F.floor((col(c).cast("double") - a) / ((b - a) or 1.0) * bins) + 1, F.lit(bins))).cast("int").alias(c) for c, (a, b) in limits.items()]
+    if not limits:
+        return df.sparkSession.createDataFrame([], "column string, bin int, n long")
+    return df.select(*place).unpivot([], [quoted(c) for c in limits], "column", "bin").where("bin is not null").groupBy("column", "bin").agg(F.count("*").alias("n"))
 
 
 def box_plot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers: the outermost values within the fences."""
     limits = fences(df, columns)
-    inside = lambda c: F.when((F.col(c) >= limits[c][0]) & (F.col(c) <= limits[c][1]), F.col(c))
+    by = {quoted(c): v for c, v in limits.items()}
+    inside = lambda c: F.when((F.col(c) >= by[c][0]) & (F.col(c) <= by[c][1]), F.col(c)) if c in by else F.col(c)
     found = df.sparkSession.createDataFrame([(c, [float(x) for x in q]) for c, q in quantiles(df, list(limits), [0.25, 0.5, 0.75]).items()], "column string, q array<double>")
     rows = per_column(df, list(limits), {"low": lambda c: F.min(inside(c)).cast("double"), "high": lambda c: F.max(inside(c)).cast("double")}).join(F.broadcast(found), "column")
     return rows.select("column", F.col("low").alias("whisker_low"), F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), F.col("high").alias("whisker_high"))
@@ -161,12 +259,12 @@ def box_plot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     n = F.count("*")
-    return df.groupBy(F.col(target).alias("class")).agg(n.alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return df.groupBy(col(target).alias("class")).agg(n.alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """How many rows repeat an earlier one; groups are counted after pre-aggregation."""
-    return df.groupBy(*df.columns).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates")).withColumn("has_duplicates", F.col("duplicates") > 0)
+    return df.groupBy(*map(quoted, df.columns)).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates")).withColumn("has_duplicates", F.col("duplicates") > 0)
 
 
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -186,7 +284,7 @@ def feature_lists(df: DataFrame, target: str) -> dict:
     ids = id_columns(df)
     rest = [c for c in df.columns if c not in ids]
     numbers, texts = [c for c in numeric_columns(df) if c in rest], [c for c in categorical_columns(df) if c in rest]
-    skewed = {r["column"]: r["skewed"] for r in skew(df.select(*numbers)).collect()} if numbers else {}
-    out = [r["column"] for r in outliers(df.select(*numbers)).where("outliers > 0").collect()] if numbers else []
+    skewed = {r["column"]: r["skewed"] for r in skew(df.select(*map(quoted, numbers))).collect()} if numbers else {}
+    out = [r["column"] for r in outliers(df.select(*map(quoted, numbers))).where("outliers > 0").collect()] if numbers else []
     empty = [r["column"] for r in nulls(df).where("has_nulls").collect()]
     return {"id_cols": ids, "numerical_cols": numbers, "categorical_cols": texts, "skewed_cols": [c for c, s in skewed.items() if s], "normal_cols": [c for c, s in skewed.items() if not s], "contains_null": empty, "contains_outliers": out, "target_col": target}

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators.stats import order_key
+from tabforge.operators.stats import col, order_key, quoted
 
 SEED, TEST_SHARE = 42, 0.2
 FEW_KEYS = 1000
@@ -51,19 +51,19 @@ def split_stratified(df: DataFrame, target: str, key: Sequence[str], test_share:
     part counts give each part its first rank.
     """
     keyed = df.withColumn("_key", order_key(key, seed)).withColumn("_part", F.substring("_key", 1, 2))
-    parts = keyed.groupBy(F.col(target).alias("_class"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    parts = keyed.groupBy(col(target).alias("_class"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
     whole = Window.partitionBy("_class")
     running = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_class", "_p", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"), F.ceil(F.sum("_n").over(whole) * test_share).alias("_cut"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(target, "_part").orderBy("_key")))
-    joined = ranked.join(F.broadcast(parts), ranked[target].eqNullSafe(parts["_class"]) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn("split", F.when(F.col("_rank") + F.col("_before") <= F.col("_cut"), "test").otherwise("train")).select(*df.columns, "split")
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(quoted(target), "_part").orderBy("_key")))
+    joined = ranked.join(F.broadcast(parts), ranked[quoted(target)].eqNullSafe(parts["_class"]) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("split", F.when(F.col("_rank") + F.col("_before") <= F.col("_cut"), "test").otherwise("train")).select(*map(quoted, df.columns), "split")
 
 
 def train_test_split(df: DataFrame, target: str, key: Sequence[str], test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Stratified if the target is not numeric or has fewer than 10 values, else random."""
     numeric = dict(df.dtypes)[target] not in ("string", "boolean", "date", "timestamp")
-    few = df.select(target).distinct().limit(10).count() < 10
+    few = df.select(quoted(target)).distinct().limit(10).count() < 10
     return split_stratified(df, target, key, test_share, seed) if few or not numeric else split_random(df, key, test_share, seed)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,15 @@ from pyspark.sql.types import NumericType
 WIDE = 42
 
 
+def quoted(c: str) -> str:
+    """A column's name as Spark's parser takes it: in backticks where it holds dots, spaces or marks."""
+    return c if re.fullmatch(r"\w+", c) or (len(c) > 1 and c[0] == c[-1] == "`") else "`" + c.replace("`", "``") + "`"
+
+
+def col(c: str) -> Column:
+    return F.col(quoted(c))
+
+
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
@@ -33,19 +43,26 @@ def wide_row(df: DataFrame, expressions: dict[str, Column]) -> dict:
 def per_column(df: DataFrame, columns: Sequence[str], fields: dict) -> DataFrame:
     """One row a column from one aggregation job: column, and each field's aggregate of that column.
 
-    fields: name to a function of the column's name that gives an aggregate.
+    fields: name to a function of the column's name, quoted where it must be, that gives an aggregate. No columns give no rows.
     """
     if not columns:
-        sample = df.agg(*[f(df.columns[0]).alias(n) for n, f in fields.items()])
-        return sample.select(F.lit("").alias("column"), *fields).where("false")
-    one = df.agg(*[f(c).alias(f"{i}_{n}") for i, c in enumerate(columns) for n, f in fields.items()])
+        none = df.sparkSession.createDataFrame([], "c string").agg(*[f("c").alias(n) for n, f in fields.items()])
+        return none.select(F.lit("").alias("column"), *fields).where("false")
+    one = df.agg(*[f(quoted(c)).alias(f"{i}_{n}") for i, c in enumerate(columns) for n, f in fields.items()])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{n}").alias(n) for n in fields]) for i, c in enumerate(columns)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _unpivoted(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """column and value of each column's values as one type."""
+    return df.select(*[col(c).cast(kind).alias(c) for c in columns]).unpivot([], [quoted(c) for c in columns], "column", "value")
+
+
 def value_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, value (as text, null for null) and n: one shuffle, pre-aggregated, for all columns."""
-    return df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long")
+    return _unpivoted(df, columns, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,27 +73,27 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = None
     for group, kind in ((whole, "bigint"), (real, "double"), ([c for c in columns if c not in whole and c not in real], "string")):
         if group:
-            part = df.select(*[F.col(c).cast(kind).alias(c) for c in group]).unpivot([], group, "column", "value").groupBy("column", "value").agg(F.count("*").alias("n")).groupBy("column").agg(F.count("value").alias("distinct"), F.sum("n").alias("n"))
+            part = _unpivoted(df, group, kind).groupBy("column", "value").agg(F.count("*").alias("n")).groupBy("column").agg(F.count("value").alias("distinct"), F.sum("n").alias("n"))
             out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.select(F.lit("").alias("column"), F.lit(0).cast("bigint").alias("distinct"), F.lit(0).cast("bigint").alias("n")).where("false")
+    return out if out is not None else df.sparkSession.createDataFrame([], "column string, distinct long, n long")
 
 
 def order_key(df_columns: Sequence[str], seed: int) -> Column:
     """A repeatable random order: MD5 of the key columns and the seed."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in df_columns], F.lit(str(seed))))
+    return F.md5(F.concat_ws("|", *[col(c).cast("string") for c in df_columns], F.lit(str(seed))))
 
 
 def running_before(df: DataFrame, value: Column, key: str, group: str, out: str) -> DataFrame:
     """df with out: the sum of value over the rows of its group that come before in the order of key (text of hexadecimal digits, like an MD5).
 
-    A group is cut into 4096 parts by the key's first digits; the parts' sums (4096 a group at most, broadcast, so groups
-    must be few) give each part what lies before it, so no task orders a whole group.
+    A group is cut into 4096 parts by the key's first digits; the parts' sums (4096 a group at most, joined by group and
+    part, as the rows are dealt already) give each part what lies before it, so no task orders a whole group.
     """
     cut = df.withColumn("_v", value).withColumn("_p", F.substring(key, 1, 3))
     sums = cut.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.sum("_v").alias("_n"))
     sums = sums.select("_g", "_q", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("_v").over(Window.partitionBy(group, "_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = cut.withColumn("_inside", inside).join(F.broadcast(sums), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    joined = cut.withColumn("_inside", inside).join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))
 
 
@@ -122,7 +139,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     beyond 1,200,000 rows, after three beyond 160,000,000), one more pass counts those values, which are ordered on the
     driver. Memory is bounded whatever the table, and the number of passes does not depend on the number of columns.
     """
-    x = [F.col(f"`{c}`").cast("double") for c in columns]
+    x = [col(c).cast("double") for c in columns]
     open_, closed, size = [_Bracket(i, []) for i in range(len(columns))], [], {}
     while open_:
         fields = []
