@@ -15,7 +15,8 @@ count for all of them. Rows are drawn by a hash of their values and the round, s
 Categories (`categorical`: places of features) give way to statistics of the target. In training these come from the rows
 before in an order by hash, so that no row's own label is among them; in scoring from all training rows.
 
-Scores of the trees so far are recomputed from the bins for `REBASE` rounds, then written with the blocks (checkpoint).
+Scores of the trees so far are recomputed from the bins for `REBASE` rounds, then written with the blocks (checkpoint). A
+table of one block (`ROWS` rows) is fitted by the same steps inside its task.
 """
 
 from __future__ import annotations
@@ -217,19 +218,72 @@ def _best(item: tuple, growth: Growth, allowed: list[np.ndarray]) -> tuple:
     return k, out
 
 
+class Spread:
+    """Blocks in many tasks: one aggregate of the cluster for each question."""
+
+    def __init__(self, data: RDD, keys: int):
+        self.data, self.partitions = data.persist(), max(1, min(data.getNumPartitions(), keys))
+
+    def best(self, trees: list, growing: list[Tree], open_: list[list[int]], growth: Growth, round_: int, limit: float, allowed: list) -> list[tuple]:
+        sums = self.data.flatMap(lambda b: _histogram(b, trees, growing, open_, growth, round_, limit)).reduceByKey(np.add, self.partitions)
+        return sums.map(lambda item: _best(item, growth, allowed)).collect()
+
+    def sizes(self, trees: list) -> np.ndarray:
+        return self.data.map(lambda b: _sizes(b, trees)).treeReduce(np.add)
+
+    def rebase(self, recent: list[list[Tree]]) -> None:
+        """Writes blocks with the scores of the recent trees to the shared folder, so that neither lineage nor work grows with the rounds."""
+        old, self.data = self.data, self.data.map(lambda b: Block(b.bins, b.y, b.u, b.gradients(recent)[2])).persist()
+        self.data.checkpoint()
+        self.data.count()
+        old.unpersist()
+
+
+class Held:
+    """The one block of a table of ROWS rows at most, inside its task: the same questions without a job each."""
+
+    def __init__(self, data: list[Block]):
+        self.data = data
+
+    def best(self, trees: list, growing: list[Tree], open_: list[list[int]], growth: Growth, round_: int, limit: float, allowed: list) -> list[tuple]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in self.data:
+            for key, v in _histogram(b, trees, growing, open_, growth, round_, limit):
+                sums[key] = sums[key] + v if key in sums else v
+        return [_best(item, growth, allowed) for item in sums.items()]
+
+    def sizes(self, trees: list) -> np.ndarray:
+        return sum(_sizes(b, trees) for b in self.data)
+
+    def rebase(self, recent: list[list[Tree]]) -> None:
+        self.data = [Block(b.bins, b.y, b.u, b.gradients(recent)[2]) for b in self.data]
+
+
+def _sizes(b: Block, trees: list) -> np.ndarray:
+    """How many rows have a gradient of each size, in 1024 steps."""
+    return np.bincount(np.minimum((np.abs(b.gradients(trees)[0]).sum(1) * 512).astype(int), 1023), minlength=1024)
+
+
 class Grower:
     """Grows one tree a class and round on blocks that tasks hold."""
 
-    def __init__(self, data: RDD, classes: int, features: int, growth: Growth, rate: float, seed: int):
+    def __init__(self, data: Spread | Held, classes: int, features: int, growth: Growth, rate: float, seed: int):
         self.data, self.k, self.d, self.growth, self.rate, self.seed = data, classes, features, growth, rate, seed
-        self.partitions = max(1, min(data.context.defaultParallelism, classes * -(-features // FEATURES)))
+
+    def rounds(self, n: int) -> list[list[Tree]]:
+        trees, recent = [], []
+        for r in range(n):
+            trees.append(self.grow(recent, r))
+            recent = [*recent, trees[-1]]
+            if len(recent) == REBASE and r + 1 < n:
+                self.data.rebase(recent)
+                recent = []
+        return trees
 
     def found(self, trees: list, growing: list[Tree], open_: list[list[int]], round_: int, limit: float, allowed: list) -> list[list[tuple]]:
         """Best splits of the open nodes of each class's tree, from one aggregate."""
-        growth = self.growth
-        sums = self.data.flatMap(lambda b: _histogram(b, trees, growing, open_, growth, round_, limit)).reduceByKey(np.add, self.partitions)
         out: list[list[tuple]] = [[] for _ in growing]
-        for k, rows in sorted(sums.map(lambda item: _best(item, growth, allowed)).collect(), key=lambda x: x[1][0][1]):
+        for k, rows in sorted(self.data.best(trees, growing, open_, self.growth, round_, limit, allowed), key=lambda x: x[1][0][1]):
             # ties go to the first feature
             out[k] = rows if not out[k] else [max(a, b, key=lambda x: x[0]) for a, b in zip(out[k], rows)]
         return out
@@ -250,11 +304,7 @@ class Grower:
 
     def _limit(self, trees: list) -> float:
         """The size of gradient that a share top_rate of the rows reaches, to a 1024th of its range."""
-        def counted(b: Block) -> np.ndarray:
-            size = np.abs(b.gradients(trees)[0]).sum(1)
-            return np.bincount(np.minimum((size * 512).astype(int), 1023), minlength=1024)
-
-        counts = self.data.map(counted).treeReduce(np.add)
+        counts = self.data.sizes(trees)
         above = np.cumsum(counts[::-1])
         return (1023 - int(np.searchsorted(above, self.growth.top_rate * above[-1]))) / 512
 
@@ -345,27 +395,15 @@ def grow_all(df: DataFrame, classes: int, growth: Growth, rounds: int, rate: flo
     share = [min(max(counts.get(c, 0) / max(n, 1), 1e-6), 1 - 1e-6) for c in range(classes)]
     start = [0.0] * k if not from_share else [float(np.log(share[1] / share[0]))] if k == 1 else np.log(share).tolist()
     edges = bin_edges(df)
-    data, trees, recent = blocks(df, edges, start).persist(), [], []
-    for r in range(rounds):
-        row = Grower(data, k, len(edges), growth, rate, seed).grow(recent, r)
-        trees.append(row)
-        recent = [*recent, row]
-        if len(recent) == REBASE and r + 1 < rounds:
-            data, old = _rebased(data, recent), data
-            old.unpersist()
-            recent = []
-    data.unpersist()
+    data = blocks(df, edges, start)
+    if n <= ROWS:
+        grow = lambda own: [Grower(Held(list(own)), k, len(edges), growth, rate, seed).rounds(rounds)]
+        trees = data.coalesce(1).mapPartitions(grow).collect()[0]
+    else:
+        trees = Grower(Spread(data, k * -(-len(edges) // FEATURES)), k, len(edges), growth, rate, seed).rounds(rounds)
     return {"edges": [e.tolist() for e in edges], "start": start, "trees": [[vars(t) for t in row] for row in trees], "classes": classes}
 
 
-def _rebased(data: RDD, recent: list[list[Tree]]) -> RDD:
-    """Blocks with the scores of the recent trees, written to the shared folder, so that neither lineage nor work grows with the rounds."""
-    out = data.map(lambda b: Block(b.bins, b.y, b.u, b.gradients(recent)[2])).persist()
-    out.checkpoint()
-    out.count()
-    return out
-
-
 def raw_scores(state: dict, x: np.ndarray) -> np.ndarray:
     bins = binned(x, [np.array(e) for e in state["edges"]])
     out = np.tile(np.array(state["start"], float), (len(x), 1))

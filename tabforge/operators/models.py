@@ -1,6 +1,6 @@
 """Classifiers behind one entry: fit(df, name, params) on a table with features (vector) and label (double from 0).
 
-Boosted trees of three kinds are grown in `boost`. Other learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial kernel
+Boosted trees of three kinds are grown in `boost`, extra trees in `extra`. Other learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial kernel
 from landmark features with calibrated margins, naive Bayes and discriminants from one aggregate, nearest neighbours from
 the block search. Binary learners are wrapped in one-vs-rest where there are more classes. Every fitted model can be saved
 and loaded.
@@ -19,7 +19,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators import bayes, boost, knn
+from tabforge.operators import bayes, boost, extra, knn
 from tabforge.sources.tables import checkpointed, read_json, write_json
 
 SEED = 42
@@ -201,6 +201,15 @@ def _apply_boosted(df: DataFrame, rule: Rule) -> DataFrame:
     return out.withColumn("prediction", (F.array_position("rawScores", F.array_max("rawScores")) - 1).cast("double"))
 
 
+def _extra(df: DataFrame, classes: int, p: dict) -> Rule:
+    more = {k: p[k] for k in ("max_features", "criterion", "min_samples_leaf") if k in p}
+    return Rule("extra", {"trees": extra.fit(df, classes, p["n_estimators"], p["max_depth"], seed=SEED, **more)})
+
+
+def _apply_extra(df: DataFrame, rule: Rule) -> DataFrame:
+    return extra.scored(df, rule.state["trees"]).withColumn("prediction", (F.array_position("rawScores", F.array_max("rawScores")) - 1).cast("double"))
+
+
 def _columns(df: DataFrame, d: int) -> tuple[DataFrame, list[str]]:
     """df with its features as d columns of their own."""
     names = [f"_f{i}" for i in range(d)]
@@ -236,12 +245,11 @@ def _apply_knn(df: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(scored, "_row", "left").withColumn("probability", _shared(F.col("rawScores"))).drop("_row")
 
 
-_APPLY = {"ridge": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn, "boosted": _apply_boosted}
+_APPLY = {"ridge": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn, "boosted": _apply_boosted, "extra": _apply_extra}
 
 
 def estimator(name: str, classes: int, n: int, p: dict):
     """The Spark estimator of a model, one-vs-rest where the learner is binary."""
-    trees = lambda **k: M.RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"], featureSubsetStrategy=p.get("max_features", "sqrt"), minInstancesPerNode=p.get("min_samples_leaf", 1), impurity=p.get("criterion", "gini"), seed=SEED, **k)
     if name == "logistic_regression":
         return M.LogisticRegression(regParam=1 / (p["C"] * n), elasticNetParam=p.get("l1", 0.0), maxIter=p["max_iter"], standardization=False)
     if name == "sgd":
@@ -249,9 +257,7 @@ def estimator(name: str, classes: int, n: int, p: dict):
     elif name == "decision_tree":
         return M.DecisionTreeClassifier(maxDepth=p["max_depth"], minInstancesPerNode=p.get("min_samples_leaf", 1), impurity=p.get("criterion", "gini"), seed=SEED)
     elif name == "random_forest":
-        return trees()
-    elif name == "extra_trees":
-        return trees(bootstrap=False)
+        return M.RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"], featureSubsetStrategy=p.get("max_features", "sqrt"), minInstancesPerNode=p.get("min_samples_leaf", 1), impurity=p.get("criterion", "gini"), seed=SEED)
     elif name == "gradient_boosting":
         one = M.GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], subsamplingRate=p.get("subsample", 1.0), minInstancesPerNode=p.get("min_samples_leaf", 1), seed=SEED)
     else:
@@ -271,6 +277,8 @@ def fit(df: DataFrame, name: str, params: dict | None = None) -> Model | Rule:
         return _adaboost(df, classes, p)
     if name == "svc":
         return _svc(df, classes, p)
+    if name == "extra_trees":
+        return _extra(df, classes, p)
     if name in ("xgboost", "lightgbm", "catboost"):
         return _boosted(df, name, classes, p)
     if name == "mlp":

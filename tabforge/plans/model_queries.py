@@ -180,12 +180,11 @@ def _model(name, source, params=None):
     register(f"model_{name}")(run)
 
 
-for _name, _source, _params in [
-    ("logistic_regression", _many, {"max_iter": 100}), ("ridge", _many, None), ("sgd", _binary, {"max_iter": 30}), ("decision_tree", _many, None),
-    ("random_forest", _many, {"n_estimators": 50}), ("gradient_boosting", _binary, {"n_estimators": 20}), ("adaboost", _binary, {"n_estimators": 10}), ("extra_trees", _many, {"n_estimators": 50}),
-    ("svc", _binary, {"landmarks": 40}), ("mlp", _many, {"max_iter": 40}), ("xgboost", _binary, {"n_estimators": 20}), ("lightgbm", _binary, {"n_estimators": 10}), ("catboost", _binary, {"n_estimators": 10}),
+for _name, _source in [
+    ("logistic_regression", _many), ("ridge", _many), ("sgd", _binary), ("decision_tree", _many), ("random_forest", _many), ("gradient_boosting", _binary), ("adaboost", _binary), ("extra_trees", _many),
+    ("svc", _binary), ("mlp", _many), ("xgboost", _binary), ("lightgbm", _binary), ("catboost", _binary),
 ]:
-    _model(_name, _source, _params)
+    _model(_name, _source)
 
 
 for _name, _source, _params in [("knn", _many, None), ("gaussian_nb", _many, None), ("lda", _many, None), ("qda", _binary, {"reg_param": 0.1}), ("multinomial_nb", _binary, None), ("bernoulli_nb", _binary, {"threshold": 0.5})]:
@@ -200,7 +199,7 @@ def _scratch(spark, name):
 def model_saved(spark, d):
     """Models of several kinds, written and read again, score as before; rows are kept."""
     df, out = _binary(spark, d), None
-    for name, params in (("logistic_regression", {"max_iter": 20}), ("ridge", None), ("svc", {"landmarks": 20}), ("knn", None)):
+    for name, params in (("logistic_regression", None), ("ridge", None), ("svc", None), ("knn", None), ("xgboost", None)):
         model = M.load(spark, M.save(M.fit(df, name, params), spark, _scratch(spark, name)))
         one = M.score(model, df, ["id"]).select(F.lit(name).alias("model"), "id", "prediction")
         out = one if out is None else out.unionByName(one)
@@ -211,7 +210,7 @@ def model_saved(spark, d):
 def chain_saved(spark, d):
     """The whole chain over the raw customers, saved and loaded: class and probability of every row."""
     df = table(spark, d, "dirty_customer")
-    fitted = chain.fit(df, "label", ["c_custkey"], "logistic_regression", {"max_iter": 50}, 10)
+    fitted = chain.fit(df, "label", ["c_custkey"], "logistic_regression", None, 10)
     scored = chain.load(spark, fitted.save(spark, _scratch(spark, "chain"))).score(df, ["c_custkey"])
     return scored.select("c_custkey", "prediction", F.round(F.array_max("probability"), 4).alias("top"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabforge.operators import boost, models
+from tabforge.operators import boost, extra, models
 
 
 def _rows(spark, n=400, d=5, classes=2, seed=3):
@@ -104,9 +104,11 @@ class Loop:
 @pytest.mark.parametrize("growth", [
     boost.Growth("depth", 2, least_hessian=0.5), boost.Growth("leaf", 0, 6, penalty=0.5, least_hessian=0.1, least_rows=4), boost.Growth("symmetric", 2, penalty=3.0, least_hessian=0.0, least_rows=0),
 ], ids=lambda g: g.kind)
-@pytest.mark.parametrize("classes", [2, 3])
-def test_boosted_trees_by_loops(spark, monkeypatch, growth, classes):
+@pytest.mark.parametrize("classes, held", [(2, 1 << 14), (3, 16)])
+def test_boosted_trees_by_loops(spark, monkeypatch, growth, classes, held):
+    """In one task and over the cluster."""
     monkeypatch.setattr(boost, "REBASE", 1)
+    monkeypatch.setattr(boost, "ROWS", held)
     df, x, y = _rows(spark, 60, 3, classes)
     got = boost.grow_all(df, classes, growth, 2, 0.3, 7)
     loop = Loop(growth, 0.3, got["edges"])
@@ -155,18 +157,20 @@ def test_rows_of_large_gradients_count_once_and_others_for_all(spark):
     data = boost.blocks(df, edges, [0.0])
     state = boost.grow_all(df, 2, growth, 2, 0.3, 1)
     trees = [[boost.Tree(**t) for t in row] for row in state["trees"][:1]]
-    limit = boost.Grower(data, 1, len(edges), growth, 0.3, 1)._limit(trees)
+    limit = boost.Grower(boost.Spread(data, 1), 1, len(edges), growth, 0.3, 1)._limit(trees)
     found = data.map(lambda b: (np.abs(b.gradients(trees)[0]).sum(1), b.weights(b.gradients(trees)[0], growth, 1, limit))).collect()
     size, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
     assert 0.15 < (size >= limit).mean() < 0.3 and (weight[size >= limit] == 1).all()
     assert set(np.unique(weight[size < limit])) == {0.0, 4.0} and abs(weight.sum() / 500 - 1) < 0.2
 
 
-def test_fits_do_not_depend_on_partitions(spark):
+def test_fits_do_not_depend_on_partitions(spark, monkeypatch):
     df, x, _ = _rows(spark, 300)
     growth = boost.Growth("depth", 3, subsample=0.7, columns=0.6)
     a, b = (boost.raw_scores(boost.grow_all(df.repartition(n), 2, growth, 4, 0.3, 5), x) for n in (1, 7))
-    assert np.allclose(a, b)
+    monkeypatch.setattr(boost, "ROWS", 64)
+    c = boost.raw_scores(boost.grow_all(df.repartition(5), 2, growth, 4, 0.3, 5), x)
+    assert np.allclose(a, b) and np.allclose(a, c)
 
 
 def test_category_statistics_leave_out_the_own_label(spark):
@@ -187,7 +191,44 @@ def test_category_statistics_leave_out_the_own_label(spark):
         assert whole[i][0] == pytest.approx((sum(own) + prior) / (len(own) + 1))
 
 
-@pytest.mark.parametrize("name", ["xgboost", "lightgbm", "catboost"])
+def brute_extra(x, y, classes, tree, depth, most, seed, path=1):
+    """(rows' places) to the class shares of their leaf, by recursion with the same draws."""
+    share = np.bincount(y, minlength=classes) / len(y)
+    if depth == 0 or len(set(y.tolist())) < 2:
+        return [(i, share) for i in range(len(y))]
+    low, high = np.nanmin(np.where(np.isnan(x), np.inf, x), 0), np.nanmax(np.where(np.isnan(x), -np.inf, x), 0)
+    gini = lambda v: len(v) * (1 - sum((np.bincount(v, minlength=classes) / max(len(v), 1)) ** 2))
+    best = None
+    for f, threshold in extra.draw(seed, tree, path, low, high, most):
+        left = x[:, f] <= threshold
+        if left.any() and not left.all():
+            cost = round(gini(y[left]) + gini(y[~left]), 9)
+            if best is None or cost < best[0]:
+                best = (cost, left)
+    if best is None:
+        return [(i, share) for i in range(len(y))]
+    out = []
+    for side, own in ((0, best[1]), (1, ~best[1])):
+        at = np.flatnonzero(own)
+        out += [(int(at[i]), s) for i, s in brute_extra(x[own], y[own], classes, tree, depth - 1, most, seed, 2 * path + side)]
+    return out
+
+
+@pytest.mark.parametrize("classes, held", [(2, 1 << 14), (3, 32)])
+def test_extra_trees_by_recursion(spark, monkeypatch, classes, held):
+    monkeypatch.setattr(extra, "ROWS", held)
+    df, x, y = _rows(spark, 120, 5, classes)
+    trees = extra.fit(df, classes, 4, 4, seed=5)
+    want = np.zeros((len(y), classes))
+    for t in range(4):
+        for i, share in brute_extra(x, y, classes, t, 4, 2, 5):
+            want[i] += share / 4
+    assert np.allclose(extra.shares(trees, x), want)
+    other = extra.fit(df, classes, 4, 4, seed=6)
+    assert [t["threshold"] for t in other] != [t["threshold"] for t in trees]
+
+
+@pytest.mark.parametrize("name", ["xgboost", "lightgbm", "catboost", "extra_trees"])
 def test_boosted_models_are_saved_and_scored(spark, tmp_path, name):
     df, _, y = _rows(spark, 300, classes=3 if name == "xgboost" else 2)
     params = {"n_estimators": 12} | ({"categorical": [4]} if name == "catboost" else {})
