@@ -49,7 +49,12 @@ def gaussian_scores(state: dict, columns: Sequence[str]) -> dict:
 
 
 def multinomial_nb(df: DataFrame, columns: Sequence[str], label: str, alpha: float = 1.0) -> dict:
-    rows = df.groupBy(label).agg(F.count("*"), *[F.sum(F.col(c).cast("double")) for c in columns]).collect()
+    """Counts by class; a negative one raises an error."""
+    least = F.least(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns], F.lit(0.0))
+    rows = df.groupBy(label).agg(F.count("*"), *[F.sum(F.col(c).cast("double")) for c in columns], F.min(least).alias("_least")).collect()
+    if any(r["_least"] < 0 for r in rows):
+        raise ValueError("multinomial naive Bayes takes counts, and some are negative")
+    rows = [r[:-1] for r in rows]
     n = sum(r[1] for r in rows)
     return {r[0]: {"prior": r[1] / n, "weight": [math.log((v + alpha) / (sum(r[2:]) + alpha * len(columns))) for v in r[2:]]} for r in rows}
 

@@ -20,13 +20,14 @@ def cells(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
 
 
 def confusion(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
-    """Dense matrix over the sorted classes that occur in either column; more than MAX_CLASSES are refused, as the matrix has their square."""
+    """Dense matrix over the sorted classes that occur in either column, null among them if it does; more than MAX_CLASSES are refused, as the matrix has their square."""
     found = cells(df, y, y_pred)
     classes = found.select(F.col("y").alias("c")).unionByName(found.select(F.col("y_pred").alias("c"))).distinct()
     if classes.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     square = classes.select(F.col("c").alias("y")).crossJoin(F.broadcast(classes.select(F.col("c").alias("y_pred"))))
-    return square.join(found, ["y", "y_pred"], "left").select("y", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
+    own = found.select(F.col("y").alias("_y"), F.col("y_pred").alias("_p"), "n")
+    return square.join(own, F.col("y").eqNullSafe(F.col("_y")) & F.col("y_pred").eqNullSafe(F.col("_p")), "left").select("y", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def per_class(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
@@ -83,8 +84,8 @@ def class_report(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFra
 
 
 def log_loss(df: DataFrame, y: str, probabilities: dict) -> DataFrame:
-    """Mean negative logarithm of the label's probability, clipped. probabilities: class to column."""
-    p = F.coalesce(*[F.when(F.col(y) == c, F.col(k)) for c, k in probabilities.items()])
+    """Mean negative logarithm of the label's probability, clipped. probabilities: class to column. A label without a column, a null one and a null probability raise an error."""
+    p = F.coalesce(*[F.when(F.col(y) == c, F.col(k)) for c, k in probabilities.items()], F.raise_error(F.concat(F.lit("no probability for the class "), F.coalesce(F.col(y).cast("string"), F.lit("null")))).cast("double"))
     return df.agg((-F.avg(F.log(F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))))).alias("value")).select(F.lit("log_loss").alias("metric"), "value")
 
 
@@ -106,7 +107,7 @@ def _rank_sums(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = ranged.groupBy(*keys, "_r").agg(F.sum("neg").alias("_n"))
     start = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "_r", F.coalesce(F.sum("_n").over(start), F.lit(0)).alias("_start"))
-    both = ranked.join(F.broadcast(starts), [*keys, "_r"])
+    both = ranked.join(starts, [*keys, "_r"])
     u = F.sum(F.col("pos").cast("double") * (F.col("_below") + F.col("_start") + F.col("neg") / 2))
     return both.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), u.alias("u"))
 
@@ -126,9 +127,14 @@ def auc_ovr(df: DataFrame, y: str, probabilities: dict) -> DataFrame:
 
 def auc_ovo(df: DataFrame, y: str, probabilities: dict) -> DataFrame:
     """Mean over ordered pairs of classes of the area within the pair (Hand and Till 2001)."""
-    pairs = [(a, b) for a in probabilities for b in probabilities if a != b]
-    one = F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("k"), F.col(probabilities[a]).cast("double").alias("score"), (F.col(y) == a).cast("int").alias("pos"), (F.col(y) == b).cast("int").alias("neg")) for a, b in pairs])).alias("r")
-    rows = df.select(one).select("r.*").where("pos + neg > 0")
+    # a row's class is one of the two of 2 (k - 1) pairs, and only these are made of it
+    place = F.coalesce(*[F.when(F.col(y) == c, F.lit(i)) for i, c in enumerate(probabilities)])
+    scores = F.array(*[F.col(p).cast("double") for p in probabilities.values()])
+    known = df.select(place.alias("_own"), scores.alias("_scores")).where("_own is not null")
+    others = F.filter(F.sequence(F.lit(0), F.lit(len(probabilities) - 1)), lambda i: i != F.col("_own"))
+    cell = lambda a, b, score, pos: F.struct((a * len(probabilities) + b).cast("long").alias("k"), F.get("_scores", score).alias("score"), F.lit(pos).alias("pos"), F.lit(1 - pos).alias("neg"))
+    own = F.col("_own")
+    rows = known.select(F.explode(F.concat(F.transform(others, lambda i: cell(own, i, own, 1)), F.transform(others, lambda i: cell(i, own, i, 0)))).alias("r")).select("r.*")
     return _rank_sums(rows, ["k"]).agg(F.avg(F.try_divide(F.col("u"), F.col("positives").cast("double") * F.col("negatives"))).alias("value")).select(F.lit("roc_auc_ovo").alias("metric"), "value")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.operators import models
+from tabforge.operators import attribution, models
 from tabforge.operators.preprocess import impute_values
 from tabforge.operators.resample import resampled
 from tabforge.operators.stats import col, numeric_columns, per_column, quoted
@@ -65,9 +65,11 @@ def variance_ranking(df: DataFrame, n: int, columns: Sequence[str] | None = None
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(F.col("column").alias("feature"), "importance", "rank")
 
 
-def importance_ranking(df: DataFrame, target: str, n: int, columns: Sequence[str], rows: int = IMPORTANCE_ROWS) -> DataFrame:
+def importance_ranking(df: DataFrame, target: str, n: int, columns: Sequence[str], rows: int = IMPORTANCE_ROWS, attributed: bool = False) -> DataFrame:
     """feature, importance and rank by a forest that predicts the target; where it finds nothing by a linear model, else by variance.
 
+    attributed takes the mean size of the forest's exact attributions over all rows instead of its impurity importance.
+
     The models are fitted on at most `rows` rows, those of the least hash over all columns. The variance ranks, too, where there is nothing to classify: one class, or more than MOST_CLASSES.
     """
     classes = sorted(r[0] for r in df.select(quoted(target)).where(col(target).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect())
@@ -76,7 +78,9 @@ def importance_ranking(df: DataFrame, target: str, n: int, columns: Sequence[str
         known = df.where(col(target).isNotNull()).select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)], code.alias("_label"))
         chosen = known.orderBy(F.xxhash64(*known.columns), *known.columns[:1]).limit(rows)
         table = checkpointed(models.assembled(chosen, [f"_{i}" for i in range(len(columns))], "_label"))
-        for rank in (lambda: models.forest_importance(table, columns, n), lambda: models.linear_importance(table, columns).where(F.col("rank") <= n)):
+        every = models.assembled(known.na.fill(0.0), [f"_{i}" for i in range(len(columns))], "_label")
+        by_forest = lambda: attribution.importance(every, columns, models.fit(table, "random_forest"), n) if attributed else models.forest_importance(table, columns, n)
+        for rank in (by_forest, lambda: models.linear_importance(table, columns).where(F.col("rank") <= n)):
             found = rank()
             if found.where("importance > 0").take(1):
                 return found
@@ -90,8 +94,8 @@ def project(df: DataFrame, selected: Sequence[str], n: int = 20, keep: Sequence[
 
 
 def run(train: DataFrame, test: DataFrame | None, target: str, n: int = 20, keep: Sequence[str] = (), make: bool = True, resampling: str | None = None, ranking: str = "importance") -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """The stage: resample train (or not; the first of keep is its key), generate (or not), rank on train by importance or variance, project both."""
-    if ranking not in ("importance", "variance"):
+    """The stage: resample train (or not; the first of keep is its key), generate (or not), rank on train by importance, attribution or variance, project both."""
+    if ranking not in ("importance", "attribution", "variance"):
         raise ValueError(f"unknown ranking {ranking}")
     columns = [c for c in numeric_columns(train) if c != target and c not in keep]
     if resampling:
@@ -100,6 +104,6 @@ def run(train: DataFrame, test: DataFrame | None, target: str, n: int = 20, keep
     shape = lambda df: generate(df, columns, [*keep, target], target) if make else df.select(*map(quoted, [*keep, target, *columns]))
     made = shape(train)
     names = [c for c in made.columns if c != target and c not in keep]
-    ranked = importance_ranking(made, target, n, names) if ranking == "importance" else variance_ranking(made, n, names)
+    ranked = variance_ranking(made, n, names) if ranking == "variance" else importance_ranking(made, target, n, names, attributed=ranking == "attribution")
     names = [r["feature"] for r in ranked.orderBy("rank").collect()]
     return project(made, names, n, [*keep, target]), None if test is None else project(shape(test), names, n, [*keep, target]), ranked

@@ -34,6 +34,9 @@ def _blocks(df: DataFrame, name: str, within: bool, spread: int) -> tuple[DataFr
 def _unpacked(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     """ids, ascending, and the matrix of their points."""
     ids, x = rows.values.field("id").to_numpy(), rows.values.field("x").flatten().to_numpy()
+    size = np.asarray(rows.values.field("x").value_lengths())
+    if (size != size[0]).any():
+        raise ValueError(f"points of unequal length: row {ids[0]} has {size[0]} numbers, row {ids[(size != size[0]).argmax()]} has {size[(size != size[0]).argmax()]}")
     order = np.argsort(ids, kind="stable")
     return ids[order], x.reshape(len(ids), -1)[order]
 
@@ -74,7 +77,10 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclu
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, r in zip(batch.column(0), batch.column(1)):
-                for found in _nearest(*_unpacked(q), *_unpacked(r), k, exclude_self, p):
+                left, right = _unpacked(q), _unpacked(r)
+                if left[1].shape[1] != right[1].shape[1]:
+                    raise ValueError(f"points of unequal length: row {left[0][0]} has {left[1].shape[1]} numbers, row {right[0][0]} has {right[1].shape[1]}")
+                for found in _nearest(*left, *right, k, exclude_self, p):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "neighbour", "distance"])
 
     order = Window.partitionBy("id").orderBy("distance", "neighbour")

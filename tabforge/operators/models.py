@@ -329,11 +329,16 @@ def forest_importance(df: DataFrame, columns: Sequence[str], n: int = 20) -> Dat
     return df.sparkSession.createDataFrame([(c, float(v), i + 1) for i, (c, v) in enumerate(got)], "feature string, importance double, rank int")
 
 
+#: Rows of a range in which partners are found.
+PARTNERS = 1 << 16
+
+
 def permutation_importance(df: DataFrame, columns: Sequence[str], model, key: str) -> DataFrame:
-    """Loss of accuracy when a feature takes the value of another row: its partner by the order of a hash, found per range of the hash."""
+    """Loss of accuracy when a feature takes the value of another row: its partner by the order of a hash, found per range of the hash. There are as many ranges as PARTNERS rows ask for."""
     x = vector_to_array("features")
-    base = model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    order = Window.partitionBy(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(64))).orderBy(F.xxhash64(key, F.lit(2)), key)
+    base, n = model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")), F.count("*")).first()
+    ranges = max(1, -(-n // PARTNERS))
+    order = Window.partitionBy(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(ranges))).orderBy(F.xxhash64(key, F.lit(2)), key)
     shifted = checkpointed(df.withColumn("_x", x).withColumn("_y", F.coalesce(F.lead("_x").over(order), F.first("_x").over(order))))
     rows = []
 

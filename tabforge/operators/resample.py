@@ -2,11 +2,13 @@
 
 Rows are id (long), x (array of double) and label (text); classes are few. Synthetic rows are numbered downwards from below
 zero and the smallest id, in the order of their seeds' MD5; the neighbour and the step between two rows come from MD5, too,
-so a run can be repeated on any cluster.
+so a run can be repeated on any cluster. What cannot be made raises an error, or, where ADASYN's rule asks for no rows of a class, a warning.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,17 @@ def _synthetic(rows: DataFrame, quota: DataFrame, k: int, within: bool = True) -
 
 
 def _class_sizes(rows: DataFrame) -> DataFrame:
-    """label, size and most (the largest class's size): one row a class."""
+    """label, size and most (the largest class's size): one row a class. A class of one row, which has no neighbour, raises an error, as do null labels, points and ids and ids that repeat."""
+    bad = rows.agg(F.count_if(F.col("id").isNull() | F.col("x").isNull() | F.col("label").isNull())).first()[0]
+    if bad:
+        raise ValueError(f"{bad} rows without id, point or label")
+    twice = rows.groupBy("id").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the id {twice[0]['id']} repeats")
     sizes = rows.groupBy("label").agg(F.count("*").alias("size"))
+    single = sizes.where("size = 1").limit(1).collect()
+    if single and rows.select("label").distinct().limit(2).count() > 1:
+        raise ValueError(f"the class {single[0]['label']} has one row, which has no neighbour of its class")
     return sizes.withColumn("most", F.max("size").over(Window.partitionBy()))
 
 
@@ -48,7 +59,7 @@ def smote(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
     Each row of a class makes the whole share of what is missing; the rest falls to the rows of the least MD5.
     """
-    ranked = rows.join(F.broadcast(_class_sizes(rows)), "label").where("size < most")
+    ranked = rows.join(_class_sizes(rows), "label").where("size < most")
     edges = running_before(ranked.withColumn("_key", F.md5(F.col("id").cast("string"))), F.lit(1), "_key", "label", "r")
     gap = F.col("most") - F.col("size")
     quota = edges.select("id", (F.floor(gap / F.col("size")) + (F.col("r") < gap % F.col("size")).cast("int")).alias("n"))
@@ -85,12 +96,14 @@ def smote_enn(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 def adasyn(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """rows and synthetic ones: a smaller class gets what it lacks, each row in proportion to the share of other classes among its k neighbours."""
-    small = rows.join(F.broadcast(_class_sizes(rows)), "label").where("size < most")
+    small = rows.join(_class_sizes(rows), "label").where("size < most")
     labels = rows.select(F.col("id").alias("neighbour"), F.col("label").alias("other"))
     hard = knn(small.select("id", "x"), rows, k).join(labels, "neighbour").join(small.select("id", "label", "size", "most"), "id")
     share = hard.groupBy("id", "label", "size", "most").agg(F.avg((F.col("label") != F.col("other")).cast("double")).alias("share"))
-    total = share.groupBy("label").agg(F.sum("share").alias("total"))
-    quota = share.join(F.broadcast(total), "label").select("id", F.coalesce(F.floor(F.try_divide(F.col("share"), F.col("total")) * (F.col("most") - F.col("size")) + 0.5), F.lit(0)).alias("n"))
+    total = checkpointed(share.groupBy("label").agg(F.sum("share").alias("total")))
+    if easy := [r["label"] for r in total.where("total = 0").collect()]:
+        warnings.warn(f"nothing is made of the classes {easy}: none of their rows has a neighbour of another class", stacklevel=2)
+    quota = share.join(total, "label").select("id", F.coalesce(F.floor(F.try_divide(F.col("share"), F.col("total")) * (F.col("most") - F.col("size")) + 0.5), F.lit(0)).alias("n"))
     return rows.select("id", "x", "label").unionByName(_synthetic(rows, quota, k))
 
 

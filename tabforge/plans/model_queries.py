@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tabforge.operators import attribution as A
 from tabforge.operators import bayes as B
 from tabforge.operators import chain
 from tabforge.operators import knn as K
@@ -220,6 +221,22 @@ def importance_rf(spark, d):
     return rounded(M.forest_importance(_many(spark, d), [f"e{i}" for i in range(64)], 20))
 
 
+@register("importance_attribution")
+def importance_attribution(spark, d):
+    """Mean size of a forest's exact attributions over all rows."""
+    df = _binary(spark, d)
+    return rounded(A.importance(df, ["n_chars", "n_spaces", "quality"], M.fit(df, "random_forest")))
+
+
+@register("features_attributed")
+def features_attributed(spark, d):
+    """The feature stage with the ranking by attributions of all rows."""
+    from tabforge.operators import features
+
+    df = table(spark, d, "doc_labels").select("doc_id", "n_chars", "n_spaces", "toxic")
+    return rounded(features.run(df, None, "toxic", 5, ["doc_id"], ranking="attribution")[0])
+
+
 @register("importance_permutation")
 def importance_permutation(spark, d):
     df = _binary(spark, d)

@@ -1,6 +1,7 @@
 """Boosted trees, extra trees and attributions against loops."""
 
 import heapq
+import itertools
 import math
 import random
 
@@ -9,16 +10,16 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabforge.operators import boost, extra, models
+from tabforge.operators import attribution, boost, extra, models
 
 
-def _rows(spark, n=400, d=5, classes=2, seed=3):
+def _rows(spark, n=400, d=5, classes=2, seed=3, gaps=0.05):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, d)).round(2)
     x[:, d - 1] = rng.integers(0, 4, n)
     score = x[:, 0] - x[:, 1] * x[:, 2] + (x[:, d - 1] == 2)
     y = (score > 0.2).astype(int) if classes == 2 else np.digitize(score, [-0.5, 0.8])
-    x[rng.random((n, d)) < 0.05] = np.nan
+    x[rng.random((n, d)) < gaps] = np.nan
     names = [f"c{i}" for i in range(d)]
     df = spark.createDataFrame([(i, *map(float, a), int(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, " + ", ".join(f"{c} double" for c in names) + ", y int")
     return models.assembled(df.repartition(3), names, "y", ["id"]), x, y
@@ -237,3 +238,44 @@ def test_boosted_models_are_saved_and_scored(spark, tmp_path, name):
     a, b = ({r["id"]: (r["prediction"], list(r["probability"])) for r in models.score(m, df, ["id"]).collect()} for m in (model, again))
     assert a == b and len(a) == 300 and all(abs(sum(p) - 1) < 1e-9 for _, p in a.values())
     assert np.mean([a[i][0] == y[i] for i in a]) > 0.8
+
+
+def brute_attributions(trees, x):
+    """By class and feature, from all subsets of the features: a split on a feature outside the subset is passed by the training rows' shares."""
+    def value(tree, node, known):
+        f = tree.feature[node]
+        if f < 0:
+            return tree.share[node]
+        a, b = tree.left[node], tree.right[node]
+        if f in known:
+            return value(tree, a if x[f] <= tree.threshold[node] else b, known)
+        return (tree.cover[a] * value(tree, a, known) + tree.cover[b] * value(tree, b, known)) / tree.cover[node]
+
+    d, out = len(x), 0.0
+    for tree in trees:
+        own = np.zeros((d, tree.share.shape[1]))
+        for j in range(d):
+            rest = [k for k in range(d) if k != j]
+            for size in range(d):
+                for subset in itertools.combinations(rest, size):
+                    w = math.factorial(size) * math.factorial(d - 1 - size) / math.factorial(d)
+                    own[j] += w * (value(tree, 0, {*subset, j}) - value(tree, 0, set(subset)))
+        out = out + own / len(trees)
+    return out.T
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_attributions_by_all_subsets(spark, classes):
+    df, x, _ = _rows(spark, 200, 4, classes, gaps=0.0)
+    model = models.fit(df, "random_forest", {"n_estimators": 5, "max_depth": 6})
+    trees = attribution.of_forest(model, spark)
+    got = {r["id"]: np.array(r["attributions"]) for r in attribution.attributed(df, model, ["id"]).collect()}
+    for i in range(0, 200, 17):
+        assert np.allclose(got[i], brute_attributions(trees, x[i]), atol=1e-9)
+    mean = sum(t.mean() for t in trees) / 5
+    scores = {r["id"]: list(r["p"]) for r in model.transform(df).select("id", vector_to_array("probability").alias("p")).collect()}
+    assert all(np.allclose(got[i].sum(1) + mean, scores[i]) for i in got)
+    ranked = attribution.importance(df, ["a", "b", "c", "d"], model).collect()
+    size = np.mean([np.abs(a).mean(0) for a in got.values()], axis=0)
+    assert [r["feature"] for r in ranked] == ["abcd"[i] for i in np.argsort(-size)] and [r["rank"] for r in ranked] == [1, 2, 3, 4]
+    assert [r["importance"] for r in ranked] == pytest.approx(sorted(size, reverse=True))

@@ -353,3 +353,51 @@ def test_quantile_jobs_do_not_grow_with_columns(spark):
         jobs.append(len(tracker.getJobIdsForGroup(f"quantiles {n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1] <= 8
+
+
+def test_nothing_is_lost_in_silence(spark):
+    """Null labels are counted; labels without a probability, classes of one row, repeated ids, points of unequal length and negative counts raise errors."""
+    import warnings
+
+    from tabforge.operators import bayes, evaluate, resample
+    from tabforge.operators import knn as K
+
+    rows = spark.createDataFrame([(1, None), (None, 1), (None, None), (1, 1)], "y int, y_pred int")
+    got = {(r["y"], r["y_pred"]): r["n"] for r in evaluate.confusion(rows).collect()}
+    assert got == {(1, 1): 1, (1, None): 1, (None, 1): 1, (None, None): 1}
+    for y in (2, None):
+        odd = spark.createDataFrame([(0, 0.5, 0.5), (y, 0.5, 0.5)], "y int, p0 double, p1 double")
+        with pytest.raises(Exception, match="no probability for the class"):
+            evaluate.log_loss(odd, "y", {0: "p0", 1: "p1"}).collect()
+    many = [(i, [float(i), 0.0], "a") for i in range(20)]
+    for bad, say in ((many + [(50, [1.0, 1.0], "b")], "has one row"), (many + [(3, [1.0, 1.0], "b"), (60, [1.0, 2.0], "b")], "repeats"), (many + [(70, None, "b"), (71, [0.0, 1.0], "b")], "without")):
+        with pytest.raises(ValueError, match=say):
+            resample.smote(spark.createDataFrame(bad, "id long, x array<double>, label string"))
+    far = spark.createDataFrame(many + [(100 + i, [1000.0 + i, 0.0], "b") for i in range(8)], "id long, x array<double>, label string")
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        assert resample.adasyn(far).count() == 28
+    assert any("['b']" in str(w.message) for w in said)
+    points = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [0.0, 1.0])], "id long, x array<double>")
+    with pytest.raises(Exception, match="unequal length"):
+        K.knn(points, points, 1).collect()
+    with pytest.raises(ValueError, match="negative"):
+        bayes.multinomial_nb(spark.createDataFrame([(0, -1.0), (1, 2.0)], "y int, x double"), ["x"], "y")
+
+
+def test_pairs_of_classes_by_loops(spark):
+    """Each ordered pair's area, with labels that no class has left out."""
+    import random
+
+    from tabforge.operators import evaluate
+
+    rng = random.Random(4)
+    rows = [(rng.choice([0, 1, 2, 9]), *(round(rng.random(), 1) for _ in range(3))) for _ in range(60)]
+    areas = []
+    for a in range(3):
+        for b in range(3):
+            if a != b:
+                own, other = [r[1 + a] for r in rows if r[0] == a], [r[1 + a] for r in rows if r[0] == b]
+                areas.append(sum((x > y) + (x == y) / 2 for x in own for y in other) / len(own) / len(other))
+    got = evaluate.auc_ovo(spark.createDataFrame(rows, "y int, p0 double, p1 double, p2 double"), "y", {0: "p0", 1: "p1", 2: "p2"}).first()["value"]
+    assert got == pytest.approx(sum(areas) / 6)
