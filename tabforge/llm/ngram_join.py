@@ -39,7 +39,7 @@ from tabforge.llm.graph import components
 from tabforge.llm.similar import _sid, shingle_sets
 
 #: Similarity as percent, words of a shingle, longest l, entries of the table of frequent shingles, members of a small bucket and of a part.
-PERCENT, WORDS_EACH, LONGEST, FREQUENT, SMALL, PART = 80, 5, 8, 1 << 19, 16, 512
+PERCENT, WORDS_EACH, LONGEST, FREQUENT, SMALL, PART = 80, 5, 8, 1 << 19, 16, 1024
 #: Estimated costs: of a row of the index, of a met document, of comparing one shingle, and how many documents a rare shingle meets.
 ROW, MET, COMPARED, RARE = 1.0, 1.0, 1 / 16, 0.1
 #: Hashes that a task packs at once; bytes of text for each block of hashes that is counted together.
@@ -331,60 +331,88 @@ def _named(rows: DataFrame, percent: int) -> DataFrame:
 _BLOCK = ["key", "i", "j", "part", "sid", "group"]
 
 
-def _block_links(part: np.ndarray, i: int, j: int, sid: np.ndarray, group: np.ndarray, sets: list[np.ndarray], table: Frequent, percent: int, longest: int) -> Iterator[tuple[int, int]]:
-    """Links that join groups, between part i and part j of a bucket: pairs that share enough prefix shingles are compared."""
-    first = np.cumsum([0, *map(len, sets)])
-    values, df = ordered(np.concatenate(sets), first, table)
-    l, size = lengths(df, first, percent, longest)
+def _met_in(part: np.ndarray, i: int, j: int, n: np.ndarray, l: np.ndarray, group: np.ndarray, prefix: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of part i with the rows of part j of other groups that share enough prefix shingles with it; group is read anew for each row."""
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    prefix = lambda a: values[first[a] : first[a] + size[a]]
-    index, owner = np.concatenate([prefix(b) for b in right]), np.repeat(right, size[right])
+    index, owner = np.concatenate([prefix[b] for b in right]), np.repeat(right, [len(prefix[b]) for b in right])
     order = np.argsort(index)
     index, owner = index[order], owner[order]
     for a in left.tolist():
-        own = prefix(a)
-        low, high = np.searchsorted(index, own), np.searchsorted(index, own, "right")
-        n = high - low
-        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
-        shared = np.bincount(owner[at], minlength=len(sid))
-        met = np.flatnonzero((shared > 0) & (shared >= np.minimum(l, l[a])) & (group != group[a]))
-        for b in met.tolist():
-            if group[b] != group[a] and _similar(sets[a], sets[b], percent):
-                group[group == group[b]] = group[a]
-                yield int(sid[a]), int(sid[b])
+        low, high = np.searchsorted(index, prefix[a]), np.searchsorted(index, prefix[a], "right")
+        size = high - low
+        at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+        shared = np.bincount(owner[at], minlength=len(n))
+        fits = np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent
+        found = np.flatnonzero((shared > 0) & (shared >= np.minimum(l, l[a])) & fits & (group != group[a]))
+        if len(found):
+            yield a, found
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
+    """(key, i, j) and rows (part, sid, group and what follows) of each block whose parts are both there and which has two groups."""
+    key, held = None, []
+    whole = lambda: held and len({h[2] for h in held}) > 1 and set(key[1:]) <= {h[0] for h in held}
+    for batch in batches:
+        for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (k, i, j) != key:
+                if whole():
+                    yield key, held
+                key, held = (k, i, j), []
+            held.append(row)
+    if whole():
+        yield key, held
 
 
 def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int, longest: int) -> DataFrame:
-    """Links that join the groups of large buckets: stragglers (members outside the largest group), in parts, against each other and against the others' parts."""
+    """Links that join the groups of large buckets: stragglers (members outside the largest group), in parts, against each other and against the others' parts.
+
+    Members first go with their prefixes alone; those that share enough prefix shingles with another group go again with
+    their sets, and are compared.
+    """
     stray, hashed = F.col("group") != F.col("top"), F.xxhash64("sid")
     parts = lambda c: F.ceil(F.count_if(c) / PART).cast("long")
     counts = rows.groupBy("key").agg(parts(stray).alias("strays"), parts(~stray).alias("rest"))
     parted = rows.join(counts, "key").withColumn("part", F.when(stray, F.pmod(hashed, F.col("strays"))).otherwise(F.col("strays") + F.pmod(hashed, F.col("rest"))))
     paired = parted.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(stray, F.col("strays") + F.col("rest")).otherwise(F.col("strays")) - 1)))
-    blocks = paired.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "sid", "group").join(sets, "sid").select(*_BLOCK, "set")
-
-    def run(batches):
-        key, held = None, []
-
-        def ended():
-            part, sid, group = (np.array([h[x] for h in held], np.int64) for x in range(3))
-            # both parts of the pair must have landed: a part may be empty
-            if (group != group[0]).any() and set(key[1:]) <= set(part.tolist()):
-                found = list(_block_links(part, key[1], key[2], sid, group, [h[3] for h in held], table.value, percent, longest))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], ["u", "v"])
+    blocks = paired.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "sid", "group")
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
 
+    def cut(batches):
         for batch in batches:
-            for k, i, j, part, sid, group, values in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, i, j) != key and held:
-                    yield from ended()
-                    held = []
-                key = (k, i, j)
-                held.append((part, sid, group, np.frombuffer(values, np.uint64)))
-        if held:
-            yield from ended()
-
-    return checkpoint(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid").mapInArrow(run, "u long, v long"))
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+                first = np.cumsum([0, *map(len, own)])
+                values, df = ordered(np.concatenate(own), first, table.value)
+                l, size = lengths(df, first, percent, longest)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(l), pa.array([values[x : x + s].tobytes() for x, s in zip(first[:-1], size)], pa.binary())], ["sid", "n", "l", "prefix"])
+
+    def near(batches):
+        for key, held in _by_block(batches):
+            part, sid, group, n, l = (np.array([h[x] for h in held], np.int64) for x in range(5))
+            met = np.zeros(len(held), bool)
+            for a, found in _met_in(part, key[1], key[2], n, l, group, [np.frombuffer(h[5], np.uint64) for h in held], percent):
+                met[a] = met[found] = True
+            at = np.flatnonzero(met)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), k)) for k in key), *(pa.array(x[at]) for x in (part, sid, group, n, l)), pa.array([held[x][5] for x in at.tolist()], pa.binary())], [*_BLOCK, "n", "l", "prefix"])
+
+    def join(batches):
+        for key, held in _by_block(batches):
+            part, sid, group, n, l = (np.array([h[x] for h in held], np.int64) for x in range(5))
+            own, links = [np.frombuffer(h[6], np.uint64) for h in held], []
+            for a, found in _met_in(part, key[1], key[2], n, l, group, [np.frombuffer(h[5], np.uint64) for h in held], percent):
+                for b in found.tolist():
+                    if group[b] != group[a] and _similar(own[a], own[b], percent):
+                        group[group == group[b]] = group[a]
+                        links.append((int(sid[a]), int(sid[b])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links)], ["u", "v"])
+
+    prefix = stored(sets.join(rows.select("sid").distinct(), "sid").select("sid", "set").mapInArrow(cut, "sid long, n long, l long, prefix binary"))
+    schema = ", ".join(f"{c} long" for c in [*_BLOCK, "n", "l"]) + ", prefix binary"
+    met = stored(dealt(blocks.join(prefix, "sid").select(*_BLOCK, "n", "l", "prefix")).mapInArrow(near, schema))
+    return checkpoint(dealt(met.join(sets, "sid").select(*met.columns, "set")).mapInArrow(join, "u long, v long"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH, longest: int = LONGEST, most: int = FREQUENT) -> DataFrame:
