@@ -1,7 +1,7 @@
 """Classifiers behind one entry: fit(df, name, params) on a table with features (vector) and label (double from 0).
 
 Boosted trees of three kinds are grown in `boost`, extra trees in `extra`. Other learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial kernel
-from landmark features with calibrated margins, naive Bayes and discriminants from one aggregate, nearest neighbours from
+from whitened landmark features with calibrated margins, descent on the hinge loss in shards, naive Bayes and discriminants from one aggregate, nearest neighbours from
 the block search. Binary learners are wrapped in one-vs-rest where there are more classes. Every fitted model can be saved
 and loaded.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Transformer
 from pyspark.ml import classification as M
 from pyspark.ml.feature import VectorAssembler
@@ -19,11 +21,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators import bayes, boost, extra, knn
+from tabforge.operators import bayes, boost, extra, knn, sgd
 from tabforge.sources.tables import checkpointed, read_json, write_json
 
 SEED = 42
-# Default parameters by model.
+# Default parameters by model. landmarks and hidden are this library's own; max_iter of mlp departs.
 DEFAULTS: dict[str, dict] = {
     "logistic_regression": {"C": 1.0, "max_iter": 1000},
     "ridge": {"alpha": 1.0},
@@ -135,17 +137,46 @@ def _apply_adaboost(df: DataFrame, rule: Rule) -> DataFrame:
     return _argmax(df, scores).drop(*votes)
 
 
+def landmarks(df: DataFrame, n: int, rounds: int = 5) -> list[list[float]]:
+    """Points of df, far from each other: in each round some are drawn with a chance in proportion to their squared distance to those before.
+
+    The draw of a point is a hash of it, so it can be repeated; rounds are passes that hand on n / rounds rows a task at most.
+    """
+    x, found = vector_to_array("features"), []
+    points = checkpointed(df.select(x.alias("x")).distinct().withColumn("u", (F.pmod(F.xxhash64("x"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)))
+    while len(found) < n:
+        gap = F.lit(1.0)
+        if found:
+            marks = F.array(*[F.array(*[F.lit(v) for v in m]) for m in found])
+            gap = F.array_min(F.transform(marks, lambda m: F.aggregate(F.zip_with("x", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
+        some = min(n - len(found), max(1, -(-n // rounds)) if found else 1)
+        drawn = points.withColumn("gap", gap).where("gap > 0").orderBy(-F.log("u") / F.col("gap"), "x").limit(some).collect()
+        if not drawn:
+            break
+        found += [list(r["x"]) for r in drawn]
+    return found
+
+
+def whitening(marks: Sequence[Sequence[float]], gamma: float) -> list[list[float]]:
+    """What turns kernel values with the landmarks into features whose products are the kernel's best approximation on them (eigenvectors of the landmarks' kernel matrix)."""
+    m = np.array(marks)
+    kernel = np.exp(-gamma * ((m[:, None, :] - m[None, :, :]) ** 2).sum(2))
+    value, vector = np.linalg.eigh(kernel)
+    kept = value > 1e-10 * value.max()
+    return (vector[:, kept] / np.sqrt(value[kept])).tolist()
+
+
 def _svc(df: DataFrame, classes: int, p: dict) -> Rule:
-    """Radial kernel on landmarks (Nystroem): rows nearest by hash are the landmarks, kernel values the features of a linear machine; its margins are calibrated by logistic regression (Platt)."""
+    """Radial kernel on landmarks (Nystroem): whitened kernel values are the features of a linear machine; its margins are calibrated by logistic regression (Platt)."""
     d = len(df.first()["features"])
     x = vector_to_array("features")
     var = df.select(F.posexplode(x)).groupBy("pos").agg(F.avg("col").alias("m"), F.avg(F.col("col") ** 2).alias("q")).agg(F.avg(F.col("q") - F.col("m") ** 2)).first()[0]
     gamma = {"scale": 1 / (d * max(var, 1e-12)), "auto": 1 / d}.get(p.get("gamma", "scale")) or p["gamma"]
-    marks = [list(r[0]) for r in df.select(x.alias("x")).distinct().orderBy(F.xxhash64("x")).limit(p["landmarks"]).collect()] if p.get("kernel", "rbf") == "rbf" else []
+    marks = landmarks(df, p["landmarks"]) if p.get("kernel", "rbf") == "rbf" else []
     linear = M.LinearSVC(featuresCol="kernel", regParam=1 / (p["C"] * max(1, df.count())), maxIter=50)
     learner = linear if classes == 2 else M.OneVsRest(classifier=linear, featuresCol="kernel")
-    rule = Rule("svc", {"gamma": gamma, "marks": marks, "calibration": []})
-    mapped = _kernel(df, rule.state)
+    rule = Rule("svc", {"gamma": gamma, "marks": marks, "white": whitening(marks, gamma) if marks else [], "calibration": []})
+    mapped = checkpointed(_kernel(df, rule.state))
     rule.models = [learner.fit(mapped)]
     margins = rule.models[0].transform(mapped).select("label", vector_to_array("rawPrediction").alias("margin"))
     for c in range(classes if classes > 2 else 1):
@@ -157,12 +188,20 @@ def _svc(df: DataFrame, classes: int, p: dict) -> Rule:
 
 
 def _kernel(df: DataFrame, state: dict) -> DataFrame:
+    """df with kernel: the features of the linear machine."""
     if not state["marks"]:
         return df.withColumn("kernel", F.col("features"))
-    x, gamma = vector_to_array("features"), float(state["gamma"])
-    gap = lambda m: F.aggregate(F.zip_with(x, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    marks = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in state["marks"]])
-    return df.withColumn("kernel", array_to_vector(F.transform(marks, lambda m: F.exp(-gamma * gap(m)))))
+    marks, white, gamma = np.array(state["marks"]), np.array(state["white"]), float(state["gamma"])
+
+    @F.pandas_udf("array<double>")
+    def mapped(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        rows = np.stack(x.to_numpy())
+        gap = (rows * rows).sum(1)[:, None] - 2 * rows @ marks.T + (marks * marks).sum(1)[None, :]
+        return pd.Series(list(np.exp(-gamma * np.maximum(gap, 0.0)) @ white))
+
+    return df.withColumn("kernel", array_to_vector(mapped(vector_to_array("features"))))
 
 
 def _apply_svc(df: DataFrame, rule: Rule) -> DataFrame:
@@ -245,16 +284,14 @@ def _apply_knn(df: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(scored, "_row", "left").withColumn("probability", _shared(F.col("rawScores"))).drop("_row")
 
 
-_APPLY = {"ridge": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn, "boosted": _apply_boosted, "extra": _apply_extra}
+_APPLY = {"ridge": _apply_ridge, "linear": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn, "boosted": _apply_boosted, "extra": _apply_extra}
 
 
 def estimator(name: str, classes: int, n: int, p: dict):
     """The Spark estimator of a model, one-vs-rest where the learner is binary."""
     if name == "logistic_regression":
         return M.LogisticRegression(regParam=1 / (p["C"] * n), elasticNetParam=p.get("l1", 0.0), maxIter=p["max_iter"], standardization=False)
-    if name == "sgd":
-        one = M.LinearSVC(regParam=p["alpha"], maxIter=p["max_iter"])
-    elif name == "decision_tree":
+    if name == "decision_tree":
         return M.DecisionTreeClassifier(maxDepth=p["max_depth"], minInstancesPerNode=p.get("min_samples_leaf", 1), impurity=p.get("criterion", "gini"), seed=SEED)
     elif name == "random_forest":
         return M.RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"], featureSubsetStrategy=p.get("max_features", "sqrt"), minInstancesPerNode=p.get("min_samples_leaf", 1), impurity=p.get("criterion", "gini"), seed=SEED)
@@ -277,6 +314,9 @@ def fit(df: DataFrame, name: str, params: dict | None = None) -> Model | Rule:
         return _adaboost(df, classes, p)
     if name == "svc":
         return _svc(df, classes, p)
+    if name == "sgd":
+        w, b = sgd.fit(df, classes, p["alpha"], p["max_iter"])
+        return Rule("linear", {"fits": list(zip(w, b))})
     if name == "extra_trees":
         return _extra(df, classes, p)
     if name in ("xgboost", "lightgbm", "catboost"):

@@ -1,16 +1,18 @@
-"""Tuning: grid search with cross-validation, and seeded random search on a validation part. The test table is never seen,
-and the metric's direction is honoured."""
+"""Tuning: grid search with cross-validation, seeded random search on a validation part, and successive halving. Trials run at
+once from driver threads. The test table is never seen, and the metric's direction is honoured."""
 
 from __future__ import annotations
 
 import itertools
 import math
 import random
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.operators import evaluate, models
@@ -18,7 +20,7 @@ from tabforge.sources.tables import checkpointed
 
 _FOREST = {"n_estimators": [50, 100, 200], "max_depth": [10, 20, 30], "min_samples_leaf": [1, 2, 4], "max_features": ["sqrt", "log2"], "criterion": ["gini", "entropy"]}
 _BOOSTING = {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7], "subsample": [0.8, 0.9, 1.0]}
-# Search spaces: the values of the parameters that Spark has. No bound of a tree's depth is 30, Spark's largest.
+# Search spaces. They depart in that no bound of a tree's depth is 30, Spark's largest, and in that knobs without a twin are left out.
 SPACES: dict[str, dict[str, list]] = {
     "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "l1": [0.0, 0.5, 1.0], "max_iter": [100, 200, 500]},
     "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
@@ -66,33 +68,46 @@ def value(scored: DataFrame, metric: str) -> float:
     return next(r["value"] for r in evaluate.auc_ovr(rows, "label", {float(c): f"s{c}" for c in range(n)}).collect() if r["metric"] == "roc_auc_ovr_weighted")
 
 
+def _together(tasks: list[Callable], parallelism: int) -> list:
+    """Results of the tasks in order, `parallelism` at a time from driver threads. Each has a pool of its own, so that under spark.scheduler.mode FAIR a long trial does not hold the others up."""
+    def run(i: int):
+        context = SparkSession.active().sparkContext
+        context.setLocalProperty("spark.scheduler.pool", f"trial-{i % parallelism}")
+        try:
+            return tasks[i]()
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    if parallelism < 2 or len(tasks) < 2:
+        return [f() for f in tasks]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(inheritable_thread_target(run), range(len(tasks)))
+
+
+def _trial(fit_on: DataFrame, judge_on: DataFrame, name: str, p: dict, metric: str) -> Callable:
+    return lambda: value(models.fit(fit_on, name, p).transform(judge_on), metric)
+
+
+def _points(space: dict[str, list]) -> list[dict]:
+    return [dict(zip(space, v)) for v in itertools.product(*space.values())]
+
+
 def grid_search(df: DataFrame, name: str, space: dict[str, list] | None = None, metric: str = "accuracy", cv: int = 5, key: str = "id", parallelism: int = 4):
-    """trials (parameters, value, best) and the model refitted with the best ones. Learners of Spark go through CrossValidator, composed ones fold by fold."""
-    space = SPACES[name] if space is None else space
-    points = [dict(zip(space, v)) for v in itertools.product(*space.values())]
+    """trials (parameters, value, best) and the model refitted with the best ones: all points by all folds, `parallelism` fits at a time, whatever the learner."""
+    points = _points(SPACES[name] if space is None else space)
     train = checkpointed(folds(df, cv, key))
-    up = METRICS[metric]
-    if name == "decision_tree" and metric != "roc_auc":
-        e = models.estimator(name, 2, 1, models.DEFAULTS[name])
-        names = {"max_depth": e.maxDepth, "min_samples_leaf": e.minInstancesPerNode, "criterion": e.impurity}
-        grid = ParamGridBuilder()
-        for k, v in space.items():
-            grid = grid.addGrid(names[k], v)
-        cross = CrossValidator(estimator=e, estimatorParamMaps=grid.build(), evaluator=MulticlassClassificationEvaluator(metricName=metric), numFolds=cv, foldCol="fold", parallelism=parallelism).fit(train)
-        values = [({next(n for n, q in names.items() if q == k): v for k, v in m.items()}, x) for m, x in zip(cross.getEstimatorParamMaps(), cross.avgMetrics)]
-    else:
-        values = []
-        for p in points:
-            parts = [value(models.fit(train.where(F.col("fold") != f), name, p).transform(train.where(F.col("fold") == f)), metric) for f in range(cv)]
-            parts = [v for v in parts if v is not None]  # ROC-AUC has no value in a fold of one class
-            if not parts:
-                raise ValueError(f"{metric} has no value in any fold")
-            values.append((p, sum(parts) / len(parts)))
-    return _finish(df, name, values, up)
-
-
-def random_search(df: DataFrame, name: str, ranges: dict[str, tuple], n_trials: int = 10, metric: str = "accuracy", seed: int = 42, key: str = "id"):
-    """Trials drawn from ranges: (low, high) of integers or floats, on a logarithmic scale where high / low > 100, or a list of choices; judged on a fifth of df."""
+    tasks = [_trial(train.where(F.col("fold") != f), train.where(F.col("fold") == f), name, p, metric) for p in points for f in range(cv)]
+    found, values = _together(tasks, parallelism), []
+    for i, p in enumerate(points):
+        parts = [v for v in found[i * cv : (i + 1) * cv] if v is not None]  # ROC-AUC has no value in a fold of one class
+        if not parts:
+            raise ValueError(f"{metric} has no value in any fold")
+        values.append((p, sum(parts) / len(parts)))
+    return _finish(df, name, values, METRICS[metric])
+
+
+def random_search(df: DataFrame, name: str, ranges: dict[str, tuple], n_trials: int = 10, metric: str = "accuracy", seed: int = 42, key: str = "id", parallelism: int = 4):
+    """Trials drawn from ranges: (low, high) of integers or floats, on a logarithmic scale where high / low > 100, or a list of choices; judged on a fifth of df, `parallelism` at a time. Without ranges there is one trial, that of the defaults."""
     draw = random.Random(seed)
 
     def one(v):
@@ -104,15 +119,34 @@ def random_search(df: DataFrame, name: str, ranges: dict[str, tuple], n_trials:
         return math.exp(draw.uniform(math.log(low), math.log(high))) if low > 0 and high / low > 100 else draw.uniform(low, high)
 
     train = checkpointed(folds(df, 5, key))
-    values = []
-    for _ in range(n_trials):
-        p = {k: one(v) for k, v in ranges.items()}
-        values.append((p, value(models.fit(train.where("fold <> 0"), name, p).transform(train.where("fold = 0")), metric)))
-    return _finish(df, name, values, METRICS[metric])
-
-
-def _finish(df: DataFrame, name: str, values: list, up: bool):
-    best = (max if up else min)(range(len(values)), key=lambda i: values[i][1])
+    points = [{k: one(v) for k, v in ranges.items()} for _ in range(n_trials if ranges else 1)]
+    found = _together([_trial(train.where("fold <> 0"), train.where("fold = 0"), name, p, metric) for p in points], parallelism)
+    return _finish(df, name, list(zip(points, found)), METRICS[metric])
+
+
+def halving_search(df: DataFrame, name: str, space: dict[str, list] | None = None, metric: str = "accuracy", factor: int = 3, least_rows: int = 100, key: str = "id", parallelism: int = 4):
+    """Successive halving: all points on a small share of the training rows, then the best 1 / factor of them on a share factor times as large, until all rows are in.
+
+    The first share has `least_rows` rows at least. Every round is judged on the same fifth of df. trials has each point with
+    its value in the last round it was in; the best one was judged on all rows.
+    """
+    points, up = _points(SPACES[name] if space is None else space), METRICS[metric]
+    train = checkpointed(folds(df, 5, key).withColumn("_u", F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 20)) / float(1 << 20)))
+    rounds, n = max(0, math.ceil(math.log(max(len(points), 1), factor))), train.count()
+    while rounds and n * factor**-rounds < least_rows:
+        rounds -= 1
+    left, last = list(range(len(points))), {}
+    for r in range(rounds, -1, -1):
+        part = train.where((F.col("fold") != 0) & (F.col("_u") < float(factor) ** -r))
+        found = _together([_trial(part, train.where("fold = 0"), name, points[i], metric) for i in left], parallelism)
+        last |= dict(zip(left, found))
+        ranked = sorted(left, key=lambda i: (-last[i] if up else last[i], i))
+        left = ranked[: max(1, len(ranked) // factor)] if r else ranked
+    return _finish(df, name, [(points[i], last[i]) for i in [left[0], *(i for i in range(len(points)) if i != left[0])]], up, 0)
+
+
+def _finish(df: DataFrame, name: str, values: list, up: bool, best: int | None = None):
+    best = best if best is not None else (max if up else min)(range(len(values)), key=lambda i: values[i][1])
     rows = [(str(sorted(p.items())), float(v), i == best) for i, (p, v) in enumerate(values)]
     return df.sparkSession.createDataFrame(rows, "params string, value double, best boolean"), models.fit(df, name, values[best][0])
 
@@ -125,6 +159,8 @@ def run(df: DataFrame, name: str, test: DataFrame | None = None, method: str = "
         trials, model = df.sparkSession.createDataFrame([], "params string, value double, best boolean"), models.fit(df, name)
     elif method == "grid":
         trials, model = grid_search(df, name, space, metric, key=key)
+    elif method == "halving":
+        trials, model = halving_search(df, name, space, metric, key=key)
     elif method == "random":
         trials, model = random_search(df, name, space or SPACES[name], n_trials, metric, key=key)
     else:

@@ -401,3 +401,80 @@ def test_pairs_of_classes_by_loops(spark):
                 areas.append(sum((x > y) + (x == y) / 2 for x in own for y in other) / len(own) / len(other))
     got = evaluate.auc_ovo(spark.createDataFrame(rows, "y int, p0 double, p1 double, p2 double"), "y", {0: "p0", 1: "p1", 2: "p2"}).first()["value"]
     assert got == pytest.approx(sum(areas) / 6)
+
+
+def test_descent_is_a_loop_over_the_hash_order(spark, monkeypatch):
+    """Hinge loss, one row at a time; several shards are averaged by their rows; partitions do not matter."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from tabforge.operators import sgd
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3)).round(3)
+    y = (x @ [1, -2, 0.5] > 0).astype(int)
+    df = models.assembled(spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "a double, b double, c double, y int"), ["a", "b", "c"], "y")
+    hashed = df.select(vector_to_array("features").alias("x"), "label").withColumn("u", F.xxhash64("x", "label")).orderBy("u").collect()
+    for size in (1 << 13, 32):
+        monkeypatch.setattr(sgd, "SHARD", size)
+        n, alpha = -(-90 // size), 0.01
+        own, taken, w = [[r for r in hashed if r["u"] % n == s] for s in range(n)], 0, np.zeros(4)
+        centre, width = x.mean(0), x.std(0)
+        for _ in range(3):
+            ends, means = [], []
+            for rows in own:
+                v, seen = w.copy(), []
+                for i, r in enumerate(rows):
+                    step = 1 / (alpha * (sgd.first_step(alpha, 4) + taken + i))
+                    sign, at = (1 if r["label"] else -1), np.array([*(np.array(r["x"]) - centre) / width, 1.0])
+                    short = sign * (v @ at) < 1
+                    v[:3] *= 1 - step * alpha
+                    if short:
+                        v += step * sign * at
+                    seen.append(v.copy())
+                ends.append(v * len(rows))
+                means.append(sum(seen))
+            w, taken = sum(ends) / 90, taken + min(90, size)
+        w = sum(means) / 90
+        w = np.array([*w[:3] / width, w[3] - (w[:3] / width) @ centre])
+        got = [sgd.fit(df.repartition(k), 2, alpha, 3) for k in (1, 5)]
+        assert all(np.allclose([*a[0], b[0]], w) for a, b in got)
+    model = models.fit(df, "sgd", {"alpha": 1e-3})
+    assert model.transform(df).where("prediction <> label").count() <= 5
+
+
+def test_landmark_features_approximate_the_kernel(spark):
+    """With all points the products are the kernel; with a third of them within 0.1 on the mean, and closer than from as many points at random."""
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 2)) * [1, 2] + rng.integers(0, 3, (90, 1)) * 4
+    df = models.assembled(spark.createDataFrame([(i, *map(float, a), 0) for i, a in enumerate(x)], "id int, a double, b double, y int").repartition(4), ["a", "b"], "y", ["id"])
+    exact = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(2))
+
+    def error(marks):
+        rows = models._kernel(df, {"marks": marks, "white": models.whitening(marks, 0.3), "gamma": 0.3}).select("id", vector_to_array("kernel").alias("k")).collect()
+        k = np.array([r["k"] for r in sorted(rows, key=lambda r: r["id"])])
+        return np.abs(k @ k.T - exact).mean()
+
+    every, some = models.landmarks(df, 200), models.landmarks(df, 30)
+    assert len(every) == 90 and error(every) < 1e-6 and len(some) == 30 == len({tuple(m) for m in some})
+    assert error(some) < 0.1 and error(some) < np.mean([error(x[rng.permutation(90)[:30]].tolist()) for _ in range(3)])
+
+
+def test_trials_run_at_once(spark, monkeypatch):
+    """The same values and best point with any number of threads; four waits take the time of about one; halving ends on all rows."""
+    import time
+
+    df = blobs(spark).selectExpr("id", "x", "cast(y as double) as label")
+    from pyspark.ml.functions import array_to_vector
+
+    df = df.select("id", array_to_vector("x").alias("features"), "label").cache()
+    one, four = (tune.grid_search(df, "decision_tree", {"max_depth": [1, 2, 3]}, cv=2, parallelism=p)[0].collect() for p in (1, 4))
+    assert one == four
+    began = time.time()
+    assert tune._together([lambda i=i: time.sleep(1) or i for i in range(4)], 4) == [0, 1, 2, 3] and time.time() - began < 3
+    trials = tune.halving_search(df, "decision_tree", {"max_depth": [1, 2, 3, 4], "min_samples_leaf": [1, 2]}, factor=2, least_rows=10)[0].collect()
+    assert len(trials) == 8 and sum(r["best"] for r in trials) == 1
+    assert next(r["value"] for r in trials if r["best"]) >= 0.8
+    assert tune.random_search(df, "lda", {}, 5)[0].count() == 1
