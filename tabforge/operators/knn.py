@@ -1,12 +1,16 @@
-"""Exact nearest neighbours, in blocks.
-
-The reference rows are packed into blocks of a bounded number of rows, each of which goes to one task and stays there; the
-queries are packed, too, and a copy of each of their blocks goes to each block of rows (an equality join on the block's
-number, the only shuffle of them). A pair of blocks is scored in numpy on the flat Arrow arrays and hands on the k best of
-its rows for each query; they meet in one window per query, which is cut to k before it is shuffled. The work is the number
-of queries times the number of rows, as an exact search must be, what is moved is the queries times the number of blocks,
-and memory is that of two blocks. Beyond a million rows `BucketedRandomProjectionLSH` is the approximate way
-(`approximate`).
+"""Exact nearest neighbours, in cells around pivots.
+
+Pivots are rows drawn by a hash, about one for `CELL` rows; every row belongs to the cell of its nearest pivot. Of each cell
+(and group) the number of rows, the radius and the distance of the k-th row from the pivot are known. A query whose distances
+to the pivots are d has k rows within the least d + k-th distance, so by the triangle inequality only cells with
+d - radius within this bound can hold a nearer one, and it is sent to these alone. Rounding errors widen the bound.
+
+Cells are cut into blocks of a bounded number of rows, each of which goes to one task and stays there; queries are packed for
+each of their cells where they are read (an equality join on cell and block, the only shuffle of them). A pair of blocks is
+scored in numpy on the flat Arrow arrays and hands on the k best of its rows for each query; they meet in one window per
+query, which is cut to k before it is shuffled. Memory is that of two blocks. Where cells do not part the points, as in many
+dimensions, every query meets every row, as an exact search then must; `work` tells how many pairs are scored. Beyond a million
+such rows `BucketedRandomProjectionLSH` is the approximate way (`approximate`).
 """
 
 from __future__ import annotations
@@ -18,17 +22,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, LEAST_BLOCK = 8192, 512
+BLOCK, CELL, MOST_PIVOTS = 8192, 256, 2048
+#: Cells of all groups at most; their numbers go to every task.
+MOST_CELLS = 1 << 17
 DIGITS = 9
+#: What rounding may add to a distance, as a share and as such.
+SLACK = 1e-6
 
 
-def _blocks(df: DataFrame, name: str, within: bool, spread: int) -> tuple[DataFrame, int]:
-    """name_b (block), g (group or 0) and packed rows (struct of id and x); the number of blocks: at least `spread`, if blocks keep LEAST_BLOCK rows."""
-    n = df.count()
-    n = max(1, -(-n // BLOCK), min(spread, n // LEAST_BLOCK))
-    group = F.col("g") if within else F.lit(0)
-    rows = df.select("id", "x", group.cast("string").alias("g"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int").alias(f"{name}_b"))
-    return rows.groupBy(f"{name}_b", "g").agg(F.collect_list(F.struct("id", "x")).alias(name)), n
+def _points(column: pa.Array, width: int) -> np.ndarray:
+    size = np.asarray(column.value_lengths())
+    if (size != width).any():
+        raise ValueError(f"points of unequal length: one has {size[(size != width).argmax()]} numbers, another {width}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+class Cells:
+    """Pivots, and by group the cells' numbers, radii, distances of the k-th row (infinite, if there are fewer) and blocks."""
+
+    def __init__(self, pivots: np.ndarray, p: int):
+        self.pivots, self.p, self.groups = pivots, p, {}
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        if self.p == 1:
+            return np.stack([np.abs(x - one).sum(1) for one in self.pivots], axis=1)
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ self.pivots.T + (self.pivots * self.pivots).sum(1)[None, :], 0.0))
+
+    def slack(self, x: np.ndarray) -> float:
+        return SLACK * (1.0 + max(np.abs(x).max(initial=0.0), np.abs(self.pivots).max(initial=0.0)) * x.shape[1])
+
+    def wanted(self, far: np.ndarray, group: str, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells of a group, their blocks, and which of them each query needs."""
+        cell, radius, kth, blocks, _ = self.groups[group]
+        own = far[:, cell]
+        bound = (own + kth[None, :]).min(1) + slack
+        return cell, blocks, own - radius[None, :] <= bound[:, None] + slack
+
+
+def _cells(rows: DataFrame, k: int, p: int, within: bool) -> tuple[Cells, DataFrame]:
+    """Cells of rows (id, x, g), and the rows with cell c and block b."""
+    n, groups = rows.count(), rows.select("g").distinct().count() if within else 1
+    most = max(1, min(-(-n // CELL), MOST_PIVOTS, MOST_CELLS // max(groups, 1)))
+    pivots = [r["x"] for r in rows.orderBy(F.xxhash64("id", F.lit(3)), "id").select("x").limit(most).collect()] or [[0.0]]
+    width = len(pivots[0])
+    if any(len(v) != width for v in pivots):
+        raise ValueError(f"points of unequal length: one has {next(len(v) for v in pivots if len(v) != width)} numbers, another {width}")
+    cells = Cells(np.array(pivots, float), p)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), BLOCK):
+                part = batch.slice(a, BLOCK)
+                far = cells.distances(_points(part.column(1), width))
+                c = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.astype(np.int32)), pa.array(far[np.arange(len(c)), c])], ["id", "x", "g", "c", "r"])
+
+    placed = rows.mapInArrow(own, "id long, x array<double>, g string, c int, r double")
+    ranked = placed.select("g", "c", "r", F.row_number().over(Window.partitionBy("g", "c").orderBy("r")).alias("n")).where(F.col("n") <= k)
+    kth = ranked.groupBy("g", "c").agg(F.max(F.when(F.col("n") == k, F.col("r"))).alias("kth"))
+    found = placed.groupBy("g", "c").agg(F.count("*").alias("n"), F.max("r").alias("radius")).join(kth, ["g", "c"]).orderBy("g", "c").collect()
+    by: dict[str, list] = {}
+    for r in found:
+        by.setdefault(r["g"], []).append((r["c"], r["radius"], np.inf if r["kth"] is None else r["kth"], -(-r["n"] // BLOCK), r["n"]))
+    cells.groups = {g: tuple(np.array(v) for v in zip(*own)) for g, own in by.items()}
+    spark = rows.sparkSession
+    blocks = spark.createDataFrame([(r["g"], r["c"], -(-r["n"] // BLOCK)) for r in found], "g string, c int, blocks int")
+    block = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
+    return cells, placed.drop("r").join(blocks, ["g", "c"]).withColumn("b", block).drop("blocks")
+
+
+def _routed(queries: DataFrame, cells) -> DataFrame:
+    """g, c, blocks, pairs (rows of the cell times queries) and q (packed queries) of each cell that queries of a batch need. cells: broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = cells.value
+        for batch in batches if own.groups else ():
+            for a in range(0, len(batch), BLOCK):
+                part = batch.slice(a, BLOCK)
+                x, group = _points(part.column(1), own.pivots.shape[1]), np.array(part.column(2).to_pylist(), object)
+                far, slack = own.distances(x), own.slack(x)
+                packed = pa.StructArray.from_arrays([part.column(0), part.column(1)], ["id", "x"])
+                out = []
+                for g in sorted(set(group) & own.groups.keys()):
+                    at = np.flatnonzero(group == g)
+                    cell, blocks, needs = own.wanted(far[at], g, slack)
+                    out += [(g, int(cell[j]), int(blocks[j]), int(own.groups[g][4][j]), at[needs[:, j]]) for j in np.flatnonzero(needs.any(0))]
+                for g, c, blocks, n, at in out:
+                    q = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), packed.take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([c], pa.int32()), pa.array([blocks], pa.int32()), pa.array([n * len(at)], pa.int64()), q], ["g", "c", "blocks", "pairs", "q"])
+
+    return queries.mapInArrow(run, "g string, c int, blocks int, pairs long, q array<struct<id: long, x: array<double>>>")
 
 
 def _unpacked(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +146,28 @@ def _nearest(qi: np.ndarray, qx: np.ndarray, ri: np.ndarray, rx: np.ndarray, k:
         yield qi[a + row[top]], ri[col[top]], d[row[top], col[top]]
 
 
+def _plan(queries: DataFrame, rows: DataFrame, k: int, within: bool, exclude_self: bool, p: int) -> tuple[DataFrame, DataFrame]:
+    """Queries by the cells they need, and rows by cell and block."""
+    group = F.col("g").cast("string") if within else F.lit("")
+    clean = lambda df: df.where("id is not null and x is not null").select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), group.alias("g"))
+    cells, placed = _cells(clean(rows), k + int(exclude_self), p, within)
+    return _routed(clean(queries).where("g is not null"), queries.sparkSession.sparkContext.broadcast(cells)), placed
+
+
+def work(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclude_self: bool = True, p: int = 2) -> int:
+    """How many pairs of a query and a row `knn` scores."""
+    return _plan(queries, rows, k, within, exclude_self, p)[0].agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclude_self: bool = True, p: int = 2) -> DataFrame:
     """id, neighbour, distance and rank (from 1) of the k nearest rows of each query.
 
     queries and rows: id (long) and x (array of double), with within also g, and only rows of the query's group count. Ties
     (distances equal to nine digits) go to the smaller id. Rows with a null id or x take no part. p: 2 Euclidean, 1 Manhattan.
     """
-    clean = lambda df: df.where("id is not null and x is not null")
-    left, _ = _blocks(clean(queries), "q", within, 1)
-    right, n = _blocks(clean(rows), "r", within, queries.sparkSession.sparkContext.defaultParallelism)
-    grid = left.withColumn("r_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, ["r_b", "g"]).select("q", "r")
+    routed, placed = _plan(queries, rows, k, within, exclude_self, p)
+    blocks = placed.groupBy("g", "c", "b").agg(F.collect_list(F.struct("id", "x")).alias("r"))
+    grid = routed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(blocks, ["g", "c", "b"]).select("q", "r")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -478,3 +478,25 @@ def test_trials_run_at_once(spark, monkeypatch):
     assert len(trials) == 8 and sum(r["best"] for r in trials) == 1
     assert next(r["value"] for r in trials if r["best"]) >= 0.8
     assert tune.random_search(df, "lda", {}, 5)[0].count() == 1
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_cells_leave_no_neighbour_out(spark, monkeypatch, p):
+    """Equal to all pairs with clusters, equal points, groups and more blocks than one; far fewer pairs are scored."""
+    monkeypatch.setattr(knn, "CELL", 16)
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    rng = np.random.default_rng(p)
+    x = np.concatenate([rng.normal(size=(60, 2)) * 0.3 + c for c in ([0, 0], [9, 0], [0, 9], [20, 20], [9, 9])] + [np.zeros((70, 2))]).round(3)
+    g = rng.integers(0, 2, len(x)).astype(str)
+    df = spark.createDataFrame([(i, list(map(float, a)), b) for i, (a, b) in enumerate(zip(x, g))], "id long, x array<double>, g string").repartition(3)
+    far = np.round(np.abs(x[:, None] - x[None]).sum(2) if p == 1 else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    for within in (False, True):
+        got = {(r["id"], r["rank"]): (r["neighbour"], r["distance"]) for r in knn.knn(df, df, 4, within, p=p).collect()}
+        assert len(got) == 4 * len(x)
+        for i in range(len(x)):
+            near = sorted((far[i, j], j) for j in range(len(x)) if j != i and (not within or g[i] == g[j]))[:4]
+            assert [got[i, k + 1] for k in range(4)] == [(j, pytest.approx(v)) for v, j in near]
+    assert knn.work(df, df, 4, p=p) < 0.5 * len(x) ** 2
+    lonely = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [1.0, 0.0], "b")], "id long, x array<double>, g string")
+    assert knn.knn(lonely, lonely, 3, within=True).count() == 0 and knn.knn(lonely, lonely.where("false"), 3).count() == 0
+    assert [tuple(r)[:2] for r in knn.knn(lonely, lonely, 3, exclude_self=False).where("rank = 1").orderBy("id").collect()] == [(1, 1), (2, 2)]
