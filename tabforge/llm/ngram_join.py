@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import checkpoint, stored, text_slices
+from tabforge.llm.common import checkpoint, released, stored, text_slices
 from tabforge.llm.graph import components
 from tabforge.llm.similar import _sid, shingle_sets
 
@@ -289,7 +289,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([values[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["t", "set"])
 
     made = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(run, "t long, set binary")
-    return stored(made.join(wanted.select("sid", "t"), "t").groupBy("sid").agg(F.min("set").alias("set")))
+    # texts' hashes meet once for both steps; a set has one text among the nodes
+    return stored(made.groupBy("t").agg(F.min("set").alias("set")).join(wanted.select("sid", "t"), "t").select("sid", "set"))
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -412,21 +413,27 @@ def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int, longest: int
     prefix = stored(sets.join(rows.select("sid").distinct(), "sid").select("sid", "set").mapInArrow(cut, "sid long, n long, l long, prefix binary"))
     schema = ", ".join(f"{c} long" for c in [*_BLOCK, "n", "l"]) + ", prefix binary"
     met = stored(dealt(blocks.join(prefix, "sid").select(*_BLOCK, "n", "l", "prefix")).mapInArrow(near, schema))
+    released(rows.sparkSession)
     return checkpoint(dealt(met.join(sets, "sid").select(*met.columns, "set")).mapInArrow(join, "u long, v long"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH, longest: int = LONGEST, most: int = FREQUENT) -> DataFrame:
     """Confirmed links u, v between different sets that join all that are linked."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent(docs, words_each, most))
+    spark = docs.sparkSession
+    table = spark.sparkContext.broadcast(frequent(docs, words_each, most))
+    released(spark)
     met = buckets(docs, table, words_each, percent, longest)
+    released(spark)
     ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("sid"))
     sets = lambda wanted: _sets(docs, nodes.join(wanted.distinct(), "sid"), words_each)
     star = met.where((F.col("sid") != F.col("least")) & _fits("n", "least_n", percent))
     asked = stored(_counted(star.select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v"), F.least("l", "least_l").alias("need"))))
     found = _confirmed(asked, sets(ends(asked)), percent)
     rows = _open(met, found)
+    released(spark)
     named, large = stored(_named(rows.where(F.col("members") <= SMALL), percent)), rows.where(F.col("members") > SMALL)
     more = sets(ends(named).unionByName(large.select("sid")))
+    released(spark)
     out = found.unionByName(_confirmed(named.join(asked, ["u", "v"], "left_anti"), more, percent))
     return out.unionByName(_crowded(large, more, table, percent, longest)) if large.take(1) else out
 
