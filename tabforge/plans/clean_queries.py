@@ -94,6 +94,13 @@ _SEGMENT = _CLEAN.format(c="segment")
 _ALL_SQL = f"SELECT c_custkey, acctbal, {_SEGMENT} AS segment, nation, TRY_CAST(replace(num_text, '$', '') AS DOUBLE) AS num_text, lower(flag_text) = 'yes' AS flag_text, strftime(CAST(date_text AS DATE), '%Y-%m-%d') AS date_text, label FROM dirty_customer"
 
 
+@register("clean_numbers", 'SELECT l_orderkey, l_linenumber, l_quantity AS "quantity.of line", l_discount, l_tax FROM lineitem')
+def clean_numbers(spark, d):
+    """A table without text: a constant, a copy and an empty column go, rows stay."""
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity.of line"), F.lit(1).alias("one"), "l_discount", F.col("l_discount").alias("again"), F.lit(None).cast("double").alias("empty"), "l_tax")
+    return C.apply(df, C.fit(df, ["l_orderkey"]))
+
+
 @register("clean_all", dirty(_ALL_SQL))
 def clean_all(spark, d):
     """Fitted on all rows, applied to them."""

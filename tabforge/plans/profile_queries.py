@@ -102,6 +102,16 @@ def corr_matrix(spark, d):
     return rounded(P.correlations(table(spark, d, "lineitem")))
 
 
+_WITH_CONSTANT = "SELECT l_quantity, 5.0::DOUBLE AS always, l_discount, CASE WHEN l_linenumber > 3 THEN 1.0::DOUBLE END AS \"once.or null\", l_tax FROM lineitem"
+
+
+@register("corr_constant", f"WITH t AS ({_WITH_CONSTANT}), c AS (" + union([f"SELECT '{a}' AS col_a, '{b}' AS col_b, " + (f'corr("{a}", "{b}") AS r FROM t' if not {a, b} & {"always", "once.or null"} else "CAST(NULL AS DOUBLE) AS r") for a, b in combinations(["l_quantity", "always", "l_discount", "once.or null", "l_tax"], 2)]) + ") SELECT col_a, col_b, round(r, 6) AS r FROM c")
+def corr_constant(spark, d):
+    """Constant columns, and a name that must be quoted."""
+    df = table(spark, d, "lineitem").select("l_quantity", F.lit(5.0).alias("always"), "l_discount", F.when(F.col("l_linenumber") > 3, 1.0).alias("once.or null"), "l_tax")
+    return rounded(P.correlations(df))
+
+
 _DC = ["c_custkey", "acctbal", "nation", "nation_copy", "mostly_null", "label"]
 
 
