@@ -332,19 +332,35 @@ def _named(rows: DataFrame, percent: int) -> DataFrame:
 _BLOCK = ["key", "i", "j", "part", "sid", "group"]
 
 
-def _met_in(part: np.ndarray, i: int, j: int, n: np.ndarray, l: np.ndarray, group: np.ndarray, prefix: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row of part i with the rows of part j of other groups that share enough prefix shingles with it; group is read anew for each row."""
+def _index(arrays: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' values in order, and whose they are."""
+    values, owner = np.concatenate([arrays[b] for b in rows]), np.repeat(rows, [len(arrays[b]) for b in rows])
+    order = np.argsort(values)
+    return values[order], owner[order]
+
+
+def _shared(index: tuple[np.ndarray, np.ndarray], own: np.ndarray, rows: int) -> np.ndarray:
+    """How many values of own each row has."""
+    low, high = np.searchsorted(index[0], own), np.searchsorted(index[0], own, "right")
+    size = high - low
+    return np.bincount(index[1][np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)], minlength=rows)
+
+
+def _met_in(key: tuple, part: np.ndarray, n: np.ndarray, l: np.ndarray, group: np.ndarray, prefix: list[np.ndarray], keys: list[list[int]], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of part i with the rows of part j of other groups that share enough prefix shingles with it; group is read anew for each row.
+
+    A pair belongs to the least of the large buckets (keys) that both are in, and is met there alone.
+    """
+    _, i, j = key
+    before = [np.array([k for k in own if k < key[0]], np.int64) for own in keys]
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    index, owner = np.concatenate([prefix[b] for b in right]), np.repeat(right, [len(prefix[b]) for b in right])
-    order = np.argsort(index)
-    index, owner = index[order], owner[order]
+    index, other = _index(prefix, right), _index(before, right)
     for a in left.tolist():
-        low, high = np.searchsorted(index, prefix[a]), np.searchsorted(index, prefix[a], "right")
-        size = high - low
-        at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
-        shared = np.bincount(owner[at], minlength=len(n))
+        shared = _shared(index, prefix[a], len(n))
         fits = np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent
         found = np.flatnonzero((shared > 0) & (shared >= np.minimum(l, l[a])) & fits & (group != group[a]))
+        if len(found) and len(before[a]):
+            found = found[_shared(other, before[a], len(n))[found] == 0]
         if len(found):
             yield a, found
 
@@ -386,23 +402,23 @@ def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int, longest: int
                 first = np.cumsum([0, *map(len, own)])
                 values, df = ordered(np.concatenate(own), first, table.value)
                 l, size = lengths(df, first, percent, longest)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(l), pa.array([values[x : x + s].tobytes() for x, s in zip(first[:-1], size)], pa.binary())], ["sid", "n", "l", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(l), pa.array([values[x : x + s].tobytes() for x, s in zip(first[:-1], size)], pa.binary()), part.column(2)], ["sid", "n", "l", "prefix", "keys"])
 
     def near(batches):
         for key, held in _by_block(batches):
             part, sid, group, n, l = (np.array([h[x] for h in held], np.int64) for x in range(5))
             met = np.zeros(len(held), bool)
-            for a, found in _met_in(part, key[1], key[2], n, l, group, [np.frombuffer(h[5], np.uint64) for h in held], percent):
+            for a, found in _met_in(key, part, n, l, group, [np.frombuffer(h[5], np.uint64) for h in held], [h[6] for h in held], percent):
                 met[a] = met[found] = True
             at = np.flatnonzero(met)
             if len(at):
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), k)) for k in key), *(pa.array(x[at]) for x in (part, sid, group, n, l)), pa.array([held[x][5] for x in at.tolist()], pa.binary())], [*_BLOCK, "n", "l", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), k)) for k in key), *(pa.array(x[at]) for x in (part, sid, group, n, l)), pa.array([held[x][5] for x in at.tolist()], pa.binary()), pa.array([held[x][6] for x in at.tolist()], pa.list_(pa.int64()))], [*_BLOCK, "n", "l", "prefix", "keys"])
 
     def join(batches):
         for key, held in _by_block(batches):
             part, sid, group, n, l = (np.array([h[x] for h in held], np.int64) for x in range(5))
-            own, links = [np.frombuffer(h[6], np.uint64) for h in held], []
-            for a, found in _met_in(part, key[1], key[2], n, l, group, [np.frombuffer(h[5], np.uint64) for h in held], percent):
+            own, links = [np.frombuffer(h[7], np.uint64) for h in held], []
+            for a, found in _met_in(key, part, n, l, group, [np.frombuffer(h[5], np.uint64) for h in held], [h[6] for h in held], percent):
                 for b in found.tolist():
                     if group[b] != group[a] and _similar(own[a], own[b], percent):
                         group[group == group[b]] = group[a]
@@ -410,9 +426,10 @@ def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int, longest: int
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links)], ["u", "v"])
 
-    prefix = stored(sets.join(rows.select("sid").distinct(), "sid").select("sid", "set").mapInArrow(cut, "sid long, n long, l long, prefix binary"))
-    schema = ", ".join(f"{c} long" for c in [*_BLOCK, "n", "l"]) + ", prefix binary"
-    met = stored(dealt(blocks.join(prefix, "sid").select(*_BLOCK, "n", "l", "prefix")).mapInArrow(near, schema))
+    within = rows.groupBy("sid").agg(F.collect_set("key").alias("keys"))  # as many as prefix shingles at most
+    prefix = stored(sets.join(within, "sid").select("sid", "set", "keys").mapInArrow(cut, "sid long, n long, l long, prefix binary, keys array<long>"))
+    schema = ", ".join(f"{c} long" for c in [*_BLOCK, "n", "l"]) + ", prefix binary, keys array<long>"
+    met = stored(dealt(blocks.join(prefix, "sid").select(*_BLOCK, "n", "l", "prefix", "keys")).mapInArrow(near, schema))
     released(rows.sparkSession)
     return checkpoint(dealt(met.join(sets, "sid").select(*met.columns, "set")).mapInArrow(join, "u long, v long"))
 
