@@ -185,7 +185,7 @@ def _shared(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Record
 
 
 def _pairs(counts: DataFrame, groups: DataFrame, size: int) -> DataFrame:
-    """lang, source, item and value of all ordered pairs of a lang's sources. groups: lang, source, i, total, kept, p0."""
+    """lang, source, item and value of all ordered pairs of a lang's sources. groups: lang, source, i, sources, total, kept, p0."""
     own = counts.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("n")))
     left = groups.select("lang", F.col("i").alias("a"), "kept", "p0")
     right = groups.select("lang", F.col("i").alias("b"), F.col("p0").alias("q0"))
@@ -193,9 +193,9 @@ def _pairs(counts: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     base = left.join(right, "lang").where("a <> b").select(*pair, F.when(F.col("kept") > 0, F.col("kept") * _f("p0", "q0")).otherwise(0).alias("value"))
     single = own.groupBy("lang", F.col("i").alias("a"), "p", "p0").agg(F.count("*").alias("m")).join(right, "lang").where("a <> b")
     single = single.groupBy(*pair).agg(F.sum(F.col("m") * (_f("p", "q0") - _f("p0", "q0"))).alias("value"))
-    block = lambda c: F.floor(F.col(c) / size)
-    blocks = groups.select("lang", block("i").alias("o")).distinct()
-    rows = own.select("lang", "term", "i", "p", "p0", block("i").alias("h")).join(blocks, "lang")
+    block = F.floor(F.col("i") / size)
+    others = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("sources") / size).cast("long") - 1)
+    rows = own.select("lang", "term", "i", "p", "p0", block.alias("h"), F.explode(others).alias("o"))
     rows = rows.select("lang", F.least("h", "o").alias("x"), F.greatest("h", "o").alias("y"), "term", "i", "p", "p0")
     both = rows.repartition("lang", "x", "y", "term").sortWithinPartitions("lang", "x", "y", "term").mapInArrow(lambda b: _shared(b, size), "lang string, i long, j long, value long")
     both = both.groupBy("lang", F.col("i").alias("a"), F.col("j").alias("b")).agg(F.sum("value").alias("value"))
@@ -211,11 +211,12 @@ def audit(docs: DataFrame, min_df: int = 10, top: int = 10, block: int = BLOCK)
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = counts.groupBy("lang", "term").agg(F.first("of_lang").alias("of_lang")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("of_lang").alias("total"))
     groups = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    groups = groups.join(sizes, ["lang", "source"], "left").join(langs.select("lang", "kept"), "lang", "left").fillna(0, ["total", "kept"])
+    groups = groups.join(sizes, ["lang", "source"], "left").join(langs.select("lang", "kept", F.col("total").alias("lang_total")), "lang", "left").fillna(0, ["total", "kept", "lang_total"])
+    # what the rows of counts need of their lang stands in their group, so that no join deals them out by lang
+    groups = groups.withColumn("sources", F.count("*").over(Window.partitionBy("lang")))
     groups = checkpoint(groups.withColumn("p0", F.when(F.col("kept") > 0, _p(F.lit(0)))).withColumn("i", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")))
     pairs = _pairs(counts, groups, block).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
-    whole = langs.select("lang", F.col("total").alias("lang_total"), F.col("kept").alias("lang_kept"))
-    own = counts.join(groups, ["lang", "source"]).join(whole, "lang").withColumn("p", _p(F.col("n"))).withColumn("q", _p(F.col("of_lang"), "lang_total", "lang_kept")).where("p > q")
+    own = counts.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("n"))).withColumn("q", _p(F.col("of_lang"), "lang_total")).where("p > q")
     ranked = own.select("lang", "source", F.col("term").alias("item"), _f("p", "q").alias("value")).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
     return columns(pairs, "pair").unionByName(columns(ranked, "term"))
