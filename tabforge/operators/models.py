@@ -1,6 +1,6 @@
 """Classifiers behind one entry: fit(df, name, params) on a table with features (vector) and label (double from 0).
 
-Boosted trees of three kinds are grown in `boost`, extra trees in `extra`. Other learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial kernel
+Boosted trees of three kinds are grown in `boost`, extra trees in `extra`; `net` trains the network. Other learners that Spark lacks are composed: ridge from least squares per class, AdaBoost from weighted stumps, the radial kernel
 from whitened landmark features with calibrated margins, descent on the hinge loss in shards, naive Bayes and discriminants from one aggregate, nearest neighbours from
 the block search. Binary learners are wrapped in one-vs-rest where there are more classes. Every fitted model can be saved
 and loaded.
@@ -21,11 +21,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators import bayes, boost, extra, knn, sgd
+from tabforge.operators import bayes, boost, extra, knn, net, sgd
 from tabforge.sources.tables import checkpointed, read_json, write_json
 
 SEED = 42
-# Default parameters by model. landmarks and hidden are this library's own; max_iter of mlp departs.
+# Default parameters by model. landmarks is this library's own.
 DEFAULTS: dict[str, dict] = {
     "logistic_regression": {"C": 1.0, "max_iter": 1000},
     "ridge": {"alpha": 1.0},
@@ -36,7 +36,7 @@ DEFAULTS: dict[str, dict] = {
     "adaboost": {"n_estimators": 50, "learning_rate": 1.0},
     "extra_trees": {"n_estimators": 100, "max_depth": 10},
     "svc": {"C": 1.0, "landmarks": 100},
-    "mlp": {"hidden": 100, "max_iter": 100},
+    "mlp": {"hidden": 100, "alpha": 1e-4, "learning_rate": 1e-3, "max_iter": 200},
     "xgboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8},
     "lightgbm": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 0, "num_leaves": 31, "colsample_bytree": 0.8},
     "catboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "l2_leaf_reg": 3.0},
@@ -249,6 +249,10 @@ def _apply_extra(df: DataFrame, rule: Rule) -> DataFrame:
     return extra.scored(df, rule.state["trees"]).withColumn("prediction", (F.array_position("rawScores", F.array_max("rawScores")) - 1).cast("double"))
 
 
+def _apply_network(df: DataFrame, rule: Rule) -> DataFrame:
+    return net.scored(df, rule.state["layers"])
+
+
 def _columns(df: DataFrame, d: int) -> tuple[DataFrame, list[str]]:
     """df with its features as d columns of their own."""
     names = [f"_f{i}" for i in range(d)]
@@ -284,7 +288,7 @@ def _apply_knn(df: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(scored, "_row", "left").withColumn("probability", _shared(F.col("rawScores"))).drop("_row")
 
 
-_APPLY = {"ridge": _apply_ridge, "linear": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn, "boosted": _apply_boosted, "extra": _apply_extra}
+_APPLY = {"ridge": _apply_ridge, "linear": _apply_ridge, "adaboost": _apply_adaboost, "svc": _apply_svc, "generative": _apply_generative, "knn": _apply_knn, "boosted": _apply_boosted, "extra": _apply_extra, "network": _apply_network}
 
 
 def estimator(name: str, classes: int, n: int, p: dict):
@@ -323,7 +327,7 @@ def fit(df: DataFrame, name: str, params: dict | None = None) -> Model | Rule:
         return _boosted(df, name, classes, p)
     if name == "mlp":
         hidden = p["hidden"] if isinstance(p["hidden"], (list, tuple)) else [p["hidden"]]
-        return M.MultilayerPerceptronClassifier(layers=[len(df.first()["features"]), *hidden, classes], maxIter=p["max_iter"], seed=SEED).fit(df)
+        return Rule("network", {"layers": net.fit(df, classes, hidden, p["alpha"], p["learning_rate"], p["max_iter"], SEED)})
     if name in GENERATIVE:
         return _generative(df, GENERATIVE[name], p)
     if name == "knn":

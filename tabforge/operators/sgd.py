@@ -24,9 +24,9 @@ from tabforge.sources.tables import checkpointed
 SHARD, TOLERANCE, PATIENCE = 1 << 13, 1e-3, 5
 
 
-def shards(df: DataFrame, d: int) -> DataFrame:
-    """x and y (packed) of each shard in the order of a hash of the rows."""
-    n = max(1, -(-df.count() // SHARD))
+def shards(df: DataFrame, d: int, size: int = SHARD) -> DataFrame:
+    """x and y (packed) of each shard (size rows on average) in the order of a hash of the rows."""
+    n = max(1, -(-df.count() // size))
     x = vector_to_array("features")
     rows = df.select(x.alias("x"), "label", F.xxhash64(x, "label").alias("u")).withColumn("s", F.pmod("u", F.lit(n)).cast("int"))
 
