@@ -107,34 +107,45 @@ def _apply_ridge(df: DataFrame, rule: Rule) -> DataFrame:
     return _argmax(df, scores if len(scores) > 1 else [-scores[0], scores[0]])
 
 
+def _stump(model) -> tuple[int, float, float, float]:
+    """Feature, threshold and the classes up to it and above of a fitted tree of one split at most."""
+    root = model._java_obj.rootNode()
+    if model.numNodes == 1:
+        return 0, 0.0, root.prediction(), root.prediction()
+    return root.split().featureIndex(), root.split().threshold(), root.leftChild().prediction(), root.rightChild().prediction()
+
+
+def _folded(stumps: Sequence[tuple], begin: float, step) -> Column:
+    """step(value so far, stump's weight, its class) over all stumps (weight, feature, threshold, two classes): one expression, whatever their number."""
+    fields = ("weight", "feature", "threshold", "low", "high")
+    table = F.array(*[F.struct(*[F.lit(int(v) if n == "feature" else float(v)).alias(n) for n, v in zip(fields, s)]) for s in stumps])
+    vote = lambda a, t: F.when(F.get(a["x"], t["feature"]) <= t["threshold"], t["low"]).otherwise(t["high"])
+    first = F.struct(vector_to_array("features").alias("x"), F.lit(begin).alias("v"))
+    return F.aggregate(table, first, lambda a, t: F.struct(a["x"].alias("x"), step(a["v"], t["weight"], vote(a, t)).alias("v")), lambda a: a["v"])
+
+
 def _adaboost(df: DataFrame, classes: int, p: dict) -> Rule:
-    """SAMME: each stump is fitted on weights that the last one's errors raised; the weights are checkpointed every ten rounds."""
-    now, stumps = df.withColumn("w", F.lit(1.0)), []
-    for i in range(p["n_estimators"]):
-        stump = M.DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=SEED).fit(now)
-        scored = stump.transform(now).select(*now.columns, "prediction")
-        wrong = F.sum(F.when(F.col("prediction") != F.col("label"), F.col("w")).otherwise(0.0)) / F.sum("w")
-        error = scored.agg(wrong).first()[0]
+    """SAMME: each stump is fitted on weights that the errors of those before raised. The rows are written once; a row's weight is one expression of the stumps, so no round builds on the plan of another."""
+    rows, stumps = checkpointed(df.select("features", "label")), []
+    raised = lambda v, weight, vote: F.when(vote != F.col("label"), v * F.exp(F.least(weight, F.lit(50.0)))).otherwise(v)
+    for _ in range(p["n_estimators"]):
+        now = rows.withColumn("w", _folded(stumps, 1.0, raised) if stumps else F.lit(1.0))
+        stump = _stump(M.DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=SEED).fit(now))
+        own = _folded([(0.0, *stump)], 0.0, lambda v, weight, vote: vote)
+        error = now.agg(F.sum(F.when(own != F.col("label"), F.col("w")).otherwise(0.0)) / F.sum("w")).first()[0]
         if error >= 1 - 1 / classes:
             break
-        alpha = p["learning_rate"] * (math.log((1 - error) / max(error, 1e-12)) + math.log(classes - 1))
-        stumps.append((alpha, stump))
+        stumps.append((p["learning_rate"] * (math.log((1 - error) / max(error, 1e-12)) + math.log(classes - 1)), *stump))
         if error <= 1e-12:
             break
-        now = scored.withColumn("w", F.col("w") * F.when(F.col("prediction") != F.col("label"), F.lit(math.exp(min(alpha, 50)))).otherwise(1.0)).drop("prediction")
-        if i % 10 == 9:
-            now = checkpointed(now)
-
-    return Rule("adaboost", {"weights": [a for a, _ in stumps], "classes": classes}, [m for _, m in stumps])
+    return Rule("adaboost", {"weights": [s[0] for s in stumps], "stumps": stumps, "classes": classes})
 
 
 def _apply_adaboost(df: DataFrame, rule: Rule) -> DataFrame:
-    kept, votes = df.columns, []
-    for i, stump in enumerate(rule.models):
-        df = stump.transform(df).select(*kept, *votes, F.col("prediction").alias(f"_s{i}"))
-        votes.append(f"_s{i}")
-    scores = [sum((F.when(F.col(k) == c, F.lit(float(a))).otherwise(0.0) for a, k in zip(rule.state["weights"], votes)), F.lit(0.0)) for c in range(rule.state["classes"])]
-    return _argmax(df, scores).drop(*votes)
+    stumps = rule.state["stumps"]
+    if not stumps:
+        return _argmax(df, [F.lit(0.0)] * rule.state["classes"])
+    return _argmax(df, [_folded(stumps, 0.0, lambda v, weight, vote, c=c: v + F.when(vote == c, weight).otherwise(0.0)) for c in range(rule.state["classes"])])
 
 
 def landmarks(df: DataFrame, n: int, rounds: int = 5) -> list[list[float]]:

@@ -262,6 +262,35 @@ def test_adaboost_by_hand(spark):
     assert model.state["weights"][1] == pytest.approx(math.log((14 - 3) / 3))  # of the weights 1 x 7 and 7, the best stump errs on three
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_adaboost_by_loop(spark, classes):
+    """Twelve rounds: each stump is the best split of the weights that a loop raises; scores are the loop's votes."""
+    rng = np.random.default_rng(classes)
+    x = rng.integers(0, 9, (80, 2)).astype(float)
+    y = (x[:, 0] * x[:, 1] > 12).astype(int) + (classes > 2) * (x[:, 1] > 6)
+    df = models.assembled(frame(spark, [(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y))], "id long, a double, b double, y int"), ["a", "b"], "y", ["id"]).cache()
+    model = models.fit(df, "adaboost", {"n_estimators": 12})
+    w, votes = np.ones(80), np.zeros((80, classes))
+    gini = lambda rows: w[rows].sum() - sum(w[rows & (y == c)].sum() ** 2 for c in range(classes)) / max(w[rows].sum(), 1e-300)
+    for weight, f, t, low, high in model.state["stumps"]:
+        best, f2, t2 = min((gini(x[:, i] <= v) + gini(x[:, i] > v), i, v + 0.5) for i in (0, 1) for v in range(8))
+        if low == high:  # a split whose sides have one class is pruned
+            f, t = f2, t2
+        side = x[:, f] <= t
+        assert gini(side) + gini(~side) == pytest.approx(best)
+        for rows, c in ((side, low), (~side, high)):
+            shares = [w[rows & (y == k)].sum() for k in range(classes)]
+            assert shares[int(c)] == pytest.approx(max(shares))
+        said = np.where(side, low, high).astype(int)
+        error = w[said != y].sum() / w.sum()
+        assert weight == pytest.approx(math.log((1 - error) / error) + math.log(classes - 1))
+        w = w * np.where(said != y, math.exp(weight), 1.0)
+        votes[np.arange(80), said] += weight
+    out = sorted(model.transform(df).select("id", "rawScores", "prediction").collect())
+    assert len(model.state["stumps"]) == 12 and np.array([r["rawScores"] for r in out]) == pytest.approx(votes)
+    assert [r["prediction"] for r in out] == votes.argmax(1).tolist()
+
+
 def test_kernel_machine_parts_rings(spark):
     rng = np.random.default_rng(3)
     rows = [(float(r * math.cos(t)), float(r * math.sin(t)), y) for y, r in ((0.0, 1.0), (1.0, 3.0)) for t in rng.uniform(0, 2 * math.pi, 60)]
