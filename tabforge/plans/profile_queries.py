@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tabforge.operators import kept
 from tabforge.operators import profile as P
 from tabforge.operators import split as D
 from tabforge.operators.preprocess import features_and_target, target_last
@@ -153,6 +155,29 @@ def feature_store(spark, d):
     return spark.createDataFrame([(k, ",".join(v) if isinstance(v, list) else v) for k, v in back.items()], "property string, columns string")
 
 
+_MONTHS = "substring(CAST(l_shipdate AS STRING), 1, 7)"
+_kept_sql = union([f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS nulls, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std, round(CAST(min({c}) AS DOUBLE), 2) AS min, round(CAST(max({c}) AS DOUBLE), 2) AS max FROM lineitem" for c in NUMBERS["lineitem"]])
+
+
+def _kept(spark, d, columns):
+    """The lines' profiles by month, kept in the shared folder and merged from there."""
+    months = kept.batch(table(spark, d, "lineitem").withColumn("month", F.expr(_MONTHS)), columns, ["month"])
+    path = write_table(months, f"{scratch_dir(spark)}/kept-{uuid.uuid4().hex}")
+    return kept.read(kept.merged(spark.read.parquet(path)))
+
+
+@register("profile_kept", _kept_sql)
+def profile_kept(spark, d):
+    """Counts, moments and extremes of the numbers, merged from the months' profiles."""
+    return rounded(_kept(spark, d, NUMBERS["lineitem"]).select("column", "n", "nulls", "mean", "std", "min", "max"), 2)
+
+
+@register("profile_sketches")
+def profile_sketches(spark, d):
+    """Estimates of the distinct values and quartiles of every column, merged from the months' sketches."""
+    return _kept(spark, d, None).select("column", "n", "distinct", "q25", "q50", "q75")
+
+
 @register("split_random", "WITH k AS (SELECT event_id, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(event_id AS VARCHAR), '42'))) AS r, count(*) OVER () AS n FROM events) SELECT event_id, CASE WHEN r <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM k")
 def split_random(spark, d):
     return D.split_random(table(spark, d, "events"), ["event_id"]).select("event_id", "split")
