@@ -1,16 +1,19 @@
-"""Near-duplicates by shingle similarity, for the pipeline: documents link where the Jaccard similarity of their sets of
-five-word shingles is 0.8 or more, and one document of each connected group stays.
-
-64 bits of SimHash alone do not part such pairs from others: at 0.8 they differ in about 10 bits, with a deviation of 3.
-So fingerprints are dealt to buckets by keys of `ROWS` minimum hashes each (a pair at 0.8 meets in one of `BANDS` with
-probability 0.9999, a closer one with more), bits are compared with a radius that such a pair passes (`RADIUS` is five
-deviations off), and every link is confirmed by the exact similarity of the sets.
-
-Equal sets become one node first. A bucket first asks only for its members' links to its least member, then for those of
-its stragglers (members that are not in its largest group by then) to another member of that group. Pairs whose ends
-confirmed links join need no look any more, so a large group of near copies never asks for all its pairs. What is left,
-stragglers against each other and against the rest of their bucket, is compared in blocks inside tasks, which hand on links
-that join groups.
+"""Near-duplicates by SimHash, for the pipeline: documents link where the Jaccard similarity of their sets of five-word
+shingles is 0.8 or more, and one document of each connected group stays.
+
+The shingles' hashes vote on `WORDS` words of 64 bits. The majorities of the first two words are the fingerprint: unrelated
+ones differ in 64 +- 6 bits, those at 0.8 in 19 +- 4, and a candidate in `RADIUS` or fewer. Fingerprints are dealt by bits
+of SimHash, too: not by bits at fixed places, of which two near sets often differ in one, but by the place and the value of
+the bit that the votes decide most clearly, in the words that a table names (two words a table, 14 bits; three for more
+nodes than `WIDE`). At 0.8 a word's clearest bit agrees with probability 0.44, so that such a pair meets in one of the tables
+with 0.9993 and one at 0.85 with 0.9999 (three words: 0.993 and 0.999), by simulation. Every candidate is confirmed by the exact similarity of the sets.
+
+Equal sets become one node first. A bucket's candidates are found inside a task where they are few. Crowded buckets (more
+than `PART` members, or more than `PAIRS` candidates a member) first ask only for their members' links to the least one, then
+for those of their stragglers (members that are not in the largest group by then) to another member of that group, one link a
+member each time. Pairs whose ends confirmed links join need no look any more, so a large group of near copies never asks for
+all its pairs. What is left, stragglers against each other and against the rest of their bucket, is compared in blocks inside
+tasks, which hand on links that join groups.
 
 Defined cases: A-Z count as a-z; a null or empty text has the empty set, and such texts are equal; fewer words than a
 shingle make one shingle; rows without an id link like others and stay; rows that repeat an id with another text are documents
@@ -26,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import Words, checkpoint, text_slices
+from tabforge.llm.common import Words, checkpoint, released, stored, text_slices
 from tabforge.llm.graph import components
 
-BANDS, ROWS = 32, 6
-RADIUS = 24
-STARS, PART = 1, 1024
-_ODD = np.random.default_rng(17).integers(0, 1 << 31, (BANDS, ROWS, 2)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+WORDS = 32
+RADIUS = 40
+WIDE = 1 << 22
+STARS, PART, PAIRS = 1, 1024, 4
+_ODD = np.random.default_rng(17).integers(0, 1 << 63, WORDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,49 +72,112 @@ def _sid(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _mixed((total[first[1:]] - total[first[:-1]]) * _MIX + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def _simhash(sets: np.ndarray) -> int:
-    counts = np.zeros(64, np.int64)
+def _votes(sets: np.ndarray) -> np.ndarray:
+    """Of each bit of each word, the ones less the zeros among the shingles' hashes."""
+    ones = np.zeros(64 * WORDS, np.int64)
     for a in range(0, len(sets), 255):
-        counts += np.unpackbits(sets[a : a + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return int(np.packbits(counts * 2 > len(sets), bitorder="little").view(np.int64)[0])
-
-
-def _band_keys(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of each text, a column a band; texts without shingles are not to be asked for."""
-    x, out = (sets >> np.uint64(32)).astype(np.uint32), np.zeros((len(first) - 1, BANDS), np.uint64)
-    full = np.flatnonzero(np.diff(first))
-    if len(full):
-        head = first[:-1][full]
-        for b in range(BANDS):
-            key = np.full(len(full), b, np.uint64)
-            for odd, more in _ODD[b]:
-                y = x * odd
-                y ^= y >> np.uint32(15)
-                y *= more
-                key = _mixed(key * _MIX + np.minimum.reduceat(y, head))
-            out[full, b] = key
-    return out.view(np.int64)
+        y = sets[a : a + 255, None] * _ODD
+        y ^= y >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(y.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return (2 * ones - len(sets)).reshape(WORDS, 64)
+
+
+def _simhash(votes: np.ndarray) -> tuple[int, int]:
+    """The majorities of the first two words."""
+    return tuple(np.packbits(votes[:2] > 0, axis=1, bitorder="little").view(np.int64).ravel().tolist())
+
+
+def _clearest(votes: np.ndarray) -> bytes:
+    """Place and value of the bit that is decided most clearly, of each word."""
+    size = np.abs(votes)
+    at = size.argmax(1)
+    return (at * 2 + (votes[np.arange(WORDS), at] > 0)).astype(np.uint8).tobytes()
+
+
+def tables(nodes: int) -> np.ndarray:
+    """Numbers of the words whose clearest bits are a key, a row a table; more words for more nodes, so that buckets of unrelated ones stay small."""
+    steps = [(0, 1), (0, 7)] if nodes <= WIDE else [(0, 1, 5), (0, 2, 12), (0, 3, 11), (0, 6, 13)]
+    return (np.array(steps)[:, None] + np.arange(WORDS)[:, None]).reshape(-1, len(steps[0])) % WORDS
 
 
 def prints(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """doc_id, t (hash of the text), sid, fp and bands of every row."""
+    """doc_id, t (hash of the text), sid, f0 and f1 (fingerprint) and clear (clearest bits; none for the empty set) of every row."""
 
     def run(batches):
         for part, texts in text_slices(batches):
             sets, first = shingle_sets(texts, words_each)
-            fp = [_simhash(sets[a:b]) for a, b in zip(first[:-1], first[1:])]
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(_band_keys(sets, first).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_sid(sets, first)), pa.array(fp, pa.int64()), keys], ["doc_id", "t", "sid", "fp", "bands"])
+            votes = [_votes(sets[a:b]) for a, b in zip(first[:-1], first[1:])]
+            fp = np.array([_simhash(x) for x in votes], np.int64).reshape(-1, 2)
+            clear = pa.array([_clearest(x) if b > a else b"" for x, a, b in zip(votes, first[:-1], first[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_sid(sets, first)), pa.array(fp[:, 0]), pa.array(fp[:, 1]), clear], ["doc_id", "t", "sid", "f0", "f1", "clear"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    return rows.mapInArrow(run, "doc_id long, t long, sid long, fp long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, t long, sid long, f0 long, f1 long, clear binary")
+
+
+def dealt(nodes: DataFrame, words: np.ndarray) -> DataFrame:
+    """key, sid, f0 and f1 of every node in every table."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array([len(x.as_buffer()) > 0 for x in batch.column(3)], pa.bool_()))
+            for a in range(0, len(batch), 4096):
+                part = batch.slice(a, 4096)
+                clear = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, WORDS).astype(np.int64)
+                key = np.broadcast_to(np.arange(len(words)), (len(part), len(words)))
+                for w in words.T:
+                    key = key * 128 + clear[:, w]
+                same = [pa.array(np.repeat(c.to_numpy(zero_copy_only=False), len(words))) for c in part.columns[:3]]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *same], ["key", "sid", "f0", "f1"])
+
+    return nodes.select("sid", "f0", "f1", "clear").mapInArrow(run, "key long, sid long, f0 long, f1 long")
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; the last axis holds f0 and f1."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1, dtype=np.int64)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs u, v within the radius of the buckets in rows sorted by key; a bucket with too many gives its key alone."""
+    carried = None
+
+    def pairs(rows: np.ndarray):
+        out = []
+        cut = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist(), len(rows)]
+        for a, b in zip(cut, cut[1:]):
+            if b - a < 2:
+                continue
+            f = rows[a:b, 2:]
+            i, j = np.nonzero(np.triu(_apart(f[:, None], f[None]) <= RADIUS, 1))
+            if len(i) > PAIRS * (b - a):
+                out.append([[rows[a, 0], 0, 0]])
+            elif len(i):
+                u, v = rows[a:b, 1][i], rows[a:b, 1][j]
+                out.append(np.stack([np.zeros(len(u), np.int64), np.minimum(u, v), np.maximum(u, v)], 1))
+        if out:
+            found = np.unique(np.concatenate(out), axis=0)
+            same = found[:, 1] == found[:, 2]
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], mask=~same), pa.array(found[:, 1], mask=same), pa.array(found[:, 2], mask=same)], ["key", "u", "v"])
+
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        if not len(rows):
+            continue
+        rows = rows if carried is None else np.concatenate([carried, rows])
+        last = np.searchsorted(rows[:, 0], rows[-1, 0])
+        yield from pairs(rows[:last])
+        carried = rows[last:]
+    if carried is not None:
+        yield from pairs(carried)
 
 
 class _Block:
     """Rows of one block: a straggler part (left) against itself, another one or a part of the bucket's largest group (right)."""
 
     def __init__(self, rows: np.ndarray, sets: list[np.ndarray] | None = None):
-        i, j, part, self.sid, self.fp, self.group = rows
+        i, j, part, self.sid, f0, f1, self.group = rows
+        self.fp = np.stack([f0, f1], 1)
         self.left, self.right, self.same = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0]), i[0] == j[0]
         self.sets = sets
 
@@ -118,7 +185,7 @@ class _Block:
         """Rows on the right of another group whose fingerprints are within the radius of row a's."""
         b = self.right[self.right > a] if self.same else self.right
         b = b[self.group[b] != self.group[a]]
-        return b[np.bitwise_count((self.fp[b] ^ self.fp[a]).view(np.uint64)) <= RADIUS]
+        return b[_apart(self.fp[b], self.fp[a]) <= RADIUS]
 
     def candidates(self) -> np.ndarray:
         """Rows with a partner within the radius in another group."""
@@ -151,13 +218,13 @@ class _Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, list]]:
-    """(key, i, j), numbers and sets of each block in rows sorted by them: key, i, j, part, sid, fp, group and maybe set."""
+    """(key, i, j), numbers and sets of each block in rows sorted by them: key, i, j, part, sid, f0, f1, group and maybe set."""
     key, held, sets = None, [], []
     for batch in batches:
         if not len(batch):
             continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(7)] if batch.num_columns > 7 else []
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]])
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(8)] if batch.num_columns > 8 else []
         cut = [0, *(np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1).tolist(), rows.shape[1]]
         for a, b in zip(cut, cut[1:]):
             now = tuple(rows[:3, a].tolist())
@@ -178,7 +245,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in rows], _BLOCK)
 
 
-_BLOCK = ["key", "i", "j", "part", "sid", "fp", "group"]
+_BLOCK = ["key", "i", "j", "part", "sid", "f0", "f1", "group"]
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
@@ -213,9 +280,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def _open(met: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of the buckets whose members are not of one group yet, with group and top, the bucket's largest group."""
     roots = components(links).withColumnRenamed("node", "sid")
-    grouped = met.join(roots, "sid", "left").select("key", "sid", "fp", F.coalesce("root", "sid").alias("group"))
+    grouped = met.join(roots, "sid", "left").select("key", "sid", "f0", "f1", F.coalesce("root", "sid").alias("group"))
     tops = grouped.groupBy("key", "group").count().groupBy("key").agg(F.max(F.struct("count", "group"))["group"].alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    return checkpoint(grouped.join(tops.select("key", "top"), "key"))
+    return stored(grouped.join(tops.select("key", "top"), "key"))
 
 
 def _verified(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -228,7 +295,7 @@ def _verified(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     hashed = F.xxhash64("sid")
     parted = rows.join(counts, "key").withColumn("part", F.when(stray, F.pmod(hashed, F.col("strays"))).otherwise(F.col("strays") + F.pmod(hashed, F.col("rest"))))
     paired = parted.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(stray, F.col("strays") + F.col("rest")).otherwise(F.col("strays")) - 1)))
-    blocks = paired.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "sid", "fp", "group")
+    blocks = paired.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), *_BLOCK[3:])
     schema = ", ".join(f"{c} long" for c in _BLOCK)
     near = checkpoint(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near, schema))
     whole = near.join(sets, "sid").select(*_BLOCK, "set")
@@ -243,19 +310,32 @@ def _verified(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
     """Confirmed links u, v between sets that join all candidates of the similarity."""
-    keyed = nodes.select("sid", "fp", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("sid").alias("least")).where("count > 1")
-    met = checkpoint(keyed.join(sizes, "key"))
+    spark = docs.sparkSession
+    keyed = dealt(nodes, tables(nodes.count()))
+    crowds = stored(keyed.groupBy("key").count().where(F.col("count") > PART).select("key"))
+    small = keyed.join(crowds, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    near = stored(small.mapInArrow(_candidates, "key long, u long, v long").distinct())
+    released(spark)
+    pairs = near.where("key is null").select("u", "v")
+    crowded = crowds.unionByName(near.where("key is not null").select("key"))
+    met = keyed.join(crowded, "key")
+    met = stored(met.join(met.groupBy("key").agg(F.min(F.struct("sid", "f0", "f1")).alias("least")), "key"))
+    sets = _sets(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("sid")).unionByName(met.select("sid")).distinct(), words_each)
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    sets = _sets(docs, nodes, met.select("sid").distinct(), words_each)
-    found = _confirmed(met.where("sid <> least").select(*pair("sid", "least")), sets, similarity)
+    apart = lambda x: sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{x}.{c}"))) for c in ("f0", "f1"))
+    star = met.where((F.col("sid") != F.col("least.sid")) & (apart("least") <= RADIUS)).groupBy("sid").agg(F.min("least.sid").alias("least"))
+    found = _confirmed(pairs.unionByName(star.select(*pair("sid", "least"))), sets, similarity)
+    released(spark)
+    met = met.drop("least")
     for _ in range(STARS):
         rows = _open(met, found)
         if not rows.take(1):
             return found
-        # each bucket asks another member of its largest group, so a group's stragglers meet many of its members
-        pivots = rows.where("group = top").groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", "key"), "sid"))["sid"].alias("pivot"))
-        found = found.unionByName(_confirmed(rows.where("group <> top").join(pivots, "key").select(*pair("sid", "pivot")), sets, similarity))
+        # each straggler asks another member of the largest group of a bucket, so a group's stragglers meet many of its members
+        pivots = rows.where("group = top").groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", "key").alias("h"), "sid", "f0", "f1")).alias("pivot"))
+        asked = rows.where("group <> top").join(pivots, "key").where(apart("pivot") <= RADIUS).groupBy("sid").agg(F.min("pivot.sid").alias("pivot"))
+        found = checkpoint(found.unionByName(_confirmed(asked.select(*pair("sid", "pivot")), sets, similarity)))
+        released(spark)
     rows = _open(met, found)
     return found.unionByName(_verified(rows, sets, similarity)) if rows.take(1) else found
 
@@ -268,7 +348,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_each: int = 5) -> D
     """
     found = checkpoint(prints(docs, words_each))
     row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("row")
-    nodes = checkpoint(found.groupBy("sid").agg(row, F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    nodes = checkpoint(found.groupBy("sid").agg(row, F.min("t").alias("t"), *(F.min(c).alias(c) for c in ("f0", "f1", "clear"))))
     roots = checkpoint(components(links(docs, nodes, similarity, words_each)).withColumnRenamed("node", "sid"))
     least = nodes.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("row").alias("row")).where("row is not null").select("row.*")
     equal = found.groupBy("doc_id", "t").agg((F.count("*") > 1).alias("repeated"))

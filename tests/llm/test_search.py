@@ -156,6 +156,35 @@ def test_pipeline_stage_finds_similar_texts(spark, edge_docs, no_docs, monkeypat
     assert similar.keep_one(no_docs).count() == 0
 
 
+def test_pipeline_candidates_come_from_simhash(spark, monkeypatch):
+    """Votes are a plain loop's, sets at 0.8 share a table's key, only fingerprints within the radius are confirmed, and crowds ask one pair a member at once."""
+    rng = np.random.default_rng(4)
+    flat = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+    bits = lambda x, w: (((y := int(x) * int(similar._ODD[w]) % (1 << 64)) ^ (y >> 32)) >> np.arange(64, dtype=object)) & 1
+    votes = similar._votes(flat)
+    for w in (0, 7, similar.WORDS - 1):
+        assert votes[w].tolist() == [2 * int(n) - 60 for n in sum(bits(x, w) for x in flat)]
+    assert similar._simhash(votes)[0] % (1 << 64) == sum(1 << k for k in range(64) if votes[0][k] > 0)
+    for nodes, least in ((1000, 0.98), (similar.WIDE + 1, 0.97)):
+        words, met, n = similar.tables(nodes), 0, 200
+        for _ in range(n):
+            x = rng.integers(0, 1 << 64, 110, dtype=np.uint64)
+            a, b = (np.frombuffer(similar._clearest(similar._votes(y)), np.uint8) for y in (x[:99], x[11:]))  # similarity 0.8
+            met += bool((a[words] == b[words]).all(1).any())
+        assert met >= least * n
+    asked, confirmed = [], similar._confirmed
+    monkeypatch.setattr(similar, "_confirmed", lambda pairs, *a: asked.append({tuple(r) for r in pairs.collect()}) or confirmed(pairs, *a))
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(40)] + [(100 + i, " ".join(f"{i}v{k}" for k in range(50))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert similar.keep_one(df).count() == 31
+    fp = {r["sid"]: (r["f0"], r["f1"]) for r in similar.prints(df).collect()}
+    assert asked and all(sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(fp[u], fp[v])) <= similar.RADIUS for pairs in asked for u, v in pairs)
+    asked.clear()
+    monkeypatch.setattr(similar, "PART", 1)  # every bucket of two members counts as crowded
+    assert similar.keep_one(df).count() == 31 and asked and all(len(pairs) <= len(rows) for pairs in asked)
+
+
 def test_rows_of_one_id_with_other_texts_are_documents(spark):
     """By row against all pairs: ids repeat with near, equal and other texts."""
     rng = random.Random(11)
