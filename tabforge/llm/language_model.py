@@ -243,18 +243,26 @@ def _output(states: np.ndarray, target: np.ndarray, p: dict, grad: dict | None =
         grad["Wc"], grad["bc"] = states.T @ e, np.ones(n, np.float32) @ e
         back = e @ p["Wc"].T
         grad["Ww"], grad["bw"] = np.zeros_like(p["Ww"]), np.zeros_like(p["bw"])
+    # rows lie by class, so that a class is a slice and all but the products is done for all classes at once
     order = np.argsort(group.astype(np.int16), kind="stable")
-    edge = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for k in np.flatnonzero(np.diff(edge)):
-        rows = order[edge[k] : edge[k + 1]]
-        s, own = states[rows], inside[rows]
-        more, e, total = _softmax(s @ p["Ww"][k] + p["bw"][k], own)
-        out[rows] += more
-        if grad is not None:
-            e /= total[:, None]
-            e[np.arange(len(rows)), own] -= 1
-            grad["Ww"][k], grad["bw"][k] = s.T @ e, np.ones(len(rows), np.float32) @ e
-            back[rows] += e @ p["Ww"][k].T
+    own, s = group[order], states[order]
+    edge = np.searchsorted(own, np.arange(CLASSES + 1)).tolist()
+    met = [(k, edge[k], edge[k + 1]) for k in range(CLASSES) if edge[k] < edge[k + 1]]
+    logits = np.empty((n, CLASSES), np.float32)
+    for k, a, b in met:
+        part = np.matmul(s[a:b], p["Ww"][k], out=logits[a:b])
+        part += p["bw"][k]
+    more, e, total = _softmax(logits, inside[order])
+    out[order] += more
+    if grad is not None:
+        e /= total[:, None]
+        e[np.arange(n), inside[order]] -= 1
+        sent = np.empty_like(s)
+        for k, a, b in met:
+            np.matmul(s[a:b].T, e[a:b], out=grad["Ww"][k])
+            np.matmul(np.ones(b - a, np.float32), e[a:b], out=grad["bw"][k])
+            np.matmul(e[a:b], p["Ww"][k].T, out=sent[a:b])
+        back[order] += sent
     return out, back
 
 

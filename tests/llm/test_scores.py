@@ -210,6 +210,20 @@ def test_language_model_is_a_probability():
     assert abs(np.exp(logs.astype(float)).sum() - 1) < 1e-4
 
 
+def test_language_model_output_takes_all_classes_at_once(monkeypatch):
+    """Log-probabilities of a plain softmax in a softmax, classes without targets included, from two calls whatever the classes."""
+    rng, h, c = np.random.default_rng(8), L.HIDDEN, L.CLASSES
+    p = {"Wc": (h, c), "bc": (c,), "Ww": (c, h, c), "bw": (c, c)}
+    p = {k: rng.normal(size=x).astype(np.float32) for k, x in p.items()}
+    states, target = np.tanh(rng.normal(size=(50, h))).astype(np.float32), rng.integers(0, 9 * c, 50)
+    calls, softmax = [], L._softmax
+    monkeypatch.setattr(L, "_softmax", lambda *a: calls.append(1) or softmax(*a))
+    got, _ = L._output(states, target, p)
+    log = lambda x, k: x[k] - np.log(np.exp(x).sum())
+    want = [log(s @ p["Wc"] + p["bc"], t // c) + log(s @ p["Ww"][t // c] + p["bw"][t // c], t % c) for s, t in zip(states.astype(float), target)]
+    assert np.allclose(got, want, atol=1e-4) and len(calls) == 2
+
+
 def test_language_model_gradient_and_lanes():
     common = sorted([(b"w%d" % i, 60 - i) for i in range(30)] + [(L.END, 9)], key=lambda x: (-x[1], x[0]))
     lex = L.Lexicon(common, 3000, 100)
