@@ -9,11 +9,12 @@ nodes than `WIDE`). At 0.8 a word's clearest bit agrees with probability 0.44, s
 with 0.9993 and one at 0.85 with 0.9999 (three words: 0.993 and 0.999), by simulation. Every candidate is confirmed by the exact similarity of the sets.
 
 Equal sets become one node first. A bucket's candidates are found inside a task where they are few. Crowded buckets (more
-than `PART` members, or more than `PAIRS` candidates a member) first ask only for their members' links to the least one, then
-for those of their stragglers (members that are not in the largest group by then) to another member of that group, one link a
-member each time. Pairs whose ends confirmed links join need no look any more, so a large group of near copies never asks for
-all its pairs. What is left, stragglers against each other and against the rest of their bucket, is compared in blocks inside
-tasks, which hand on links that join groups.
+than `PART` members, or more than `PAIRS` candidates a member) first ask only for their members' links to the least one, one
+link a member. Pairs whose ends confirmed links join need no look any more, so a large group of near copies never asks for
+all its pairs, and a bucket of one group is done. Buckets with the same largest group then become one home, which holds each
+member once, however many tables they met in. Its stragglers (members that are not in the largest group) ask for the closest
+of `PIVOTS` members of that group. What is left, stragglers against each other and against the rest of their home, is compared
+in blocks inside tasks, which hand on links that join groups.
 
 Defined cases: A-Z count as a-z; a null or empty text has the empty set, and such texts are equal; fewer words than a
 shingle make one shingle; rows without an id link like others and stay; rows that repeat an id with another text are documents
@@ -35,7 +36,7 @@ from tabforge.llm.graph import components
 WORDS = 32
 RADIUS = 40
 WIDE = 1 << 22
-STARS, PART, PAIRS = 1, 1024, 4
+PIVOTS, PART, PAIRS = 4, 1024, 4
 _ODD = np.random.default_rng(17).integers(0, 1 << 63, WORDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,27 +139,33 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1, dtype=np.int64)
 
 
+_NEAR = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("sids", pa.list_(pa.int64())), ("star", pa.list_(pa.int64()))])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs u, v within the radius of the buckets in rows sorted by key; a bucket with too many gives its key alone."""
+    """Pairs u, v within the radius of the buckets in rows sorted by key; a bucket with too many gives one row: key, u (its least
+    member), sids (its members) and star (those within the radius of the least)."""
     carried = None
 
     def pairs(rows: np.ndarray):
-        out = []
+        out, crowded = [], []
         cut = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist(), len(rows)]
         for a, b in zip(cut, cut[1:]):
             if b - a < 2:
                 continue
-            f = rows[a:b, 2:]
+            sid, f = rows[a:b, 1], rows[a:b, 2:]
             i, j = np.nonzero(np.triu(_apart(f[:, None], f[None]) <= RADIUS, 1))
             if len(i) > PAIRS * (b - a):
-                out.append([[rows[a, 0], 0, 0]])
+                least = sid.argmin()
+                crowded.append((rows[a, 0], sid[least], None, sid, sid[(_apart(f, f[least]) <= RADIUS) & (sid != sid[least])]))
             elif len(i):
-                u, v = rows[a:b, 1][i], rows[a:b, 1][j]
-                out.append(np.stack([np.zeros(len(u), np.int64), np.minimum(u, v), np.maximum(u, v)], 1))
+                out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1))
         if out:
             found = np.unique(np.concatenate(out), axis=0)
-            same = found[:, 1] == found[:, 2]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], mask=~same), pa.array(found[:, 1], mask=same), pa.array(found[:, 2], mask=same)], ["key", "u", "v"])
+            none = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(found[:, 0]), pa.array(found[:, 1]), *[pa.nulls(len(found), x.type) for x in list(_NEAR)[3:]]], schema=_NEAR)
+        if crowded:
+            yield pa.RecordBatch.from_arrays([pa.array(x, y.type) for x, y in zip(zip(*crowded), _NEAR)], schema=_NEAR)
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
@@ -277,16 +284,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return checkpoint(both.mapInArrow(keep, "u long, v long"))
 
 
-def _open(met: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members are not of one group yet, with group and top, the bucket's largest group."""
+def _open(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members are not of one group yet: home, the bucket's largest group, sid, its group and its fingerprint, once each."""
+    roots = components(links).withColumnRenamed("node", "sid")
+    grouped = stored(members.join(roots, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("group")))
+    tops = grouped.groupBy("key", "group").count().groupBy("key").agg(F.max(F.struct("count", "group"))["group"].alias("home"), F.count("*").alias("groups")).where("groups > 1")
+    return stored(grouped.join(tops.select("key", "home"), "key").select("home", "sid", "group").distinct().join(nodes.select("sid", "f0", "f1"), "sid"))
+
+
+def _regrouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (of _open) with the groups that the links make, of homes with more than one; their largest group is top. Columns as _verified has them."""
     roots = components(links).withColumnRenamed("node", "sid")
-    grouped = met.join(roots, "sid", "left").select("key", "sid", "f0", "f1", F.coalesce("root", "sid").alias("group"))
-    tops = grouped.groupBy("key", "group").count().groupBy("key").agg(F.max(F.struct("count", "group"))["group"].alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    return stored(grouped.join(tops.select("key", "top"), "key"))
+    grouped = stored(rows.drop("group").join(roots, "sid", "left").select("home", "sid", "f0", "f1", F.coalesce("root", "sid").alias("group")))
+    tops = grouped.groupBy("home", "group").count().groupBy("home").agg(F.max(F.struct("count", "group"))["group"].alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    return stored(grouped.join(tops.select("home", "top"), "home").withColumnRenamed("home", "key"))
 
 
 def _verified(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links that join the groups in rows (of _open): stragglers, in parts, against each other and against the largest group's parts.
+    """Links that join the groups in rows (of _regrouped): stragglers, in parts, against each other and against the largest group's parts.
 
     A block hands on its members with candidates, then, once their sets are there, links that join groups; never pairs.
     """
@@ -314,29 +329,31 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8, words_each
     keyed = dealt(nodes, tables(nodes.count()))
     crowds = stored(keyed.groupBy("key").count().where(F.col("count") > PART).select("key"))
     small = keyed.join(crowds, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    near = stored(small.mapInArrow(_candidates, "key long, u long, v long").distinct())
+    near = stored(small.mapInArrow(_candidates, "key long, u long, v long, sids array<long>, star array<long>"))
     released(spark)
-    pairs = near.where("key is null").select("u", "v")
-    crowded = crowds.unionByName(near.where("key is not null").select("key"))
-    met = keyed.join(crowded, "key")
-    met = stored(met.join(met.groupBy("key").agg(F.min(F.struct("sid", "f0", "f1")).alias("least")), "key"))
-    sets = _sets(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("sid")).unionByName(met.select("sid")).distinct(), words_each)
-    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    pairs = stored(near.where("key is null").select("u", "v").distinct())
+    crowded = near.where("key is not null")
     apart = lambda x: sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{x}.{c}"))) for c in ("f0", "f1"))
-    star = met.where((F.col("sid") != F.col("least.sid")) & (apart("least") <= RADIUS)).groupBy("sid").agg(F.min("least.sid").alias("least"))
+    large = stored(keyed.join(crowds, "key"))
+    large = stored(large.join(large.groupBy("key").agg(F.min(F.struct("sid", "f0", "f1")).alias("least")), "key").select("key", "sid", F.when((F.col("sid") != F.col("least.sid")) & (apart("least") <= RADIUS), F.col("least.sid")).alias("least")))
+    members = stored(crowded.select("key", F.explode("sids").alias("sid")).unionByName(large.select("key", "sid")))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).unionByName(members.select("sid")).distinct()
+    sets = _sets(docs, nodes, wanted, words_each)
+    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    stars = crowded.select(F.explode("star").alias("sid"), F.col("u").alias("least")).unionByName(large.where("least is not null").select("sid", "least"))
+    star = stars.groupBy("sid").agg(F.min("least").alias("least"))
     found = _confirmed(pairs.unionByName(star.select(*pair("sid", "least"))), sets, similarity)
     released(spark)
-    met = met.drop("least")
-    for _ in range(STARS):
-        rows = _open(met, found)
-        if not rows.take(1):
-            return found
-        # each straggler asks another member of the largest group of a bucket, so a group's stragglers meet many of its members
-        pivots = rows.where("group = top").groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", "key").alias("h"), "sid", "f0", "f1")).alias("pivot"))
-        asked = rows.where("group <> top").join(pivots, "key").where(apart("pivot") <= RADIUS).groupBy("sid").agg(F.min("pivot.sid").alias("pivot"))
-        found = checkpoint(found.unionByName(_confirmed(asked.select(*pair("sid", "pivot")), sets, similarity)))
-        released(spark)
-    rows = _open(met, found)
+    rows = _open(members, nodes, found)
+    if not rows.take(1):
+        return found
+    # some members of the largest group stand for it, and each straggler asks for the closest one alone
+    slot, order = F.pmod(F.xxhash64("sid"), F.lit(PIVOTS)), F.xxhash64("sid", F.lit(1))
+    pivots = rows.where("group = home").groupBy("home", slot.alias("slot")).agg(F.min(F.struct(order.alias("h"), "sid", "f0", "f1")).alias("pivot")).drop("slot")
+    asked = rows.where("group <> home").join(pivots, "home").where(apart("pivot") <= RADIUS).groupBy("sid").agg(F.min(F.struct(apart("pivot").alias("apart"), F.col("pivot.sid").alias("sid")))["sid"].alias("pivot"))
+    found = checkpoint(found.unionByName(_confirmed(asked.select(*pair("sid", "pivot")), sets, similarity)))
+    released(spark)
+    rows = _regrouped(rows, found)
     return found.unionByName(_verified(rows, sets, similarity)) if rows.take(1) else found
 
 

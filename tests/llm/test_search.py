@@ -185,6 +185,28 @@ def test_pipeline_candidates_come_from_simhash(spark, monkeypatch):
     assert similar.keep_one(df).count() == 31 and asked and all(len(pairs) <= len(rows) for pairs in asked)
 
 
+def test_crowds_hold_each_member_once(spark, monkeypatch):
+    """A cloud of copies, near enough and not, meets in many tables: its rows are compared by member, not by table, and the groups are brute force's."""
+    rng = random.Random(8)
+    texts = [[f"w{k}" for k in range(200)] for _ in range(70)]
+    for i, t in enumerate(texts):
+        for _ in range(2 if i < 35 else rng.randrange(4, 14)):
+            t[rng.randrange(200)] = f"x{rng.randrange(9)}"
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(196)} for t in texts]
+    group = list(range(70))
+    for i, j in ((i, j) for i in range(70) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+        group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert 5 < len(set(group)) < 60
+    held, verified = [], similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda rows, *a: held.append(rows.select("key", "sid").collect()) or verified(rows, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for part in (similar.PART, 16):
+        monkeypatch.setattr(similar, "PART", part)
+        assert sorted(r["doc_id"] for r in similar.keep_one(df).collect()) == sorted(set(group))
+    assert len(held) == 2 and all(len(x) == len(set(x)) <= 4 * len(rows) for x in held)
+
+
 def test_rows_of_one_id_with_other_texts_are_documents(spark):
     """By row against all pairs: ids repeat with near, equal and other texts."""
     rng = random.Random(11)
