@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tabforge.llm import codes, divergence, language_model, mixing, ngram_join, pieces, private, quality, repeats, simhash, topk, toxicity, winnowing
+from tabforge.llm import codes, divergence, language_model, mixing, ngram_join, passages, pieces, private, quality, simhash, topk, toxicity, winnowing
 from tabforge.llm.common import table
 
 
@@ -49,7 +49,7 @@ def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.digested(table(spark, sf_dir, "documents"))
+    return passages.audited(table(spark, sf_dir, "documents"))
 
 
 def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

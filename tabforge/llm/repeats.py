@@ -349,7 +349,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def digested(docs: DataFrame) -> DataFrame:
     """As deduplicated, with the SHA-256 of what is kept."""
-    rows = keyed(docs)
+    return _digests(keyed(docs)).drop("key")
+
+
+def _digests(rows: DataFrame) -> DataFrame:
     cut = _cut(marks(rows.select("key", "text"))).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     whole = rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
-    return whole.join(cut, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    return whole.join(cut, "key", "left").select("key", "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
