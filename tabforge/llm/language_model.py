@@ -118,11 +118,13 @@ class Lexicon:
         at = self.bucket[hashes >> np.uint64(44)]
         last = len(self.hash) - 1
         out = np.full(len(hashes), -1)
+        left = np.arange(len(hashes))
         for _ in range(self.depth):
             np.minimum(at, last, out=at)
             hit = self.hash[at] == hashes
-            out[hit] = at[hit]
-            at = at + 1
+            out[left[hit]] = at[hit]
+            miss = ~hit
+            at, hashes, left = at[miss] + 1, hashes[miss], left[miss]
         return out
 
 
@@ -194,106 +196,141 @@ class Lanes:
 
 
 def _steps(lanes: Lanes, window: list[np.ndarray], state: np.ndarray, p: dict, kept: list | None = None) -> np.ndarray:
-    """States of the window, step by step; state is carried on."""
-    h, out = HIDDEN, []
-    for at in window:
-        n = len(at)
-        before = state[:n] * lanes.goes_on[at][:, None]
-        g = p["G"][lanes.before[at]]
-        zr = before @ p["Uzr"]
-        zr += g[:, : 2 * h]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
-        zr *= 0.5
-        zr += 0.5
-        z, r = zr[:, :h], zr[:, h:]
-        c = (r * before) @ p["Uc"]
-        c += g[:, 2 * h :]
-        np.tanh(c, out=c)
-        now = before + z * (c - before)
-        state[:n] = now
-        out.append(now)
-        if kept is not None:
-            kept.append((before, z, r, c))
+    """States of the window, step by step; state is carried on.
+
+    Inside, each lane is a column, so that a gate is a run of whole rows and no operation strides over the others.
+    """
+    h, out, now = HIDDEN, [], state.T
+    less, uc = -p["Uzr"].T, p["Uc"].T
+    with np.errstate(over="ignore"):  # an infinite exponential makes a closed gate
+        for at in window:
+            n = len(at)
+            before = now[:, :n] * lanes.goes_on[at]
+            g = np.ascontiguousarray(p["G"].take(lanes.before[at], 0).T)
+            zr = less @ before
+            zr -= g[: 2 * h]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:h], zr[h:]
+            reset = r * before
+            c = uc @ reset
+            c += g[2 * h :]
+            np.tanh(c, out=c)
+            new = c - before
+            new *= z
+            new += before
+            now[:, :n] = new
+            out.append(new.T)
+            if kept is not None:
+                kept.append((before, z, r, reset, c))
     return np.concatenate(out)
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probability of the targets, the exponentials (in x's memory) and their sums.
+def _softmax(x: np.ndarray, target: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of the targets (places in x's memory), the exponentials (in x's memory) and their sums.
 
-    The largest bias is zero and states lie in [-1, 1], so logits need no shift by their maximum; the bound keeps 32-bit
-    exponentials finite whatever the weights.
+    The largest bias is zero and states lie in [-1, 1], so logits need no shift by their maximum; where `most`, which they
+    cannot exceed, leaves 32-bit exponentials in doubt, they are bounded.
     """
-    np.minimum(x, np.float32(80), out=x)
-    out = x[np.arange(len(x)), target]
+    if not most <= 80:
+        np.minimum(x, np.float32(80), out=x)
+    out = x.ravel()[target]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], np.float32)
     return out - np.log(total), x, total
 
 
+def _most(weights: np.ndarray, bias: np.ndarray) -> float:
+    """What no logit of states in [-1, 1] exceeds."""
+    return HIDDEN * max(float(weights.max()), -float(weights.min())) + float(bias.max())
+
+
 def _output(states: np.ndarray, target: np.ndarray, p: dict, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural logarithm of each target's probability; with grad also the gradient of their negative sum, by parameter and by state."""
-    n = len(target)
-    group, inside = target // CLASSES, target % CLASSES
-    out, e, total = _softmax(states @ p["Wc"] + p["bc"], group)
+    n, h = states.shape
+    # rows lie by class, so that a class is a slice and all but the products is done for all classes at once
+    order = np.argsort((target // CLASSES).astype(np.int16), kind="stable")
+    own = target[order]
+    group, inside = own // CLASSES, own % CLASSES
+    s = np.ones((n, h + 1), np.float32)  # the last column meets the biases
+    s[:, :h] = states
+    s = s.take(order, 0)
+    edge = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    met = [(k, edge[k], edge[k + 1]) for k in range(CLASSES) if edge[k] < edge[k + 1]]
+    row = np.arange(n) * CLASSES
+    at, at_inside = row + group, row + inside
+    log, e, total = _softmax(s @ np.concatenate([p["Wc"], p["bc"][None]]), at, _most(p["Wc"], p["bc"]))
     back = None
     if grad is not None:
-        e /= total[:, None]
-        e[np.arange(n), group] -= 1
-        grad["Wc"], grad["bc"] = states.T @ e, np.ones(n, np.float32) @ e
+        e.ravel()[at] -= total
+        total = 1 / total[:, None]  # goes to the narrow side of each product
+        both = (e.T @ (s * total)).T
+        grad["Wc"], grad["bc"] = both[:h], both[h]
         back = e @ p["Wc"].T
-        grad["Ww"], grad["bw"] = np.zeros_like(p["Ww"]), np.zeros_like(p["bw"])
-    # rows lie by class, so that a class is a slice and all but the products is done for all classes at once
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    own, s = group[order], states[order]
-    edge = np.searchsorted(own, np.arange(CLASSES + 1)).tolist()
-    met = [(k, edge[k], edge[k + 1]) for k in range(CLASSES) if edge[k] < edge[k + 1]]
-    logits = np.empty((n, CLASSES), np.float32)
+        back *= total
+    logits, inner = np.empty((n, CLASSES), np.float32), np.concatenate([p["Ww"], p["bw"][:, None]], 1)
     for k, a, b in met:
-        part = np.matmul(s[a:b], p["Ww"][k], out=logits[a:b])
-        part += p["bw"][k]
-    more, e, total = _softmax(logits, inside[order])
-    out[order] += more
+        np.matmul(s[a:b], inner[k], out=logits[a:b])
+    more, e, total = _softmax(logits, at_inside, _most(p["Ww"], p["bw"]))
+    log += more
     if grad is not None:
-        e /= total[:, None]
-        e[np.arange(n), inside[order]] -= 1
-        sent = np.empty_like(s)
+        e.ravel()[at_inside] -= total
+        total = 1 / total[:, None]
+        s *= total
+        both, sent = np.zeros_like(inner), np.empty((n, h), np.float32)
         for k, a, b in met:
-            np.matmul(s[a:b].T, e[a:b], out=grad["Ww"][k])
-            np.matmul(np.ones(b - a, np.float32), e[a:b], out=grad["bw"][k])
+            np.matmul(s[a:b].T, e[a:b], out=both[k])
             np.matmul(e[a:b], p["Ww"][k].T, out=sent[a:b])
-        back[order] += sent
+        grad["Ww"], grad["bw"] = both[:, :h], both[:, h]
+        sent *= total
+        sent += back
+        back[order] = sent
+    out = np.empty_like(log)
+    out[order] = log
     return out, back
 
 
 def _window_gradient(lanes: Lanes, window: list[np.ndarray], state: np.ndarray, p: dict) -> dict:
-    """Truncated backpropagation: the gradient within the window, the state at its start taken as given."""
+    """Truncated backpropagation: the gradient within the window, the state at its start taken as given. Lanes are columns, as in _steps."""
     h, kept, g = HIDDEN, [], {}
     states = _steps(lanes, window, state, p, kept)
     at = np.concatenate(window)
-    _, back = _output(states, lanes.tokens[at], p, g)
-    g["Uzr"], g["Uc"] = np.zeros_like(p["Uzr"]), np.zeros_like(p["Uc"])
+    back = np.ascontiguousarray(_output(states, lanes.tokens[at], p, g)[1].T)
     edge = np.cumsum([0, *map(len, window)])
-    ds, gates = np.zeros((0, h), np.float32), []
+    ds, gates = np.zeros((h, 0), np.float32), []
     for t in reversed(range(len(window))):
-        before, z, r, c = kept[t]
-        n = len(before)
-        d = back[edge[t] : edge[t + 1]]
-        d[: len(ds)] += ds
-        dac = d * z * (1 - c * c)
-        daz = d * (c - before) * z * (1 - z)
-        drs = dac @ p["Uc"].T
-        dar = drs * before * r * (1 - r)
-        dzr = np.concatenate([daz, dar], 1)
-        g["Uc"] += (r * before).T @ dac
-        g["Uzr"] += before.T @ dzr
-        ds = (d * (1 - z) + drs * r + dzr @ p["Uzr"].T) * lanes.goes_on[window[t]][:, None]
-        gates.append(np.concatenate([dzr, dac], 1))
-    gates = np.concatenate(gates[::-1]).astype(np.float32)
-    before = lanes.before[at]
+        before, z, r, reset, c = kept[t]
+        gate = np.empty((3 * h, before.shape[1]), np.float32)
+        daz, dar, dac = gate[:h], gate[h : 2 * h], gate[2 * h :]
+        d = back[:, edge[t] : edge[t + 1]]
+        d[:, : ds.shape[1]] += ds
+        dz = d * z
+        np.multiply(c, c, out=dac)
+        np.subtract(1, dac, out=dac)
+        dac *= dz
+        np.subtract(c, before, out=daz)
+        daz *= dz
+        daz *= 1 - z
+        drs = p["Uc"] @ dac
+        np.subtract(1, r, out=dar)
+        dar *= reset
+        dar *= drs
+        ds = p["Uzr"] @ gate[: 2 * h]
+        drs *= r
+        ds += drs
+        d -= dz
+        ds += d
+        ds *= lanes.goes_on[window[t]]
+        gates.append(gate)
+    gates = np.concatenate(gates[::-1], 1)
+    g["Uzr"] = np.concatenate([k[0] for k in kept], 1) @ gates[: 2 * h].T
+    g["Uc"] = np.concatenate([k[3] for k in kept], 1) @ gates[2 * h :].T
+    before = lanes.before[at].astype(np.uint16)
     order = np.argsort(before, kind="stable")
-    words, head = np.unique(before[order], return_index=True)
-    g["G"] = (words, np.add.reduceat(gates[order], head, axis=0))
+    before = before[order]
+    head = np.concatenate([[0], np.flatnonzero(before[1:] != before[:-1]) + 1])
+    g["G"] = (before[head], np.ascontiguousarray(np.add.reduceat(gates.take(order, 1, mode="clip"), head, axis=1).T))
     return g
 
 
@@ -310,7 +347,11 @@ class Adam:
 
     def add(self, p: dict, g: dict, n: int) -> None:
         self.rows.append(g.pop("G"))
-        self.sums = {k: x + self.sums[k] for k, x in g.items()} if self.n else g
+        for k, x in g.items():
+            if self.n:
+                self.sums[k] += x
+            else:
+                self.sums[k] = x
         self.n += n
         if self.n >= UPDATE:
             self.update(p)
@@ -320,16 +361,29 @@ class Adam:
             return
         self.step += 1
         lr = self.rate / math.sqrt(1 + (self.done + self.step) / 60)
-        words = np.concatenate([w for w, _ in self.rows])
-        order = np.argsort(words, kind="stable")
-        met, head = np.unique(words[order], return_index=True)
-        grads = {k: (slice(None), x) for k, x in self.sums.items()} | {"G": (met, np.add.reduceat(np.concatenate([x for _, x in self.rows])[order], head, axis=0))}
-        for k, (at, grad) in grads.items():
+        met, rows = self.rows[0]
+        if len(self.rows) > 1:
+            words = np.concatenate([w for w, _ in self.rows])
+            order = np.argsort(words, kind="stable")
+            met, head = np.unique(words[order], return_index=True)
+            rows = np.add.reduceat(np.concatenate([x for _, x in self.rows])[order], head, axis=0)
+        for k, (at, grad) in ({k: (slice(None), x) for k, x in self.sums.items()} | {"G": (met, rows)}).items():
             grad = grad / self.n
-            m = self.m[k][at] * 0.9 + 0.1 * grad
-            v = self.v[k][at] * 0.99 + 0.01 * grad * grad
-            self.m[k][at], self.v[k][at] = m, v
-            p[k][at] -= (lr * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            m, v = self.m[k][at], self.v[k][at]  # the arrays themselves, or copies of the rows met
+            m *= 0.9
+            m += 0.1 * grad
+            v *= 0.99
+            grad *= grad
+            grad *= 0.01
+            v += grad
+            move = np.sqrt(v, out=grad)
+            move *= 1 / math.sqrt(1 - 0.99**self.step)
+            move += 1e-8
+            np.divide(m, move, out=move)
+            move *= lr / (1 - 0.9**self.step)
+            p[k][at] -= move
+            if k == "G":
+                self.m[k][at], self.v[k][at] = m, v
         self.sums, self.rows, self.n = {}, [], 0
 
 
@@ -350,7 +404,7 @@ def fitted(texts: list[np.ndarray], start: dict, end: int, done: int = 0) -> tup
     p = {k: v.copy() for k, v in start.items()}
     adam = Adam(p, done=done)
     lanes = Lanes(np.concatenate(texts).astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in texts])]), end)
-    state = np.zeros((len(lanes.load), HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, len(lanes.load)), np.float32).T
     for window in lanes.windows():
         adam.add(p, _window_gradient(lanes, window, state, p), sum(map(len, window)))
     adam.update(p)
@@ -418,7 +472,7 @@ def train(texts: DataFrame, lexicon: Lexicon, seed: int = 5) -> dict[str, np.nda
 def text_scores(tokens: np.ndarray, first: np.ndarray, end: int, p: dict) -> np.ndarray:
     """Natural logarithm of each text's probability by the numbers of its tokens."""
     lanes = Lanes(tokens, first, end)
-    state, logs = np.zeros((len(lanes.load), HIDDEN), np.float32), np.zeros(len(tokens), np.float32)
+    state, logs = np.zeros((HIDDEN, len(lanes.load)), np.float32).T, np.zeros(len(tokens), np.float32)
     for window in lanes.windows():
         states = _steps(lanes, window, state, p)
         at = np.concatenate(window)

@@ -314,6 +314,36 @@ def test_language_model_score_is_that_of_a_naive_loop_and_of_no_partitioning(spa
         assert abs(naive_score(numbers, lex.end, p) / math.log(10) + share - got[0][r["doc_id"]]) < 1e-3 * len(words)
 
 
+def test_language_model_window_is_a_loop_over_tokens_on_whole_rows(monkeypatch):
+    """Every parameter's gradient is that of a token-by-token loop; lanes are columns, and only logits that may be too large are bounded."""
+    common = sorted([(b"w%d" % i, 200 - i) for i in range(90)] + [(L.END, 9)], key=lambda x: (-x[1], x[0]))
+    lex, rng = L.Lexicon(common, 20000, 100), np.random.default_rng(4)
+    p = {k: x + rng.normal(size=x.shape).astype(np.float32) * 0.2 for k, x in L.first_parameters(lex).items()}
+    texts = [rng.integers(0, 91, n).astype(np.int32) for n in (7, 1, 22, 20)]
+    lanes = L.Lanes(np.concatenate(texts), np.array([0, 7, 8, 30, 50]), lex.end, 2)
+    window, state = next(lanes.windows(50)), lambda: np.zeros((2, L.HIDDEN), np.float32)
+    kept, bounded, minimum = [], [], np.minimum
+    states = L._steps(lanes, window, state(), p, kept)
+    assert [x.shape for x in kept[0]] == [(L.HIDDEN, 2)] * len(kept[0]) and len(set(map(len, window))) == 2
+    monkeypatch.setattr(np, "minimum", lambda *a, **b: bounded.append(1) or minimum(*a, **b))
+    g = L._window_gradient(lanes, window, state(), p)
+    assert not bounded
+    large = p | {"Wc": p["Wc"] * 1000}
+    assert np.isfinite(L._output(states, lanes.tokens[np.concatenate(window)], large)[0]).all() and bounded
+    full = np.zeros_like(p["G"])
+    full[g["G"][0]] = g["G"][1]
+    q, loss = {k: x.astype(float) for k, x in p.items()}, lambda: -sum(naive_score(x, lex.end, q) for x in texts)
+    for name, grad in (g | {"G": full}).items():
+        assert grad.shape == p[name].shape
+        for at in [np.unravel_index(np.argsort(-np.abs(grad), axis=None)[i], grad.shape) for i in (0, 3, 40)]:
+            ends = []
+            for step in (1e-4, -2e-4):
+                q[name][at] += step
+                ends.append(loss())
+            q[name][at] += 1e-4
+            assert abs((ends[0] - ends[1]) / 2e-4 - grad[at]) < 1e-3 * max(1, abs(grad[at])), name
+
+
 def test_language_model_sums_do_not_depend_on_order():
     p = {"a": np.random.default_rng(1).normal(size=500).astype(np.float32)}
     parts = [L._shares({"a": p["a"] * k}, n) for k, n in ((1, 5), (3, 2_000_000), (-2, 77_000))]
