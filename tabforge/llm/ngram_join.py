@@ -434,8 +434,8 @@ def _crowded(rows: DataFrame, sets: DataFrame, table, percent: int, longest: int
     return checkpoint(dealt(met.join(sets, "sid").select(*met.columns, "set")).mapInArrow(join, "u long, v long"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH, longest: int = LONGEST, most: int = FREQUENT) -> DataFrame:
-    """Confirmed links u, v between different sets that join all that are linked."""
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, words_each: int = WORDS_EACH, longest: int = LONGEST, most: int = FREQUENT, known: DataFrame | None = None) -> DataFrame:
+    """Confirmed links u, v between different sets that join all that are linked. known: links found otherwise, which take the place of those to the least members."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(frequent(docs, words_each, most))
     released(spark)
@@ -443,15 +443,18 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, words_each:
     released(spark)
     ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("sid"))
     sets = lambda wanted: _sets(docs, nodes.join(wanted.distinct(), "sid"), words_each)
-    star = met.where((F.col("sid") != F.col("least")) & _fits("n", "least_n", percent))
-    asked = stored(_counted(star.select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v"), F.least("l", "least_l").alias("need"))))
-    found = _confirmed(asked, sets(ends(asked)), percent)
+    found = known
+    if known is None:
+        star = met.where((F.col("sid") != F.col("least")) & _fits("n", "least_n", percent))
+        asked = stored(_counted(star.select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v"), F.least("l", "least_l").alias("need"))))
+        found = _confirmed(asked, sets(ends(asked)), percent)
     rows = _open(met, found)
     released(spark)
     named, large = stored(_named(rows.where(F.col("members") <= SMALL), percent)), rows.where(F.col("members") > SMALL)
     more = sets(ends(named).unionByName(large.select("sid")))
     released(spark)
-    out = found.unionByName(_confirmed(named.join(asked, ["u", "v"], "left_anti"), more, percent))
+    named = named if known is not None else named.join(asked, ["u", "v"], "left_anti")
+    out = found.unionByName(_confirmed(named, more, percent))
     return out.unionByName(_crowded(large, more, table, percent, longest)) if large.take(1) else out
 
 

@@ -8,6 +8,9 @@ the bit that the votes decide most clearly, in the words that a table names (two
 nodes than `WIDE`). At 0.8 a word's clearest bit agrees with probability 0.44, so that such a pair meets in one of the tables
 with 0.9993 and one at 0.85 with 0.9999 (three words: 0.993 and 0.999), by simulation. Every candidate is confirmed by the exact similarity of the sets.
 
+What SimHash misses is found by the exact join of `ngram_join`, which takes these links as known: it looks only between sets
+that they do not join. So the groups are those of all pairs, whatever the number of nodes.
+
 Equal sets become one node first. A bucket's candidates are found inside a task where they are few. Crowded buckets (more
 than `PART` members, or more than `PAIRS` candidates a member) first ask only for their members' links to the least one, one
 link a member. Pairs whose ends confirmed links join need no look any more, so a large group of near copies never asks for
@@ -357,16 +360,21 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8, words_each
     return found.unionByName(_verified(rows, sets, similarity)) if rows.take(1) else found
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, words_each: int = 5) -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id, and of the rows with this id that of the least text hash. Rows without an id stay, as none can be named for them.
 
     What goes and stays is decided for rows, by id and text: rows of one id with other texts are documents of their own. Of
     rows that are equal in both, one stays (any one, should they differ in other columns).
     """
+    from tabforge.llm import ngram_join  # which takes the sets from here
+
     found = checkpoint(prints(docs, words_each))
     row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("row")
     nodes = checkpoint(found.groupBy("sid").agg(row, F.min("t").alias("t"), *(F.min(c).alias(c) for c in ("f0", "f1", "clear"))))
-    roots = checkpoint(components(links(docs, nodes, similarity, words_each)).withColumnRenamed("node", "sid"))
+    near = checkpoint(links(docs, nodes, percent / 100, words_each))
+    released(docs.sparkSession)
+    near = ngram_join.links(docs, nodes, percent, words_each, known=near)
+    roots = checkpoint(components(near).withColumnRenamed("node", "sid"))
     least = nodes.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("row").alias("row")).where("row is not null").select("row.*")
     equal = found.groupBy("doc_id", "t").agg((F.count("*") > 1).alias("repeated"))
     kept = least.join(equal, ["doc_id", "t"]).select(*(F.col(c).alias(f"__kept_{c}") for c in ("doc_id", "t", "repeated")))

@@ -185,6 +185,32 @@ def test_pipeline_candidates_come_from_simhash(spark, monkeypatch):
     assert similar.keep_one(df).count() == 31 and asked and all(len(pairs) <= len(rows) for pairs in asked)
 
 
+def test_pairs_that_simhash_misses_are_found(spark, monkeypatch):
+    """With one table for 64 SimHash misses most pairs at 0.8; the stage still has brute force's groups."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows, want = [], []
+    for i in range(60):
+        w = [f"{i}w{k}" for k in range(103)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:92], *(f"{i}x{k}" for k in range(11))]))]  # 88 shared of 110 shingles
+        want.append(2 * i)
+    rows += [(500 + i, " ".join([*(f"{i}w{k}" for k in range(91)), *(f"{i}y{k}" for k in range(12))])) for i in range(30)]  # 87 of 111, and 87 of 111
+    want += range(500, 530)
+    rng.shuffle(rows)
+    df, every = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), similar.tables
+    monkeypatch.setattr(similar, "tables", lambda nodes: every(nodes)[:1])
+    assert similar.links(df, _nodes(df)).count() < 50
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == want
+
+
+def _nodes(df):
+    from pyspark.sql import functions as F
+
+    found = similar.prints(df)
+    return found.groupBy("sid").agg(F.min("t").alias("t"), *(F.min(c).alias(c) for c in ("f0", "f1", "clear")))
+
+
 def test_crowds_hold_each_member_once(spark, monkeypatch):
     """A cloud of copies, near enough and not, meets in many tables: its rows are compared by member, not by table, and the groups are brute force's."""
     rng = random.Random(8)
