@@ -8,9 +8,11 @@ d - radius within this bound can hold a nearer one, and it is sent to these alon
 Cells are cut into blocks of a bounded number of rows, each of which goes to one task and stays there; queries are packed for
 each of their cells where they are read (an equality join on cell and block, the only shuffle of them). A pair of blocks is
 scored in numpy on the flat Arrow arrays and hands on the k best of its rows for each query; they meet in one window per
-query, which is cut to k before it is shuffled. Memory is that of two blocks. Where cells do not part the points, as in many
-dimensions, every query meets every row, as an exact search then must; `work` tells how many pairs are scored. Beyond a million
-such rows `BucketedRandomProjectionLSH` is the approximate way (`approximate`).
+query, which is cut to k before it is shuffled. Memory is that of two blocks.
+
+Where cells do not part the points, as in many dimensions, every query meets every row, as an exact search then must. To send
+queries to their cells would copy each of them for every cell, so `SENT` numbers a query at most are sent (they are counted
+first); beyond that `blocks` reads all rows for each block of queries, and sends none. `work` tells how many pairs the cells leave.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.operators import blocks as every
+
 BLOCK, CELL, MOST_PIVOTS = 8192, 256, 2048
+#: Points whose distances to all pivots a task holds at once; numbers that are sent for a query, on average (two copies are always few).
+SLICE, SENT = 1024, 64
 #: Cells of all groups at most; their numbers go to every task.
 MOST_CELLS = 1 << 17
 DIGITS = 9
@@ -71,8 +77,8 @@ def _cells(rows: DataFrame, k: int, p: int, within: bool) -> tuple[Cells, DataFr
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), BLOCK):
-                part = batch.slice(a, BLOCK)
+            for a in range(0, len(batch), SLICE):
+                part = batch.slice(a, SLICE)
                 far = cells.distances(_points(part.column(1), width))
                 c = far.argmin(1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.astype(np.int32)), pa.array(far[np.arange(len(c)), c])], ["id", "x", "g", "c", "r"])
@@ -91,6 +97,25 @@ def _cells(rows: DataFrame, k: int, p: int, within: bool) -> tuple[Cells, DataFr
     return cells, placed.drop("r").join(blocks, ["g", "c"]).withColumn("b", block).drop("blocks")
 
 
+def _parted(queries: DataFrame, cells) -> bool:
+    """Whether the cells part the points, so that few queries need sending. cells: broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, copies = cells.value, 0, 0
+        for batch in batches if own.groups else ():
+            for a in range(0, len(batch), SLICE):
+                part = batch.slice(a, SLICE)
+                x, group = _points(part.column(1), own.pivots.shape[1]), np.array(part.column(2).to_pylist(), object)
+                far, slack, n = own.distances(x), own.slack(x), n + len(part)
+                for g in set(group) & own.groups.keys():
+                    _, blocks, needs = own.wanted(far[group == g], g, slack)
+                    copies += int((needs.sum(0) * blocks).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([copies], pa.int64())], ["n", "copies"])
+
+    n, copies = queries.mapInArrow(run, "n long, copies long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "copies"))).first()
+    return copies <= max(2, SENT / cells.value.pivots.shape[1]) * n
+
+
 def _routed(queries: DataFrame, cells) -> DataFrame:
     """g, c, blocks, pairs (rows of the cell times queries) and q (packed queries) of each cell that queries of a batch need. cells: broadcast."""
 
@@ -146,17 +171,21 @@ def _nearest(qi: np.ndarray, qx: np.ndarray, ri: np.ndarray, rx: np.ndarray, k:
         yield qi[a + row[top]], ri[col[top]], d[row[top], col[top]]
 
 
-def _plan(queries: DataFrame, rows: DataFrame, k: int, within: bool, exclude_self: bool, p: int) -> tuple[DataFrame, DataFrame]:
-    """Queries by the cells they need, and rows by cell and block."""
+def _clean(df: DataFrame, within: bool) -> DataFrame:
     group = F.col("g").cast("string") if within else F.lit("")
-    clean = lambda df: df.where("id is not null and x is not null").select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), group.alias("g"))
-    cells, placed = _cells(clean(rows), k + int(exclude_self), p, within)
-    return _routed(clean(queries).where("g is not null"), queries.sparkSession.sparkContext.broadcast(cells)), placed
+    return df.where("id is not null and x is not null").select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), group.alias("g"))
+
+
+def _plan(queries: DataFrame, rows: DataFrame, k: int, within: bool, exclude_self: bool, p: int) -> tuple[DataFrame, DataFrame, object]:
+    """Queries, rows by cell and block, and the cells (broadcast)."""
+    cells, placed = _cells(_clean(rows, within), k + int(exclude_self), p, within)
+    return _clean(queries, within).where("g is not null"), placed, queries.sparkSession.sparkContext.broadcast(cells)
 
 
 def work(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclude_self: bool = True, p: int = 2) -> int:
-    """How many pairs of a query and a row `knn` scores."""
-    return _plan(queries, rows, k, within, exclude_self, p)[0].agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    """How many pairs of a query and a row the cells leave."""
+    asked, _, cells = _plan(queries, rows, k, within, exclude_self, p)
+    return _routed(asked, cells).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclude_self: bool = True, p: int = 2) -> DataFrame:
@@ -165,7 +194,12 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclu
     queries and rows: id (long) and x (array of double), with within also g, and only rows of the query's group count. Ties
     (distances equal to nine digits) go to the smaller id. Rows with a null id or x take no part. p: 2 Euclidean, 1 Manhattan.
     """
-    routed, placed = _plan(queries, rows, k, within, exclude_self, p)
+    order = Window.partitionBy("id").orderBy("distance", "neighbour")
+    ranked = lambda scored: scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked, placed, cells = _plan(queries, rows, k, within, exclude_self, p)
+    if not _parted(asked, cells):
+        return ranked(every.nearest(asked, _clean(rows, within).where("g is not null"), k, exclude_self, p))
+    routed = _routed(asked, cells)
     blocks = placed.groupBy("g", "c", "b").agg(F.collect_list(F.struct("id", "x")).alias("r"))
     grid = routed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(blocks, ["g", "c", "b"]).select("q", "r")
 
@@ -178,9 +212,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, within: bool = False, exclu
                 for found in _nearest(*left, *right, k, exclude_self, p):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "neighbour", "distance"])
 
-    order = Window.partitionBy("id").orderBy("distance", "neighbour")
-    scored = grid.mapInArrow(best, "id long, neighbour long, distance double")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked(grid.mapInArrow(best, "id long, neighbour long, distance double"))
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, weights: str = "uniform") -> DataFrame:
@@ -190,20 +222,6 @@ def vote(neighbours: DataFrame, labels: DataFrame, weights: str = "uniform") ->
     return counted.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label"))["label"].alias("prediction"))
 
 
-def approximate(queries: DataFrame, rows: DataFrame, radius: float, bucket: float | None = None, tables: int = 6) -> DataFrame:
-    """Pairs within a radius by locality-sensitive hashing: id, neighbour and distance; some pairs may be missed.
-
-    bucket: width of the buckets on random unit vectors, by default twice the radius: a pair at the radius parts in a table
-    with probability 0.4 or less (two normal points in a projection), in all six with less than 0.005. Equal points are
-    searched once, so a point that many rows share does not emit its pairs against itself in the join.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    point = F.xxhash64("x")
-    members = lambda df: df.where("id is not null and x is not null").select("id", point.alias("point"))
-    points = lambda df: df.where("id is not null and x is not null").groupBy(point.alias("point")).agg(F.min("x").alias("x")).select("point", array_to_vector("x").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket or 2 * radius, numHashTables=tables, seed=42).fit(points(rows))
-    near = model.approxSimilarityJoin(points(queries), points(rows), radius, "distance").select(F.col("datasetA.point").alias("point"), F.col("datasetB.point").alias("other"), "distance")
-    named = near.join(members(queries), "point").join(members(rows).select(F.col("id").alias("neighbour"), F.col("point").alias("other")), "other")
-    return named.select("id", "neighbour", "distance").where("id <> neighbour")
+def approximate(queries: DataFrame, rows: DataFrame, radius: float) -> DataFrame:
+    """All pairs within a radius (distances to nine digits), by blocks: id, neighbour and distance. None is missed, and pairs are never shuffled."""
+    return every.within(_clean(queries, False), _clean(rows, False), radius)

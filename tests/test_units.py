@@ -378,6 +378,47 @@ def test_approximate_neighbours_recall(spark):
     assert want > 1000 and near.join(found, ["id", "neighbour"]).count() >= 0.9 * want and found.where("id >= 1000 and neighbour >= 1000").count() == 380
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_points_that_cells_do_not_part_meet_in_blocks(spark, monkeypatch, p):
+    """Many dimensions: no query is sent to cells; equal to all pairs with groups, ties, equal points, far offsets, repeated ids and points that are not finite."""
+    from tabforge.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 50)
+    monkeypatch.setattr(blocks, "LEAST", 16)
+    monkeypatch.setattr(knn, "CELL", 16)
+    monkeypatch.setattr(knn, "_routed", None)
+    rng = np.random.default_rng(p)
+    x = rng.normal(size=(230, 24)) + 1e6
+    x[40:60] = x[:20]
+    x[60:80] = np.round(x[60:80])
+    x[90, 3], x[91, 0] = np.inf, np.nan
+    ids, g = np.arange(230) * 7 % 230, rng.integers(0, 2, 230).astype(str)
+    ids[110] = ids[111]
+    df = spark.createDataFrame([(int(i), list(map(float, a)), b) for i, a, b in zip(ids, x, g)], "id long, x array<double>, g string").repartition(3)
+    with np.errstate(invalid="ignore"):
+        far = np.round(np.abs(x[:, None] - x[None]).sum(2) if p == 1 else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    for within in (False, True):
+        got = {(r["id"], r["rank"]): (r["neighbour"], r["distance"]) for r in knn.knn(df, df, 4, within, p=p).collect()}
+        for i in set(ids.tolist()):
+            near = sorted((far[a, b], ids[b]) for a in np.flatnonzero(ids == i) for b in range(230) if ids[b] != i and np.isfinite(far[a, b]) and (not within or g[a] == g[b]))[:4]
+            assert [got[i, k + 1] for k in range(len(near))] == [(j, pytest.approx(v)) for v, j in near] and (i, len(near) + 1) not in got
+
+
+def test_pairs_within_a_radius_are_all_and_not_shuffled(spark, monkeypatch):
+    from tabforge.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 70)
+    x = np.random.default_rng(3).normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[200:220] = x[0]
+    df = frame(spark, [(i, list(map(float, a))) for i, a in enumerate(x)], "id long, x array<double>")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).round(9)
+    found = knn.approximate(df, df, 1.2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r["id"], r["neighbour"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(far <= 1.2))) if i != j}
+
+
 def test_tuning_honours_the_direction(spark):
     df = models.assembled(blobs(spark).select("id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y"), ["a", "b"], "y", ["id"]).cache()
     trials = tune.random_search(df, "logistic_regression", {"C": [1e-6, 100.0]}, 4, "logLoss", seed=3)[0].collect()
