@@ -1,8 +1,9 @@
 """Feed-forward classifier: rectified units, softmax, Adam in synchronous steps.
 
 Rows are dealt to fixed shards by a hash. A step takes the next batch of every shard: tasks add up the gradients of their
-batches, the sums meet as a tree, and one update of the common weights follows. A table of one shard goes through the same
-steps inside one task, so a fit does not depend on partitions. Every pass draws the order of a shard's rows anew from
+batches, the sums meet, and one update of the common weights follows. Where it happens changes no step, so a fit does not
+depend on partitions: shards of `HELD` bytes together go through all steps inside one task, since a job
+a step mostly waits; the gradients of more shards meet as a tree, in a job a step. Every pass draws the order of a shard's rows anew from
 the seed and the pass. Features are scaled to mean 0 and deviation 1 first, which the first layer's weights take in at the
 end. A fit ends when the loss has not fallen by TOLERANCE for PATIENCE passes.
 
@@ -24,6 +25,8 @@ from tabforge.operators import sgd
 
 #: Rows of a shard's batch; a shard holds SHARD rows on average, fewer where they would take more than SHARD_BYTES.
 BATCH, SHARD, SHARD_BYTES = 200, 1 << 14, 1 << 25
+#: Bytes of shards that one task holds through all steps.
+HELD = 1 << 28
 # Decay of both moments, the least divisor of a step, and when a fit ends.
 BETA, EPSILON, TOLERANCE, PATIENCE = (0.9, 0.999), 1e-8, 1e-4, 10
 
@@ -62,13 +65,30 @@ def gradients(x: np.ndarray, y: np.ndarray, layers: Layers) -> tuple[float, Laye
     return loss, out[::-1], len(y)
 
 
+def _order(n: int, seed: int, turn: int) -> np.ndarray:
+    return np.random.default_rng([seed, turn]).permutation(n)
+
+
 def batch(x: np.ndarray, y: np.ndarray, seed: int, turn: int, step: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """A shard's rows of one step: the step-th part of its order in this pass. Every row has one step."""
-    order = np.random.default_rng([seed, turn]).permutation(len(x))
-    rows = order[len(x) * step // steps : len(x) * (step + 1) // steps]
+    rows = _order(len(x), seed, turn)[len(x) * step // steps : len(x) * (step + 1) // steps]
     return x[rows], y[rows]
 
 
+def _held(shards: list[tuple[np.ndarray, np.ndarray]], seed: int, steps: int) -> Callable[[Layers, int, int], tuple]:
+    """Gradients of the batches of all shards here; each pass makes their orders once."""
+    now: dict[int, list] = {}
+
+    def sums(layers: Layers, turn: int, step: int) -> tuple[float, Layers, int]:
+        if turn not in now:
+            now.clear()
+            now[turn] = [_order(len(x), seed, turn) for x, _ in shards]
+        rows = [o[len(o) * step // steps : len(o) * (step + 1) // steps] for o in now[turn]]
+        return gradients(*(np.concatenate([own[i][r] for own, r in zip(shards, rows)]) for i in (0, 1)), layers)
+
+    return sums
+
+
 def descend(layers: Layers, gradient: Callable[[Layers, int, int], tuple], steps: int, alpha: float, rate: float, max_iter: int) -> Layers:
     """Weights after at most max_iter passes of Adam, each of the given steps; gradient gives the sums of a pass's step."""
     first, second = ([(np.zeros_like(w), np.zeros_like(b)) for w, b in layers] for _ in range(2))
@@ -106,22 +126,21 @@ def fit(df: DataFrame, classes: int, hidden: Sequence[int], alpha: float, rate:
         raise ValueError("a feature is null or NaN: fill it before a network is fitted")
     d = len(df.first()["features"])
     size = max(BATCH, min(SHARD, SHARD_BYTES // (8 * d)))
-    data = sgd.shards(df, d, size).rdd.map(lambda r: (np.frombuffer(r["x"]).reshape(-1, d), np.frombuffer(r["y"], np.int64))).persist()
+    data = sgd.shards(df, d, size).rdd.map(lambda r: (np.frombuffer(r["x"]).reshape(-1, d), np.frombuffer(r["y"], np.int64)))
     add = lambda p, q: tuple(a + b for a, b in zip(p, q))
     n, total, shards = data.map(lambda own: (len(own[0]), own[0].sum(0), 1)).treeReduce(add)
     centre = total / n
     width = np.sqrt(data.map(lambda own: ((own[0] - centre) ** 2).sum(0)).treeReduce(np.add) / n)
     width[width == 0] = 1.0
     layers, steps = begin([d, *hidden, classes], seed), -(-min(n, size) // BATCH)
-    scaled = data.map(lambda own: ((own[0] - centre) / width, own[1])).persist()
-    if shards == 1:
-        here = lambda own: descend(layers, lambda now, turn, step: gradients(*batch(*own, seed, turn, step, steps), now), steps, alpha, rate, max_iter)
-        layers = scaled.map(here).first()
+    scaled = data.map(lambda own: ((own[0] - centre) / width, own[1]))
+    if shards == 1 or 8 * n * (d + 1) <= HELD:
+        layers = scaled.coalesce(1).mapPartitions(lambda own: [descend(layers, _held(list(own), seed, steps), steps, alpha, rate, max_iter)]).first()
     else:
+        scaled = scaled.persist()
         sums = lambda now, turn, step: scaled.map(lambda own: gradients(*batch(*own, seed, turn, step, steps), now)).treeReduce(_add)
         layers = descend(layers, sums, steps, alpha, rate, max_iter)
-    scaled.unpersist()
-    data.unpersist()
+        scaled.unpersist()
     (w, b), *rest = layers
     w = w / width[:, None]
     return [[w.tolist(), (b - centre @ w).tolist()], *[[v.tolist(), c.tolist()] for v, c in rest]]

@@ -76,6 +76,23 @@ def test_fit_equals_a_loop(spark, monkeypatch, size):
         assert np.array(b) == pytest.approx(b2, abs=1e-6) and np.shape(w) == w2.shape
 
 
+@pytest.mark.parametrize("held", [1 << 28, 1])
+def test_steps_need_no_job_each(spark, monkeypatch, held):
+    """Shards that one task holds, and more than that: the same weights; only the second way takes a job a step."""
+    monkeypatch.setattr(net, "SHARD", 250)
+    monkeypatch.setattr(net, "HELD", held)
+    df = rows(spark).cache()
+    shards = [(np.frombuffer(r["x"]).reshape(-1, 3), np.frombuffer(r["y"], np.int64)) for r in sgd.shards(df, 3, 250).collect()]
+    want, width = by_loop(shards, 3, 3, [6, 4], 9, 250, 0.5, 0.01, 8)
+    spark.sparkContext.setJobGroup(f"net-{held}", "")
+    got = net.fit(df, 3, [6, 4], 0.5, 0.01, 8, 9)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"net-{held}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(shards) > 1 and (jobs >= 16 if held == 1 else jobs < 16)
+    assert np.array(got[0][0]) * width[:, None] == pytest.approx(want[0][0], abs=1e-7)
+    assert all(np.array(b) == pytest.approx(b2, abs=1e-6) for (_, b), (_, b2) in zip(got, want))
+
+
 @pytest.mark.parametrize("classes", [2, 3])
 def test_network_parts_rings_whatever_the_partitions(spark, classes):
     """Unscaled features, one of them constant; the fit is the same from 1, 3 and 8 partitions."""
