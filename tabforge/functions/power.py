@@ -1,13 +1,17 @@
 """Yeo-Johnson and Box-Cox power transforms with the exponent of greatest likelihood, found on grids in aggregate jobs.
 
 A grid of 41 exponents in [-2, 2] is evaluated for all columns at once, then twice refined around the best (21 points
-each, last step 0.001). The transformed column is standardised with the population deviation.
+each, last step 0.001). The transformed column is standardised with the population deviation. Tasks count the distinct values
+of their rows, and only these meet the exponents; what leaves a task are moments by column and exponent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,27 +30,93 @@ def box_cox(x: Column, lam: float) -> Column:
     return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
 
 
-def _varied(x: Column, lam: Column, method: str) -> Column:
-    """The transform with an exponent that is a column."""
-    close = lambda v: F.abs(lam - v) < 1e-12
+#: Distinct values of a column that a task counts before they meet the exponents.
+COUNTED = 1 << 16
+
+
+def _varied(x: np.ndarray, lam: float, method: str) -> np.ndarray:
+    """The transform of an array."""
     if method == BOX:
-        return F.when(close(0), F.log(x)).otherwise(F.try_divide(F.pow(x, lam) - 1, lam))
-    up = F.when(close(0), F.log1p(x)).otherwise(F.try_divide(F.pow(x + 1, lam) - 1, lam))
-    down = F.when(close(2), -F.log1p(-x)).otherwise(-F.try_divide(F.pow(1 - x, 2 - lam) - 1, 2 - lam))
-    return F.when(x >= 0, up).otherwise(down)
+        return np.log(x) if abs(lam) < 1e-12 else (x**lam - 1) / lam
+    up, down = np.maximum(x, 0.0), np.minimum(x, 0.0)  # NaN stays in both
+    up = np.log1p(up) if abs(lam) < 1e-12 else ((up + 1) ** lam - 1) / lam
+    down = -np.log1p(-down) if abs(lam - 2) < 1e-12 else -((1 - down) ** (2 - lam) - 1) / (2 - lam)
+    return np.where(x < 0, down, up)
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments (number, mean, sum of squares about it, Jacobian's sum; last axis) of two sets together."""
+    n, gap = a[..., 0] + b[..., 0], b[..., 1] - a[..., 1]
+    share = b[..., 0] / np.maximum(n, 1.0)
+    return np.stack([n, a[..., 1] + gap * share, a[..., 2] + b[..., 2] + gap * gap * a[..., 0] * share, a[..., 3] + b[..., 3]], axis=-1)
+
+
+def _moments(x: np.ndarray, counts: np.ndarray, lams: np.ndarray, method: str) -> np.ndarray:
+    """Moments of the transformed values, each as often as counted, by exponent."""
+    with np.errstate(all="ignore"):
+        jacobian = (counts * (np.sign(x) * np.log1p(np.abs(x)) if method == YEO else np.log(x))).sum()
+        n, out = counts.sum(), np.empty((len(lams), 4))
+        for i, lam in enumerate(lams):
+            v = _varied(x, lam, method)
+            mean = (counts * v).sum() / n
+            out[i] = n, mean, (counts * (v - mean) ** 2).sum(), jacobian
+    return out
+
+
+def _summed(df: DataFrame, columns: dict[str, Column], lams: dict[str, list[float]], method: str) -> DataFrame:
+    """c (number of the column) and m (its packed moments by exponent): one pass, in which each task's distinct values meet the exponents."""
+    grids = [np.array(lams[c], float) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in grids]
+        waits, sums = [[] for _ in grids], [None for _ in grids]
+
+        def counted(i: int) -> None:
+            values, counts = zip(held[i], *waits[i])
+            values, at = np.unique(np.concatenate(values), return_inverse=True)
+            held[i], waits[i] = (values, np.bincount(at, np.concatenate(counts), len(values)).astype(np.int64)), []
+
+        def spent(i: int) -> None:
+            if len(held[i][0]):
+                now = _moments(*held[i], grids[i], method)
+                sums[i] = now if sums[i] is None else _merged(sums[i], now)
+                held[i] = (np.zeros(0), np.zeros(0, np.int64))
+
+        for batch in batches:
+            for i, c in enumerate(batch.columns):
+                waits[i].append(np.unique(c.drop_null().to_numpy(), return_counts=True))
+                if sum(len(v) for v, _ in waits[i]) >= COUNTED:
+                    counted(i)
+                    if len(held[i][0]) >= COUNTED:
+                        spent(i)
+        for i in range(len(grids)):
+            counted(i)
+            spent(i)
+            if sums[i] is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sums[i].tobytes()], pa.binary())], ["c", "m"])
+
+    rows = df.select(*[e.cast("double").alias(f"v{i}") for i, e in enumerate(columns.values())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, m in zip(batch.column(0).to_pylist(), batch.column(1)):
+                now = np.frombuffer(m.as_buffer()).reshape(-1, 4)
+                total[c] = _merged(total[c], now) if c in total else now
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["c", "m"])
+
+    return rows.mapInArrow(run, "c int, m binary").repartition("c").mapInArrow(add, "c int, m binary")
 
 
 def _likelihoods(df: DataFrame, columns: dict[str, Column], lams: dict[str, list[float]], method: str) -> dict[str, list[tuple[float, float]]]:
-    """(likelihood, exponent) of every exponent by column: one pass, in which each value meets each of its column's exponents
-    and is summed up at once, so that the code stays short however long the grid is."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), e.alias("x"), F.array(*[F.lit(float(v)) for v in lams[c]]).alias("lams")) for c, e in columns.items()])).alias("r")
-    rows = df.select(each).select("r.c", "r.x", F.explode("r.lams").alias("lam")).where("x is not null")
-    x, lam = F.col("x"), F.col("lam")
-    jacobian = F.signum(x) * F.log1p(F.abs(x)) if method == YEO else F.log(x)
-    sums = rows.groupBy("c", "lam").agg(F.count("x").alias("n"), F.var_pop(_varied(x, lam, method)).alias("v"), F.sum(jacobian).alias("j"))
+    """(likelihood, exponent) of every exponent by column."""
+    moments = {r["c"]: np.frombuffer(r["m"]).reshape(-1, 4).tolist() for r in _summed(df, columns, lams, method).collect()}
     out: dict[str, list[tuple[float, float]]] = {c: [] for c in columns}
-    for r in sums.where("v > 0").select("c", "lam", (-F.col("n") / 2 * F.log("v") + (F.col("lam") - 1) * F.col("j")).alias("l")).collect():
-        out[r["c"]].append((r["l"], r["lam"]))
+    for i, c in enumerate(columns):
+        for lam, (n, _, squares, jacobian) in zip(lams[c], moments.get(i, ())):
+            if squares > 0 and n > 0:
+                out[c].append((-n / 2 * math.log(squares / n) + (lam - 1) * jacobian, lam))
     return out
 
 

@@ -419,6 +419,31 @@ def test_pairs_within_a_radius_are_all_and_not_shuffled(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(far <= 1.2))) if i != j}
 
 
+def test_exponents_meet_distinct_values_alone(spark, monkeypatch):
+    """Likelihoods are a plain loop's, for few and many values, some of them null; no row is multiplied by the exponents."""
+    monkeypatch.setattr(power, "COUNTED", 50)
+    rng = np.random.default_rng(8)
+    columns = {"few": rng.integers(-3, 4, 700).astype(float), "many": rng.normal(0, 2, 700), "up": rng.gamma(2.0, 3.0, 700) + 0.1}
+    rows = [tuple(None if i % 9 == k else float(v[i]) for k, v in enumerate(columns.values())) for i in range(700)]
+    df = frame(spark, rows, "few double, many double, up double").repartition(3)
+    lams = {c: power.grid() for c in columns}
+    for method, names in ((power.YEO, ["few", "many", "up"]), (power.BOX, ["up"])):
+        picked = {c: F.col(c) for c in names}
+        plan = power._summed(df, picked, lams, method)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and plan.count("MapInArrow") == 2
+        got = power._likelihoods(df, picked, lams, method)
+        for c in names:
+            x = np.array([r[list(columns).index(c)] for r in rows if r[list(columns).index(c)] is not None])
+            for (value, lam), want in zip(got[c], lams[c], strict=True):
+                if method == power.BOX:
+                    v, jacobian = np.log(x) if lam == 0 else (x**lam - 1) / lam, np.log(x)
+                else:
+                    v = np.array([(math.log1p(z) if lam == 0 else ((z + 1) ** lam - 1) / lam) if z >= 0 else (-math.log1p(-z) if lam == 2 else -((1 - z) ** (2 - lam) - 1) / (2 - lam)) for z in x])
+                    jacobian = np.sign(x) * np.log1p(np.abs(x))
+                assert lam == want and value == pytest.approx(-len(x) / 2 * math.log(v.var()) + (lam - 1) * jacobian.sum())
+    assert power._likelihoods(df.where("false"), {"up": F.col("up")}, lams, power.BOX) == {"up": []}
+
+
 def test_tuning_honours_the_direction(spark):
     df = models.assembled(blobs(spark).select("id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y"), ["a", "b"], "y", ["id"]).cache()
     trials = tune.random_search(df, "logistic_regression", {"C": [1e-6, 100.0]}, 4, "logLoss", seed=3)[0].collect()
