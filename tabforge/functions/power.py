@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.operators.stats import as_dict, col, per_column, wide_row
+from tabforge.operators.stats import as_dict, col, per_column
 
 YEO, BOX = "yeo-johnson", "box-cox"
 
@@ -45,21 +45,24 @@ def _varied(x: np.ndarray, lam: float, method: str) -> np.ndarray:
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Moments (number, mean, sum of squares about it, Jacobian's sum; last axis) of two sets together."""
+    """Moments (number, mean, sums of squares and of cubes about it, Jacobian's sum; last axis) of two sets together."""
     n, gap = a[..., 0] + b[..., 0], b[..., 1] - a[..., 1]
-    share = b[..., 0] / np.maximum(n, 1.0)
-    return np.stack([n, a[..., 1] + gap * share, a[..., 2] + b[..., 2] + gap * gap * a[..., 0] * share, a[..., 3] + b[..., 3]], axis=-1)
+    mine, share = a[..., 0] / n, b[..., 0] / n
+    squares = a[..., 2] + b[..., 2] + gap**2 * a[..., 0] * share
+    cubes = a[..., 3] + b[..., 3] + gap**3 * a[..., 0] * share * (mine - share) + 3 * gap * (mine * b[..., 2] - share * a[..., 2])
+    return np.stack([n, a[..., 1] + gap * share, squares, cubes, a[..., 4] + b[..., 4]], axis=-1)
 
 
 def _moments(x: np.ndarray, counts: np.ndarray, lams: np.ndarray, method: str) -> np.ndarray:
     """Moments of the transformed values, each as often as counted, by exponent."""
     with np.errstate(all="ignore"):
         jacobian = (counts * (np.sign(x) * np.log1p(np.abs(x)) if method == YEO else np.log(x))).sum()
-        n, out = counts.sum(), np.empty((len(lams), 4))
+        n, out = counts.sum(), np.empty((len(lams), 5))
         for i, lam in enumerate(lams):
             v = _varied(x, lam, method)
             mean = (counts * v).sum() / n
-            out[i] = n, mean, (counts * (v - mean) ** 2).sum(), jacobian
+            gap = v - mean
+            out[i] = n, mean, (counts * gap**2).sum(), (counts * gap**3).sum(), jacobian
     return out
 
 
@@ -101,7 +104,7 @@ def _summed(df: DataFrame, columns: dict[str, Column], lams: dict[str, list[floa
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, m in zip(batch.column(0).to_pylist(), batch.column(1)):
-                now = np.frombuffer(m.as_buffer()).reshape(-1, 4)
+                now = np.frombuffer(m.as_buffer()).reshape(-1, 5)
                 total[c] = _merged(total[c], now) if c in total else now
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["c", "m"])
@@ -109,32 +112,38 @@ def _summed(df: DataFrame, columns: dict[str, Column], lams: dict[str, list[floa
     return rows.mapInArrow(run, "c int, m binary").repartition("c").mapInArrow(add, "c int, m binary")
 
 
-def _likelihoods(df: DataFrame, columns: dict[str, Column], lams: dict[str, list[float]], method: str) -> dict[str, list[tuple[float, float]]]:
-    """(likelihood, exponent) of every exponent by column."""
-    moments = {r["c"]: np.frombuffer(r["m"]).reshape(-1, 4).tolist() for r in _summed(df, columns, lams, method).collect()}
-    out: dict[str, list[tuple[float, float]]] = {c: [] for c in columns}
+def _fitted(df: DataFrame, columns: dict[str, Column], lams: dict[str, list[float]], method: str) -> dict[str, list[tuple[float, float, dict]]]:
+    """(likelihood, exponent, the transform's mean, deviation and skewness) of every exponent by column."""
+    moments = {r["c"]: np.frombuffer(r["m"]).reshape(-1, 5).tolist() for r in _summed(df, columns, lams, method).collect()}
+    out: dict[str, list[tuple[float, float, dict]]] = {c: [] for c in columns}
     for i, c in enumerate(columns):
-        for lam, (n, _, squares, jacobian) in zip(lams[c], moments.get(i, ())):
+        for lam, (n, mean, squares, cubes, jacobian) in zip(lams[c], moments.get(i, ())):
             if squares > 0 and n > 0:
-                out[c].append((-n / 2 * math.log(squares / n) + (lam - 1) * jacobian, lam))
+                shape = {"mean": mean, "deviation": math.sqrt(squares / n), "skewness": math.sqrt(n) * cubes / squares**1.5}
+                out[c].append((-n / 2 * math.log(squares / n) + (lam - 1) * jacobian, lam, shape))
     return out
 
 
+def _likelihoods(df: DataFrame, columns: dict[str, Column], lams: dict[str, list[float]], method: str) -> dict[str, list[tuple[float, float]]]:
+    """(likelihood, exponent) of every exponent by column."""
+    return {c: [each[:2] for each in found] for c, found in _fitted(df, columns, lams, method).items()}
+
+
 def grid(low: float = -2.0, high: float = 2.0, n: int = 41) -> list[float]:
     return [round(low + (high - low) * i / (n - 1), 6) for i in range(n)]
 
 
-def best_exponents(df: DataFrame, columns: dict[str, Column], method: str, refine: int = 2) -> dict[str, float]:
-    """Exponent by column; columns gives the (shifted) expression of each. Equal likelihoods: the least exponent."""
+def best_exponents(df: DataFrame, columns: dict[str, Column], method: str, refine: int = 2) -> dict[str, tuple[float, dict]]:
+    """Exponent, and the transform's mean, deviation and skewness, by column; columns gives the (shifted) expression of each. Equal likelihoods: the least exponent."""
     lams = {c: grid() for c in columns}
-    best: dict[str, float] = {}
+    best: dict[str, tuple[float, dict]] = {}
     step = 0.1
     for turn in range(refine + 1):
-        for c, scored in _likelihoods(df, columns, lams, method).items():
+        for c, scored in _fitted(df, columns, lams, method).items():
             if scored:
-                top = max(v for v, _ in scored)
-                best[c] = min(lam for v, lam in scored if v == top)
-        lams = {c: grid(best[c] - step, best[c] + step, 21) for c in columns if c in best}
+                top = max(v for v, *_ in scored)
+                best[c] = min((each[1:] for each in scored if each[0] == top), key=lambda e: e[0])
+        lams = {c: grid(best[c][0] - step, best[c][0] + step, 21) for c in columns if c in best}
         columns = {c: e for c, e in columns.items() if c in best}
         if not columns:
             break
@@ -142,17 +151,22 @@ def best_exponents(df: DataFrame, columns: dict[str, Column], method: str, refin
     return best
 
 
+def _fit(df: DataFrame, lows: dict[str, float], method: str, refine: int) -> dict[str, dict]:
+    """State by column as `fit` returns it, and skewness. lows: least values."""
+    shift = {c: (abs(v) + 1 if method == BOX and v <= 0 else 0.0) for c, v in lows.items()}
+    source = {c: col(c).cast("double") + F.lit(shift[c]) for c in lows}
+    return {c: {"method": method, "shift": shift[c], "exponent": lam, **shape} for c, (lam, shape) in best_exponents(df, source, method, refine).items()}
+
+
+def _lows(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    return {c: r["v"] for c, r in as_dict(per_column(df, columns, {"v": lambda c: F.min(c).cast("double")})).items() if r["v"] is not None}
+
+
 def fit(df: DataFrame, columns: Sequence[str], method: str, refine: int = 2) -> dict[str, dict]:
     """State by column: method, shift, exponent, mean and deviation. For Box-Cox a column with values up to zero is shifted by |min| + 1."""
     if method not in (YEO, BOX):
         raise ValueError(f"unknown method {method}")
-    lows = {c: r["v"] for c, r in as_dict(per_column(df, columns, {"v": lambda c: F.min(c).cast("double")})).items() if r["v"] is not None}
-    shift = {c: (abs(v) + 1 if method == BOX and v <= 0 else 0.0) for c, v in lows.items()}
-    source = {c: col(c).cast("double") + F.lit(shift[c]) for c in lows}
-    lams = best_exponents(df, source, method, refine)
-    psi = {c: (yeo_johnson if method == YEO else box_cox)(source[c], lams[c]) for c in lams}
-    moments = wide_row(df, {f"{c}|{k}": f(psi[c]) for c in psi for k, f in (("m", F.avg), ("s", F.stddev_pop))})
-    return {c: {"method": method, "shift": shift[c], "exponent": lams[c], "mean": moments[f"{c}|m"], "deviation": moments[f"{c}|s"] or 1.0} for c in psi}
+    return {c: {k: v for k, v in state.items() if k != "skewness"} for c, state in _fit(df, _lows(df, columns), method, refine).items()}
 
 
 def transformed(c: Column, state: dict) -> Column:
@@ -162,13 +176,14 @@ def transformed(c: Column, state: dict) -> Column:
 
 def recommend(df: DataFrame, columns: Sequence[str], refine: int = 2) -> DataFrame:
     """column, both skewnesses after the transforms and recommendation: Yeo-Johnson for values up to zero, else the less skewed one (ties: Box-Cox)."""
-    lows = as_dict(per_column(df, columns, {"v": lambda c: F.min(c).cast("double")}))
-    both = {m: fit(df, columns, m, refine) for m in (BOX, YEO)}
-    names = [c for c in columns if c in both[BOX] and c in both[YEO]]
-    rows = per_column(df, names, {m: lambda c, m=m: F.skewness(transformed(col(c), both[m][c])) for m in (BOX, YEO)})
-    positive = [c for c in names if lows[c]["v"] > 0]
-    choice = F.when(F.col("column").isin(positive) & (F.abs(F.col(BOX)) <= F.abs(F.col(YEO))), F.lit(BOX)).otherwise(F.lit(YEO))
-    return rows.select("column", F.col(BOX).alias("skew_box_cox"), F.col(YEO).alias("skew_yeo_johnson"), choice.alias("recommendation"))
+    lows = _lows(df, columns)
+    both = {m: _fit(df, lows, m, refine) for m in (BOX, YEO)}
+    rows = []
+    for c in columns:
+        if c in both[BOX] and c in both[YEO]:
+            a, b = (both[m][c]["skewness"] for m in (BOX, YEO))
+            rows.append((c, a, b, BOX if lows[c] > 0 and abs(a) <= abs(b) else YEO))
+    return df.sparkSession.createDataFrame(rows, "column string, skew_box_cox double, skew_yeo_johnson double, recommendation string")
 
 
 def vote(recommended: DataFrame) -> DataFrame:

@@ -441,6 +441,14 @@ def test_exponents_meet_distinct_values_alone(spark, monkeypatch):
                     v = np.array([(math.log1p(z) if lam == 0 else ((z + 1) ** lam - 1) / lam) if z >= 0 else (-math.log1p(-z) if lam == 2 else -((1 - z) ** (2 - lam) - 1) / (2 - lam)) for z in x])
                     jacobian = np.sign(x) * np.log1p(np.abs(x))
                 assert lam == want and value == pytest.approx(-len(x) / 2 * math.log(v.var()) + (lam - 1) * jacobian.sum())
+    state, shape = power.fit(df, ["many"], power.YEO, refine=0)["many"], power.recommend(df, ["many", "up"], refine=0).orderBy("column").collect()
+    out = df.select(power.transformed(F.col("many"), state).alias("x")).agg(F.avg("x"), F.stddev_pop("x"), F.skewness("x")).first()
+    assert [out[0], out[1], out[2]] == pytest.approx([0.0, 1.0, shape[0]["skew_yeo_johnson"]], abs=1e-9) and set(state) == {"method", "shift", "exponent", "mean", "deviation"}
+    passes, summed, lows = [], power._summed, power._lows
+    monkeypatch.setattr(power, "_summed", lambda *a: passes.append("exponents") or summed(*a))
+    monkeypatch.setattr(power, "_lows", lambda *a: passes.append("least") or lows(*a))
+    power.recommend(df, ["many", "up"], refine=0)
+    assert sorted(passes) == ["exponents", "exponents", "least"]
     assert power._likelihoods(df.where("false"), {"up": F.col("up")}, lams, power.BOX) == {"up": []}
 
 
