@@ -74,7 +74,7 @@ def _signs(y: np.ndarray, classes: int) -> np.ndarray:
 def fit(df: DataFrame, classes: int, alpha: float, max_iter: int) -> tuple[list[list[float]], list[float]]:
     """Weights by class (of class 1 alone, if there are two) and offsets."""
     d, k = len(df.first()["features"]), classes if classes > 2 else 1
-    data = shards(df, d).rdd.map(lambda r: (np.frombuffer(r["x"]).reshape(-1, d), np.frombuffer(r["y"], np.int64))).persist()
+    data = shards(df, d, SHARD).rdd.map(lambda r: (np.frombuffer(r["x"]).reshape(-1, d), np.frombuffer(r["y"], np.int64))).persist()
     add = lambda p, q: tuple(a + b for a, b in zip(p, q))
     n, total = data.map(lambda own: (len(own[0]), own[0].sum(0))).treeReduce(add)
     centre = total / n
