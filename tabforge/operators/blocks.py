@@ -21,6 +21,8 @@ from tabforge.sources.tables import checkpointed
 BLOCK, LEAST, EACH = 4096, 256, 3
 #: Pairs that are sifted, and numbers that are subtracted, at once.
 SIFTED, EXACT = 1 << 22, 1 << 22
+#: Results of a packed row.
+SENT = 256
 #: What rounding may add to a squared distance, as a share of the squares, and how many digits of a distance count.
 SHARE, DIGITS = 1e-12, 9
 
@@ -128,10 +130,9 @@ def _table(spark, rdd, names: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in zip(*(c for c in batch.columns)):
-                flat = [np.frombuffer(v.as_buffer(), t) for v, t in zip(found, (np.int64, np.int64, np.float64))]
-                for a in range(0, len(flat[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(v[a : a + (1 << 16)]) for v in flat], names)
+            flat = [np.frombuffer(b"".join(c.to_pylist()), t) for c, t in zip(batch.columns, (np.int64, np.int64, np.float64))]
+            for a in range(0, len(flat[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(v[a : a + (1 << 16)]) for v in flat], names)
 
     packed = spark.createDataFrame(rdd, ", ".join(f"{c} binary" for c in names), verifySchema=False)
     return packed.mapInArrow(run, "id long, neighbour long, distance double")
@@ -140,6 +141,12 @@ def _table(spark, rdd, names: list[str]) -> DataFrame:
 _NAMES = ["id", "neighbour", "distance"]
 
 
+def _sent(*columns: np.ndarray) -> Iterator[tuple]:
+    """Packed rows of `SENT` results, few enough that a batch of them (10,000 rows by Spark's default) stays at some 60 MB."""
+    for a in range(0, len(columns[0]), SENT):
+        yield tuple(v[a : a + SENT].tobytes() for v in columns)
+
+
 def _better(best: tuple[np.ndarray, np.ndarray], a: int, qi: np.ndarray, qx: np.ndarray, ri: np.ndarray, rx: np.ndarray, k: int, exclude_self: bool, p: int) -> None:
     """Takes rows among the k best (distances and ids) of some queries, whose places begin at a."""
     d, ids = best[0][a : a + len(qi)], best[1][a : a + len(qi)]
@@ -181,7 +188,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = Tr
         for groups in best.values():
             for own, d, ids in groups.values():
                 there = np.isfinite(d).ravel()
-                yield tuple(v.tobytes() for v in (np.frombuffer(own, np.int64)[there], ids.ravel()[there], d.ravel()[there]))
+                yield from _sent(np.frombuffer(own, np.int64)[there], ids.ravel()[there], d.ravel()[there])
 
     return _table(queries.sparkSession, _product(queries, rows).mapPartitions(run), _NAMES)
 
@@ -201,7 +208,6 @@ def within(queries: DataFrame, rows: DataFrame, radius: float, p: int = 2) -> Da
                 row, col = row[other], col[other]
                 d = _exact(qx, rx, row, col, p)
                 near = d <= radius
-                if near.any():
-                    yield tuple(v[near].tobytes() for v in (qi[row], ri[col], d))
+                yield from _sent(qi[row[near]], ri[col[near]], d[near])
 
     return _table(queries.sparkSession, _product(queries, rows).mapPartitions(run), _NAMES)
